@@ -17,7 +17,7 @@ from .common import Workspace, arrow_map, mix64, table
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
 #: Levels of splitting, members of a bucket that is not split further, members of a block that one task compares.
-DEPTH, SMALL, BLOCK = 3, 256, 512
+DEPTH, SMALL, BLOCK = 3, 256, 256
 BINS = 128  # bytes of a one-permutation sketch
 _FULL = float(2**64)
 
@@ -233,7 +233,7 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
 
     Equal shingle sets are one set. In every run a set descends along sampled tokens that it shares with others;
     buckets of at most 256 sets become leaves, larger ones are split once more, three times at most. What is still
-    larger is compared in blocks of 512, every block with every other, so no bucket is cut short and no task gathers
+    larger is compared in blocks of 256, every block with every other, so no bucket is cut short and no task gathers
     one. Of the pairs only counts leave a block: each set with the number of partners that the block decided, and its
     root in the block. Every pair is decided by exact similarity.
     """
@@ -260,7 +260,7 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
     rows = leaves.join(reached, "fp")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(3), "fp"), blocks).cast("int")
-    rows = rows.withColumn("mine", F.when(F.col("n") <= 2 * SMALL, 0).otherwise(mine)).withColumn("blocks", F.when(F.col("n") <= 2 * SMALL, 1).otherwise(blocks))
+    rows = rows.withColumn("mine", F.when(F.col("n") <= SMALL, 0).otherwise(mine)).withColumn("blocks", F.when(F.col("n") <= SMALL, 1).otherwise(blocks))
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("fp", "leaf", "leaves", F.least("mine", "partner").alias("one"), F.greatest("mine", "partner").alias("other"), F.col("mine").alias("side"))
     brief = sigs.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
@@ -276,7 +276,8 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
     wanted = space.save(_by_block(rows.select(*names), narrow, schema), "candidates")
     need = space.save(wanted.select("fp").distinct().join(sets.select("fp", F.col("first").alias("doc_id")), "fp"), "needed")
     # Only one copy of each wanted set brings its words; doc_ids may repeat or be null, so the copies are dropped by fp.
-    words = sigs.where("size > 0").select("fp", "doc_id", "words").join(need, (sigs["fp"] == need["fp"]) & sigs["doc_id"].eqNullSafe(need["doc_id"]), "left_semi")
+    # The hint keeps one plan at every size: past the broadcast limit the words are dealt by a shuffle anyway.
+    words = sigs.where("size > 0").select("fp", "doc_id", "words").join(need.hint("merge"), (sigs["fp"] == need["fp"]) & sigs["doc_id"].eqNullSafe(need["doc_id"]), "left_semi")
     words = space.save(words.groupBy("fp").agg(F.first("words").alias("words")), "words")
 
     def decide(t: pa.Table) -> pa.Table:
