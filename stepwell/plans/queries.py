@@ -104,23 +104,23 @@ RAW = f"""CASE {_D} WHEN 22 THEN 'not json' WHEN 1 THEN '[]' ELSE '{{"event_id":
  || ',"context":' || CASE {_D} WHEN 10 THEN '{{"platform":"ios","sdk_version":"1"}}' ELSE '{{"platform":"web","sdk_version":"1"}}' END
  || ',"schema_version":"' || CASE {_D} WHEN 7 THEN '2.0.0' ELSE '1.0.0' END || '","tracking_plan_version":"1.0.0","funnel_definition_version":"1.0.0","consent":'
  || CASE {_D} WHEN 8 THEN '{{"analytics":false}}' WHEN 9 THEN '{{"analytics":true,"ads":true}}' ELSE '{{"analytics":true}}' END || '}}' END"""
-_J = "json_extract_string(raw, '$.{0}')"
-_PK = "json_keys(raw, '$.properties')"
+_J = "json_extract_string(j, '$.{0}')"
+_PK = "json_keys(j, '$.properties')"
 VALIDATE = f"""
-raws AS (SELECT event_id, {RAW} AS raw FROM events),
+raws AS (SELECT event_id, raw, CASE WHEN json_valid(raw) THEN raw ELSE '{{}}' END AS j FROM (SELECT event_id, {RAW} AS raw FROM events)),
 checked AS (SELECT event_id, CASE
-  WHEN NOT json_valid(raw) THEN 'invalid_json' WHEN json_type(raw) <> 'OBJECT' THEN 'invalid_payload'
-  WHEN len(list_filter(json_keys(raw), lambda x: x NOT IN ('event_id','event_name','occurred_at','anonymous_id','session_id','user_id','properties','context','schema_version','tracking_plan_version','funnel_definition_version','consent'))) > 0 THEN 'unallowed_envelope_field'
+  WHEN NOT json_valid(raw) THEN 'invalid_json' WHEN json_type(j) <> 'OBJECT' THEN 'invalid_payload'
+  WHEN len(list_filter(json_keys(j), lambda x: x NOT IN ('event_id','event_name','occurred_at','anonymous_id','session_id','user_id','properties','context','schema_version','tracking_plan_version','funnel_definition_version','consent'))) > 0 THEN 'unallowed_envelope_field'
   WHEN {_J.format("event_name")} NOT IN ('vpv','click','signup_completed','activation_completed','subscription_started') THEN 'unsupported_event_name'
-  WHEN json_type(raw, '$.anonymous_id') <> 'VARCHAR' OR length({_J.format("event_id")}) NOT BETWEEN 16 AND 128 OR length({_J.format("user_id")}) < 16 THEN 'invalid_identifier'
+  WHEN json_type(j, '$.anonymous_id') <> 'VARCHAR' OR length({_J.format("event_id")}) NOT BETWEEN 16 AND 128 OR length({_J.format("user_id")}) < 16 THEN 'invalid_identifier'
   WHEN {_J.format("schema_version")} <> '1.0.0' THEN 'unsupported_contract_version'
-  WHEN {_J.format("consent.analytics")} <> 'true' OR len(json_keys(raw, '$.consent')) > 1 OR {_J.format("context.platform")} <> 'web' THEN 'invalid_context_or_consent'
+  WHEN {_J.format("consent.analytics")} <> 'true' OR len(json_keys(j, '$.consent')) > 1 OR {_J.format("context.platform")} <> 'web' THEN 'invalid_context_or_consent'
   WHEN {_J.format("occurred_at")} IS NULL THEN 'missing_occurred_at'
   WHEN NOT regexp_matches({_J.format("occurred_at")}, 'Z$') OR TRY_CAST(replace({_J.format("occurred_at")}, 'Z', '') AS TIMESTAMP) NOT BETWEEN TIMESTAMP '2024-02-01' - INTERVAL 365 DAY AND TIMESTAMP '2024-02-01' + INTERVAL 5 MINUTE THEN 'invalid_event_time'
-  WHEN json_type(raw, '$.properties') <> 'OBJECT' THEN 'invalid_properties'
+  WHEN json_type(j, '$.properties') <> 'OBJECT' THEN 'invalid_properties'
   WHEN regexp_matches({_PK}[1], '(?i)email') THEN 'sensitive_property'
   WHEN len(list_filter({_PK}, lambda x: x NOT IN ('plan','billing_interval','acquisition_channel','page_path','ui_name','activation_action'))) > 0 THEN 'unallowed_property'
-  WHEN json_type(raw, '$.properties.plan') <> 'VARCHAR' THEN 'invalid_property_type'
+  WHEN json_type(j, '$.properties.plan') <> 'VARCHAR' THEN 'invalid_property_type'
   WHEN {_J.format("event_name")} = 'subscription_started' AND {_J.format("properties.billing_interval")} IS NULL THEN 'missing_required_property'
   WHEN regexp_matches({_J.format("properties.page_path")}, '[?#]') THEN 'invalid_page_path'
   WHEN {_J.format("properties.billing_interval")} NOT IN ('monthly','yearly') THEN 'invalid_subscription_properties'
