@@ -12,48 +12,62 @@ from ..functions.values import (
 INSTANT = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:\d\d)\z"
 
 
-def _kind(parsed: Column, path: str) -> Column:
-    """STRING, BOOLEAN, OBJECT<…>, … or null where the path is absent."""
-    return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+class _Paths:
+    """Columns for the kinds and texts of JSON paths, each computed once for a row."""
 
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
 
-def _text(parsed: Column, path: str) -> Column:
-    """A value only if it is a JSON string."""
-    return F.when(_kind(parsed, path) == "STRING", F.try_variant_get(parsed, path, "string"))
+    def kind(self, path: str) -> Column:
+        """STRING, BOOLEAN, OBJECT<…>, … or null where the path is absent."""
+        return F.col(f"_kind{self.at.setdefault(path, len(self.at))}")
+
+    def text(self, path: str) -> Column:
+        """A value only if it is a JSON string."""
+        self.kind(path)
+        return F.col(f"_text{self.at[path]}")
+
+    def add(self, df: DataFrame, raw: str) -> DataFrame:
+        df = df.withColumn("_json", F.try_parse_json(raw))
+        df = df.withColumns({f"_kind{k}": F.schema_of_variant(F.try_variant_get("_json", p, "variant")) for p, k in self.at.items()})
+        return df.withColumns({f"_text{k}": F.when(F.col(f"_kind{k}") == "STRING", F.try_variant_get("_json", p, "string")) for p, k in self.at.items()})
+
+    def drop(self, df: DataFrame) -> DataFrame:
+        return df.drop("_json", *[f"_{x}{k}" for k in self.at.values() for x in ("kind", "text")])
 
 
 def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def reason(raw: Column, received_at: Column) -> Column:
-    """The reason code of a raw event, or null if it is accepted. received_at is an instant (timestamp).
+def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str) -> DataFrame:
+    """Adds the reason code of raw events, null for accepted ones. The time of receipt is an instant (timestamp).
 
     A text that is no JSON gives invalid_json. Checks go envelope, name, ids, versions, consent and context, time, then
     properties in document order, required ones and values.
     """
-    v = F.try_parse_json(raw)
+    raw, received_at, paths = F.col(raw_name), F.col(received_name), _Paths()
     keys = lambda path: F.json_object_keys(F.get_json_object(raw, path))
     extra = lambda path, allowed: F.size(F.array_except(keys(path), _array(allowed))) > 0
-    is_object = lambda path: F.coalesce(_kind(v, path).startswith("OBJECT"), F.lit(False))
-    name = _text(v, "$.event_name")
-    id_ok = lambda path: F.coalesce(F.length(_text(v, path)).between(16, 128), F.lit(False))
-    version_ok = lambda f: F.coalesce(_text(v, f"$.{f}") == VERSION, F.lit(False))
-    consent = is_object("$.consent") & F.coalesce((_kind(v, "$.consent.analytics") == "BOOLEAN") & F.try_variant_get(v, "$.consent.analytics", "boolean"), F.lit(False)) & ~F.coalesce(extra("$.consent", ["analytics"]), F.lit(False))
-    context = is_object("$.context") & F.coalesce(_text(v, "$.context.platform") == "web", F.lit(False)) & F.coalesce(F.trim(_text(v, "$.context.sdk_version")) != "", F.lit(False)) & ~F.coalesce(extra("$.context", ["platform", "sdk_version"]), F.lit(False))
-    occurred = _text(v, "$.occurred_at")
+    is_object = lambda path: F.coalesce(paths.kind(path).startswith("OBJECT"), F.lit(False))
+    name = paths.text("$.event_name")
+    id_ok = lambda path: F.coalesce(F.length(paths.text(path)).between(16, 128), F.lit(False))
+    version_ok = lambda f: F.coalesce(paths.text(f"$.{f}") == VERSION, F.lit(False))
+    consent = is_object("$.consent") & F.coalesce((paths.kind("$.consent.analytics") == "BOOLEAN") & F.try_variant_get("_json", "$.consent.analytics", "boolean"), F.lit(False)) & ~F.coalesce(extra("$.consent", ["analytics"]), F.lit(False))
+    context = is_object("$.context") & F.coalesce(paths.text("$.context.platform") == "web", F.lit(False)) & F.coalesce(F.trim(paths.text("$.context.sdk_version")) != "", F.lit(False)) & ~F.coalesce(extra("$.context", ["platform", "sdk_version"]), F.lit(False))
+    occurred = paths.text("$.occurred_at")
     instant = F.when(occurred.rlike(INSTANT), F.try_to_timestamp(occurred))
     in_time = F.coalesce((instant <= received_at + F.expr("interval 5 minutes")) & (instant >= received_at - F.expr("interval 365 days")), F.lit(False))
 
     known = sorted({p for names in ALLOWED_PROPERTIES.values() for p in names})
-    kinds = F.create_map(*[x for p in known for x in (F.lit(p), _kind(v, f"$.properties.{p}"))])
+    kinds = F.create_map(*[x for p in known for x in (F.lit(p), paths.kind(f"$.properties.{p}"))])
     allowed = F.create_map(*[x for e, names in ALLOWED_PROPERTIES.items() for x in (F.lit(e), _array(names))])
     by_key = F.transform(
         keys("$.properties"),
         lambda k: F.when(k.rlike(f"(?i){SENSITIVE}"), "sensitive_property").when(~F.array_contains(allowed[name], k), "unallowed_property").when(F.coalesce(kinds[k] != "STRING", F.lit(True)), "invalid_property_type"),
     )
     property_reason = F.get(F.filter(by_key, lambda r: r.isNotNull()), F.lit(0))
-    prop = lambda p: _text(v, f"$.properties.{p}")
+    prop = lambda p: paths.text(f"$.properties.{p}")
     missing = F.lit(False)
     for e, names in REQUIRED_PROPERTIES.items():
         for p in names:
@@ -69,13 +83,13 @@ def reason(raw: Column, received_at: Column) -> Column:
         .when((name == "subscription_started") & ~(ident("plan") & ident("acquisition_channel") & one_of("billing_interval", BILLING_INTERVALS)), "invalid_subscription_properties")
         .when((name == "signup_completed") & ~one_of("signup_method", SIGNUP_METHODS), "invalid_signup_method")
     )
-    return (
-        F.when(v.isNull(), "invalid_json")
+    code = (
+        F.when(F.col("_json").isNull(), "invalid_json")
         .when(~is_object("$"), "invalid_payload")
         .when(F.size(F.array_except(F.json_object_keys(raw), _array(ENVELOPE_FIELDS))) > 0, "unallowed_envelope_field")
         .when(~F.coalesce(name.isin(EVENT_NAMES), F.lit(False)), "unsupported_event_name")
         .when(~(id_ok("$.event_id") & id_ok("$.anonymous_id") & id_ok("$.session_id")), "invalid_identifier")
-        .when(_kind(v, "$.user_id").isNotNull() & ~id_ok("$.user_id"), "invalid_identifier")
+        .when(paths.kind("$.user_id").isNotNull() & ~id_ok("$.user_id"), "invalid_identifier")
         .when(~(version_ok("schema_version") & version_ok("tracking_plan_version") & version_ok("funnel_definition_version")), "unsupported_contract_version")
         .when(~(consent & context), "invalid_context_or_consent")
         .when(occurred.isNull(), "missing_occurred_at")
@@ -83,11 +97,12 @@ def reason(raw: Column, received_at: Column) -> Column:
         .when(~is_object("$.properties"), "invalid_properties")
         .otherwise(F.coalesce(property_reason, F.when(missing, "missing_required_property"), value_reason))
     )
+    return paths.drop(paths.add(df, raw_name).withColumn(name_out, code))
 
 
 def validate(df: DataFrame, raw: str = "raw", received_at: str = "received_at") -> DataFrame:
     """Adds `reason`, null for accepted events, and event_time_quality for those."""
-    out = df.withColumn("reason", reason(F.col(raw), F.col(received_at)))
+    out = with_reason(df, raw, received_at, "reason")
     return out.withColumn("event_time_quality", F.when(F.col("reason").isNull(), "client_verified"))
 
 
@@ -100,16 +115,18 @@ def ingest(requests: DataFrame, keys: DataFrame) -> DataFrame:
 
     keys (workspace_key, workspace_id) has a row per workspace. Order: method, key, size, JSON, validator.
     """
-    rows = requests.join(keys, "workspace_key", "left").withColumn("_reason", reason(F.col("body"), F.col("received_at")))
-    code = (
-        F.when(F.col("method") != "POST", F.struct(F.lit(405).alias("status"), F.lit("method_not_allowed").alias("reason")))
-        .when(F.coalesce(F.length("workspace_key") < 8, F.lit(True)) | F.col("workspace_id").isNull(), F.struct(F.lit(401), F.lit("invalid_workspace_key")))
-        .when(F.octet_length("body") > MAX_BODY_BYTES, F.struct(F.lit(413), F.lit("payload_too_large")))
-        .when(F.col("_reason") == "invalid_json", F.struct(F.lit(400), F.lit("invalid_json")))
-        .when(F.col("_reason").isNotNull(), F.struct(F.lit(422), F.col("_reason")))
-        .otherwise(F.struct(F.lit(202), F.lit(None).cast("string")))
-    )
-    return rows.withColumn("_code", code).select("workspace_id", "body", "received_at", "_code.status", "_code.reason")
+    rows = with_reason(requests.join(keys, "workspace_key", "left"), "body", "received_at", "_reason")
+    outcomes = [
+        (F.col("method") != "POST", 405, F.lit("method_not_allowed")),
+        (F.coalesce(F.length("workspace_key") < 8, F.lit(True)) | F.col("workspace_id").isNull(), 401, F.lit("invalid_workspace_key")),
+        (F.octet_length("body") > MAX_BODY_BYTES, 413, F.lit("payload_too_large")),
+        (F.col("_reason") == "invalid_json", 400, F.lit("invalid_json")),
+        (F.col("_reason").isNotNull(), 422, F.col("_reason")),
+    ]
+    status, why = F.lit(202), F.lit(None).cast("string")
+    for when, code, name in reversed(outcomes):
+        status, why = F.when(when, code).otherwise(status), F.when(when, name).otherwise(why)
+    return rows.select("workspace_id", "body", "received_at", status.alias("status"), why.alias("reason"))
 
 
 def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
