@@ -66,39 +66,39 @@ def _transfer(a: np.ndarray, b: np.ndarray, room: int) -> tuple[int, list[int],
     return best
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, effort: int = 20_000) -> list[list[int]]:
     """Moves, swaps and two-for-one exchanges from the emptiest bins into fuller ones, until no bin can be emptied.
 
     Each step moves a net amount from a bin to one at least as full, so the sum of squared fills rises and the search
-    ends. It stops once what is in the emptiest bin exceeds all the room that the others have.
+    ends. It stops once what is in the emptiest bin exceeds all the room that the others have, once no exchange is left,
+    or after `effort` pairs of bins were looked at. Bins only ever get fewer.
     """
     fill = [int(lengths[b].sum()) for b in bins]
     under = {k for k, f in enumerate(fill) if f < capacity}
     tried: set[int] = set()
-    while True:
-        left = [k for k in under if k not in tried]
-        if not left:
+    while effort > 0 and (left := under - tried):
+        emptiest = min(under, key=lambda k: (fill[k], k))
+        if sum(capacity - fill[k] for k in under) - (capacity - fill[emptiest]) < fill[emptiest]:
             break
         a = min(left, key=lambda k: (fill[k], k))
-        if sum(capacity - fill[k] for k in under) - (capacity - fill[a]) < fill[a]:
-            break
-        tried.add(a)
-        moved = True
-        while moved and bins[a]:
+        any_moved, moved = False, True
+        while moved and bins[a] and effort > 0:
             moved = False
-            for b in sorted(under - {a}, key=lambda k: (fill[k] - capacity, k)):
+            for b in sorted(under - {a}, key=lambda k: (fill[k], k)):
                 if not bins[a]:
                     break
                 if fill[b] < fill[a] or fill[b] == capacity:
                     continue
+                effort -= 1
                 t, out, back = _transfer(lengths[bins[a]], lengths[bins[b]], capacity - fill[b])
                 if t > 0:
-                    x, y = [bins[a][k] for k in out], [bins[b][k] for k in back]
-                    bins[a] = [k for k in bins[a] if k not in set(x)] + y
-                    bins[b] = [k for k in bins[b] if k not in set(y)] + x
+                    x, y = {bins[a][k] for k in out}, {bins[b][k] for k in back}
+                    bins[a] = [k for k in bins[a] if k not in x] + sorted(y)
+                    bins[b] = [k for k in bins[b] if k not in y] + sorted(x)
                     fill[a], fill[b] = fill[a] - t, fill[b] + t
-                    moved = True
+                    moved = any_moved = True
         under = {k for k in under if fill[k] < capacity and bins[k]}
+        tried = {a} if any_moved else tried | {a}
     return [b for b in bins if b]
 
 

@@ -16,7 +16,7 @@ SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E))))
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 #: The field is fitted on at most this many labelled documents and lines of each.
 FIT_DOCS, FIT_LINES = 3000, 64
-#: A document stays if at least this share of its word characters is in content lines.
+#: A document stays if at least this share of the bytes of its words is in content lines.
 MIN_CONTENT = 0.5
 
 _UPPER, _LOWER, _SYMBOL, _BANG, _DIGIT, _SPACE, _HIGH = (1 << k for k in range(7))
@@ -45,7 +45,7 @@ def repeated_words(words: np.ndarray) -> np.ndarray:
 
 
 def describe(text: str | None) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Base counts of a whole text, features of its lines, and the word characters of each line. None has no lines."""
+    """Base counts of a whole text, features of its lines, and the bytes of words in each line. None has no lines."""
     if text is None:
         text = ""
     lines = text.split("\n")
@@ -179,7 +179,7 @@ def fit_lines(docs: DataFrame, labels: DataFrame, keep: int = FIT_DOCS) -> LineF
 
 
 def judge(text: str | None, field: LineField) -> tuple[dict, float]:
-    """Base counts and the share of word characters that lie in content lines (1 if there are none)."""
+    """Base counts and the share of word bytes that lie in content lines (1 if there are none)."""
     base, x, chars = describe(text)
     lines = np.flatnonzero(chars > 0)
     if not len(lines):
@@ -213,7 +213,7 @@ def verdicts(docs: DataFrame, field: LineField, carry: tuple[str, ...] = ("doc_i
     """The columns of `carry` with counts, content share and verdict of each whole text.
 
     A document fails the base rules with fewer than 20 words or over 30 % of them in repeated windows of 8; it is kept
-    if it passes and at least half its word characters are in content lines. A null text has no words and fails.
+    if it passes and at least half the bytes of its words are in content lines. A null text has no words and fails.
     """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
