@@ -114,7 +114,8 @@ def cut_keys(groups: DataFrame, shards: int, buckets: int = 4096, gathered: int
         ranges = [(line[i][0], line[j][0] + (1 << line[j][2])) for i, j in runs]
         inside = groups.where(" or ".join(f"(key >= {low} and key < {high})" for low, high in ranges))
         share = float(sum(high - low for low, high in ranges))
-        finer = 0 if inside.count() <= gathered else max(0, int(np.ceil(np.log2(share / gathered))))
+        widest = max(line[k][2] for k in np.flatnonzero(wanted))
+        finer = 0 if inside.count() <= gathered else max(0, min(int(np.ceil(np.log2(share / gathered))), widest - 3))
         kept = [x for k, x in enumerate(line) if not any(i <= k <= j for i, j in runs)]
         line = sorted([*kept, *((k, s, finer) for k, s in _line(inside, finer))])
     ends = cut(sizes, highest, shards)
