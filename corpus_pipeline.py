@@ -33,12 +33,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Repeated rows of that document go too; rows of the same doc_id with another text stay.
     """
-    classes = jaccard.near_duplicates(docs)
+    space = Workspace(spark, "jaccard")
+    classes = jaccard.near_duplicates(docs, space=space)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     kept = Workspace(spark, "kept").save(kept, "kept")
+    space.clear()  # only the kept ids are needed from here on
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text"]).select("_row.*")
+    # plain equality lets the removal of repeated rows use the join's partitioning: the texts are dealt once
+    out = rows.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    if not kept.where("_kept is null").isEmpty():
+        out = out.unionByName(rows.where("doc_id is null"))
+    return out.dropDuplicates(["doc_id", "_text"]).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -332,16 +332,16 @@ def components(edges: DataFrame, space: Workspace, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL, space: Workspace | None = None) -> DataFrame:
     """doc_id, class_id, rep_id, n_copies and n_links of every row.
 
     Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. class_id is the
     least doc_id of a connected class of links, rep_id that of the documents with an equal set, n_copies their number,
     and n_links the number of different sets that the document's set is linked to. Texts without words (null, empty)
     have an empty set: they are copies of nothing, each is a class of its own. Texts of one to four words are one shingle.
-    Repeated rows are copies; an empty table gives no rows.
+    Repeated rows are copies; an empty table gives no rows. The result reads tables of `space`.
     """
-    space = Workspace(docs.sparkSession, "jaccard")
+    space = space or Workspace(docs.sparkSession, "jaccard")
     sigs, sets, links = link(docs, space, threshold, recall)
     labels = components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")), space)
     counts = links.groupBy("fp").agg(F.sum("n").alias("n_links"))
