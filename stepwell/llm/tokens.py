@@ -137,14 +137,32 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), path) if path else pafs.FileSystem.from_uri(uri)
 
 
-def _put(fs: pafs.FileSystem, path: str, name: str, pieces: list[np.ndarray]) -> None:
-    """Writes under a name of this attempt's own and then renames: a repeated task replaces whole files by equal ones."""
-    context = TaskContext.get()
-    own = f"{path}/_{name}.{context.taskAttemptId() if context else os.getpid()}"
-    with fs.open_output_stream(own) as f:
-        for p in pieces:
-            f.write(p.tobytes())
-    fs.move(own, f"{path}/{name}")
+class _PartFiles:
+    """The three files of a part, written piece by piece under names of this attempt's own and renamed when whole.
+
+    A repeated task replaces whole files by equal ones. Files are opened at the first documents: an empty part has none.
+    """
+
+    def __init__(self, fs: pafs.FileSystem, path: str, part: int):
+        context = TaskContext.get()
+        attempt = context.taskAttemptId() if context else os.getpid()
+        self.fs, self.docs, self.ids = fs, 0, 0
+        self.names = {kind: (f"{path}/_{part:06d}.{kind}.{attempt}", f"{path}/{part:06d}.{kind}") for kind in ("ids", "off", "doc")}
+        self.files: dict[str, pa.NativeFile] = {}
+
+    def add(self, doc_ids: list[int], ids: np.ndarray, sizes: list[int]) -> None:
+        if not self.files:
+            self.files = {kind: self.fs.open_output_stream(own) for kind, (own, _) in self.names.items()}
+            self.files["off"].write(np.zeros(1, "<u8").tobytes())
+        self.files["ids"].write(ids.tobytes())
+        self.files["off"].write((self.ids + np.cumsum(sizes)).astype("<u8").tobytes())
+        self.files["doc"].write(np.array(doc_ids, "<i8").tobytes())
+        self.docs, self.ids = self.docs + len(sizes), self.ids + sum(sizes)
+
+    def finish(self) -> None:
+        for kind, f in self.files.items():
+            f.close()
+            self.fs.move(*self.names[kind])
 
 
 def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> dict:
@@ -153,7 +171,8 @@ def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID,
     Each part has flat little-endian unsigned ids (16 bits if the vocabulary fits, else 32), unsigned 64-bit offsets
     (one more than documents), and doc_ids as signed 64-bit integers. Null doc_ids come first, ties go by text, null
     texts count as empty. Parts follow ranges of doc_id; the bases of a part, documents and ids before it, are prefix
-    sums over the parts' counts. The manifest, a row per part, is also written as manifest.json.
+    sums over the parts' counts. A task writes as it encodes and holds only a slice of its part. The manifest, a row per
+    part, is also written as manifest.json.
     """
     spark = docs.sparkSession
     fs, path = _store(uri)
@@ -164,20 +183,14 @@ def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _store(uri)
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype)
-        ids, sizes, names, nulls = [], [], [], 0
+        end, out, nulls = np.array([end_id], enc.dtype), _PartFiles(fs, path, part), 0
         for batch in slices(batches):
-            got = enc.encode(batch["text"])
-            # one array per slice; the ids of a part are held at 2 or 4 bytes each until the part is whole
-            ids.append(np.concatenate([x for g in got for x in (g, end)]) if got else end[:0])
-            sizes += [len(g) + 1 for g in got]
-            nulls += sum(k is None for k in batch["doc_id"])
-            names += [0 if k is None else k for k in batch["doc_id"]]
-        if sizes:
-            _put(fs, path, f"{part:06d}.ids", ids)
-            _put(fs, path, f"{part:06d}.off", [np.concatenate(([0], np.cumsum(sizes))).astype("<u8")])
-            _put(fs, path, f"{part:06d}.doc", [np.array(names, "<i8")])
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "docs": pa.array([len(sizes)], pa.int64()), "ids": pa.array([sum(sizes)], pa.int64()), "nulls": pa.array([nulls], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int64())})
+            if got := enc.encode(batch["text"]):
+                nulls += sum(k is None for k in batch["doc_id"])
+                names = [0 if k is None else k for k in batch["doc_id"]]
+                out.add(names, np.concatenate([x for g in got for x in (g, end)]), [len(g) + 1 for g in got])
+        out.finish()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "docs": pa.array([out.docs], pa.int64()), "ids": pa.array([out.ids], pa.int64()), "nulls": pa.array([nulls], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int64())})
 
     counts = sorted(rows.mapInArrow(write, "part long, docs long, ids long, nulls long, width long").collect())
     made = [r.asDict() for r in counts if r["docs"]]
