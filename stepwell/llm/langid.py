@@ -158,8 +158,9 @@ def fit_language(docs: DataFrame, per_lang: int = FIT_DOCS) -> ByteNet:
                 out["windows"].append(b"".join(raw[a : a + WINDOW].ljust(WINDOW, b"\0") for a in starts))
         return out
 
-    got = arrow_map(rows, cut, "doc_id long, lang string, windows binary").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["lang"], bytes(r["windows"])))
+    # rows that share a doc_id and a language count once, so copies of an id cannot fill the driver
+    made = arrow_map(rows, cut, "doc_id long, lang string, windows binary")
+    got = sorted(made.groupBy("doc_id", "lang").agg(F.min("windows").alias("windows")).collect(), key=lambda r: (r["doc_id"], r["lang"]))
     langs = sorted({r["lang"] for r in got})
     if not langs:
         return ByteNet([])

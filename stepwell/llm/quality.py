@@ -173,8 +173,9 @@ def fit_lines(docs: DataFrame, labels: DataFrame, keep: int = FIT_DOCS) -> LineF
             x.append(f[chars > 0][:FIT_LINES].astype(np.float32).tobytes())
         return {"doc_id": batch["doc_id"], "quality": [int(q > 0) for q in batch["quality"]], "x": x}
 
-    got = arrow_map(rows, lines, "doc_id long, quality int, x binary").collect()
-    got = sorted((r for r in got if r["x"]), key=lambda r: (r["doc_id"], r["quality"], bytes(r["x"])))[: 2 * keep]
+    # rows that share a doc_id count once, so the driver gets at most `keep` of them
+    made = arrow_map(rows, lines, "doc_id long, quality int, x binary").where("length(x) > 0")
+    got = sorted(made.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect(), key=lambda r: r["doc_id"])
     return LineField.fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in got], [r["quality"] for r in got])
 
 
