@@ -9,6 +9,8 @@ from .common import WORD, Workspace, table
 
 #: Weights of the sources in the order of their code points, repeating.
 WEIGHTS = (5, 2, 1)
+#: Hexadecimal digits of the seeded order by which each level of the plan splits the bucket that it looks into.
+DIGITS = (2, 3)
 
 
 def water_fill(sources: DataFrame, share: Column, epochs: int) -> DataFrame:
@@ -36,21 +38,23 @@ def water_fill(sources: DataFrame, share: Column, epochs: int) -> DataFrame:
     return rows.withColumn("target", target).drop("_cap", "_share", "_before", "_weights", "_fits", "_level")
 
 
-def measured(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """Adds _source, _size (words), _order (seeded MD5 of doc_id) and _bucket (its first digits)."""
+def measured(docs: DataFrame, seed: int) -> DataFrame:
+    """Adds _source, _size (words) and _order (seeded MD5 of doc_id)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.withColumn("_source", F.col("source")).withColumn("_size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_order", order)
-    return rows.withColumn("_bucket", F.substring("_order", 1, len(f"{buckets - 1:x}")))
+    return docs.withColumn("_source", F.col("source")).withColumn("_size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_order", order)
 
 
 def plan_mix(rows: DataFrame, space: Workspace, percent: int = 150, epochs: int = 2) -> DataFrame:
-    """Per source and bucket of the seeded order: source_size, target, whole (repeats of all), rest, base and crossing.
+    """Per source: source_size, target, whole (repeats of all), rest, prefix and base.
 
-    rows have _source, _bucket and _size. `rest` is what the target asks beyond the whole repeats; `base` is what the
-    source's earlier buckets hold; the rest is used up in the bucket that is `crossing`. No row gathers documents.
+    rows have _source, _order and _size. `rest` is what the target asks beyond the whole repeats; it is used up among the
+    documents whose order begins with `prefix`, before which the source holds `base`. The prefix is found digits by
+    digits: each level sums the buckets inside the one that the level before it found, so no task gathers documents and
+    the last bucket is a millionth of its source. A source without words has no prefix.
     """
-    sums = space.save(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("held")), "buckets")
+    held = F.sum("_size").alias("held")
+    sums = space.save(rows.groupBy("_source", F.substring("_order", 1, DIGITS[0]).alias("_part")).agg(held), "level0")
     sources = sums.groupBy("_source").agg(F.sum("held").alias("source_size"))
     sources = sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))) + 1)
@@ -58,44 +62,53 @@ def plan_mix(rows: DataFrame, space: Workspace, percent: int = 150, epochs: int
     sources = water_fill(sources.withColumn("weight", weight), total * percent / 100, epochs)
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     sources = sources.select(F.col("_source").alias("_from"), "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
-    parts = sums.join(sources, F.col("_source").eqNullSafe(F.col("_from"))).drop("_source")
-    prior = Window.partitionBy("_from").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("held").over(prior), F.lit(0))).withColumnRenamed("_bucket", "_part")
-    return space.save(parts.withColumn("crossing", (F.col("base") <= F.col("rest")) & (F.col("base") + F.col("held") > F.col("rest"))), "parts")
-
-
-def take(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    plan = space.save(sources.withColumn("prefix", F.lit("")).withColumn("base", F.lit(0).cast("long")), "sources")
+    same = F.col("_source").eqNullSafe(F.col("_from"))
+    prior = Window.partitionBy("_from").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    for level in range(len(DIGITS)):
+        if level:
+            inside = rows.join(plan.select("_from", "prefix"), same & F.startswith(F.col("_order"), F.col("prefix")))
+            sums = space.save(inside.groupBy("_source", F.substring("_order", 1, sum(DIGITS[: level + 1])).alias("_part")).agg(held), f"level{level}")
+        parts = sums.join(plan, same).withColumn("_base", F.col("base") + F.coalesce(F.sum("held").over(prior), F.lit(0)))
+        crossing = parts.where("_base <= rest and _base + held > rest").select(F.col("_from").alias("_of"), F.col("_part").alias("prefix"), F.col("_base").alias("base"))
+        plan = plan.drop("prefix", "base").join(crossing, F.col("_from").eqNullSafe(F.col("_of")), "left").drop("_of")
+        plan = space.save(plan, f"plan{level}")
+    return plan
+
+
+def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds the columns of the plan and _times, how often each row is taken, to measured rows.
 
     Every document is repeated `whole` times. The rest of a target goes to the first documents in the seeded order, up to
-    the one that crosses it, which is taken if that comes nearer. Only the rows of a source's crossing bucket are
-    ordered; rows are dealt by source and hash, not by the source alone.
+    the one that crosses it, which is taken if that comes nearer. Only the rows under a source's prefix are ordered.
     """
-    rows = rows.join(parts, F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_bucket") == F.col("_part")))
-    inside = Window.partitionBy("_from", "_part").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = rows.where("crossing").withColumn("base", F.col("base") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    out = rows.where("not crossing").unionByName(crossing)
-    nearer = F.when(F.col("crossing"), F.col("base") + F.col("_size") / 2 <= F.col("rest")).otherwise(F.col("base") < F.col("rest"))
+    rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("_from"))).withColumn("_at", F.substring("_order", 1, sum(DIGITS)))
+    at_prefix = F.col("_at").eqNullSafe(F.col("prefix"))
+    inside = Window.partitionBy("_from").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = rows.where(at_prefix).withColumn("base", F.col("base") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    out = rows.where(~at_prefix).unionByName(crossing)
+    # without a prefix the rest is nothing, or all of the source
+    nearer = F.when(at_prefix, F.col("base") + F.col("_size") / 2 <= F.col("rest")).otherwise(F.coalesce(F.col("_at") < F.col("prefix"), F.col("rest") > 0))
     return out.withColumn("_times", (F.col("whole") + F.when(F.col("_size") > 0, nearer.cast("int")).otherwise(0)).cast("int"))
 
 
-def mix_takes(spark: SparkSession, docs: DataFrame, seed: int = 10, buckets: int = 256) -> DataFrame:
+def mix_takes(spark: SparkSession, docs: DataFrame, seed: int = 10) -> DataFrame:
     """doc_id, source, size, source_size, target, times and taken of every document.
 
     Capped water-filling sets the targets, seeded whole and fractional repetitions meet them within about one document.
     A null text has size 0, a null source comes last, repeated rows count each, an empty table gives no rows.
     """
     space = Workspace(spark, "mix")
-    rows = space.save(measured(docs.select("doc_id", "source", "text"), seed, buckets).drop("text"), "rows")
+    rows = space.save(measured(docs.select("doc_id", "source", "text"), seed).drop("text"), "rows")
     out = take(rows, plan_mix(rows, space))
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", F.col("_times").alias("times"), (F.col("_times") * F.col("_size")).alias("taken"))
 
 
-def mix_rows(spark: SparkSession, docs: DataFrame, seed: int = 10, buckets: int = 256) -> DataFrame:
+def mix_rows(spark: SparkSession, docs: DataFrame, seed: int = 10) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, all columns as they are."""
     space = Workspace(spark, "mix")
-    plan = plan_mix(measured(docs.select("doc_id", "source", "text"), seed, buckets).select("_source", "_bucket", "_size"), space)
-    rows = measured(docs.select("doc_id", "source", "text", F.struct("*").alias("_row")), seed, buckets).drop("text")
+    plan = plan_mix(space.save(measured(docs.select("doc_id", "source", "text"), seed).select("_source", "_order", "_size"), "rows"), space)
+    rows = measured(docs.select("doc_id", "source", "text", F.struct("*").alias("_row")), seed).drop("text")
     out = take(rows, plan).where("_times > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_nth")).select("_row.*")
 
