@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -43,63 +44,120 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _transfer(a: np.ndarray, b: np.ndarray, room: int) -> tuple[int, list[int], list[int]]:
-    """The exchange that moves most from a to b within room: one document, one for one, or two for one."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    fits = np.where(a <= room, a, 0)
-    if fits.max() > best[0]:
-        best = int(fits.max()), [int(fits.argmax())], []
-    if best[0] == room or not len(b):
-        return best
-    d = a[:, None] - b[None, :]
-    d = np.where((d > 0) & (d <= room), d, 0)
-    if d.max() > best[0]:
-        i, j = np.unravel_index(d.argmax(), d.shape)
-        best = int(d[i, j]), [int(i)], [int(j)]
-    if best[0] < room and 2 <= len(a) <= 64 and len(b) <= 256:
-        i, j = np.triu_indices(len(a), 1)
-        d = (a[i] + a[j])[:, None] - b[None, :]
-        d = np.where((d > 0) & (d <= room), d, 0)
-        if d.max() > best[0]:
-            k, m = np.unravel_index(d.argmax(), d.shape)
-            best = int(d[k, m]), [int(i[k]), int(j[k])], [int(m)]
-    return best
-
-
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, effort: int = 20_000) -> list[list[int]]:
-    """Moves, swaps and two-for-one exchanges from the emptiest bins into fuller ones, until no bin can be emptied.
-
-    Each step moves a net amount from a bin to one at least as full, so the sum of squared fills rises and the search
-    ends. It stops once what is in the emptiest bin exceeds all the room that the others have, once no exchange is left,
-    or after `effort` pairs of bins were looked at. Bins only ever get fewer.
+class _Partners:
+    """The bins that may take, by the length of a piece they hold: the largest sum that could stand in for that piece.
+
+    Length 0 stands for no piece, that is for a bin's free room. `reach[v]` is the largest sum that the bins could take
+    for a piece of length v at most, so the least piece that has to come back for a sum is found by bisection.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]  # (-room, bin, version)
+        self.version: dict[int, int] = {}  # of the bins that are in; a bin's older entries are stale
+        self.takes = np.full(capacity + 1, -1, np.int64)
+        self.stale: set[int] = set()
+        self.clock = 0
+
+    def add(self, b: int, lengths: set[int], room: int) -> None:
+        self.clock += 1
+        self.version[b] = self.clock
+        for v in (0, *lengths):
+            heapq.heappush(self.heaps[v], (-room, b, self.clock))
+        self.stale |= lengths | {0}
+
+    def drop(self, b: int, lengths: set[int]) -> None:
+        if self.version.pop(b, None) is not None:
+            self.stale |= lengths | {0}
+
+    def reach(self) -> np.ndarray:
+        for v in self.stale:
+            heap = self.heaps[v]
+            while heap and self.version.get(heap[0][1]) != heap[0][2]:
+                heapq.heappop(heap)
+            self.takes[v] = v - heap[0][0] if heap else -1
+        self.stale.clear()
+        return np.maximum.accumulate(self.takes)
+
+    def best(self, held: dict[int, list[int]]) -> tuple[int, list[int], int, int] | None:
+        """(bin, lengths that go, length that comes back or 0, net amount) of the exchange that moves most, if any."""
+        v = np.array(sorted(held), np.int64)  # different lengths that fit into a bin together: 90 at most for 4096
+        n = np.array([len(held[k]) for k in v.tolist()])
+        i, j = np.triu_indices(len(v))
+        ok = (i != j) | (n[i] > 1)
+        i, j = i[ok], j[ok]
+        sums = np.concatenate([v, v[i] + v[j]])
+        back = np.searchsorted(self.reach(), sums)
+        net = sums - back
+        k = int(net.argmax())
+        if net[k] <= 0:
+            return None
+        out = [int(v[k])] if k < len(v) else [int(v[i[k - len(v)]]), int(v[j[k - len(v)]])]
+        return self.heaps[back[k]][0][1], out, int(back[k]), int(net[k])
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Moves, swaps and two-for-one exchanges from the emptiest bins into fuller ones, until none is left.
+
+    Each step moves the largest net amount that an exchange can move from a bin to one at least as full, so the sum of
+    squared fills rises and the search ends. A pass takes the bins from the emptiest on, each against all that are at
+    least as full; the search stops after a pass without an exchange, or once no fewer bins could hold the total.
+    Partners are looked up by length, so neither the number of bins nor that of pieces in one limits what is tried.
     """
+    held: list[dict[int, list[int]]] = []  # of each bin: length -> pieces
+    for b in bins:
+        held.append({})
+        for k in b:
+            held[-1].setdefault(int(lengths[k]), []).append(k)
     fill = [int(lengths[b].sum()) for b in bins]
-    under = {k for k, f in enumerate(fill) if f < capacity}
-    tried: set[int] = set()
-    while effort > 0 and (left := under - tried):
-        emptiest = min(under, key=lambda k: (fill[k], k))
-        if sum(capacity - fill[k] for k in under) - (capacity - fill[emptiest]) < fill[emptiest]:
-            break
-        a = min(left, key=lambda k: (fill[k], k))
-        any_moved, moved = False, True
-        while moved and bins[a] and effort > 0:
-            moved = False
-            for b in sorted(under - {a}, key=lambda k: (fill[k], k)):
-                if not bins[a]:
-                    break
-                if fill[b] < fill[a] or fill[b] == capacity:
-                    continue
-                effort -= 1
-                t, out, back = _transfer(lengths[bins[a]], lengths[bins[b]], capacity - fill[b])
-                if t > 0:
-                    x, y = {bins[a][k] for k in out}, {bins[b][k] for k in back}
-                    bins[a] = [k for k in bins[a] if k not in x] + sorted(y)
-                    bins[b] = [k for k in bins[b] if k not in y] + sorted(x)
-                    fill[a], fill[b] = fill[a] - t, fill[b] + t
-                    moved = any_moved = True
-        under = {k for k in under if fill[k] < capacity and bins[k]}
-        tried = {a} if any_moved else tried | {a}
-    return [b for b in bins if b]
+    least, left = -(-sum(fill) // capacity), len(bins)
+
+    def take(b: int, v: int) -> int:
+        k = held[b][v].pop()
+        if not held[b][v]:
+            del held[b][v]
+        return k
+
+    moved = True
+    while moved and left > least:
+        moved = False
+        partners = _Partners(capacity)
+        queue = []
+        for b, f in enumerate(fill):
+            if 0 < f < capacity:
+                partners.add(b, set(held[b]), capacity - f)
+                queue.append((f, b))
+        heapq.heapify(queue)
+        equal: set[int] = set()  # bins that had nothing to give, as full as the one that gives now
+        last = 0
+        while queue and left > least:
+            f, a = heapq.heappop(queue)
+            if f != fill[a]:
+                continue
+            if f > last:
+                for b in equal:
+                    partners.drop(b, set(held[b]))
+                equal, last = set(), f
+            partners.drop(a, set(held[a]))
+            gave = False
+            while held[a] and (found := partners.best(held[a])):
+                b, out, back, net = found
+                partners.drop(b, set(held[b]))
+                pieces_out, pieces_back = [take(a, v) for v in out], [take(b, back)] if back else []
+                for to, ks in ((b, pieces_out), (a, pieces_back)):
+                    for k in ks:
+                        held[to].setdefault(int(lengths[k]), []).append(k)
+                fill[a], fill[b] = fill[a] - net, fill[b] + net
+                equal.discard(b)
+                if fill[b] < capacity:
+                    partners.add(b, set(held[b]), capacity - fill[b])
+                    heapq.heappush(queue, (fill[b], b))
+                gave = moved = True
+            left -= not held[a]
+            if not gave:
+                partners.add(a, set(held[a]), capacity - f)
+                equal.add(a)
+    return [[k for ks in h.values() for k in ks] for h in held if h]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

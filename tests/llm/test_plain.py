@@ -139,6 +139,24 @@ def test_packing_fills_and_improves():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], sizes, 10)) == 2
 
 
+def exchanges_left(bins, sizes, capacity):
+    """Pairs of bins between which a move, a swap or a two-for-one exchange into the fuller one is left."""
+    found, bins = 0, [[int(sizes[k]) for k in b] for b in bins]
+    gives = [set(b) | {x + y for x, y in combinations(b, 2)} for b in bins]
+    for a, b in ((a, b) for a in range(len(bins)) for b in range(len(bins)) if a != b and capacity > sum(bins[b]) >= sum(bins[a])):
+        room, back = capacity - sum(bins[b]), {0, *bins[b]}
+        found += any(0 < s - v <= room for s in gives[a] for v in back)
+    return found
+
+
+def test_search_ends_at_a_local_optimum_in_a_full_bucket():
+    sizes = np.random.default_rng(9).integers(1000, 1801, 1500)
+    bins = packing.best_fit(sizes, 4096)
+    found = packing.local_search([list(b) for b in bins], sizes, 4096)
+    assert sorted(i for b in found for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 4096 for b in found)
+    assert len(found) < 0.96 * len(bins) and exchanges_left(found, sizes, 4096) == 0
+
+
 def test_paths_meet_the_recall():
     rng = np.random.default_rng(8)
     runs, found, pairs = jaccard.runs_for(0.99), 0, 200
