@@ -157,6 +157,15 @@ def test_search_ends_at_a_local_optimum_in_a_full_bucket():
     assert len(found) < 0.96 * len(bins) and exchanges_left(found, sizes, 4096) == 0
 
 
+def test_two_for_one_from_a_bin_of_many_pieces():
+    # 130 bins with room for 5, and one of 65 pieces of 10: only 10 + 10 for 16 moves anything
+    sizes = np.array([10] * 65 + [16] * 62 * 130)
+    bins = [list(range(65)), *([*range(at, at + 62)] for at in range(65, len(sizes), 62))]
+    found = packing.local_search([list(b) for b in bins], sizes, 997)
+    assert exchanges_left(bins, sizes, 997) and exchanges_left(found, sizes, 997) == 0
+    assert sorted(i for b in found for i in b) == list(range(len(sizes))) and max(sizes[b].sum() for b in found) <= 997
+
+
 def test_paths_meet_the_recall():
     rng = np.random.default_rng(8)
     runs, found, pairs = jaccard.runs_for(0.99), 0, 200
