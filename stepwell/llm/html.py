@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 BOILERPLATE = frozenset("nav header footer aside form dialog menu button select datalist fieldset head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
+# Blocks of running text, which belong to the element around them; the page stands for html and body.
+TEXT = frozenset("html body p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption address".split())
 # Words in class, id or role that name what is not the article, or what is.
 OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header hidden login masthead menu modal "
@@ -52,12 +55,17 @@ def _other(name: str, attrs: str, in_article: bool) -> bool:
     return bool(words & OTHER_WORDS) and not words & OWN_WORDS
 
 
-def text_lines(page: str) -> list[tuple[str, bool]]:
-    """(text, inside an article) of each block of a page. What is not the article leaves empty lines, a window of them.
+def text_lines(page: str) -> list[tuple[str, bool, int]]:
+    """(text, inside an article, enclosing element) of each block of a page; elements are numbered, 0 is the page.
 
-    An element that is not the article ends where it is closed; one that is never closed ends where an article begins.
+    What is not the article leaves empty lines, a window of them. An element that is not the article ends where it is
+    closed; one that is never closed ends where an article begins. The enclosing element of a block is the innermost
+    one that holds other blocks as well, paragraphs, headings and lists aside.
     """
-    lines: list[tuple[str, bool]] = []
+    lines: list[tuple[str, bool, int]] = []
+    parents = [0]
+    inner: list[tuple[str, int]] = []  # open elements, and how many of each name
+    depth: Counter[str] = Counter()
     piece: list[str] = []
     skip: list[str] = []  # open elements of the one that is being skipped
     article = at = 0
@@ -67,11 +75,11 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
             text = " ".join(html.unescape("".join(piece)).split())
             piece.clear()
             if text:
-                lines.append((text, article > 0))
+                lines.append((text, article > 0, inner[-1][1] if inner else 0))
 
     def gap() -> None:
         block()
-        lines.extend([("", False)] * WINDOW)
+        lines.extend([("", False, -1)] * WINDOW)
 
     for m in _MARKUP.finditer(page):
         if not skip and m.start() > at:
@@ -102,10 +110,36 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
             article = max(0, article + (-1 if closing else 1))
         elif name not in INLINE:
             block()
+        if name in INLINE or name in VOID or name in TEXT:
+            continue
+        if not closing and not attrs.endswith("/"):
+            inner.append((name, len(parents)))
+            parents.append(inner[-2][1] if len(inner) > 1 else 0)
+            depth[name] += 1
+        elif closing and depth[name]:
+            while (last := inner.pop()[0]) != name:
+                depth[last] -= 1
+            depth[name] -= 1
     if not skip:
         piece.append(page[at:])
     block()
-    return lines
+    return _enclosed(lines, parents)
+
+
+def _enclosed(lines: list[tuple[str, bool, int]], parents: list[int]) -> list[tuple[str, bool, int]]:
+    """The lines with their innermost elements that hold more than one; each element comes after its parent."""
+    held = [0] * len(parents)
+    for text, _, e in lines:
+        if text:
+            held[e] += 1
+    for e in range(len(parents) - 1, 0, -1):
+        held[parents[e]] += held[e]
+    out = []
+    for text, marked, e in lines:
+        while e > 0 and held[e] == 1:
+            e = parents[e]
+        out.append((text, marked, e))
+    return out
 
 
 def zones(lengths: np.ndarray) -> list[tuple[int, int, int]]:
@@ -126,23 +160,37 @@ def zones(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
+def _together(lines: list[tuple[str, bool, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The zones of an unmarked page that are its text: those of one enclosing element are judged as one text.
+
+    A zone belongs to the element that encloses most of its text. So what was removed within a text parts it into zones,
+    but does not make its short ones fall.
+    """
+    groups: dict[int, list[tuple[int, int, int]]] = {}
+    for z in found:
+        share: Counter[int] = Counter()
+        for text, _, e in lines[z[0] : z[1]]:
+            share[e] += len(text)
+        groups.setdefault(max(share, key=share.__getitem__), []).append(z)
+    lengths = {e: np.array([len(t) for a, b, _ in group for t, _, _ in lines[a:b] if t], np.int64) for e, group in groups.items()}
+    kept = {e for e, n in lengths.items() if max(z[2] for z in zones(n)) >= SURGE} or set(sorted(lengths, key=lambda e: -int(lengths[e].sum()))[:1])
+    return sorted(z for e in kept for z in groups[e])
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line breaks.
 
     Lines are blocks with their markup stripped; their text lengths are summed over windows of 3 lines. A zone begins
     where text surges and ends where it dives to nothing. If the page marks an article, its zones are kept, however
-    short; else every zone with a window of 86 characters, or the one with the most text where none has that.
-    A page without text, or None, gives an empty text.
+    short. Else zones with the same enclosing element are taken together, and kept if a window of theirs has 86
+    characters; where none has that, those with the most text are. A page without text, or None, gives an empty text.
     """
     lines = text_lines(page or "")
-    lengths = np.array([len(t) for t, _ in lines], np.int64)
+    lengths = np.array([len(t) for t, _, _ in lines], np.int64)
     found = zones(lengths)
-    inside = [z for z in found if any(a for _, a in lines[z[0] : z[1]])]
-    if inside:
-        kept = inside
-    else:
-        kept = [z for z in found if z[2] >= SURGE] or sorted(found, key=lambda z: -int(lengths[z[0] : z[1]].sum()))[:1]
-    return "\n".join(t for a, b, _ in kept for t, _ in lines[a:b] if t)
+    inside = [z for z in found if any(marked for _, marked, _ in lines[z[0] : z[1]])]
+    kept = inside or _together(lines, found)
+    return "\n".join(t for a, b, _ in kept for t, _, _ in lines[a:b] if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:

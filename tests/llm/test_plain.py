@@ -102,6 +102,22 @@ def test_main_text():
         assert html.main_text(page) == text
 
 
+def test_removed_boxes_do_not_part_an_unmarked_text():
+    long = ("word " * 40).strip()
+    box, end = "<div class='share'>Share this</div>", "<footer>f</footer>"
+    for p in ("<p>{}</p>", "<div class='par'>{}</div>", "<p><span>{}</span></p>"):
+        text = "<h1>Title</h1>" + box + p.format(long) + "<div class='ad'>Buy</div>" + p.format("The end.")
+        for page in (f"<div class='post'>{text}</div>", f"<body>{text}</body>", f"<div><section>{text}</section></div>", f"<table><tr><td>{text}</td></tr></table>"):
+            assert html.main_text(page) == f"Title\n{long}\nThe end."
+        # what has another enclosing element still falls
+        page = f"<div>Welcome, guest<nav>n</nav></div><div class='post'>{text}</div>{end}<div>All rights</div>"
+        assert html.main_text(page) == f"Title\n{long}\nThe end."
+    # a text all of whose parts are short
+    parts = [f"Part {k} of a text in parts." for k in range(5)]
+    assert html.main_text("<div>Menu<hr>More</div><nav>n</nav><div>" + box.join(f"<p>{t}</p>" for t in parts) + "</div>") == "\n".join(parts)
+    assert html.main_text("<div>" * 20_000 + "x" + "</p></section>" * 20_000) == "x"
+
+
 def test_byte_net_learns_and_has_defined_ends():
     rng = random.Random(5)
     words = {"aa": ["tion", "the", "ing"], "bb": ["sch", "keit", "und"]}
