@@ -29,21 +29,20 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least doc_id.
+    """One row of each class of near duplicates: with the least doc_id, null where all are, and of those with one text.
 
-    Repeated rows of that document go too; rows of the same doc_id with another text stay.
+    A row is named by its doc_id and text, so rows with null or repeated doc_ids are thinned like others, and rows that
+    share a doc_id but not a class each stay. Repeated rows of what is kept go, also those without words.
     """
     space = Workspace(spark, "jaccard")
-    classes = jaccard.near_duplicates(docs, space=space)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    key = {"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    kept = jaccard.representatives(docs, space).select(*(c.alias(k) for k, c in key.items()), F.col("text_id").alias("_text"))
     kept = Workspace(spark, "kept").save(kept, "kept")
-    space.clear()  # only the kept ids are needed from here on
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
-    # plain equality lets the removal of repeated rows use the join's partitioning: the texts are dealt once
-    out = rows.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    if not kept.where("_kept is null").isEmpty():
-        out = out.unionByName(rows.where("doc_id is null"))
-    return out.dropDuplicates(["doc_id", "_text"]).select("_row.*")
+    space.clear()  # only the kept rows' names are needed from here on
+    rows = docs.select(*(c.alias(k) for k, c in key.items()), jaccard.text_id().alias("_text"), F.struct(*docs.columns).alias("_row"))
+    # plain equality of the same columns lets the removal of repeated rows use the join's partitioning: the texts are dealt once
+    names = ["_null", "_id", "_text"]
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

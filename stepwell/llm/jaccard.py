@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -109,23 +109,28 @@ def paths(tokens: np.ndarray, runs: int, threshold: float = SIMILARITY, depth: i
     return levels, flat(nodes), flat(parents)
 
 
+def text_id(column: str = "text") -> Column:
+    """A 64-bit hash of a text: with the doc_id it names a row, up to repeated ones."""
+    return F.xxhash64(F.col(column).cast("string"))
+
+
 def _signatures(docs: DataFrame, runs: int) -> DataFrame:
-    """doc_id, text fingerprint of the shingle set, its size, word hashes, sketch and nodes of each document."""
+    """doc_id, text_id, fingerprint of the shingle set, its size, word hashes, sketch and nodes of each document."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "fp", "size", "words", "sketch", "levels", "nodes", "parents")}
-        for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+        out: dict[str, list] = {k: [] for k in ("doc_id", "text_id", "fp", "size", "words", "sketch", "levels", "nodes", "parents")}
+        for doc_id, row_text, text in zip(rows["doc_id"], rows["text_id"], rows["text"], strict=True):
             words = word_hashes(text)
             tokens = shingles(words)
             # two independent sums over the mixed set make a 63-bit fingerprint
             fp = int(mix64(np.array([mix64(tokens).sum(dtype=np.uint64) ^ mix64(np.array([np.bitwise_xor.reduce(mix64(tokens ^ np.uint64(0x5851F42D4C957F2D)))]))[0]], np.uint64))[0]) if len(tokens) else 0
             levels, nodes, parents = paths(tokens, runs)
-            for k, v in zip(out, (doc_id, fp >> 1, len(tokens), words.tobytes(), sketch(tokens), levels, nodes, parents), strict=True):
+            for k, v in zip(out, (doc_id, row_text, fp >> 1, len(tokens), words.tobytes(), sketch(tokens), levels, nodes, parents), strict=True):
                 out[k].append(v)
         return out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, fp long, size long, words binary, sketch binary, levels array<int>, nodes array<long>, parents array<long>", rows=500)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("text_id"), F.col("text").cast("string").alias("text"))
+    return arrow_map(rows, run, "doc_id long, text_id long, fp long, size long, words binary, sketch binary, levels array<int>, nodes array<long>, parents array<long>", rows=500)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -332,6 +337,19 @@ def components(edges: DataFrame, space: Workspace, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _classes(docs: DataFrame, threshold: float, recall: float, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Signatures, and fp, label (of the class), class_id, rep_id, n_copies and n_links of each set that has shingles."""
+    sigs, sets, links = link(docs, space, threshold, recall)
+    labels = components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")), space)
+    counts = links.groupBy("fp").agg(F.sum("n").alias("n_links"))
+    known = sets.where("size > 0").join(labels.withColumnRenamed("node", "fp"), "fp", "left").join(counts, "fp", "left")
+    known = known.withColumn("label", F.coalesce("label", "fp")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    known = space.save(known, "known")
+    least = space.save(known.groupBy("label").agg(F.min("first").alias("class_id")), "least")
+    known = known.join(least, "label").select("fp", "label", "class_id", F.col("first").alias("rep_id"), F.col("copies").alias("n_copies"), "n_links")
+    return sigs, space.save(known, "classes")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL, space: Workspace | None = None) -> DataFrame:
     """doc_id, class_id, rep_id, n_copies and n_links of every row.
 
@@ -342,18 +360,24 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, recall: floa
     Repeated rows are copies; an empty table gives no rows. The result reads tables of `space`.
     """
     space = space or Workspace(docs.sparkSession, "jaccard")
-    sigs, sets, links = link(docs, space, threshold, recall)
-    labels = components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")), space)
-    counts = links.groupBy("fp").agg(F.sum("n").alias("n_links"))
-    known = sets.where("size > 0").join(labels.withColumnRenamed("node", "fp"), "fp", "left").join(counts, "fp", "left")
-    known = known.withColumn("label", F.coalesce("label", "fp")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    known = space.save(known, "known")
-    least = space.save(known.groupBy("label").agg(F.min("first").alias("class_id")), "least")
-    known = space.save(known.join(least, "label").select("fp", "class_id", F.col("first").alias("rep_id"), F.col("copies").alias("n_copies"), "n_links"), "classes")
+    sigs, known = _classes(docs, threshold, recall, space)
     some = sigs.where("size > 0").select("fp", "doc_id").join(known, "fp").select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
     none = sigs.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none)
 
 
+def representatives(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id and text_id of one row of each class: with the least doc_id, and of those the least text_id.
+
+    The class is that of the links, so neither a null nor a repeated doc_id stands for more than its row. Rows without
+    words are classes of their own; repeated ones come out once. The result reads tables of `space`.
+    """
+    sigs, known = _classes(docs, threshold, recall, space)
+    rows = sigs.where("size > 0").select("fp", "doc_id", "text_id").join(known.select("fp", "label", "class_id"), "fp")
+    rows = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id")))  # all of a class have the same doc_id from here on
+    some = rows.groupBy("label").agg(F.min("doc_id").alias("doc_id"), F.min("text_id").alias("text_id")).drop("label")
+    return some.unionByName(sigs.where("size = 0").select("doc_id", "text_id").distinct())
+
+
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -196,3 +196,16 @@ def test_pipeline_stages(spark, odd):
             assert docs.count() == len({g for g, _ in want.values()})
             assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {g for g, _ in want.values()}
     assert docs.count() > 0
+
+
+def test_pipeline_thins_null_and_repeated_ids_like_others(spark):
+    import corpus_pipeline
+
+    def near(name, k):  # all k of a name are near copies of each other
+        return " ".join([f"{name}{i}" for i in range(60)] + [f"end{k}"])
+
+    rows = [(None, ""), (None, ""), (4, ""), (None, near("a", 0)), (None, near("a", 1)), (1, near("a", 0)), (2, near("a", 2)), (None, near("b", 0)), (None, near("b", 1)), (None, near("b", 1)), (None, near("e", 0)), (0, near("f", 0))]
+    rows += [(5, near("c", 0)), (5, near("c", 1)), (5, near("c", 0).replace(" ", "  ")), (5, near("d", 0)), (5, near("d", 0))]
+    got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"][:1]) for r in got) == [("0", "f"), ("1", "a"), ("4", ""), ("5", "c"), ("5", "d"), ("None", ""), ("None", "b"), ("None", "e")]
+    assert all(tuple(r) in rows for r in got)
