@@ -21,6 +21,8 @@ from .common import Workspace, local_path, table
 END_ID = 2
 #: Words, and chunks between blanks, that an encoder remembers at most; beyond that it forgets all and begins anew.
 REMEMBERED = 600_000
+#: Bytes of text in a part; documents and ids that a reader holds at once; tasks that read.
+PART_BYTES, READ_DOCS, READ_IDS, READ_TASKS = 256 << 20, 10_000, 1 << 22, 20_000
 
 # Characters whose classes and case are the same in every Unicode table; other texts go to the library as a whole.
 _SPACE = r"\t\n\r "
@@ -68,15 +70,17 @@ class Encoder:
 
     Both public vocabularies split a text into words before they merge, so the ids of a text are those of its words; the
     library encodes each word once and they are remembered, as are those of what stands between two blanks. Texts with
-    characters beyond Latin ones, and files that split otherwise, go to the library whole.
+    characters beyond Latin ones or with an added token, and files that split otherwise, go to the library whole.
+
+    An added token's string in a text is that token, as the library has it; with `control_as_text` it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, control_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = control_as_text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
@@ -86,6 +90,10 @@ class Encoder:
         self.lower = kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in split.get("pretokenizers", [])] == ["Split", "ByteLevel"]
         spaced = rules["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         self.words = _UNSPACED if self.lower else _SPACED if spaced else None
+        added = [a for a in rules.get("added_tokens") or [] if not (control_as_text and a["special"])]
+        self.added = [a["content"] for a in added]
+        if any(a["normalized"] and rules["normalizer"] for a in added):
+            self.words = None  # a token that is matched after normalizing could hide in any text
         self.known = _Words(self.library.model, self.code)
         self.chunks = _Chunks(self.known, self.words, "" if self.lower else " ")
 
@@ -100,7 +108,7 @@ class Encoder:
         for k, t in enumerate(texts):
             t = t or ""
             raw = b""
-            if not self.words or not _PLAIN.fullmatch(t):
+            if not self.words or any(a in t for a in self.added) or not _PLAIN.fullmatch(t):
                 whole.append(k)
             elif self.lower:
                 raw = b"".join(map(chunk, t.lower().split()))
@@ -165,12 +173,14 @@ class _PartFiles:
             self.fs.move(*self.names[kind])
 
 
-def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> dict:
+def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None, part_bytes: int = PART_BYTES) -> dict:
     """Writes the ids of all documents, in ascending doc_id order, as part files under `uri`, and returns their manifest.
 
     Each part has flat little-endian unsigned ids (16 bits if the vocabulary fits, else 32), unsigned 64-bit offsets
-    (one more than documents), and doc_ids as signed 64-bit integers. Null doc_ids come first, ties go by text, null
-    texts count as empty. Parts follow ranges of doc_id; the bases of a part, documents and ids before it, are prefix
+    (one more than documents), and doc_ids as signed 64-bit integers. Null doc_ids come first, ties go by a hash of the
+    text, null texts count as empty; repeated rows are written as often as they come, and an empty table gives no parts.
+    Parts follow ranges of (doc_id, hash, row), so one doc_id may fill several; there are as many as hold about
+    `part_bytes` of text each, and enough for all cores. The bases of a part, documents and ids before it, are prefix
     sums over the parts' counts. A task writes as it encodes and holds only a slice of its part. The manifest, a row per
     part, is also written as manifest.json.
     """
@@ -178,7 +188,12 @@ def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID,
     fs, path = _store(uri)
     fs.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    if parts is None:
+        total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, -(-total // part_bytes))
+    order = ["doc_id", "hash", "row"]  # the row only deals repeated rows over parts; which of them comes first is the same
+    rows = rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _store(uri)
@@ -204,39 +219,61 @@ def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID,
     return manifest
 
 
-def open_part(uri: str, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, offsets and doc_ids of one part: memory-mapped where the store is a file system, else read."""
-    path = local_path(uri)
-    fs, base = (None, path) if path else _store(uri)
-    out = []
-    for kind, dtype in (("ids", f"<u{part['width']}"), ("off", "<u8"), ("doc", "<i8")):
-        name = f"{base}/{part['part']:06d}.{kind}"
-        if fs is None:
-            out.append(np.memmap(name, dtype, "r"))
-        else:
-            with fs.open_input_file(name) as f:
-                out.append(np.frombuffer(f.read(), dtype))
-    return out[0], out[1], out[2]
+class PartReader:
+    """Ranges of a part's three files: memory-mapped where the store is a file system, else read by position."""
+
+    def __init__(self, uri: str, part: dict):
+        path = local_path(uri)
+        fs, base = (None, path) if path else _store(uri)
+        self.types = {"ids": np.dtype(f"<u{part['width']}"), "off": np.dtype("<u8"), "doc": np.dtype("<i8")}
+        names = {kind: f"{base}/{part['part']:06d}.{kind}" for kind in self.types}
+        self.maps = {kind: np.memmap(names[kind], dtype, "r") for kind, dtype in self.types.items()} if fs is None else {}
+        self.files = {} if fs is None else {kind: fs.open_input_file(names[kind]) for kind in self.types}
+
+    def __call__(self, kind: str, start: int, end: int) -> np.ndarray:
+        """Items start to end of a file."""
+        if self.maps:
+            return self.maps[kind][start:end]
+        dtype = self.types[kind]
+        return np.frombuffer(self.files[kind].read_at((end - start) * dtype.itemsize, start * dtype.itemsize), dtype)
+
+    def crc(self, start: int, end: int) -> int:
+        """Checksum of ids as 32-bit integers, a bounded number of them at once."""
+        made = 0
+        for at in range(start, end, READ_IDS):
+            made = zlib.crc32(self("ids", at, min(end, at + READ_IDS)).astype("<u4").tobytes(), made)
+        return made
+
+    def documents(self, docs: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        """(first document, its bounds and those of the next, checksums) of runs of documents, by one read of ids each."""
+        at = 0
+        while at < docs:
+            bounds = self("off", at, min(docs, at + READ_DOCS) + 1).astype(np.int64)
+            n = max(1, int(np.searchsorted(bounds, bounds[0] + READ_IDS, "right")) - 1)
+            bounds = bounds[: n + 1]
+            low, high = int(bounds[0]), int(bounds[-1])
+            if n == 1:
+                yield at, bounds, [self.crc(low, high)]
+            else:
+                ids = self("ids", low, high).astype("<u4")
+                yield at, bounds, [zlib.crc32(ids[a - low : b - low].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            at += n
 
 
 def read_documents(spark: SparkSession, uri: str, manifest: dict) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 (of 32-bit ids) of each document in the files."""
-    parts = manifest["parts"]
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    fields = ("part", "docs", "ids", "nulls", "width", "base_docs", "base_ids")
+    parts = spark.createDataFrame([tuple(p[f] for f in fields) for p in manifest["parts"]], ", ".join(f"{f} long" for f in fields))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                part = parts[k]
-                ids, off, names = open_part(uri, part)
-                for at in range(0, part["docs"], 10_000):
-                    upto = min(part["docs"], at + 10_000)
-                    bounds = off[at : upto + 1].astype(np.int64)
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    keys = [None if i < part["nulls"] else int(names[i]) for i in range(at, upto)]
+            for part in batch.to_pylist():
+                reader = PartReader(uri, part)
+                for at, bounds, crc in reader.documents(part["docs"]):
+                    keys = [None if at + k < part["nulls"] else name for k, name in enumerate(reader("doc", at, at + len(crc)).tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bounds[:-1] + part["base_ids"]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(read, schema)
+    return parts.repartition(max(1, min(len(manifest["parts"]), READ_TASKS))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

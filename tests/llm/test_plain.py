@@ -134,12 +134,18 @@ def test_byte_net_learns_and_has_defined_ends():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     import public_tokenizers
-
-    enc, rng = tokens.Encoder(public_tokenizers.path(name)), random.Random(6)
-    letters = "aZé'st re\n\t \r09²½ß×ÄñÿœŽİ“–€!?日́\xa0\x85'll<|endoftext|>#$"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500)] + ["", None, "a", " a", "a  b", "don't stop"]
-    for t, ids in zip(texts, enc.encode(texts), strict=True):
-        assert ids.tolist() == enc.library.encode(t or "", add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(name), random.Random(6)
+    letters = [*"aZé'st re\n\t \r09²½ß×ÄñÿœŽİ“–€!?日́\xa0\x85", "'ll", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "#$"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(20_000)]
+    texts += ["", None, "a", " a", "a  b", "don't stop", "a <|endoftext|> b", "<|startoftext|><|endoftext|>", " <|endoftext|>x"]
+    library = Tokenizer.from_file(path)
+    made = tokens.Encoder(path).encode(texts)
+    assert all(ids.tolist() == library.encode(t or "", add_special_tokens=False).ids for t, ids in zip(texts, made, strict=True))
+    library.encode_special_tokens = True  # the option: control strings are ordinary text
+    made = tokens.Encoder(path, control_as_text=True).encode(texts)
+    assert all(ids.tolist() == library.encode(t or "", add_special_tokens=False).ids for t, ids in zip(texts, made, strict=True))
 
 
 def test_packing_fills_and_improves():

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,16 +142,32 @@ def test_language_held_out_accuracy(spark, odd):
     assert langid.identify(odd, langid.fit_language(odd.limit(0))).where("lang_pred = 'und'").count() == len(ROWS)
 
 
-def test_token_files_round_trip(spark, odd, tmp_path):
+def test_token_files_round_trip(spark, odd, tmp_path, monkeypatch):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = tokens.write_files(odd, f"file://{tmp_path}", path, parts=3)
+    library = Tokenizer.from_file(path)
+    more = [(7, "a <|endoftext|> b", None, None, 1)] + [(8, f"of one id {k % 5}", None, None, 1) for k in range(60)] + [(9, "the same row", None, None, 1)] * 60
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, SCHEMA).select("doc_id", "text"))
+    manifest = tokens.write_files(docs, f"file://{tmp_path}", path, parts=9)
     rows = sorted(tokens.read_documents(spark, f"file://{tmp_path}", manifest).collect(), key=lambda r: r["start"])
-    library = tokens.Encoder(path).library
-    ids = [library.encode(t or "", add_special_tokens=False).ids + [2] for k, t in sorted(((r[0], r[1]) for r in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))]
-    assert [r["n_tokens"] for r in rows] == list(map(len, ids)) and [r["start"] for r in rows] == [sum(map(len, ids[:k])) for k in range(len(ids))]
-    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids]
+    assert [r["doc_id"] for r in rows] == sorted((r[0] for r in ROWS + more), key=lambda k: (k is not None, k or 0))
+    encode = lambda t: library.encode(t or "", add_special_tokens=False).ids + [2]
+    want = Counter((k, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in ((r[0], encode(r[1])) for r in ROWS + more))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
+    assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(len(rows))]
+    assert manifest["ids"] == sum(r["n_tokens"] for r in rows) and len(manifest["parts"]) > 4  # rows of one id, and repeated rows, lie in several parts
+    # reads by position, a few documents or ids at a time, give the same
+    monkeypatch.setattr(tokens, "READ_DOCS", 3)
+    monkeypatch.setattr(tokens, "READ_IDS", 5)
+    for part in manifest["parts"]:
+        mapped, placed = tokens.PartReader(f"file://{tmp_path}", part), tokens.PartReader(f"file://{tmp_path}", part)
+        placed.maps, placed.files = {}, {k: open(f"{tmp_path}/{part['part']:06d}.{k}", "rb") for k in ("ids", "off", "doc")}
+        placed.files = {k: pa.PythonFile(f, mode="r") for k, f in placed.files.items()}
+        for reader in (mapped, placed):
+            got = [(int(a), int(b - a), c) for _, bounds, crc in reader.documents(part["docs"]) for a, b, c in zip(bounds[:-1], bounds[1:], crc, strict=True)]
+            assert got == [(r["start"] - part["base_ids"], r["n_tokens"], r["ids_crc32"]) for r in rows[part["base_docs"] : part["base_docs"] + part["docs"]]]
     empty = tokens.write_files(odd.limit(0), f"file://{tmp_path}/empty", path)
     assert tokens.read_documents(spark, f"file://{tmp_path}/empty", empty).count() == 0
 
@@ -158,14 +175,21 @@ def test_token_files_round_trip(spark, odd, tmp_path):
 def test_packing_query(spark, odd, monkeypatch):
     import public_tokenizers
 
+    from tokenizers import Tokenizer
+
     path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
     for docs, bucket in ((odd, 16_000), (table(spark, SF, "documents"), 40)):
         monkeypatch.setattr(packing, "BUCKET", bucket)
         pdf = packing.pack_documents(docs, path).toPandas().sort_values(["sequence_id", "offset"])
         per = pdf.groupby("sequence_id").length
         assert (pdf.offset == per.cumsum() - pdf.length).all() and per.sum().max() <= 4096
-        want = sum(len(i) + 1 for i in tokens.Encoder(path).encode([r["text"] for r in docs.select("text").collect()]))
-        assert pdf.length.sum() == want and per.ngroups <= -(-want // 4096) + 2
+        pieces = Counter()
+        for r in docs.select("doc_id", "text").collect():
+            ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+            pieces.update((str(r["doc_id"]), k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096)))
+        assert Counter((str(None if pd.isna(r.doc_id) else int(r.doc_id)), r.piece, r.start, r.length, r.ids_crc32) for r in pdf.itertuples()) == pieces
+        assert per.ngroups <= -(-int(pdf.length.sum()) // 4096) + 2
     assert packing.pack_documents(odd.limit(0), path).count() == 0
 
 
