@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,11 @@ SYMBOLS = "#*$%&|<>"
 SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E))))
 #: Base rule: fewer words, or more than this percentage of words in repeated windows, fail a document.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
-#: The field is fitted on at most this many labelled documents and lines of each.
-FIT_DOCS, FIT_LINES = 3000, 64
+#: The field is fitted on at most this many labelled documents, half of each class, and of each on runs of lines that
+#: are spread evenly over its text: at most so many runs, of so many lines.
+FIT_DOCS, FIT_RUNS, RUN_LINES = 3000, 4, 8
+#: Training sequences, lines in each, and the seed by which runs of good and bad documents are joined.
+SEQUENCES, SEQUENCE_LINES, SEED = 512, 24, 23
 #: A document stays if at least this share of the bytes of its words is in content lines.
 MIN_CONTENT = 0.5
 
@@ -119,64 +123,125 @@ class LineField:
         return np.array(states[::-1], np.int8)
 
     @classmethod
-    def fit(cls, sequences: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.2, ridge: float = 1e-3) -> LineField:
-        """Maximum conditional likelihood by forward-backward and Adam. A document's label stands for all its lines."""
-        field = cls()
-        if len(set(labels)) < 2:
-            return field  # nothing to tell apart: every line is content
-        n, t = len(sequences), max(map(len, sequences))
-        x, mask, y = np.zeros((n, t, FEATURES)), np.zeros((n, t), bool), np.array(labels)
-        for k, s in enumerate(sequences):
-            x[k, : len(s)], mask[k, : len(s)] = s, True
-        each = np.array([0.5 / max(1, (y == v).sum()) for v in (0, 1)])[y]  # the classes weigh alike
+    def fit(cls, x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.2, ridge: float = 1e-4, enough: float = 2e-4) -> LineField:
+        """Maximum conditional likelihood of line labels y (n, t) given features x (n, t, FEATURES), by Adam.
+
+        It ends when the gradient of the mean over lines is small, or after so many steps.
+        """
         theta, m, v = (np.zeros(2 * FEATURES + 4) for _ in range(3))
         for step in range(1, steps + 1):
-            emission, transition = theta[: 2 * FEATURES].reshape(2, FEATURES), theta[2 * FEATURES :].reshape(2, 2)
-            e = x @ emission.T
-            alpha, beta = np.zeros((n, t, 2)), np.zeros((n, t, 2))
-            alpha[:, 0] = e[:, 0]
-            for k in range(1, t):
-                alpha[:, k] = np.where(mask[:, k, None], np.logaddexp.reduce(alpha[:, k - 1, :, None] + transition, axis=1) + e[:, k], alpha[:, k - 1])
-            for k in range(t - 2, -1, -1):
-                beta[:, k] = np.where(mask[:, k + 1, None], np.logaddexp.reduce(transition + (e[:, k + 1] + beta[:, k + 1])[:, None, :], axis=2), beta[:, k + 1])
-            z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-            pair = np.exp(alpha[:, :-1, :, None] + transition + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-            gold = np.zeros_like(p)
-            gold[np.arange(n), :, y] = 1
-            gold *= mask[:, :, None]
-            g_emission = np.einsum("ntk,ntf,n->kf", gold - p, x, each)
-            same = np.zeros((n, 2, 2))
-            same[np.arange(n), y, y] = mask[:, 1:].sum(1)
-            g_transition = ((same - pair.sum(1)) * each[:, None, None]).sum(0)
-            g = np.concatenate([g_emission.ravel(), g_transition.ravel()]) - ridge * theta
+            _, g = likelihood(theta, x, y)
+            g = g / max(1, y.size) - ridge * theta
+            if np.abs(g).max() < enough:
+                break
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return cls(theta[: 2 * FEATURES].reshape(2, FEATURES), theta[2 * FEATURES :].reshape(2, 2))
 
 
+def likelihood(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log likelihood of the labels of n sequences of t lines, and its gradient, by forward-backward with scaled sums."""
+    emission, transition = theta[: 2 * FEATURES].reshape(2, FEATURES), theta[2 * FEATURES :].reshape(2, 2)
+    n, t = y.shape
+    e = x @ emission.T  # (n, t, 2)
+    top = e.max(axis=2, keepdims=True)
+    weight, step = np.exp(e - top), np.exp(transition)
+    alpha, beta, scale = np.empty((t, n, 2)), np.ones((t, n, 2)), np.empty((t, n))
+    for k in range(t):
+        a = weight[:, k] if k == 0 else (alpha[k - 1] @ step) * weight[:, k]
+        scale[k] = a.sum(axis=1)
+        alpha[k] = a / scale[k][:, None]
+    for k in range(t - 2, -1, -1):
+        beta[k] = (weight[:, k + 1] * beta[k + 1] / scale[k + 1][:, None]) @ step.T
+    node = np.moveaxis(alpha * beta, 0, 1)
+    ahead = np.moveaxis(weight, 1, 0)[1:] * beta[1:] / scale[1:][:, :, None]
+    pair = np.einsum("kna,knb->ab", alpha[:-1], ahead) * step
+    gold = np.eye(2)[y]
+    same = np.einsum("nka,nkb->ab", gold[:, :-1], gold[:, 1:])
+    value = (gold * e).sum() + (same * transition).sum() - np.log(scale).sum() - top.sum()
+    return float(value), np.concatenate([np.einsum("nka,nkf->af", gold - node, x).ravel(), (same - pair).ravel()])
+
+
+def relabel(field: LineField, bad: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Runs of bad documents, parted into what the field takes for content and what for boilerplate."""
+    parts: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for run in bad:
+        states = field.viterbi(run)
+        ends = [0, *(np.flatnonzero(states[1:] != states[:-1]) + 1).tolist(), len(run)]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            parts[1 - states[a]].append(run[a:b])
+    return parts
+
+
+def learn(good: list[np.ndarray], bad: list[np.ndarray], rounds: int = 2) -> LineField:
+    """Fits on spliced runs. A bad document may have good lines, a good one has no bad ones.
+
+    So what a round's field takes for content in bad documents counts as content in the next one.
+    """
+    if not good or not bad:
+        return LineField()
+    field = LineField.fit(*splice(good, bad))
+    for _ in range(rounds - 1):
+        clean, junk = relabel(field, bad)
+        if not junk:
+            break
+        field = LineField.fit(*splice(good + clean, junk))
+    return field
+
+
+def splice(good: list[np.ndarray], bad: list[np.ndarray], sequences: int = SEQUENCES, length: int = SEQUENCE_LINES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Training sequences that change between lines of good and of bad documents, and the label of each line.
+
+    Pieces of 1 to 8 lines of runs drawn at random follow each other, of either class with the same chance, so that
+    both states and all four transitions occur, and a label belongs to a line and not to a document.
+    """
+    rng = np.random.default_rng(seed)
+    x, y = np.zeros((sequences, length, FEATURES)), np.zeros((sequences, length), np.int64)
+    for s in range(sequences):
+        at = 0
+        while at < length:
+            state = int(rng.integers(2))
+            run = (bad, good)[state][rng.integers(len((bad, good)[state]))]
+            first = int(rng.integers(len(run)))
+            piece = run[first : first + int(rng.integers(1, RUN_LINES + 1))][: length - at]
+            x[s, at : at + len(piece)], y[s, at : at + len(piece)] = piece, state
+            at += len(piece)
+    return x, y
+
+
+def runs_of(text: str | None) -> list[np.ndarray]:
+    """Features of at most 4 runs of 8 lines that have words: all lines of a short text, else spread from start to end."""
+    _, x, chars = describe(text)
+    x = x[chars > 0]
+    if len(x) <= FIT_RUNS * RUN_LINES:
+        return [x[k : k + RUN_LINES] for k in range(0, len(x), RUN_LINES)]
+    return [x[k : k + RUN_LINES] for k in np.linspace(0, len(x) - RUN_LINES, FIT_RUNS).astype(int)]
+
+
 def fit_lines(docs: DataFrame, labels: DataFrame, keep: int = FIT_DOCS) -> LineField:
-    """Fits on the labelled documents whose hash of doc_id is smallest, at most `keep`, and 64 lines of each.
+    """Fits on labelled documents, of each class those whose hash of doc_id is smallest, at most `keep` in all.
 
-    Without labels, without one of the classes or without text, the field keeps its zero weights: all lines are content.
+    Lines of good and of bad documents are joined to sequences at seeded places, so the field learns where content
+    begins and ends. Rows of labels with a null are left out, repeated ones count once, and a doc_id with both labels
+    counts in both; rows of documents that share a doc_id count once. Without labels, without one of the classes or
+    without text, the field keeps its zero weights: all lines are content.
     """
-    some = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    some = some.withColumn("_pick", F.xxhash64(F.lit(17), "doc_id")).orderBy("_pick", "doc_id").limit(keep)
+    some = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") > 0).cast("int").alias("good")).distinct()
+    some = some.withColumn("_pick", F.xxhash64(F.lit(17), "doc_id"))
+    some = reduce(DataFrame.unionByName, [some.where(F.col("good") == v).orderBy("_pick", "doc_id").limit(keep // 2) for v in (0, 1)])
     text = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     # `some` has at most `keep` rows
-    rows = text.join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text")
+    rows = text.join(F.broadcast(some), "doc_id").select("doc_id", "good", "text")
 
     def lines(batch: dict[str, list]) -> dict[str, list]:
-        x = []
-        for t in batch["text"]:
-            base, f, chars = describe(t)
-            x.append(f[chars > 0][:FIT_LINES].astype(np.float32).tobytes())
-        return {"doc_id": batch["doc_id"], "quality": [int(q > 0) for q in batch["quality"]], "x": x}
+        runs = [runs_of(t) for t in batch["text"]]
+        return {"doc_id": batch["doc_id"], "good": batch["good"], "runs": [[r.astype(np.float32).tobytes() for r in of] for of in runs]}
 
     # rows that share a doc_id count once, so the driver gets at most `keep` of them
-    made = arrow_map(rows, lines, "doc_id long, quality int, x binary").where("length(x) > 0")
-    got = sorted(made.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect(), key=lambda r: r["doc_id"])
-    return LineField.fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in got], [r["quality"] for r in got])
+    made = arrow_map(rows, lines, "doc_id long, good int, runs array<binary>").where("size(runs) > 0")
+    got = sorted(made.groupBy("doc_id", "good").agg(F.min("runs").alias("runs")).collect(), key=lambda r: (r["doc_id"], r["good"]))
+    of = lambda v: [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(np.float64) for r in got if r["good"] == v for b in r["runs"]]
+    return learn(of(1), of(0))
 
 
 def judge(text: str | None, field: LineField) -> tuple[dict, float]:

@@ -80,13 +80,51 @@ def test_viterbi_equals_all_sequences():
         assert tuple(field.viterbi(x)) == best
 
 
-def test_field_learns_to_drop_junk():
-    good, junk = "The quiet river runs by the old mill and on.\nIt turns the wheel.", "BUY!! NOW!! ###\n*** $$$ BUY!! %%%"
-    xs = [quality.describe(t)[1] for t in [good] * 6 + [junk] * 6]
-    field = quality.LineField.fit(xs, [1] * 6 + [0] * 6)
-    assert quality.judge(good, field)[1] == 1 and quality.judge(junk, field)[1] == 0
-    assert [c for _, c in quality.label_lines(good, field)] == [True, True]
-    assert quality.judge("x", quality.LineField.fit(xs, [1] * 12))[1] == 1
+def test_likelihood_and_gradient_equal_sums_over_all_sequences():
+    rng = np.random.default_rng(5)
+    n, t = 3, 6
+    x, y = rng.normal(size=(n, t, quality.FEATURES)), rng.integers(0, 2, (n, t))
+    theta = rng.normal(size=2 * quality.FEATURES + 4)
+
+    def plain(theta):
+        emission, transition = theta[:-4].reshape(2, -1), theta[-4:].reshape(2, 2)
+        total = 0.0
+        for xs, ys in zip(x, y, strict=True):
+            score = lambda s: sum(emission[v] @ xs[k] for k, v in enumerate(s)) + sum(transition[a, b] for a, b in zip(s, s[1:], strict=False))  # noqa: B023, E731
+            total += score(list(ys)) - np.log(sum(np.exp(score([int(c) for c in f"{v:0{t}b}"])) for v in range(2**t)))
+        return total
+
+    value, gradient = quality.likelihood(theta, x, y)
+    assert abs(value - plain(theta)) < 1e-8
+    for k in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        assert abs((plain(theta + step) - plain(theta - step)) / 2e-5 - gradient[k]) < 1e-5
+
+
+GOOD_LINES = ["The quiet river runs by the old mill and on.", "It turns the wheel, and the wheel turns the stones.", "Nobody has lived there for years.", "In spring the water rises over the meadow and the path."]
+JUNK_LINES = ["BUY!! NOW!! SAVE!! BIG!!", "### *** $$$ deal%%% here&&&", "home | about | contact | login", "CLICK!! HERE!! TO!! WIN!! 100%%%"]
+
+
+def test_field_labels_lines_of_mixed_texts():
+    rng = random.Random(10)
+    text = lambda lines, n: "\n".join(rng.choice(lines).replace("river", rng.choice("abcdef")) for _ in range(n))
+    good, bad = ([r for _ in range(30) for r in quality.runs_of(text(lines, rng.randrange(1, 80)))] for lines in (GOOD_LINES, JUNK_LINES))
+    x, y = quality.splice(good, bad)
+    assert {(a, b) for s in y.tolist() for a, b in zip(s, s[1:], strict=False)} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    field = quality.LineField.fit(x, y)
+    hit, shares = [], []
+    for _ in range(40):
+        kinds = [rng.randrange(2) for _ in range(rng.randrange(2, 12))]
+        lines = [(k, text((JUNK_LINES, GOOD_LINES)[k], 1)) for k in kinds for _ in range(rng.randrange(1, 5))]
+        mixed = "\n\n".join(t for _, t in lines)
+        hit += [c == bool(k) for (k, _), (_, c) in zip(lines, quality.label_lines(mixed, field), strict=True)]
+        if len(set(kinds)) == 2:
+            shares.append(quality.judge(mixed, field)[1])
+    assert np.mean(hit) > 0.95 and np.mean([0 < s < 1 for s in shares]) > 0.95
+    assert quality.judge("\n".join(GOOD_LINES), field)[1] == 1 and quality.judge("\n".join(JUNK_LINES), field)[1] == 0
+    assert quality.judge("x", quality.LineField())[1] == 1 and list(quality.label_lines(None, field)) == []
+    assert [len(r) for r in quality.runs_of("a\n" * 100)] == [8] * 4 and [len(r) for r in quality.runs_of("a\n" * 10)] == [8, 2] and quality.runs_of("") == []
 
 
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body class="has-sidebar"><nav><a href="/">Home</a></nav>
@@ -131,6 +169,30 @@ def test_byte_net_learns_and_has_defined_ends():
     assert w.reshape(-1)[:400].tobytes().decode() == "é" * 200 and n.sum() == 400
 
 
+def test_forward_pass_equals_plain_loops():
+    rng = np.random.default_rng(12)
+    net = langid.ByteNet(["a", "b", "c"], seed=3)
+    net.p["shift"] = rng.normal(size=len(net.p["shift"])).astype(np.float32)
+    net.p["bias"] = rng.normal(size=3).astype(np.float32)
+    windows = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    windows[2, 40:] = 0
+    for window, got in zip(windows, net.probabilities(windows), strict=True):
+        pooled = []
+        for f in range(len(langid.WIDTHS) * langid.FILTERS):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            best = -np.inf
+            for at in range(langid.WINDOW - langid.SPAN + 1):
+                total = 0.0
+                for k in range(width):
+                    for d in range(langid.DIM):
+                        total += float(net.p["embed"][window[at + k], d]) * float(net.p["conv"][k * langid.DIM + d, f])
+                best = max(best, total)
+            pooled.append(max(0.0, best + float(net.p["shift"][f])))
+        z = [sum(h * float(net.p["out"][f, c]) for f, h in enumerate(pooled)) + float(net.p["bias"][c]) for c in range(3)]
+        want = np.exp(z) / np.exp(z).sum()
+        assert np.allclose(got, want, atol=1e-4)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     import public_tokenizers

@@ -1,6 +1,7 @@
 """The operators as queries: contracts by plain versions, odd rows, and the pipeline's stages."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,6 +92,27 @@ def test_quality_query(spark, odd):
     assert not quality.passes("BUY!! THIS!! NOW!! AND!! MORE!! OF!! IT!! TO!! GET!! RICH!! " + "ONE!! TWO!! THREE!! FOUR!! FIVE!! SIX!! SEVEN!! EIGHT!! NINE!! TEN!! TO!!", field)
 
 
+def test_field_labels_lines_of_held_out_documents(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    field = quality.fit_lines(docs.where("doc_id % 2 = 0"), labels)
+    rows = docs.where("doc_id % 2 = 1").join(labels, "doc_id").select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    pools = [[[t for t in r["text"].split("\n") if t.split()] for r in rows if r["quality"] == v] for v in (0, 1)]
+    rng, hits, shares = random.Random(3), ([], []), []
+    for _ in range(150):
+        lines = []
+        for k in (0, 1, 0, 1)[rng.randrange(2) :]:
+            own = rng.choice([d for d in pools[k] if len(d) > 2])
+            at = rng.randrange(len(own) - 1)
+            lines += [(k, t) for t in own[at : at + 5]]
+        text = "\n".join(t for _, t in lines)
+        for (k, _), (_, content) in zip(lines, quality.label_lines(text, field), strict=True):
+            hits[k].append(content == bool(k))
+        shares.append(quality.judge(text, field)[1])
+    # a document of low quality holds clean lines too, so not all of its lines can count as junk
+    assert np.mean(hits[1]) > 0.97 and np.mean(hits[0]) > 0.8 and np.mean(hits[0] + hits[1]) > 0.9
+    assert np.mean([0 < s < 1 for s in shares]) > 0.8
+
+
 def brute(texts):
     """Partners of each distinct text's shingle set, and the least id of its component."""
     sets, links, least = defaultdict(list), Counter(), {}
@@ -142,6 +164,23 @@ def test_language_held_out_accuracy(spark, odd):
     assert langid.identify(odd, langid.fit_language(odd.limit(0))).where("lang_pred = 'und'").count() == len(ROWS)
 
 
+def test_language_sample_is_bounded_for_any_name(spark, odd):
+    names = ["fr (France)", "it's", 'a "quoted" one', "zh\n", ""]
+    rows = [(k, f"text {k} of {names[k % 5]} " + "abcde"[k % 5] * 9, names[k % 5]) for k in range(6000)] + [(7, f"of one id {k}", "hot") for k in range(500)] + [(None, "no id", "en"), (8001, None, "en"), (8002, "no lang", None), (8003, "1 2 3", "digits")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit(1), "windows": F.lit(1), "share": F.lit(1)})
+    sample = langid.sample_windows(docs, 100).collect()
+    per = Counter(r["lang"] for r in sample)
+    assert set(per) == {*names, "hot"} and all(60 < per[n] < 150 for n in names) and per["hot"] == 1
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in sample)
+    assert Counter(r["lang"] for r in langid.sample_windows(docs, 100, total=60).collect())["it's"] < 25
+    net = langid.fit_language(docs, 100)
+    assert net.langs == sorted({*names, "hot"})
+    got = {(r["doc_id"], r["score"] >= 0): r["lang_pred"] for r in langid.identify(docs, net).collect()}
+    assert got[8001, True] == got[8003, True] == "und" and {got[k, True] for k in range(100)} - {"und"} <= set(net.langs)
+    again = langid.identify(odd, net).collect()
+    assert len(again) == len(ROWS) and all(0 <= r["score"] <= 1 for r in again) and {r["lang_pred"] for r in again if r["doc_id"] in (3, 4)} == {"und"}
+
+
 def test_token_files_round_trip(spark, odd, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
