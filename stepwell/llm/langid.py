@@ -8,14 +8,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import Workspace, arrow_map, table
 
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4, 5), 6, 6
 SPAN = max(WIDTHS)
 UNKNOWN = "und"
-#: Bounds of what the network is fitted on: documents of each language, windows of each document, languages.
-FIT_DOCS, FIT_WINDOWS, FIT_LANGS = 600, 3, 1024
+#: Bounds of what the network is fitted on: documents of each language, windows of each document, documents in all.
+FIT_DOCS, FIT_WINDOWS, FIT_TOTAL = 600, 3, 60_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -132,25 +132,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_language(docs: DataFrame, per_lang: int = FIT_DOCS) -> ByteNet:
-    """Fits on about `per_lang` documents of each language that are not held out: those whose hash of doc_id is least.
+def sample_windows(docs: DataFrame, per_lang: int = FIT_DOCS, total: int = FIT_TOTAL) -> DataFrame:
+    """doc_id, lang and windows (at the start, middle and end) of about `per_lang` documents of each language.
 
-    Three windows of each: at its start, middle and end. Without labelled text the network has no classes.
+    Documents that are held out, and rows with a null doc_id, text or lang or without a letter, are left out. Those
+    stay whose hash of doc_id falls under the language's share, so a language of any name or size gives about as many;
+    rows that share doc_id and language count once. With so many languages that they would exceed `total` documents,
+    each gives fewer, but always that of the least hash: no language is left out.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS)
-    counts = {r["lang"]: r["count"] for r in counts.collect()}
-    if not counts:
-        return ByteNet([])
-    most = [f"when '{k}' then {int(1e6 * min(1, per_lang / n)) + 1}" for k, n in counts.items() if re.fullmatch(r"[\w-]+", k)]
-    share = F.expr(f"case lang {' '.join(most)} else 1000001 end") if most else F.lit(1000001)
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < share)
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 53)))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"), F.min("hash").alias("least"))
+    counts = Workspace(docs.sparkSession, "langid").save(counts, "counts")
+    each = min(per_lang, max(1, total // max(1, counts.count())))
+    bound = F.greatest(F.lit(float(each << 53)) / F.greatest("n", F.lit(1)), F.col("least").cast("double"))
+    # no hint: Spark broadcasts the bounds if they are small, and deals the rows by language if they are not
+    rows = rows.join(counts.select("lang", bound.alias("bound")), "lang").where("hash <= bound").select("doc_id", "lang", "text")
 
     def cut(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": [], "lang": [], "windows": []}
         for k, t, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True):
-            if lang in counts and _LETTER.search(t):
+            if _LETTER.search(t):
                 raw = t.encode("utf-8", "surrogatepass")
                 starts = sorted({0, max(0, (len(raw) - WINDOW) // 2), max(0, len(raw) - WINDOW)})[:FIT_WINDOWS]
                 out["doc_id"].append(k)
@@ -158,19 +161,28 @@ def fit_language(docs: DataFrame, per_lang: int = FIT_DOCS) -> ByteNet:
                 out["windows"].append(b"".join(raw[a : a + WINDOW].ljust(WINDOW, b"\0") for a in starts))
         return out
 
-    # rows that share a doc_id and a language count once, so copies of an id cannot fill the driver
     made = arrow_map(rows, cut, "doc_id long, lang string, windows binary")
-    got = sorted(made.groupBy("doc_id", "lang").agg(F.min("windows").alias("windows")).collect(), key=lambda r: (r["doc_id"], r["lang"]))
+    return made.groupBy("doc_id", "lang").agg(F.min("windows").alias("windows"))
+
+
+def fit_language(docs: DataFrame, per_lang: int = FIT_DOCS) -> ByteNet:
+    """Fits on the bounded sample of `sample_windows`. Without labelled text the network has no classes."""
+    got = sorted(sample_windows(docs, per_lang).collect(), key=lambda r: (r["doc_id"], r["lang"]))
     langs = sorted({r["lang"] for r in got})
     if not langs:
         return ByteNet([])
+    place = {lang: k for k, lang in enumerate(langs)}
     x = np.concatenate([np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in got])
-    y = np.repeat([langs.index(r["lang"]) for r in got], [len(r["windows"]) // WINDOW for r in got])
+    y = np.repeat([place[r["lang"]] for r in got], [len(r["windows"]) // WINDOW for r in got])
     return ByteNet(langs).fit(x, y)
 
 
 def identify(docs: DataFrame, net: ByteNet, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `carry` with lang_pred and score of each whole text."""
+    """The columns of `carry` with lang_pred and score of each whole text, a row for every row.
+
+    A null text, one without a letter, and any text under a network without classes give `und` and 0; of languages that
+    are equally probable the first by name is given. An empty table gives no rows.
+    """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         made = net.predict(rows["text"])
