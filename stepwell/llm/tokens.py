@@ -33,6 +33,7 @@ _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED = re.compile(f" ?[{_LETTER}]+|{_ENDINGS}| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _UNSPACED = re.compile(f"[{_LETTER}]+|{_ENDINGS}|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _RUNS = tuple(a + b for a in "\t\n\r " for b in "\t\n\r ")
+_LINE_RUNS = tuple(a + b for a in "\n " for b in "\n ")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -49,7 +50,10 @@ class _Words(dict):
         self.model, self.code, self.letters = model, code, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        made = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        if word.isascii() and word.isprintable():  # of these bytes only the blank has another letter
+            made = self.model.tokenize(word.replace(" ", self.letters[32]))
+        else:
+            made = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         ids = self[word] = array(self.code, [t.id for t in made]).tobytes()
         return ids
 
@@ -112,7 +116,7 @@ class Encoder:
                 whole.append(k)
             elif self.lower:
                 raw = b"".join(map(chunk, t.lower().split()))
-            elif t[:1].isspace() or t[-1:].isspace() or any(r in t for r in _RUNS):
+            elif t[:1].isspace() or t[-1:].isspace() or any(r in t for r in (_RUNS if "\t" in t or "\r" in t else _LINE_RUNS)):
                 raw = b"".join(map(word, self.words.findall(t)))
             else:  # a blank belongs to what follows it, and to nothing else
                 first, *rest = t.split(" ")
