@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,9 @@ BOILERPLATE = frozenset("nav header footer aside form dialog menu button select
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 # Blocks of running text, which belong to the element around them; the page stands for html and body.
-TEXT = frozenset("html body p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption address".split())
+TEXT = frozenset("html body p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption address table caption thead tbody tfoot tr".split())
+ROWS = frozenset("table thead tbody tfoot tr".split())  # these break no line: their cells do
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id or role that name what is not the article, or what is.
 OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header hidden login masthead menu modal "
@@ -34,8 +37,20 @@ OTHER_WORDS = frozenset(
 )
 OWN_WORDS = frozenset("article body content entry main page post story text wrapper container layout site".split())
 
-#: Lines in a window, and the length of text in a window from which a surge begins.
-WINDOW, SURGE = 3, 86
+#: Lines in a window, the length of text in a window at which a text surges, and what part of the page's highest surge
+#: another one must reach.
+WINDOW, SURGE, RELATIVE = 3, 86, 0.5
+
+
+class Line(NamedTuple):
+    text: str
+    length: int  # what counts in the distribution: text outside of links; a heading's links count
+    marked: bool = False  # inside an article
+    element: int = -1  # the enclosing element, 0 is the page
+    tag: str = ""  # the innermost block
+
+
+EMPTY = Line("", 0)
 
 
 def _other(name: str, attrs: str, in_article: bool) -> bool:
@@ -55,35 +70,41 @@ def _other(name: str, attrs: str, in_article: bool) -> bool:
     return bool(words & OTHER_WORDS) and not words & OWN_WORDS
 
 
-def text_lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside an article, enclosing element) of each block of a page; elements are numbered, 0 is the page.
+def text_lines(page: str) -> list[Line]:
+    """All lines of a page: every tag of a block ends a line, so what lies between two texts leaves empty lines.
 
-    What is not the article leaves empty lines, a window of them. An element that is not the article ends where it is
-    closed; one that is never closed ends where an article begins. The enclosing element of a block is the innermost
-    one that holds other blocks as well, paragraphs, headings and lists aside.
+    Sibling paragraphs are one empty line apart; the bounds of an element that holds several lines count twice. What the
+    names of elements, classes and roles call something else than the article (OTHER_WORDS, BOILERPLATE) is lines
+    without text. Such an element ends where it is closed; one that is never closed ends where an article begins. The
+    element of a line is the innermost one that holds other lines as well, paragraphs, headings, lists and tables aside.
     """
-    lines: list[tuple[str, bool, int]] = []
+    items: list[Line | int] = []  # lines with text, and breaks: -1, or the number of an element that begins or ends
     parents = [0]
     inner: list[tuple[str, int]] = []  # open elements, and how many of each name
     depth: Counter[str] = Counter()
     piece: list[str] = []
-    skip: list[str] = []  # open elements of the one that is being skipped
+    linked: list[str] = []
+    skip: list[str] = []  # open elements of the one that is being passed over
     article = at = 0
+    links = False
+    tag = "body"
 
     def block() -> None:
         if piece:
             text = " ".join(html.unescape("".join(piece)).split())
-            piece.clear()
             if text:
-                lines.append((text, article > 0, inner[-1][1] if inner else 0))
-
-    def gap() -> None:
-        block()
-        lines.extend([("", False, -1)] * WINDOW)
+                length = len(text)
+                if linked and not article and tag not in HEADINGS:
+                    length = max(0, length - len(" ".join(html.unescape("".join(linked)).split())))
+                items.append(Line(text, length, article > 0, inner[-1][1] if inner else 0, tag))
+            piece.clear()
+            linked.clear()
 
     for m in _MARKUP.finditer(page):
         if not skip and m.start() > at:
             piece.append(page[at : m.start()])
+            if links:
+                linked.append(piece[-1])
         at = m.end()
         if m["cdata"] is not None and not skip:
             piece.append(html.escape(m["cdata"], quote=False))
@@ -94,107 +115,163 @@ def text_lines(page: str) -> list[tuple[str, bool, int]]:
             if not closing and name in MAIN and not article and not _other(name, attrs, False) and skip[0] not in MAIN:
                 skip.clear()
             else:
+                if name not in INLINE:
+                    items.append(-1)
                 if not closing and name == skip[0] and name not in VOID and not attrs.endswith("/"):
                     skip.append(name)
                 elif closing and name == skip[0]:
                     skip.pop()
-                    if not skip and skip is not None:
-                        at = m.end()
                 continue
         if not closing and name not in VOID and _other(name, attrs, article > 0):
-            gap()
+            block()
+            items.append(-1)
             skip.append(name)
             continue
+        if name == "a":
+            links = not closing
         if name in MAIN:
-            gap() if article == 0 or closing and article == 1 else block()
+            block()
             article = max(0, article + (-1 if closing else 1))
         elif name not in INLINE:
             block()
-        if name in INLINE or name in VOID or name in TEXT:
+        if name in INLINE:
+            continue
+        if name in VOID or name in TEXT:
+            if name not in ROWS:
+                items.append(-1)
+            if name in TEXT:
+                tag = inner[-1][0] if closing and inner else "body" if closing else name
             continue
         if not closing and not attrs.endswith("/"):
             inner.append((name, len(parents)))
+            items.append(len(parents))
             parents.append(inner[-2][1] if len(inner) > 1 else 0)
             depth[name] += 1
         elif closing and depth[name]:
-            while (last := inner.pop()[0]) != name:
-                depth[last] -= 1
+            while (last := inner.pop())[0] != name:
+                depth[last[0]] -= 1
             depth[name] -= 1
+            items.append(last[1])
+        else:
+            items.append(-1)
+        tag = inner[-1][0] if inner else "body"
     if not skip:
         piece.append(page[at:])
     block()
-    return _enclosed(lines, parents)
+    return _laid_out(items, parents)
 
 
-def _enclosed(lines: list[tuple[str, bool, int]], parents: list[int]) -> list[tuple[str, bool, int]]:
-    """The lines with their innermost elements that hold more than one; each element comes after its parent."""
-    held = [0] * len(parents)
-    for text, _, e in lines:
-        if text:
-            held[e] += 1
+def _laid_out(items: list[Line | int], parents: list[int]) -> list[Line]:
+    """The lines with the empty ones between them, and with their innermost elements that hold more than one."""
+    held = [0] * len(parents)  # each element comes after its parent
+    for it in items:
+        if not isinstance(it, int):
+            held[it.element] += 1
     for e in range(len(parents) - 1, 0, -1):
         held[parents[e]] += held[e]
-    out = []
-    for text, marked, e in lines:
+    lines: list[Line] = []
+    breaks = 0
+    for it in items:
+        if isinstance(it, int):
+            breaks += 2 if it > 0 and held[it] > 1 else 1
+            continue
+        e = it.element
         while e > 0 and held[e] == 1:
             e = parents[e]
-        out.append((text, marked, e))
-    return out
+        if lines:
+            lines.extend([EMPTY] * min(breaks - 1, WINDOW))  # more would change no window
+        lines.append(it._replace(element=e))
+        breaks = 0
+    return lines
 
 
 def zones(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """(surge, dive, largest window) of each run of lines: a window's text rises from nothing, and falls to nothing."""
+    """(surge, dive, largest window) of each run of lines: a window's text rises from nothing, and falls to nothing.
+
+    The surge is the first line with text, the dive comes after the last one before a window without any.
+    """
     if not len(lengths):
         return []
     sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the window that begins at each line
     found: list[tuple[int, int, int]] = []
-    surge = None
-    for i, s in enumerate(sums):
-        if surge is None and lengths[i]:
-            surge = i
+    surge = last = None
+    for i, (n, s) in enumerate(zip(lengths.tolist(), sums.tolist(), strict=True)):
+        if n:
+            surge, last = i if surge is None else surge, i
         if surge is not None and s == 0:
-            found.append((surge, i, int(sums[surge:i].max())))
+            found.append((surge, last + 1, int(sums[surge:i].max())))
             surge = None
     if surge is not None:
-        found.append((surge, len(lengths), int(sums[surge:].max())))
+        found.append((surge, last + 1, int(sums[surge:].max())))
     return found
 
 
-def _together(lines: list[tuple[str, bool, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The zones of an unmarked page that are its text: those of one enclosing element are judged as one text.
+def _surging(lines: list[Line], found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The zones of an unmarked page that are its text, as (first line, end).
 
-    A zone belongs to the element that encloses most of its text. So what was removed within a text parts it into zones,
-    but does not make its short ones fall.
+    Zones whose text lies mostly in the same element are judged as one: what was passed over within a text parts it into
+    zones, but does not make its short ones fall. A text stays if its highest window has SURGE characters, and RELATIVE
+    of the page's highest; where none has SURGE, that with the most text stays. Tags only settle what lengths leave
+    open: of a text that surges, a zone too short to surge itself stays if it has a heading or the same kind of block,
+    and short lines at a zone's ends fall if they stand bare in a box and the zone's text does not.
     """
     groups: dict[int, list[tuple[int, int, int]]] = {}
     for z in found:
         share: Counter[int] = Counter()
-        for text, _, e in lines[z[0] : z[1]]:
-            share[e] += len(text)
+        for line in lines[z[0] : z[1]]:
+            share[line.element] += line.length
         groups.setdefault(max(share, key=share.__getitem__), []).append(z)
-    lengths = {e: np.array([len(t) for a, b, _ in group for t, _, _ in lines[a:b] if t], np.int64) for e, group in groups.items()}
-    kept = {e for e, n in lengths.items() if max(z[2] for z in zones(n)) >= SURGE} or set(sorted(lengths, key=lambda e: -int(lengths[e].sum()))[:1])
-    return sorted(z for e in kept for z in groups[e])
+    lengths = {e: np.array([line.length for a, b, _ in group for line in lines[a:b] if line.length], np.int64) for e, group in groups.items()}
+    peaks = {e: max(z[2] for z in zones(n)) for e, n in lengths.items()}
+    high = max(peaks.values(), default=0)
+    if high >= SURGE:
+        texts = [e for e, peak in peaks.items() if peak >= max(SURGE, RELATIVE * high)]
+    else:
+        texts = sorted(groups, key=lambda e: -int(lengths[e].sum()))[:1]
+    out: list[tuple[int, int]] = []
+    for e in texts:
+        kinds = {line.tag for a, b, peak in groups[e] if peak >= SURGE for line in lines[a:b] if line.length}
+        for a, b, peak in groups[e]:
+            if peak >= SURGE or not kinds or any(line.tag in kinds or line.tag in HEADINGS for line in lines[a:b] if line.length):
+                out.append(_trimmed(lines, a, b))
+    return sorted(out)
+
+
+def _trimmed(lines: list[Line], a: int, b: int) -> tuple[int, int]:
+    share: Counter[str] = Counter()
+    for line in lines[a:b]:
+        share[line.tag] += line.length
+    if max(share, key=share.__getitem__) in TEXT - {"body", "html"}:
+        bare = lambda line: not line.text or line.tag not in TEXT and line.length < SURGE
+        while a < b and bare(lines[a]):
+            a += 1
+        while a < b and bare(lines[b - 1]):
+            b -= 1
+    return a, b
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, joined by line breaks.
+    """The article's lines, joined by line breaks.
 
-    Lines are blocks with their markup stripped; their text lengths are summed over windows of 3 lines. A zone begins
-    where text surges and ends where it dives to nothing. If the page marks an article, its zones are kept, however
-    short. Else zones with the same enclosing element are taken together, and kept if a window of theirs has 86
-    characters; where none has that, those with the most text are. A page without text, or None, gives an empty text.
+    The lengths of the page's lines are summed over windows of 3 lines. A zone begins where text surges and ends where
+    it dives to nothing. Which zones stay depends on how high their windows rise (see _surging). Where the page marks
+    an article, only its lines have lengths, and its zones stay however short they are. A page without text, or None,
+    gives an empty text; no page is cut off, however long.
     """
     lines = text_lines(page or "")
-    lengths = np.array([len(t) for t, _, _ in lines], np.int64)
+    marked = any(line.marked for line in lines)
+    lengths = np.array([line.length if line.marked or not marked else 0 for line in lines], np.int64)
     found = zones(lengths)
-    inside = [z for z in found if any(marked for _, marked, _ in lines[z[0] : z[1]])]
-    kept = inside or _together(lines, found)
-    return "\n".join(t for a, b, _ in kept for t, _, _ in lines[a:b] if t)
+    kept = [(a, b) for a, b, _ in found] if marked else _surging(lines, found)
+    return "\n".join(line.text for a, b in kept for line in lines[a:b] if line.text and line.marked == marked)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page; the html may be null."""
+    """page_id, url, text and n_chars (code points) of every page, a row for every row.
+
+    A null or empty html gives an empty text; repeated rows come as often as they are, an empty table gives no rows, and
+    other columns of the pages, whatever their names, play no part.
+    """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         texts = [main_text(h) for h in rows["html"]]

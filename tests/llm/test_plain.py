@@ -1,6 +1,7 @@
 """Functions of the operators against plain versions, without Spark."""
 
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -156,6 +157,66 @@ def test_removed_boxes_do_not_part_an_unmarked_text():
     assert html.main_text("<div>" * 20_000 + "x" + "</p></section>" * 20_000) == "x"
 
 
+def test_zones_equal_a_scan_of_all_windows():
+    rng = random.Random(11)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 0, rng.randrange(1, 200)]) for _ in range(rng.randrange(0, 30))]
+        window = lambda i: sum(lengths[i : i + html.WINDOW])  # noqa: B023, E731
+        want, inside = [], False
+        for i, n in enumerate(lengths):
+            if not inside and n:  # surge
+                want.append([i, i + 1, 0])
+                inside = True
+            if inside and window(i) == 0:  # dive
+                inside = False
+            if inside:
+                want[-1][2] = max(want[-1][2], window(i))
+                if n:
+                    want[-1][1] = i + 1
+        assert html.zones(np.array(lengths, np.int64)) == [tuple(z) for z in want]
+
+
+def unmarked_page(seed):
+    """A page of plain boxes without a telling name: menu, notice, article, link list, comments, copyright line."""
+    rng = random.Random(seed)
+    say = lambda n: " ".join(rng.choice("the river mill and stone wheel of water on quiet path old meadow".split()) for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f"<div><a href='/{k}'>{say(rng.randrange(1, 6))}</a></div>" for k in range(n))
+    paragraphs = [say(rng.randrange(12, 60)) for _ in range(rng.randrange(2, 7))] + [say(rng.randrange(2, 8)) for _ in range(rng.randrange(2))]
+    title, tag = say(4), rng.choice(("p", "div"))
+    menu = f"<div>{links(6)}</div>" if seed % 2 else "<div>" + " | ".join(f"<a href='/{k}'>{say(1)}</a>" for k in range(7)) + "</div>"
+    notice = "<div>We use cookies on this site. <a href='/c'>More</a></div>"
+    article = f"<div><h1>{title}</h1>" + "".join(f"<{tag}>{p}</{tag}>" for p in paragraphs) + "</div>"
+    comments = "<div><h3>Comments</h3>" + "".join(f"<div><b>{say(1)}</b><div>{say(rng.randrange(1, 5))}</div></div>" for _ in range(3)) + "</div>"
+    page = f"<html><body><div>{menu}{notice}{article}<div>{links(40)}</div>{comments}<div>&copy; 2024 Mill &amp; Sons. All rights reserved.</div></div></body></html>"
+    return page, "\n".join([title, *paragraphs])
+
+
+def test_unmarked_pages_give_their_article(monkeypatch):
+    pages = [unmarked_page(k) for k in range(20)]
+    for page, text in pages:
+        assert html.main_text(page) == text
+    for values in ({"WINDOW": 40}, {"SURGE": 0, "RELATIVE": 0.0}):  # the thresholds decide
+        with monkeypatch.context() as m:
+            for name, value in values.items():
+                m.setattr(html, name, value)
+            changed = sum(html.main_text(page) != text for page, text in pages)
+            assert changed > 5, (values, changed)
+
+
+def test_distribution_finds_articles_without_any_names(monkeypatch):
+    import duckdb
+
+    pages = [r[0] for r in duckdb.connect().execute("select html from '/root/testdata/sf0.01/pages.parquet' order by page_id").fetchall()]
+    want = [html.main_text(p) for p in pages]
+    bare = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", p).replace('<div class="ad">', "<div>") for p in pages]
+    exact = lambda: sum(html.main_text(p) == t for p, t in zip(bare, want, strict=True)) / len(pages)
+    assert exact() > 0.93
+    for name, value in (("WINDOW", 10), ("RELATIVE", 0.0)):
+        with monkeypatch.context() as m:
+            m.setattr(html, name, value)
+            assert exact() < 0.9, name
+
+
 def test_byte_net_learns_and_has_defined_ends():
     rng = random.Random(5)
     words = {"aa": ["tion", "the", "ing"], "bb": ["sch", "keit", "und"]}

@@ -151,8 +151,26 @@ def test_near_duplicates_equal_brute_force(spark, odd, monkeypatch):
 
 
 def test_html_query(spark):
-    df = spark.createDataFrame([(1, "u", "<article><p>x  y</p></article>"), (2, None, None), (3, "u", ""), (3, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("z"))
-    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df).collect()) == [(1, "x y", 3), (2, "", 0), (3, "", 0), (3, "", 0)]
+    long = ("word " * 60 + "</p><p>") * 4000
+    rows = [(1, "u", "<article><p>x  y</p></article>"), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "v", f"<div><p>{long}</p></div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("z"), "n_chars": F.lit(1), "length": F.lit(2)})
+    got = html.extract(df).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 4000 * 300 - 1), (1, 3), (2, 0), (3, 0), (3, 0)]
+    assert {r["text"] for r in got if r["page_id"]} == {"x y", ""}
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_query_equals_the_text_of_marked_articles(spark):
+    import html as entities
+    import re
+
+    pages = table(spark, SF, "pages").collect()
+    got = {r["page_id"]: r["text"] for r in registry.queries()["op6_line_blocks"](spark, SF).collect()}
+    for r in pages:  # a plain version for pages of this one form
+        inside = re.search(r"<article>(.*?)</article>", r["html"], re.S).group(1)
+        parts = [" ".join(entities.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", inside)]
+        assert got[r["page_id"]] == "\n".join(x for x in parts if x)
+    assert len(got) == len(pages)
 
 
 def test_language_held_out_accuracy(spark, odd):
