@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ from .common import Workspace, arrow_map, mix64, table
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
 #: Levels of splitting, members of a bucket that is not split further, members of a block that one task compares.
 DEPTH, SMALL, BLOCK = 3, 256, 256
+#: Buckets that stay larger although most of their pairs differ are split on twice as many levels, up to so many; a
+#: bucket is judged by the pairs of about so many of its members.
+MAX_DEPTH, JUDGED = 24, 64
 BINS = 128  # bytes of a one-permutation sketch
 _FULL = float(2**64)
 
@@ -156,6 +160,19 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+def _alike(size: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, least: int = 64) -> np.ndarray:
+    """Which pairs (i, j) may be similar by their sizes and, for sets of `least` shingles or more, by their sketches."""
+    ok = np.zeros(len(i), bool)
+    for a in range(0, len(i), 20_000):
+        k, m = i[a : a + 20_000], j[a : a + 20_000]
+        x, y = sketches[k], sketches[m]
+        small, large = np.minimum(size[k], size[m]), np.maximum(size[k], size[m])
+        same, some = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
+        error = 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(some, 1))
+        ok[a : a + 20_000] = (small >= threshold * large) & ((same >= (threshold - error) * some) | (small < least))
+    return ok
+
+
 def _candidates(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) of a block's rows that this block decides, and i's and j's side.
 
@@ -170,8 +187,7 @@ def _candidates(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray,
         keep = side[i] != side[j]
         i, j = i[keep], j[keep]
     size = t["size"].to_numpy()
-    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-    keep = small >= threshold * large
+    keep = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
     i, j = i[keep], j[keep]
     if len(i):
         # leaves below this one, as rows of a 0/1 matrix
@@ -185,12 +201,7 @@ def _candidates(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray,
             i, j = i[keep], j[keep]
     if len(i):
         s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(n, BINS)
-        ok = np.zeros(len(i), bool)
-        for a in range(0, len(i), 20_000):
-            x, y = s[i[a : a + 20_000]], s[j[a : a + 20_000]]
-            same, some = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
-            error = 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(some, 1))
-            ok[a : a + 20_000] = (same >= (threshold - error) * some) | (np.minimum(size[i[a : a + 20_000]], size[j[a : a + 20_000]]) < 64)
+        ok = _alike(size, s, i, j, threshold)
         i, j = i[ok], j[ok]
     return i, j, side
 
@@ -233,57 +244,138 @@ def _by_block(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp", "side").mapInArrow(run, schema)
 
 
-def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures, sets (fp, first doc_id, copies) and links (fp, root, n) of a chosen-path similarity join.
-
-    Equal shingle sets are one set. In every run a set descends along sampled tokens that it shares with others;
-    buckets of at most 256 sets become leaves, larger ones are split once more, three times at most. What is still
-    larger is compared in blocks of 256, every block with every other, so no bucket is cut short and no task gathers
-    one. Of the pairs only counts leave a block: each set with the number of partners that the block decided, and its
-    root in the block. Every pair is decided by exact similarity.
-    """
-    sigs = space.save(_signatures(docs, runs_for(recall, threshold)), "signatures")
-    sets = space.save(sigs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size")), "sets")
-    # One document stands for its set: the partial aggregate sheds copies before rows are dealt.
-    nodes = sigs.where("size > 0").select("fp", F.explode(F.arrays_zip("levels", "nodes", "parents")).alias("n"))
-    nodes = nodes.select("fp", F.col("n.levels").alias("level"), F.col("n.nodes").alias("leaf"), F.col("n.parents").alias("parent")).distinct()
+def _split(nodes: DataFrame, depth: int, space: Workspace, name: str) -> DataFrame:
+    """(fp, leaf, n) of the leaves of trees (fp, level, leaf, parent): buckets of 2 to 256 sets, and all of the last level."""
     leaves: DataFrame | None = None
     large: DataFrame | None = None
-    for level in range(1, DEPTH + 1):
+    for level in range(1, depth + 1):
         rows = nodes.where(F.col("level") == level).drop("level")
         if large is not None:
             rows = rows.join(large.select(F.col("leaf").alias("parent")), "parent", "left_semi")
-        rows = space.save(rows.select("fp", "leaf"), f"nodes{level}")
-        counts = space.save(rows.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), f"counts{level}")
-        large = counts.where(F.col("n") > SMALL) if level < DEPTH else counts.limit(0)
-        found = rows.join(counts if level == DEPTH else counts.where(F.col("n") <= SMALL), "leaf")
+        rows = space.save(rows.select("fp", "leaf"), f"{name}-nodes{level}")
+        counts = space.save(rows.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-counts{level}")
+        found = rows.join(counts if level == depth else counts.where(F.col("n") <= SMALL), "leaf")
         leaves = found if leaves is None else leaves.unionByName(found)
-        if level < DEPTH and large.isEmpty():
+        large = counts.where(F.col("n") > SMALL)
+        if level < depth and large.isEmpty():
             break
-    leaves = space.save(leaves, "leaves")
-    reached = leaves.groupBy("fp").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # at most runs * 2 each
-    rows = leaves.join(reached, "fp")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(3), "fp"), blocks).cast("int")
-    rows = rows.withColumn("mine", F.when(F.col("n") <= SMALL, 0).otherwise(mine)).withColumn("blocks", F.when(F.col("n") <= SMALL, 1).otherwise(blocks))
-    rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("fp", "leaf", "leaves", F.least("mine", "partner").alias("one"), F.greatest("mine", "partner").alias("other"), F.col("mine").alias("side"))
+    return space.save(leaves.select("fp", "leaf", "n"), f"{name}-leaves")
+
+
+def _crowded(leaves: DataFrame, brief: DataFrame, threshold: float) -> DataFrame:
+    """The large leaves most of whose pairs cannot be similar, judged by about 64 members: a passage that many share.
+
+    In the others, families of near copies, further splitting would part nothing.
+    """
+    picked = leaves.where((F.col("n") > SMALL) & (F.pmod(F.xxhash64("leaf", "fp"), F.lit(1 << 31)) < F.lit(float(JUDGED << 31)) / F.col("n")))
+    members = picked.join(brief, "fp").groupBy("leaf").agg(F.collect_list("size").alias("sizes"), F.collect_list("sketch").alias("sketches"))
+
+    def judge(rows: dict[str, list]) -> dict[str, list]:
+        shares = []
+        for sizes, sketches in zip(rows["sizes"], rows["sketches"], strict=True):
+            i, j = np.triu_indices(len(sizes), 1)
+            shares.append(float(_alike(np.array(sizes), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), i, j, threshold, 0).mean()) if len(i) else 1.0)
+        return {"leaf": rows["leaf"], "share": shares}
+
+    return arrow_map(members, judge, "leaf long, share double", rows=100).where("share < 0.5").select("leaf")
+
+
+def _leaves(sigs: DataFrame, sets: DataFrame, brief: DataFrame, space: Workspace, threshold: float, recall: float) -> DataFrame:
+    """(fp, leaf, n) of all leaves. Sets of crowded leaves get trees of twice the depth, with the runs that these need.
+
+    Both sets of a pair that only meets in crowded leaves get them, so the recall is kept; what is crowded at the last
+    depth is compared block by block.
+    """
+    # One document stands for its set: the partial aggregate sheds copies before rows are dealt.
+    nodes = sigs.where("size > 0").select("fp", F.explode(F.arrays_zip("levels", "nodes", "parents")).alias("n"))
+    depth, kept = DEPTH, []
+    while True:
+        nodes = nodes.select("fp", F.col("n.levels").alias("level"), F.col("n.nodes").alias("leaf"), F.col("n.parents").alias("parent")).distinct()
+        leaves = _split(nodes, depth, space, f"depth{depth}")
+        if depth >= MAX_DEPTH or leaves.where(F.col("n") > SMALL).isEmpty():
+            break
+        crowded = space.save(_crowded(leaves, brief, threshold), f"depth{depth}-crowded")
+        if crowded.isEmpty():
+            break
+        kept.append(leaves.join(crowded, "leaf", "left_anti"))
+        affected = leaves.join(crowded, "leaf", "left_semi").select("fp").distinct()
+        depth = min(2 * depth, MAX_DEPTH)
+        nodes = space.save(_deeper(_words(affected, sigs, sets, space, f"depth{depth}"), runs_for(recall, threshold, depth), threshold, depth), f"depth{depth}-trees")
+        nodes = nodes.select("fp", F.explode(F.arrays_zip("levels", "nodes", "parents")).alias("n"))
+    if not kept:
+        return leaves
+    # a leaf of one depth may come again at another
+    rows = space.save(reduce(DataFrame.unionByName, [*kept, leaves]).select("fp", "leaf").distinct(), "leaves")
+    return rows.join(rows.groupBy("leaf").agg(F.count("*").alias("n")), "leaf")
+
+
+def _deeper(words: DataFrame, runs: int, threshold: float, depth: int) -> DataFrame:
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        made = [paths(shingles(np.frombuffer(w, np.uint32)), runs, threshold, depth) for w in rows["words"]]
+        return {"fp": rows["fp"]} | {name: [m[k] for m in made] for k, name in enumerate(("levels", "nodes", "parents"))}
+
+    return arrow_map(words, run, "fp long, levels array<int>, nodes array<long>, parents array<long>", rows=200)
+
+
+def _words(wanted: DataFrame, sigs: DataFrame, sets: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """(fp, words) of the wanted sets (fp): only one copy of each brings its words.
+
+    doc_ids may repeat or be null, so the copies are dropped by fp. The hint keeps one plan at every size: past the
+    broadcast limit the words are dealt by a shuffle anyway.
+    """
+    need = space.save(wanted.join(sets.select("fp", F.col("first").alias("doc_id")), "fp"), f"{name}-needed")
+    words = sigs.where("size > 0").select("fp", "doc_id", "words").join(need.hint("merge"), (sigs["fp"] == need["fp"]) & sigs["doc_id"].eqNullSafe(need["doc_id"]), "left_semi")
+    return space.save(words.groupBy("fp").agg(F.first("words").alias("words")), f"{name}-words")
+
+
+def _blocks(leaves: DataFrame, brief: DataFrame, threshold: float) -> DataFrame:
+    """(fp, leaf, one, other, side): the pairs of blocks in which each set of a leaf is compared.
+
+    A leaf of at most 256 sets is one block. Larger ones are parted by size classes, each so wide that similar sets lie
+    in the same or in neighbouring ones, and classes into blocks of about 256: only blocks of such classes meet.
+    """
+    small = leaves.where(F.col("n") <= SMALL).select("fp", "leaf", *[F.lit(0).cast("long").alias(c) for c in ("one", "other", "side")])
+    width = math.log(1 / threshold) * (1 + 1e-9)
+    rows = leaves.where(F.col("n") > SMALL).select("fp", "leaf").join(brief.select("fp", F.floor(F.log("size") / width).cast("long").alias("class")), "fp")
+    counts = rows.groupBy("leaf", "class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    near = counts
+    for step, name in ((-1, "below"), (1, "above")):
+        near = near.join(counts.select("leaf", (F.col("class") - step).alias("class"), F.col("blocks").alias(name)), ["leaf", "class"], "left")
+    rows = rows.join(near, ["leaf", "class"])
+    named = lambda step, n: F.when(F.col(n).isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1), lambda k: (F.col("class") + step) * (1 << 32) + k))
+    none = F.array().cast("array<bigint>")
+    partners = F.concat(named(0, "blocks"), F.coalesce(named(-1, "below"), none), F.coalesce(named(1, "above"), none))
+    rows = rows.withColumn("side", F.col("class") * (1 << 32) + F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("blocks").cast("long")))
+    rows = rows.repartition("fp").withColumn("partner", F.explode(partners))  # rows of one leaf lie in many tasks
+    return small.unionByName(rows.select("fp", "leaf", F.least("side", "partner").alias("one"), F.greatest("side", "partner").alias("other"), "side"))
+
+
+def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures, sets (fp, first doc_id, copies) and links (fp, root, n) of a chosen-path similarity join.
+
+    Equal shingle sets are one set. In every run a set descends along sampled tokens that it shares with others;
+    buckets of at most 256 sets become leaves, larger ones are split again, three times at first, and then on more levels
+    where most of a bucket's pairs differ. Families of near copies, which no splitting parts, are compared in blocks of
+    256 sets of similar size, so no bucket is cut short and no task gathers one. Of the pairs only counts leave a block:
+    each set with the number of partners that the block decided, and its root in the block. Every pair is decided by
+    exact similarity.
+    """
+    sigs = space.save(_signatures(docs, runs_for(recall, threshold)), "signatures")
+    sets = space.save(sigs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size")), "sets")
     brief = sigs.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     brief = space.save(brief, "brief")
-    rows = space.save(rows, "blocks").join(brief, "fp")
+    leaves = _leaves(sigs, sets, brief, space, threshold, recall)
+    reached = leaves.groupBy("fp").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # a few for each run
+    rows = space.save(_blocks(leaves, brief, threshold).join(reached, "fp"), "blocks").join(brief, "fp")
 
     def narrow(t: pa.Table) -> pa.Table:
         i, j, _ = _candidates(t, threshold)
         return t.take(pa.array(np.unique(np.concatenate([i, j])))).select(names)
 
     names = ["fp", "leaf", "leaves", "one", "other", "side", "size", "sketch"]
-    schema = "fp long, leaf long, leaves array<long>, one int, other int, side int, size long, sketch binary"
+    schema = "fp long, leaf long, leaves array<long>, one long, other long, side long, size long, sketch binary"
     wanted = space.save(_by_block(rows.select(*names), narrow, schema), "candidates")
-    need = space.save(wanted.select("fp").distinct().join(sets.select("fp", F.col("first").alias("doc_id")), "fp"), "needed")
-    # Only one copy of each wanted set brings its words; doc_ids may repeat or be null, so the copies are dropped by fp.
-    # The hint keeps one plan at every size: past the broadcast limit the words are dealt by a shuffle anyway.
-    words = sigs.where("size > 0").select("fp", "doc_id", "words").join(need.hint("merge"), (sigs["fp"] == need["fp"]) & sigs["doc_id"].eqNullSafe(need["doc_id"]), "left_semi")
-    words = space.save(words.groupBy("fp").agg(F.first("words").alias("words")), "words")
+    words = _words(wanted.select("fp").distinct(), sigs, sets, space, "candidates")
 
     def decide(t: pa.Table) -> pa.Table:
         i, j = _linked(t, threshold)

@@ -150,6 +150,70 @@ def test_near_duplicates_equal_brute_force(spark, odd, monkeypatch):
     assert jaccard.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_crowded_buckets_are_split_deeper(spark, monkeypatch):
+    """Short texts of many sizes that share half their words, with near copies among them and one family."""
+    rng = random.Random(14)
+    shared = [f"s{i}" for i in range(12)]
+    texts = []
+    for k in range(150):
+        own = [f"y{k}_{i}" for i in range(8 + k % 9)]
+        texts.append((k, " ".join(own + shared)))
+        if k % 10 == 0:
+            texts.append((1000 + k, " ".join([*own, *shared, "end"])))
+    base = [f"w{k}" for k in range(80)]
+    texts += [(2000 + k, " ".join([*base, *(f"z{k}" for _ in range(k % 3 + 1))])) for k in range(40)] + [(3000 + k, " ".join(base + [f"v{i}" for i in range(7 * k)])) for k in range(8)]
+    rng.shuffle(texts)
+    want = brute(texts)
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    space = jaccard.Workspace(spark, "crowded")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs, space=space).collect()}
+    assert sum(got[k] != want[k] for k in want) <= 0.02 * len(want) and len(got) == len(want)
+    deep = [k for k in (6, 12, 24) if docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{space.path}/depth{k}-leaves").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{space.path}/depth{k}-leaves"))]
+    assert deep, "no bucket was split on more than three levels"
+
+
+def test_blocks_meet_only_where_sizes_allow(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    sizes = [5, 6, 7, 8, 10, 12, 13, 16, 20, 25, 40, 50, 51, 100, 125, 1000] * 3
+    brief = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "fp long, size long")
+    leaves = spark.createDataFrame([(k, 7, len(sizes)) for k in range(len(sizes))], "fp long, leaf long, n long")
+    blocks = defaultdict(list)
+    for r in jaccard._blocks(leaves, brief, 0.8).collect():
+        blocks[r["one"], r["other"]].append((r["fp"], r["side"]))
+    met = Counter()
+    for (one, other), members in blocks.items():
+        for a in range(len(members)):
+            for b in range(a):
+                if one == other or members[a][1] != members[b][1]:
+                    met[frozenset((members[a][0], members[b][0]))] += 1
+    assert set(met.values()) == {1}  # a pair meets once
+    alike = {frozenset((a, b)) for a in range(len(sizes)) for b in range(a) if min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])}
+    assert alike <= set(met) and len(met) < 0.6 * len(sizes) * (len(sizes) - 1) / 2
+
+
+def test_recall_of_near_copies_by_edit_rate(spark):
+    """Copies with some of their words changed: all pairs whose exact similarity is 0.8 or more are linked, others never."""
+    rng = random.Random(15)
+    texts, pairs = [], {}
+    for rate in (0.005, 0.01, 0.02, 0.03, 0.05):
+        for _ in range(60):
+            words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))]
+            other = [f"e{rng.randrange(5000)}" if rng.random() < rate else w for w in words]
+            pairs[len(texts)] = rate
+            texts += [(len(texts), " ".join(words)), (len(texts) + 1, " ".join(other))]
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    grams = lambda t: {tuple(w) for w in zip(*(t.split()[k:] for k in range(5)), strict=False)}
+    similar = {k: len(grams(texts[k][1]) & grams(texts[k + 1][1])) / len(grams(texts[k][1]) | grams(texts[k + 1][1])) >= 0.8 for k in pairs}
+    linked = {k: got[k] == got[k + 1] for k in pairs}
+    assert not any(linked[k] and not similar[k] for k in pairs)
+    assert sum(linked.values()) >= 0.98 * sum(similar.values())
+    caught = {rate: np.mean([linked[k] for k in pairs if pairs[k] == rate]) for rate in (0.005, 0.01, 0.02, 0.03, 0.05)}
+    assert caught[0.005] > 0.95 and caught[0.01] > 0.9 and caught[0.05] < 0.3  # what five words and 0.8 mean for edits
+
+
 def test_html_query(spark):
     long = ("word " * 60 + "</p><p>") * 4000
     rows = [(1, "u", "<article><p>x  y</p></article>"), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "v", f"<div><p>{long}</p></div>")]
