@@ -19,9 +19,9 @@ from .common import Workspace, arrow_map, mix64, table
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
 #: Levels of splitting, members of a bucket that is not split further, members of a block that one task compares.
 DEPTH, SMALL, BLOCK = 3, 256, 256
-#: Buckets that stay larger although most of their pairs differ are split on twice as many levels, up to so many; a
-#: bucket is judged by the pairs of about so many of its members.
-MAX_DEPTH, JUDGED = 24, 64
+#: Buckets that stay larger although less than this share of their pairs may be similar are split on twice as many levels,
+#: up to so many; a bucket is judged by the pairs of about so many of its members.
+CROWDED, MAX_DEPTH, JUDGED = 0.125, 24, 64
 BINS = 128  # bytes of a one-permutation sketch
 _FULL = float(2**64)
 
@@ -263,9 +263,10 @@ def _split(nodes: DataFrame, depth: int, space: Workspace, name: str) -> DataFra
 
 
 def _crowded(leaves: DataFrame, brief: DataFrame, threshold: float) -> DataFrame:
-    """The large leaves most of whose pairs cannot be similar, judged by about 64 members: a passage that many share.
+    """The large leaves hardly any of whose pairs can be similar, judged by about 64 members: a passage that many share.
 
-    In the others, families of near copies, further splitting would part nothing.
+    In the others, families of near copies, further splitting would part little: comparing their blocks looks at no
+    more than eight times the pairs that may be similar.
     """
     picked = leaves.where((F.col("n") > SMALL) & (F.pmod(F.xxhash64("leaf", "fp"), F.lit(1 << 31)) < F.lit(float(JUDGED << 31)) / F.col("n")))
     members = picked.join(brief, "fp").groupBy("leaf").agg(F.collect_list("size").alias("sizes"), F.collect_list("sketch").alias("sketches"))
@@ -277,7 +278,7 @@ def _crowded(leaves: DataFrame, brief: DataFrame, threshold: float) -> DataFrame
             shares.append(float(_alike(np.array(sizes), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), i, j, threshold, 0).mean()) if len(i) else 1.0)
         return {"leaf": rows["leaf"], "share": shares}
 
-    return arrow_map(members, judge, "leaf long, share double", rows=100).where("share < 0.5").select("leaf")
+    return arrow_map(members, judge, "leaf long, share double", rows=100).where(F.col("share") < CROWDED).select("leaf")
 
 
 def _leaves(sigs: DataFrame, sets: DataFrame, brief: DataFrame, space: Workspace, threshold: float, recall: float) -> DataFrame:
@@ -355,7 +356,7 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
 
     Equal shingle sets are one set. In every run a set descends along sampled tokens that it shares with others;
     buckets of at most 256 sets become leaves, larger ones are split again, three times at first, and then on more levels
-    where most of a bucket's pairs differ. Families of near copies, which no splitting parts, are compared in blocks of
+    where nearly all of a bucket's pairs differ. Families of near copies, which no splitting parts, are compared in blocks of
     256 sets of similar size, so no bucket is cut short and no task gathers one. Of the pairs only counts leave a block:
     each set with the number of partners that the block decided, and its root in the block. Every pair is decided by
     exact similarity.
