@@ -159,7 +159,8 @@ def load(media: bytes | None) -> dict:
     """Payload, counts, duration and a feature string of a stored medium.
 
     Each packet goes where its granule says, so lost packets leave silence (128) and nothing shifts. Damaged or foreign
-    media give whatever pages hold, down to an empty payload; None counts as no bytes.
+    media give whatever pages hold, down to an empty payload; None counts as no bytes. The duration is that of the
+    granule positions, so it ends with the last packet that is there.
     """
     streams, bad = demux(media or b"")
     heads = {s.serial: HEAD.unpack(s.head) for s in streams if s.head and len(s.head) == HEAD.size and s.head.startswith(MAGIC)}
@@ -176,7 +177,8 @@ def load(media: bytes | None) -> dict:
                     out[2 * start + channel : 2 * end : 2] = data
     x = np.frombuffer(bytes(out), np.uint8).astype(np.int64) - 128
     packets = sum(len(s.packets) for s in streams)
-    duration = length * 1000 // RATE
+    # granule positions give the time: that at which the last packet of any stream ends
+    duration = max((end for s in streams if s.serial in heads for end, _ in s.packets), default=0) * 1000 // RATE
     crossings = int(((x[2:] < 0) != (x[:-2] < 0)).sum())
     loud = int(np.abs(x).sum()) * 1000 // max(len(x), 1)
     feature = f"streams={len(streams)};packets={packets};ms={duration};mean_abs={loud / 1000:.3f};crossings={crossings}"

@@ -43,6 +43,17 @@ def test_a_damaged_page_costs_only_its_packets():
     assert 0.5 < same.mean() < 1 and got["payload"][:1000] == payload[:1000]
 
 
+def test_duration_comes_from_granules():
+    payload = bytes(range(256)) * 768
+    media = ogg.store(payload)
+    assert ogg.load(media)["duration_ms"] == len(payload) // 2 * 1000 // ogg.RATE
+    starts = [m.start() for m in re.finditer(b"OggS", media)]
+    short = ogg.load(media[: starts[-2]])  # the last page of both streams is lost: the header still counts all samples
+    streams, _ = ogg.demux(media[: starts[-2]])
+    assert short["duration_ms"] == max(end for s in streams for end, _ in s.packets) * 1000 // ogg.RATE < ogg.load(media)["duration_ms"]
+    assert len(short["payload"]) == len(payload)
+
+
 def test_smallest_capacity_equals_brute_force():
     rng = random.Random(2)
     for _ in range(60):
