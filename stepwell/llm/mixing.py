@@ -39,9 +39,9 @@ def water_fill(sources: DataFrame, share: Column, epochs: int) -> DataFrame:
 
 
 def measured(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds _source, _size (words) and _order (seeded MD5 of doc_id)."""
+    """Adds _source, _size (words) and _order (seeded MD5 of doc_id and text, so rows that share an id lie apart)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary"))
     return docs.withColumn("_source", F.col("source")).withColumn("_size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_order", order)
 
 
@@ -121,7 +121,7 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5('10:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    md5('10:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 w AS (
