@@ -123,16 +123,26 @@ def cut_keys(groups: DataFrame, shards: int, buckets: int = 4096, gathered: int
 
 
 def assign_slots(df: DataFrame, shards: int, rows: int, window: int = 4096) -> DataFrame:
-    """Adds `slot`, gapless from 0 within each shard, by row numbers in salted parts and sums of their counts."""
+    """Adds `slot`, gapless from 0 within each shard, by running counts in salted parts and sums of their counts.
+
+    Repeated rows are counted before they are dealt and told out again afterwards, so a row that comes very often is
+    one row of its part; if it comes more than `window` times, several tasks tell it out.
+    """
     salts = max(8, -(-rows // (shards * window)))
-    df = df.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(salts)))
-    counts = df.groupBy(F.col("shard").alias("_shard"), F.col("_salt").alias("_part")).agg(F.count("*").alias("_n"))
+    names = df.columns
+    df = df.groupBy(*names).agg(F.count("*").alias("_copies")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(salts)))
+    counts = df.groupBy(F.col("shard").alias("_shard"), F.col("_salt").alias("_part")).agg(F.sum("_copies").alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("shard", "_salt").orderBy("key", "doc_id", "size", "text_crc32")
-    df = df.withColumn("_row", F.row_number().over(inside))
+    inside = Window.partitionBy("shard", "_salt").orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_first", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
     df = df.join(counts, (F.col("shard") == F.col("_shard")) & (F.col("_salt") == F.col("_part")))
-    return df.withColumn("slot", F.col("_base") + F.col("_row") - 1)
+    df = df.select(*names, "_copies", (F.col("_base") + F.col("_first")).alias("_slot"))
+    told = lambda d, first, n: d.select(*names, F.explode(F.sequence(F.col("_slot") + first, F.col("_slot") + first + n - 1)).alias("slot"))
+    zero, many = F.lit(0).cast("long"), df.where(F.col("_copies") > window)
+    many = many.withColumn("_from", F.explode(F.sequence(zero, F.col("_copies") - 1, F.lit(window).cast("long")))).repartition("_slot", "_from")
+    some = told(df.where(F.col("_copies") <= window), zero, F.col("_copies"))
+    return some.unionByName(told(many, F.col("_from"), F.least(F.lit(window).cast("long"), F.col("_copies") - F.col("_from"))))
 
 
 def minimax_shards(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:

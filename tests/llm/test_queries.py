@@ -68,6 +68,14 @@ def test_shards(spark, odd):
     assert sharding.cut_keys(groups, 4, buckets=8, gathered=16) and sharding.minimax_shards(spark, odd.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_very_often_get_slots(spark):
+    rows = [(None, "the same")] * 700 + [(k, "the same") for k in range(50)] + [(k, f"text {k % 40}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit(1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("key"), (F.crc32(F.col("text").cast("binary")) % 3).cast("int").alias("shard"))
+    pdf = sharding.assign_slots(df, 3, len(rows), window=64).toPandas()
+    assert len(pdf) == len(rows) and all(sorted(g.slot) == list(range(len(g))) for _, g in pdf.groupby("shard"))
+    assert Counter(map(str, pdf.doc_id)) == Counter(str(float(k)) if k is not None else "nan" for k, _ in rows)
+
+
 def test_prefix_targets(spark):
     rows = [(1, 0, "user", r"a\<|im_end|>\n"), (1, 1, "assistant", "r1"), (1, 1, "assistant", "r1"), (1, 2, "us\ner", None), (2, 0, None, "only"), (None, 0, "assistant", "x"), (3, 0, "assistant", chat.PLANTED)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(1))
