@@ -67,7 +67,9 @@ class ByteNet:
             out[at : at + batch] = z / z.sum(axis=1, keepdims=True)
         return out
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteNet:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = 11, least_steps: int = 400) -> ByteNet:
+        """Weighted cross entropy by Adam; few windows are gone over more often, so that a small table is learned too."""
+        epochs = max(epochs, -(-least_steps * batch // max(1, len(labels))))
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}

@@ -351,6 +351,32 @@ def test_pipeline_stages(spark, odd):
     assert docs.count() > 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    good = table(spark, SF, "documents").join(table(spark, SF, "labels").where("quality = 1"), "doc_id").where("length(text) between 300 and 3000")
+    texts = [(r["doc_id"], r["text"], r["lang"]) for r in good.dropDuplicates(["text"]).orderBy("doc_id").limit(60).collect()]
+    first, lang = texts[0][1:]
+    rows = [(k, t, of, "s1", len(t)) for k, t, of in texts] + [(None, first, lang, None, 1)] * 2 + [(texts[0][0], first, lang, "s1", len(first))]
+    names = [c for c in odd.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    docs = odd.unionByName(spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in names}))
+    many = Counter(tuple(r) for r in docs.collect())
+    for name in ("quality", "language", "near_duplicates", "mixing"):
+        out = stages[name](spark, docs, SF)
+        got = Counter(tuple(r) for r in out.collect())
+        assert out.columns == docs.columns and set(got) <= set(many)
+        if name in ("quality", "language"):  # equal texts share a fate
+            assert all(got[r] in (0, n) for r, n in many.items()) and all(r[1] for r in got)
+            assert {bool(got[r]) for r in many if r[1] == first} == {True}, name
+        if name == "near_duplicates":
+            assert max(got.values()) == 1 and sum(r[1] == first for r in got) <= 1
+        if name == "mixing":
+            assert all(n <= 2 * many[r] for r, n in got.items())
+    packed = stages["packing"](spark, docs, SF).toPandas()
+    assert len(packed[packed.piece == 0]) == sum(many.values()) and packed.doc_id.isna().sum() == 3
+
+
 def test_pipeline_thins_null_and_repeated_ids_like_others(spark):
     import corpus_pipeline
 
