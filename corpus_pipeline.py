@@ -17,13 +17,21 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are content by at least half; the rest goes."""
+    """Documents that pass the base rules and are content by at least half; the rest goes.
+
+    Each row is judged by its own text, so repeated rows and rows that share an id stay or go alike, whatever their id,
+    null or not. A null, empty or short text fails the base rules. Columns stay as they are; an empty table stays empty.
+    """
     field = quality.fit_lines(docs, table(spark, sf_dir, "labels"))
     return keep_rows(docs, lambda texts: [quality.passes(t, field) for t in texts])
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language with a mean probability of at least one half; the rest goes."""
+    """Documents of a learned language with a mean probability of at least one half; the rest goes.
+
+    Each row is judged by its own text; repeated rows stay or go alike, null ids play no part. A null text, one without a
+    letter, and any text of a table without a labelled language go. An empty table stays empty.
+    """
     net = langid.fit_language(docs)
     return keep_rows(docs, lambda texts: [lang != langid.UNKNOWN and score >= MIN_LANG_SCORE for lang, score in net.predict(texts)])
 
@@ -46,12 +54,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, up to twice."""
+    """Documents as often as the mix takes them, up to twice.
+
+    A null source is a source, the last one; a text without words comes as often as its source is taken whole. Repeated
+    rows count each, and of equal ones any may be the repeated one. An empty table stays empty.
+    """
     return mixing.mix_rows(spark, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    """The pieces of all documents and their places in sequences of 4096 tokens.
+
+    Every row is packed, also repeated rows and those with a null id; a null text is an empty one, of the end id alone.
+    An empty table gives no rows.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
