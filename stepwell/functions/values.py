@@ -36,9 +36,44 @@ BILLING_INTERVALS = ["monthly", "yearly"]
 STAGE_LABELS = ["First-party page view", "Signup completed", "Activation completed", "Subscription started"]
 TOPIC = "accepted-events.v1"
 FRESH_SECONDS = 300
+# Fixed texts of the report and the dashboard.
+UNHEALTHY_TEXT = "Funnel commentary is suppressed because no fresh accepted event is available."
+EMPTY_TEXT = "No qualified first-party page views are available for the selected funnel."
+DROP_TEXT = ("Largest observed drop-off is from ", " to ", " conversion).")
+HEALTHY_HEAD, EVENT_TAIL = "Data SLA healthy · ", " accepted event"
+NO_DATA_HEAD = "No accepted events yet · funnel commentary is suppressed"
+STALE_HEAD = "Data SLA stale · funnel commentary is suppressed"
+NO_STEP_TEXT = "No qualified stage transition yet."
+STEP_TEXT = (" has the largest observed drop-off: ", " continue from the prior stage.")
+PAUSED, CHANGED, EXPECTED, UNIFORM, PENDING = "Checks paused", "Change detected", "Within expected range", "Baseline too uniform", "Baseline pending"
+# Fixed values of the serving contract.
+SLA_STATES = ["healthy", "stale", "failed"]
+MAX_SNAPSHOT_NAME = 128
 MAX_BODY_BYTES = 65_536
 
 
+#: A character that is no white space, Unicode's breaking spaces included.
+NOT_BLANK = r"[^\s\x1c-\x1f\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]"
+
+
+def not_blank(c: Column | str) -> Column:
+    """Whether a text has more than white space; null for null."""
+    return (F.col(c) if isinstance(c, str) else c).rlike(NOT_BLANK)
+
+
+def utc(c: Column | str) -> Column:
+    """An instant (timestamp) as a zoneless time in UTC, whatever the session's time zone."""
+    return F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz")
+
+
+def instant_text(c: Column | str) -> Column:
+    """An instant as ISO text in UTC: no fraction, or three or six digits."""
+    at = utc(c)
+    micros = F.pmod(F.unix_micros(c), F.lit(1_000_000))
+    digits = F.when(micros == 0, "").when(micros % 1000 == 0, F.date_format(at, ".SSS")).otherwise(F.date_format(at, ".SSSSSS"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), digits, F.lit("Z"))
+
+
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 

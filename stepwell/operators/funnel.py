@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import STAGES
+from ..functions.values import STAGES, not_blank
 from ..sources.events import scan_range
 from . import dedupe
 
@@ -72,7 +72,7 @@ def pure_daily(events: DataFrame) -> DataFrame:
 def strict_counts(events: DataFrame, *scope: str) -> DataFrame:
     """u0 to u3: users of each scope who came so far in strict order. Windows share one partitioning: one shuffle."""
     scope = scope or ("workspace_id",)
-    rows = events.where(F.col("event_name").isin(STAGES) & (F.trim("anonymous_id") != "") & F.col("occurred_at").isNotNull())
+    rows = events.where(F.col("event_name").isin(STAGES) & not_blank("anonymous_id") & F.col("occurred_at").isNotNull())
     w = Window.partitionBy(*scope, "anonymous_id")
     for k, s in enumerate(STAGES):
         hit = F.col("event_name") == s
@@ -84,6 +84,6 @@ def strict_counts(events: DataFrame, *scope: str) -> DataFrame:
 def unordered_daily(events: DataFrame, *scope: str) -> DataFrame:
     """Distinct users of each day and stage, a column per stage, 0 where there are none."""
     scope = scope or ("workspace_id",)
-    rows = events.where(F.col("event_name").isin(STAGES) & (F.trim("anonymous_id") != "") & F.col("occurred_at").isNotNull())
+    rows = events.where(F.col("event_name").isin(STAGES) & not_blank("anonymous_id") & F.col("occurred_at").isNotNull())
     users = rows.select(*scope, F.to_date("occurred_at").alias("event_date"), "event_name", "anonymous_id").distinct()
     return users.groupBy(*scope, "event_date").agg(*[F.count_if(F.col("event_name") == s).alias(s) for s in STAGES])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import FRESH_SECONDS, STAGE_LABELS, STAGES, VERSION, ntz, percent, ratio, round4
+from ..functions.values import (
+    CHANGED, DROP_TEXT, EMPTY_TEXT, EVENT_TAIL, EXPECTED, FRESH_SECONDS, HEALTHY_HEAD, NO_DATA_HEAD, NO_STEP_TEXT, PAUSED, PENDING, STAGE_LABELS, STAGES, STALE_HEAD, STEP_TEXT, UNHEALTHY_TEXT, UNIFORM, VERSION, not_blank, ntz, percent, ratio, round4,
+)
 from .funnel import strict_counts
 
 METRIC = "daily_subscription_started_users"
@@ -34,11 +36,11 @@ def commentary(rows: DataFrame) -> DataFrame:
     """commentary_status and summary of rows with counts, drop_index and sla_status."""
     stages = F.array(*map(F.lit, STAGES))
     rate = F.coalesce(F.element_at(F.array("c1", "c2", "c3"), F.col("drop_index")), F.lit(0.0))
-    text = F.concat(F.lit("Largest observed drop-off is from "), F.element_at(stages, F.col("drop_index")), F.lit(" to "), F.element_at(stages, F.col("drop_index") + 1), F.lit(" ("), percent(rate), F.lit(" conversion)."))
+    text = F.concat(F.lit(DROP_TEXT[0]), F.element_at(stages, F.col("drop_index")), F.lit(DROP_TEXT[1]), F.element_at(stages, F.col("drop_index") + 1), F.lit(" ("), percent(rate), F.lit(DROP_TEXT[2]))
     unhealthy, empty = F.col("sla_status") != "healthy", F.col("u0") == 0
     return rows.withColumn("commentary_status", F.when(unhealthy, "suppressed_data_sla_unhealthy").when(empty, "insufficient_volume").otherwise("informational")).withColumn(
         "summary",
-        F.when(unhealthy, "Funnel commentary is suppressed because no fresh accepted event is available.").when(empty, "No qualified first-party page views are available for the selected funnel.").otherwise(text),
+        F.when(unhealthy, UNHEALTHY_TEXT).when(empty, EMPTY_TEXT).otherwise(text),
     )
 
 
@@ -46,7 +48,7 @@ def daily_subscriptions(events: DataFrame, *scope: str) -> DataFrame:
     """Users who subscribed on each observed day, 0 on days with other events only."""
     scope = scope or ("workspace_id",)
     rows = events.where(F.col("occurred_at").isNotNull()).withColumn("event_date", F.to_date("occurred_at"))
-    user = F.when((F.col("event_name") == "subscription_started") & (F.trim("anonymous_id") != ""), F.col("anonymous_id"))
+    user = F.when((F.col("event_name") == "subscription_started") & not_blank("anonymous_id"), F.col("anonymous_id"))
     return rows.select(*scope, "event_date", user.alias("user")).groupBy(*scope, "event_date").agg(F.count_distinct("user").alias("users"))
 
 
@@ -117,15 +119,15 @@ def dashboard_stages(report: DataFrame) -> DataFrame:
 def dashboard_texts(report: DataFrame) -> DataFrame:
     """Health, drop-off and anomaly texts of the dashboard."""
     n = F.col("accepted_event_count")
-    health = F.when(F.col("sla_status") == "healthy", F.concat(F.lit("Data SLA healthy · "), n.cast("string"), F.lit(" accepted event"), F.when(n == 1, "").otherwise("s")))
-    health = health.when(F.col("sla_status") == "no_data", "No accepted events yet · funnel commentary is suppressed").otherwise("Data SLA stale · funnel commentary is suppressed")
+    health = F.when(F.col("sla_status") == "healthy", F.concat(F.lit(HEALTHY_HEAD), n.cast("string"), F.lit(EVENT_TAIL), F.when(n == 1, "").otherwise("s")))
+    health = health.when(F.col("sla_status") == "no_data", NO_DATA_HEAD).otherwise(STALE_HEAD)
     rates = F.array(*[F.when(F.col(f"c{k}").isNotNull(), F.struct(F.col(f"c{k}").alias("r"), F.lit(k).alias("k"))) for k in (1, 2, 3)])
     least = F.array_min(F.filter(rates, lambda x: x.isNotNull()))
     labels = F.array(*map(F.lit, STAGE_LABELS))
-    drop = F.when(least.isNull(), "No qualified stage transition yet.").otherwise(F.concat(F.element_at(labels, least["k"] + 1), F.lit(" has the largest observed drop-off: "), percent(least["r"]), F.lit(" continue from the prior stage.")))
+    drop = F.when(least.isNull(), NO_STEP_TEXT).otherwise(F.concat(F.element_at(labels, least["k"] + 1), F.lit(STEP_TEXT[0]), percent(least["r"]), F.lit(STEP_TEXT[1])))
     paused = (F.col("anomaly_status") == "suppressed_data_sla_unhealthy") | (F.col("sla_status") != "healthy")
-    title: Column = F.when(paused, "Checks paused").when(F.col("anomaly_status") == "anomaly", "Change detected").when(F.col("anomaly_status") == "normal", "Within expected range")
-    title = title.when(F.col("anomaly_status") == "insufficient_variation", "Baseline too uniform").otherwise("Baseline pending")
+    title: Column = F.when(paused, PAUSED).when(F.col("anomaly_status") == "anomaly", CHANGED).when(F.col("anomaly_status") == "normal", EXPECTED)
+    title = title.when(F.col("anomaly_status") == "insufficient_variation", UNIFORM).otherwise(PENDING)
     return report.select("workspace_id", health.alias("health"), drop.alias("drop_off"), title.alias("anomaly_title"))
 
 

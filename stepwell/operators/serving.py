@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import STAGES, VERSION, WORKSPACE
+from ..functions.values import MAX_SNAPSHOT_NAME, SLA_STATES, STAGES, VERSION, WORKSPACE
 
 KEY = ["workspace_id", "event_date", "funnel_definition_version", "stage_name"]
 COLUMNS = [*KEY, "unique_users", "snapshot_version", "canonical_completed_at", "data_sla_status"]
@@ -33,7 +33,7 @@ def contract_violations(rows: DataFrame) -> DataFrame:
         .when(F.col("funnel_definition_version") != VERSION, "funnel_definition_version")
         .when(~F.col("stage_name").isin(STAGES), "stage_name")
         .when(F.col("unique_users") < 0, "unique_users")
-        .when(~F.length("snapshot_version").between(1, 128), "snapshot_version")
-        .when(~F.col("data_sla_status").isin("healthy", "stale", "failed"), "data_sla_status")
+        .when(~F.length("snapshot_version").between(1, MAX_SNAPSHOT_NAME), "snapshot_version")
+        .when(~F.col("data_sla_status").isin(SLA_STATES), "data_sla_status")
     )
     return rows.withColumn("violation", F.coalesce(missing, rule))

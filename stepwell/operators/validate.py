@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import (
-    ALLOWED_PROPERTIES, BILLING_INTERVALS, ENVELOPE_FIELDS, EVENT_NAMES, IDENTIFIER, MAX_BODY_BYTES, REQUIRED_PROPERTIES, SENSITIVE, SIGNUP_METHODS, TOPIC, UI_TYPES, VERSION, WORKSPACE, partition_key,
+    ALLOWED_PROPERTIES, BILLING_INTERVALS, ENVELOPE_FIELDS, EVENT_NAMES, IDENTIFIER, MAX_BODY_BYTES, REQUIRED_PROPERTIES, SENSITIVE, SIGNUP_METHODS, TOPIC, UI_TYPES, VERSION, WORKSPACE, instant_text, not_blank, partition_key, utc,
 )
 
 INSTANT = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:\d\d)\z"
@@ -40,12 +40,14 @@ def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str) -> DataFrame:
+def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str, server_fields: tuple[str, ...] = ()) -> DataFrame:
     """Adds the reason code of raw events, null for accepted ones. The time of receipt is an instant (timestamp).
 
-    A text that is no JSON gives invalid_json. Checks go envelope, name, ids, versions, consent and context, time, then
-    properties in document order, required ones and values.
+    A text that is no JSON gives invalid_json; of a repeated key the last value counts, for which a setting of the
+    session is turned on. Checks go envelope, name, ids, versions, consent and context, time, then properties in document
+    order, required ones and values.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     raw, received_at, paths = F.col(raw_name), F.col(received_name), _Paths()
     keys = lambda path: F.json_object_keys(F.get_json_object(raw, path))
     extra = lambda path, allowed: F.size(F.array_except(keys(path), _array(allowed))) > 0
@@ -54,7 +56,10 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str)
     id_ok = lambda path: F.coalesce(F.length(paths.text(path)).between(16, 128), F.lit(False))
     version_ok = lambda f: F.coalesce(paths.text(f"$.{f}") == VERSION, F.lit(False))
     consent = is_object("$.consent") & F.coalesce((paths.kind("$.consent.analytics") == "BOOLEAN") & F.try_variant_get("_json", "$.consent.analytics", "boolean"), F.lit(False)) & ~F.coalesce(extra("$.consent", ["analytics"]), F.lit(False))
-    context = is_object("$.context") & F.coalesce(paths.text("$.context.platform") == "web", F.lit(False)) & F.coalesce(F.trim(paths.text("$.context.sdk_version")) != "", F.lit(False)) & ~F.coalesce(extra("$.context", ["platform", "sdk_version"]), F.lit(False))
+    # any scalar counts as its text, also a null
+    version = F.try_variant_get("_json", "$.context.sdk_version", "string")
+    sdk = F.coalesce((paths.kind("$.context.sdk_version") == "VOID") | (~paths.kind("$.context.sdk_version").rlike("^(OBJECT|ARRAY)") & not_blank(version)), F.lit(False))
+    context = is_object("$.context") & F.coalesce(paths.text("$.context.platform") == "web", F.lit(False)) & sdk & ~F.coalesce(extra("$.context", ["platform", "sdk_version"]), F.lit(False))
     occurred = paths.text("$.occurred_at")
     instant = F.when(occurred.rlike(INSTANT), F.try_to_timestamp(occurred))
     in_time = F.coalesce((instant <= received_at + F.expr("interval 5 minutes")) & (instant >= received_at - F.expr("interval 365 days")), F.lit(False))
@@ -86,7 +91,7 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str)
     code = (
         F.when(F.col("_json").isNull(), "invalid_json")
         .when(~is_object("$"), "invalid_payload")
-        .when(F.size(F.array_except(F.json_object_keys(raw), _array(ENVELOPE_FIELDS))) > 0, "unallowed_envelope_field")
+        .when(F.size(F.array_except(F.json_object_keys(raw), _array([*ENVELOPE_FIELDS, *server_fields]))) > 0, "unallowed_envelope_field")
         .when(~F.coalesce(name.isin(EVENT_NAMES), F.lit(False)), "unsupported_event_name")
         .when(~(id_ok("$.event_id") & id_ok("$.anonymous_id") & id_ok("$.session_id")), "invalid_identifier")
         .when(paths.kind("$.user_id").isNotNull() & ~id_ok("$.user_id"), "invalid_identifier")
@@ -97,7 +102,8 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str)
         .when(~is_object("$.properties"), "invalid_properties")
         .otherwise(F.coalesce(property_reason, F.when(missing, "missing_required_property"), value_reason))
     )
-    return paths.drop(paths.add(df, raw_name).withColumn(name_out, code))
+    # A generator of one row: the code is computed once, and no filter on it is moved below with a copy of all of this.
+    return paths.drop(paths.add(df, raw_name).select("*", F.inline(F.array(F.struct(code.alias(name_out))))))
 
 
 def validate(df: DataFrame, raw: str = "raw", received_at: str = "received_at") -> DataFrame:
@@ -110,11 +116,45 @@ def accepted(df: DataFrame) -> DataFrame:
     return validate(df).where("reason is null")
 
 
-def ingest(requests: DataFrame, keys: DataFrame) -> DataFrame:
-    """HTTP outcome of requests (method, workspace_key, body, received_at): status and reason.
+def accepted_violations(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds `violation`: what an accepted event breaks of its contract, null if nothing.
 
-    keys (workspace_key, workspace_id) has a row per workspace. Order: method, key, size, JSON, validator.
+    It must have the server's fields, and be what the validator accepts at its time of receipt.
     """
+    time, quality = (F.get_json_object(F.col(raw), f"$.{name}") for name in ("received_at", "event_time_quality"))
+    rows = df.withColumn("_received", F.when(time.rlike(INSTANT), F.try_to_timestamp(time)))
+    rows = with_reason(rows, raw, "_received", "_reason", ("received_at", "event_time_quality"))
+    server = F.when(F.col("_received").isNull(), "invalid_received_at").when(~quality.eqNullSafe(F.lit("client_verified")), "invalid_event_time_quality")
+    broken = F.col("_reason").isin("invalid_json", "invalid_payload")
+    return rows.withColumn("violation", F.when(broken, F.col("_reason")).otherwise(F.coalesce(server, F.col("_reason")))).drop("_received", "_reason")
+
+
+def event_time(df: DataFrame, raw: str = "raw", received_at: str = "received_at", policy: str = "quarantine") -> DataFrame:
+    """Adds outcome and event_time_quality: events whose only fault is their time are set apart, or get the server's time.
+
+    outcome is accepted, rejected, or (policy quarantine) quarantined; policy server_assigned accepts these with the time
+    of receipt. The quality is client_verified, quarantined or server_assigned.
+    """
+    if policy not in ("quarantine", "server_assigned"):
+        raise ValueError("policy is quarantine or server_assigned")
+    out = with_reason(df, raw, received_at, "reason")
+    untimed = F.coalesce(F.col("reason").isin("missing_occurred_at", "invalid_event_time"), F.lit(False))
+    other = "quarantined" if policy == "quarantine" else "server_assigned"
+    quality = F.when(F.col("reason").isNull(), "client_verified").when(untimed, other)
+    outcome = F.when(F.col("reason").isNull(), "accepted").when(untimed, "quarantined" if policy == "quarantine" else "accepted").otherwise("rejected")
+    return out.withColumns({"outcome": outcome, "event_time_quality": quality})
+
+
+def ingest(requests: DataFrame, keys: DataFrame, known: DataFrame | None = None, storage_available: bool = True) -> DataFrame:
+    """HTTP outcome of requests (method, workspace_key, body, received_at).
+
+    Returns workspace_id, body, received_at, status, reason, accepted, event_id, duplicate and accepted_json (the body
+    with the time of receipt and its quality). keys (workspace_key, workspace_id) must have a row per key, else it raises.
+    Order: method, key, size, JSON, validator, storage. An accepted event is a duplicate if `known` (workspace_id,
+    event_id) has it, or if an earlier request of these brought it.
+    """
+    if keys.groupBy("workspace_key").count().where("count > 1").limit(1).count():
+        raise ValueError("a workspace key names more than one workspace")
     rows = with_reason(requests.join(keys, "workspace_key", "left"), "body", "received_at", "_reason")
     outcomes = [
         (F.col("method") != "POST", 405, F.lit("method_not_allowed")),
@@ -122,18 +162,29 @@ def ingest(requests: DataFrame, keys: DataFrame) -> DataFrame:
         (F.octet_length("body") > MAX_BODY_BYTES, 413, F.lit("payload_too_large")),
         (F.col("_reason") == "invalid_json", 400, F.lit("invalid_json")),
         (F.col("_reason").isNotNull(), 422, F.col("_reason")),
+        (F.lit(not storage_available), 503, F.lit("storage_unavailable")),
     ]
     status, why = F.lit(202), F.lit(None).cast("string")
     for when, code, name in reversed(outcomes):
         status, why = F.when(when, code).otherwise(status), F.when(when, name).otherwise(why)
-    return rows.select("workspace_id", "body", "received_at", status.alias("status"), why.alias("reason"))
+    rows = rows.select("workspace_id", "body", "received_at", status.alias("status"), why.alias("reason"), (status == 202).alias("accepted"))
+    rows = rows.withColumn("event_id", F.when(F.col("accepted"), F.get_json_object("body", "$.event_id")))
+    first = Window.partitionBy("workspace_id", "event_id").orderBy("received_at", "body")
+    good = rows.where("accepted").withColumn("duplicate", F.row_number().over(first) > 1)
+    if known is not None:
+        old = known.select("workspace_id", "event_id").distinct().withColumn("_old", F.lit(True))
+        good = good.join(old, ["workspace_id", "event_id"], "left").withColumn("duplicate", F.col("duplicate") | F.col("_old").isNotNull()).drop("_old")
+    added = F.concat(F.lit(',"received_at":"'), instant_text("received_at"), F.lit('","event_time_quality":"client_verified"}'))
+    good = good.withColumn("accepted_json", F.concat(F.regexp_replace("body", r"\}\s*\z", ""), added))
+    none = {"duplicate": F.lit(None).cast("boolean"), "accepted_json": F.lit(None).cast("string")}
+    return good.unionByName(rows.where(~F.col("accepted")).withColumns(none)).select("workspace_id", "body", "received_at", "status", "reason", "accepted", "event_id", "duplicate", "accepted_json")
 
 
 def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
-    """The typed columns of event-log records {workspace_id, event}; null columns where a required text is missing."""
-    get = lambda p: F.when(F.trim(F.get_json_object(value, p)) != "", F.get_json_object(value, p))
+    """The typed columns of event-log records {workspace_id, event}, times zoneless in UTC; null where a required text is missing."""
+    get = lambda p: F.when(not_blank(F.get_json_object(value, p)), F.get_json_object(value, p))
     names = ("event_id", "anonymous_id", "event_name", "schema_version", "tracking_plan_version", "funnel_definition_version")
-    time = lambda p: F.when(get(p).rlike(INSTANT), F.try_to_timestamp(get(p)))
+    time = lambda p: utc(F.when(get(p).rlike(INSTANT), F.try_to_timestamp(get(p))))
     return df.select("*", get("$.workspace_id").alias("workspace_id"), *[get(f"$.event.{n}").alias(n) for n in names], time("$.event.occurred_at").alias("occurred_at"), time("$.event.received_at").alias("received_at"), F.get_json_object(value, "$.event").alias("accepted_event_json"))
 
 

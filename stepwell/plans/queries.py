@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as v
 from ..functions.values import STAGES, TOPIC, page_path, partition_key, stamp
 from ..operators import dedupe, funnel, report, serving, validate
 from ..sources.events import read_events, scan_range
@@ -86,9 +89,9 @@ st AS (SELECT *, CASE WHEN baseline_points < 7 THEN 'insufficient_history' WHEN
 _PCT = "CAST(CAST(round(CAST({0} AS DECIMAL(12,4)) * 100, 1) AS DECIMAL(12,1)) AS VARCHAR) || '%'"
 
 
-def _now(rows: DataFrame) -> str:
-    """200 seconds after the last event came in."""
-    return str(rows.agg(F.max("received_at") + F.expr("interval 200 seconds")).first()[0])
+def _now(spark: SparkSession, d: str) -> str:
+    """200 seconds after the last event came in, as a clock would give it: one aggregate over the scan."""
+    return str(read_events(spark, d, False).agg(F.max("received_at") + F.expr("interval 200 seconds")).first()[0])
 
 
 # Raw events with one defect each, built by the same expression in Spark and DuckDB.
@@ -145,8 +148,13 @@ def _silver(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.silver(read_events(spark, d))
 
 
+def _silver_range(spark: SparkSession, d: str, lookback: int = 30) -> DataFrame:
+    """Silver of the rebuilt range and its lookback: the range reaches the scan, so dedupe sees no other days."""
+    return dedupe.silver(read_events(spark, d, True, START, END, lookback))
+
+
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
-    gold = funnel.canonical_daily(_silver(spark, d), START, END)
+    gold = funnel.canonical_daily(_silver_range(spark, d), START, END)
     older = serving.snapshot(gold, "airflow-2", "2024-02-02 00:00:00").withColumn("unique_users", F.col("unique_users") + 1)
     return serving.snapshot(gold, "canonical-1", "2024-02-01 00:00:00").unionByName(older)
 
@@ -156,8 +164,7 @@ def _serving_columns(df: DataFrame) -> DataFrame:
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    rows = _silver(spark, d)
-    return report.funnel_report(rows, _now(rows))
+    return report.funnel_report(_silver(spark, d), _now(spark, d))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -166,17 +173,38 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("value", F.when(n % 17 == 0, "not json").otherwise(F.col("value"))).withColumn("key", F.when(n % 19 == 0, "1:x").otherwise(F.col("key"))).withColumn("topic", F.when(n % 23 == 0, "other").otherwise(F.col("topic")))
 
 
-def _shared(spark: SparkSession) -> str:
+_own_root: list[str] = []
+
+
+def shared(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the one that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder that is removed at its end; a cluster has none to offer.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named or 'file://' + tempfile.mkdtemp(prefix='stepwell-')}/stream-{uuid.uuid4().hex}"
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        if not _own_root:
+            _own_root.append(tempfile.mkdtemp(prefix="stepwell-"))
+            atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
+        named = f"file://{_own_root[0]}"
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _logged(rows: DataFrame) -> DataFrame:
+    return rows.unionByName(rows.where("offset % 20 = 0"))
 
 
 def _streamed(spark: SparkSession, d: str, runs: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Bronze and dead letters after the log, with every twentieth record sent twice, went through the stream."""
-    root = _shared(spark)
+    """Bronze and dead letters after the log, with every twentieth record sent twice, went through the stream.
+
+    A record that is sent twice is dead-lettered twice: at least once, as the audit has it.
+    """
+    root = shared(spark, "stream")
     rows = _records(spark, d)
-    for k in range(runs):
-        rows.unionByName(rows.where("offset % 20 = 0")).write.mode("append").json(f"{root}/log")
+    for _ in range(runs):
+        _logged(rows).write.mode("append").json(f"{root}/log")
         bronze.ingest_stream(bronze.read_records(spark, f"{root}/log"), f"{root}/bronze", f"{root}/dead", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/bronze"), spark.read.schema("topic string, partition int, offset long, reason string").json(f"{root}/dead")
 
@@ -185,21 +213,23 @@ _REC = "rec AS (SELECT *, id % 17 = 0 AS bad, id % 19 = 0 OR id % 23 = 0 AS wron
 
 
 def queries() -> dict[str, Query]:
+    from . import more  # it is built from the parts above
+
     return {
-        "bronze_scan_range": lambda s, d: _shown(scan_range(read_events(s, d), START, END)),
-        "silver_dedupe": lambda s, d: _shown(dedupe.silver(scan_range(read_events(s, d), START, END))),
+        "bronze_scan_range": lambda s, d: _shown(scan_range(read_events(s, d, True, START, END), START, END)),
+        "silver_dedupe": lambda s, d: _shown(dedupe.silver(scan_range(read_events(s, d, True, START, END), START, END))),
         "pure_dedupe": lambda s, d: _shown(dedupe.pure(read_events(s, d))),
         "store_append_new": lambda s, d: _shown(dedupe.new_only(read_events(s, d), read_events(s, d, False).where("event_name = 'vpv'"))),
         "dedupe_stats": lambda s, d: dedupe.stats(read_events(s, d)),
-        "gold_funnel_daily": lambda s, d: _day(funnel.canonical_daily(_silver(s, d), START, END)),
-        "gold_with_lookback": lambda s, d: _day(funnel.canonical_daily(_silver(s, d), START, END, 1)),
-        "gold_per_day": lambda s, d: _day(funnel.canonical_daily(_silver(s, d), START, END, 1, "per_day")),
-        "gold_snapshot_columns": lambda s, d: _serving_columns(serving.snapshot(funnel.canonical_daily(_silver(s, d), START, END), "canonical-1", "2024-02-01 00:00:00")),
+        "gold_funnel_daily": lambda s, d: _day(funnel.canonical_daily(_silver_range(s, d), START, END)),
+        "gold_with_lookback": lambda s, d: _day(funnel.canonical_daily(_silver_range(s, d, 1), START, END, 1)),
+        "gold_per_day": lambda s, d: _day(funnel.canonical_daily(_silver_range(s, d, 1), START, END, 1, "per_day")),
+        "gold_snapshot_columns": lambda s, d: _serving_columns(serving.snapshot(funnel.canonical_daily(_silver_range(s, d), START, END), "canonical-1", "2024-02-01 00:00:00")),
         "pure_daily_counts": lambda s, d: _day(funnel.pure_daily(read_events(s, d))),
         "report_stage_counts": lambda s, d: funnel.strict_counts(_silver(s, d)),
         "report_conversion": lambda s, d: report.conversion(funnel.strict_counts(_silver(s, d))),
         "report_largest_drop": lambda s, d: report.largest_drop(funnel.strict_counts(_silver(s, d))),
-        "report_freshness": lambda s, d: report.freshness(_silver(s, d), _now(_silver(s, d))),
+        "report_freshness": lambda s, d: report.freshness(_silver(s, d), _now(s, d)),
         "report_commentary": lambda s, d: _report(s, d).select("workspace_id", "commentary_status", "summary"),
         "local_gold_daily": lambda s, d: _day(funnel.unordered_daily(_silver(s, d))),
         "daily_subscriptions": lambda s, d: _day(report.daily_subscriptions(_silver(s, d))),
@@ -218,13 +248,14 @@ def queries() -> dict[str, Query]:
         "dashboard_texts": lambda s, d: report.dashboard_texts(_report(s, d)),
         "scenario_summary": lambda s, d: scenarios.summary(scenarios.all_scenarios(s)),
         "stream_bronze_dedupe": lambda s, d: _streamed(s, d, 2)[0].select("workspace_id", "event_id", "anonymous_id", "event_name"),
-        "stream_dead_letter": lambda s, d: _streamed(s, d)[1].distinct(),
+        "stream_dead_letter": lambda s, d: _streamed(s, d)[1],
         "time_to_next_stage": lambda s, d: insights.time_to_next_stage(_silver(s, d)),
         "return_within_week": lambda s, d: insights.return_within_week(_silver(s, d)).withColumn("first_day", F.col("first_day").cast("string")),
         "sessions": lambda s, d: insights.sessions(_silver(s, d)),
         "retention_cohorts": lambda s, d: insights.retention_cohorts(_silver(s, d)),
         "source_breakdown": lambda s, d: insights.source_breakdown(_silver(s, d)),
         "quality_gates": lambda s, d: insights.quality_gates(read_events(s, d), _silver(s, d)),
+        **more.queries(),
     }
 
 
@@ -236,13 +267,15 @@ _W = f"WITH {BRONZE}"
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more
+
     kept = "workspace_id, anonymous_id, v, t0, t1, t2, t3"
     fold = f"""a1 AS (SELECT {kept}, t0 AS l0, CASE WHEN t1 IS NOT NULL AND (t0 IS NULL OR t1 >= t0) THEN t1 END AS a1 FROM f),
 a2 AS (SELECT *, coalesce(a1, l0) AS l1, CASE WHEN t2 IS NOT NULL AND (coalesce(a1, l0) IS NULL OR t2 >= coalesce(a1, l0)) THEN t2 END AS a2 FROM a1),
 a3 AS (SELECT *, CASE WHEN t3 IS NOT NULL AND (coalesce(a2, l1) IS NULL OR t3 >= coalesce(a2, l1)) THEN t3 END AS a3 FROM a2)"""
     stage = " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(STAGES))
     counts = f"WITH {BRONZE}, {_STRICT}"
-    labels = ["First-party page view", "Signup completed", "Activation completed", "Subscription started"]
+    labels = v.STAGE_LABELS
     card = " UNION ALL ".join(
         f"SELECT workspace_id, {k} AS position, '{s}' AS event_name, '{labels[k]}' AS label, u{k} AS users, {'coalesce(' + _PCT.format(f'c{k}') + ', chr(8212))' if k else 'chr(8212)'} AS conversion, CAST(CASE WHEN u0 > 0 THEN floor(100.0::DOUBLE * u{k} / u0 + 0.5) ELSE 0 END AS BIGINT) AS share_of_entry FROM r"
         for k, s in enumerate(STAGES)
@@ -268,8 +301,8 @@ a3 AS (SELECT *, CASE WHEN t3 IS NOT NULL AND (coalesce(a2, l1) IS NULL OR t3 >=
         "report_largest_drop": f"{counts} SELECT workspace_id, u0, u1, u2, u3, drop_index FROM k",
         "report_freshness": f"{counts} SELECT * FROM fresh",
         "report_commentary": f"""{counts} SELECT workspace_id, CASE WHEN sla_status <> 'healthy' THEN 'suppressed_data_sla_unhealthy' WHEN u0 = 0 THEN 'insufficient_volume' ELSE 'informational' END AS commentary_status,
-  CASE WHEN sla_status <> 'healthy' THEN 'Funnel commentary is suppressed because no fresh accepted event is available.' WHEN u0 = 0 THEN 'No qualified first-party page views are available for the selected funnel.'
-  ELSE 'Largest observed drop-off is from ' || CASE drop_index - 1 {stage} END || ' to ' || CASE drop_index {stage} END || ' (' || {_PCT.format("coalesce(CASE drop_index WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END, 0)")} || ' conversion).' END AS summary FROM k JOIN fresh USING (workspace_id)""",
+  CASE WHEN sla_status <> 'healthy' THEN '{v.UNHEALTHY_TEXT}' WHEN u0 = 0 THEN '{v.EMPTY_TEXT}'
+  ELSE '{v.DROP_TEXT[0]}' || CASE drop_index - 1 {stage} END || '{v.DROP_TEXT[1]}' || CASE drop_index {stage} END || ' (' || {_PCT.format("coalesce(CASE drop_index WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END, 0)")} || '{v.DROP_TEXT[2]}' END AS summary FROM k JOIN fresh USING (workspace_id)""",
         "local_gold_daily": f"{_W} SELECT workspace_id, CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS event_date, " + ", ".join(f"count(DISTINCT anonymous_id) FILTER (event_name = '{s}') AS {s}" for s in STAGES) + f" FROM silver WHERE event_name IN ({_IN}) GROUP BY ALL",
         "daily_subscriptions": f"{_W}, {_DAILY_SUBS} SELECT workspace_id, CAST(d AS VARCHAR) AS event_date, users FROM ds",
         "anomaly_detect": f"{_W}, {_DAILY_SUBS} SELECT workspace_id, metric, anomaly_status, as_of_event_date, current_value, baseline_points, {told} {r4.format('med')} END AS baseline_median, {told} {r4.format('mad')} END AS median_absolute_deviation, {scored} {r4.format('z')} END AS robust_z_score FROM st",
@@ -284,17 +317,18 @@ a3 AS (SELECT *, CASE WHEN t3 IS NOT NULL AND (coalesce(a2, l1) IS NULL OR t3 >=
         "dead_letter_reasons": f"{_W}, {_REC} SELECT CASE WHEN id % 23 = 0 THEN 'other' ELSE '{TOPIC}' END AS topic, CAST(id % 4 AS INTEGER) AS partition, id AS \"offset\", CASE WHEN bad THEN 'invalid_event_envelope' ELSE 'invalid_topic_or_partition_key' END AS reason FROM rec WHERE bad OR wrong",
         "log_commit_offsets": f"{_W}, {_REC} SELECT CASE WHEN id % 23 = 0 THEN 'other' ELSE '{TOPIC}' END AS topic, CAST(id % 4 AS INTEGER) AS partition, max(id) + 1 AS next_offset FROM rec GROUP BY ALL",
         "dashboard_stages": f"{counts} {card}",
-        "dashboard_texts": f"""{counts}, {_DAILY_SUBS} SELECT k.workspace_id, CASE WHEN sla_status = 'healthy' THEN 'Data SLA healthy · ' || accepted_event_count || ' accepted event' || CASE WHEN accepted_event_count = 1 THEN '' ELSE 's' END ELSE 'Data SLA stale · funnel commentary is suppressed' END AS health,
-  CASE WHEN {least} = 9 THEN 'No qualified stage transition yet.' ELSE CASE {least} WHEN c1 THEN '{labels[1]}' WHEN c2 THEN '{labels[2]}' ELSE '{labels[3]}' END || ' has the largest observed drop-off: ' || {_PCT.format(least)} || ' continue from the prior stage.' END AS drop_off,
-  CASE WHEN sla_status <> 'healthy' THEN 'Checks paused' WHEN anomaly_status = 'anomaly' THEN 'Change detected' WHEN anomaly_status = 'normal' THEN 'Within expected range' WHEN anomaly_status = 'insufficient_variation' THEN 'Baseline too uniform' ELSE 'Baseline pending' END AS anomaly_title
+        "dashboard_texts": f"""{counts}, {_DAILY_SUBS} SELECT k.workspace_id, CASE WHEN sla_status = 'healthy' THEN '{v.HEALTHY_HEAD}' || accepted_event_count || '{v.EVENT_TAIL}' || CASE WHEN accepted_event_count = 1 THEN '' ELSE 's' END ELSE '{v.STALE_HEAD}' END AS health,
+  CASE WHEN {least} = 9 THEN '{v.NO_STEP_TEXT}' ELSE CASE {least} WHEN c1 THEN '{labels[1]}' WHEN c2 THEN '{labels[2]}' ELSE '{labels[3]}' END || '{v.STEP_TEXT[0]}' || {_PCT.format(least)} || '{v.STEP_TEXT[1]}' END AS drop_off,
+  CASE WHEN sla_status <> 'healthy' THEN '{v.PAUSED}' WHEN anomaly_status = 'anomaly' THEN '{v.CHANGED}' WHEN anomaly_status = 'normal' THEN '{v.EXPECTED}' WHEN anomaly_status = 'insufficient_variation' THEN '{v.UNIFORM}' ELSE '{v.PENDING}' END AS anomaly_title
   FROM k JOIN fresh USING (workspace_id) JOIN st USING (workspace_id)""",
         "scenario_summary": f"SELECT col0 AS scenario, col1 AS event_name, CAST(col2 AS BIGINT) AS attempted, CAST(col3 AS BIGINT) AS accepted, CAST(col2 - col3 AS BIGINT) AS duplicates FROM (SELECT * FROM ({plans} UNION ALL SELECT 'retries', 'vpv', 3, 2 UNION ALL SELECT 'retries', 'signup_completed', 1, 1 UNION ALL SELECT 'retries', 'activation_completed', 1, 1 UNION ALL SELECT 'retries', 'subscription_started', 1, 1 UNION ALL SELECT 'subscription-anomaly', 'subscription_started', 51, 51) x(col0, col1, col2, col3))",
         "stream_bronze_dedupe": f"{_W}, {_REC} SELECT workspace_id, event_id, anonymous_id, event_name FROM rec WHERE NOT bad AND NOT wrong",
-        "stream_dead_letter": f"{_W}, {_REC} SELECT CASE WHEN id % 23 = 0 THEN 'other' ELSE '{TOPIC}' END AS topic, CAST(id % 4 AS INTEGER) AS partition, id AS \"offset\", CASE WHEN bad THEN 'invalid_event_envelope' ELSE 'invalid_topic_or_partition_key' END AS reason FROM rec WHERE bad OR wrong",
+        "stream_dead_letter": f"{_W}, {_REC} SELECT CASE WHEN id % 23 = 0 THEN 'other' ELSE '{TOPIC}' END AS topic, CAST(id % 4 AS INTEGER) AS partition, id AS \"offset\", CASE WHEN bad THEN 'invalid_event_envelope' ELSE 'invalid_topic_or_partition_key' END AS reason FROM (SELECT * FROM rec UNION ALL SELECT * FROM rec WHERE id % 20 = 0) WHERE bad OR wrong",
         "time_to_next_stage": f"{_W}, f AS ({_firsts('silver')}), x AS (" + " UNION ALL ".join(f"SELECT workspace_id, '{STAGES[k]}' AS stage_name, (epoch_us(t{k}) - epoch_us(t{k - 1})) / 1e6 AS s FROM f WHERE t{k} >= t{k - 1}" for k in (1, 2, 3)) + ") SELECT workspace_id, stage_name, count(*) AS journeys, median(s) AS median_seconds FROM x GROUP BY ALL",
         "return_within_week": f"{_W}, x AS (SELECT DISTINCT workspace_id, substr(anonymous_id, 1, 18) AS u, CAST(occurred_at AS DATE) AS d FROM silver), y AS (SELECT *, min(d) OVER (PARTITION BY workspace_id, u) AS f FROM x), z AS (SELECT workspace_id, u, f, bool_or(d - f BETWEEN 1 AND 7) AS back FROM y GROUP BY ALL) SELECT workspace_id, CAST(f AS VARCHAR) AS first_day, count(*) AS new_users, count(*) FILTER (back) AS returned FROM z GROUP BY ALL",
         "sessions": f"{_W}, x AS (SELECT workspace_id, occurred_at - lag(occurred_at) OVER (PARTITION BY workspace_id, anonymous_id ORDER BY occurred_at, event_id) AS gap FROM silver) SELECT workspace_id, count(*) FILTER (gap IS NULL OR gap > INTERVAL 30 MINUTE) AS sessions, count(*) AS event_count FROM x GROUP BY ALL",
         "retention_cohorts": f"{_W}, x AS (SELECT DISTINCT substr(anonymous_id, 1, 18) AS u, date_diff('day', DATE '2024-01-01', CAST(occurred_at AS DATE)) // 7 AS week FROM silver), y AS (SELECT *, min(week) OVER (PARTITION BY u) AS cohort FROM x) SELECT cohort, week - cohort AS weeks_later, count(*) AS users FROM y GROUP BY ALL",
         "source_breakdown": f"{_W} SELECT workspace_id, event_name, count(*) AS event_count, count(DISTINCT anonymous_id) AS users FROM silver GROUP BY ALL",
         "quality_gates": f"{_W}, b AS (SELECT workspace_id, count(*) AS bronze_rows, count(DISTINCT event_id) AS bronze_events, count(*) FILTER (occurred_at IS NULL) AS null_times FROM bronze GROUP BY ALL), s AS (SELECT workspace_id, count(*) AS silver_rows FROM silver GROUP BY ALL) SELECT *, bronze_rows - bronze_events AS duplicates, bronze_events = silver_rows AS reconciled FROM b JOIN s USING (workspace_id)",
+        **more.oracle_sql(),
     }
