@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import date
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedupe, funnel, serving
 from ..sources.events import COLUMNS, scan_range
+from ..sources.sinks import append_bronze, exists, overwrite_days, replace_text
 
 
 @dataclass(frozen=True)
@@ -33,28 +35,6 @@ def days_of_interval(start: str, end: str) -> list[str]:
     return sorted({start[:10], end[:10]})
 
 
-def overwrite_days(df: DataFrame, path: str, start: str, end: str) -> None:
-    """Replaces the days [start, end] of a table partitioned by event_date; days that df has no rows for become empty.
-
-    Dynamic overwrite leaves partitions without new rows as they are, so these are removed first.
-    """
-    spark = df.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm_path):
-        kept = {str(r[0]) for r in df.where(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("event_date").distinct().collect()}
-        for s in fs.listStatus(jvm_path):
-            name = s.getPath().getName()
-            if name.startswith("event_date=") and start <= (day := name.removeprefix("event_date=")) <= end and day not in kept:
-                fs.delete(s.getPath(), True)
-    # a rebalance by day gives each day's files one writer, or several where the day is large
-    df.hint("rebalance", "event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
-
-
-def append_bronze(df: DataFrame, path: str) -> None:
-    df.withColumn("event_date", F.to_date("occurred_at")).write.mode("append").partitionBy("event_date").parquet(path)
-
-
 def rebuild(spark: SparkSession, bronze: str, silver: str, gold: str, config: RebuildConfig, completed_at: str) -> DataFrame:
     """Rebuilds Silver and Gold for the days of the config and returns the new Gold rows. A rerun changes nothing."""
     between = F.col("event_date").between(F.lit(config.start).cast("date"), F.lit(config.end).cast("date"))
@@ -68,8 +48,44 @@ def rebuild(spark: SparkSession, bronze: str, silver: str, gold: str, config: Re
     return spark.read.parquet(gold).where(between)
 
 
+def run_hour(spark: SparkSession, bronze: str, silver: str, gold: str, served: str, interval: tuple[str, str], run_id: str, lookback_days: int = 30, retries: int = 2, delay: float = 300.0) -> str:
+    """The hourly run over an interval (start, end; ISO text): rebuilds its days, then publishes them; returns the version.
+
+    One run at a time: a marker beside Gold names the run that is at work, and another one raises. A failed attempt is
+    repeated, twice by default, after a delay; both steps may be repeated safely. Each day is published as a snapshot,
+    which the current view takes once it is whole.
+    """
+    version, lock = f"hourly-{run_id}", f"{gold.rstrip('/')}.lock"
+    path = spark._jvm.org.apache.hadoop.fs.Path(lock)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.createNewFile(path):
+        raise RuntimeError(f"another run is at work: {lock}")
+    try:
+        for day in days_of_interval(*interval):
+            for attempt in range(retries + 1):
+                try:
+                    rows = rebuild(spark, bronze, silver, gold, RebuildConfig(day, day, version, lookback_days), interval[1].replace("T", " "))
+                    publish(rows, served, day, version)
+                    break
+                except Exception:
+                    if attempt == retries:
+                        raise
+                    time.sleep(delay)
+    finally:
+        fs.delete(path, False)
+    return version
+
+
 def publish(gold: DataFrame, path: str, event_date: str, version: str) -> None:
-    """Appends one day's snapshot to the serving table; the current view picks the last one."""
+    """Appends one day's snapshot to the serving table; the current view picks the last one.
+
+    A snapshot that the table has already is not appended again.
+    """
+    spark = gold.sparkSession
+    if exists(spark, path):
+        day = F.col("event_date") == F.lit(event_date).cast("date")
+        if not spark.read.parquet(path).where(day & (F.col("snapshot_version") == version)).isEmpty():
+            return
     rows = gold.where((F.col("event_date") == F.lit(event_date).cast("date")) & (F.col("snapshot_version") == version)).select(serving.COLUMNS)
     rows.withColumn("month", F.date_format("event_date", "yyyyMM")).sortWithinPartitions("workspace_id", "event_date").write.mode("append").partitionBy("month").parquet(path)
 
@@ -82,3 +98,11 @@ def publish_jdbc(gold: DataFrame, url: str, table: str, **options: str) -> None:
 def delete_subject(df: DataFrame, subjects: DataFrame) -> DataFrame:
     """Rows without those of the (workspace_id, anonymous_id) to forget; Gold is rebuilt from the result."""
     return df.join(subjects, ["workspace_id", "anonymous_id"], "left_anti")
+
+
+def write_report(spark: SparkSession, path: str, document: str) -> None:
+    """Replaces a published report by a whole new one."""
+    replace_text(spark, path, document)
+
+
+__all__ = ["RebuildConfig", "append_bronze", "days_of_interval", "delete_subject", "overwrite_days", "publish", "publish_jdbc", "rebuild", "run_hour", "write_report"]

@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.values import TOPIC, partition_key
 from ..operators import dedupe, validate
 from ..sources.events import COLUMNS
+from ..sources.sinks import append_new, exists
 
 RECORD = "topic string, partition int, offset long, key string, value string"
+DEAD_LETTER = "topic string, partition int, offset long, reason string"
+COUNTERS = "batch long, polled long, materialized long, dead_lettered long"
+LATENESS = "2 hours"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_records(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -20,6 +26,17 @@ def read_records(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", max_files).json(path)
 
 
+def read_kafka(spark: SparkSession, servers: str, topic: str = TOPIC, max_offsets: int = 500, **options: str):
+    """A reader of a topic from its earliest offset; load() gives the stream. Needs the Kafka connector on the class path."""
+    chosen = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "maxOffsetsPerTrigger": str(max_offsets)}
+    return spark.readStream.format("kafka").options(**chosen, **options)
+
+
+def kafka_records(stream: DataFrame) -> DataFrame:
+    """The columns of an event-log record of a loaded Kafka stream."""
+    return stream.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 def split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows with Bronze columns, and dead letters with reason and place only, never the payload."""
     parsed = validate.dead_letter_reason(validate.parse_envelope(records))
@@ -27,37 +44,69 @@ def split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.where("reason is not null").select("topic", "partition", "offset", "reason")
 
 
-def _append_new(spark: SparkSession, good: DataFrame, bronze: str) -> None:
-    good = dedupe.silver(good)
-    path = spark._jvm.org.apache.hadoop.fs.Path(bronze)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path) and len(fs.listStatus(path)):
-        known = spark.read.parquet(bronze).select(*dedupe.KEY)
-        good = good.join(known, dedupe.KEY, "left_anti")
-    good.write.mode("append").parquet(bronze)
+def counters(records: DataFrame, batch: int = 0) -> DataFrame:
+    """How many records a batch polled, materialized (repeats count) and dead-lettered."""
+    reason = validate.dead_letter_reason(validate.parse_envelope(records)).select("reason")
+    return reason.select(F.lit(batch).cast("long").alias("batch"), "reason").groupBy("batch").agg(F.count("*").alias("polled"), F.count_if(F.col("reason").isNull()).alias("materialized"), F.count("reason").alias("dead_lettered"))
+
 
+def with_lateness(rows: DataFrame, latest: str, allowed: str = LATENESS) -> DataFrame:
+    """Adds is_late: the event is older than `latest` (an instant as text) less the allowed lateness. Late rows stay."""
+    return rows.withColumn("is_late", F.col("occurred_at") < F.lit(latest).cast("timestamp_ntz") - F.expr(f"interval {allowed}"))
 
-def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint: str):
-    """Runs over all that is there and ends: new events to Bronze, others to the dead letters.
+
+def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint: str, counted: str | None = None, strict: bool = False, every: str | None = None):
+    """Runs over all that is there and ends: new events to Bronze, others to the dead letters. Returns the query.
 
     Each batch is split, then appended against the ids that Bronze has; a replayed batch finds its own rows there, so it
-    adds none. A failing write fails the batch, and the checkpoint stays where it was. Dead letters come at least once.
+    adds none. A failing write fails the batch, and the checkpoint stays where it was. Dead letters and counters come at
+    least once. `strict`: the first bad record fails the batch instead. `every` ("30 seconds"): goes on at that interval
+    until stopped.
     """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             good, bad = split(batch)
-            _append_new(batch.sparkSession, good, bronze)
+            if strict and not bad.isEmpty():
+                raise ValueError(f"a record cannot be read: {bad.first()['reason']}")
+            append_new(good, bronze)
             bad.write.mode("append").json(dead_letters)
+            if counted:
+                counters(batch, number).write.mode("append").json(counted)
         finally:
             batch.unpersist()
 
-    query = records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def publish_then_store(events: DataFrame, log: str, store: str) -> None:
+    """Appends accepted events to the durable log, then to the store, each against the keys that it has.
+
+    If the second write fails, the log has the events already: the same call again adds them to the store alone.
+    """
+    events = events.persist()
+    try:
+        for path in (log, store):
+            append_new(events, path)
+    finally:
+        events.unpersist()
+
+
+def replay_log(spark: SparkSession, log: str, store: str, checkpoint: str) -> None:
+    """Brings the events of a log into a store from the checkpoint on; what the store has already is not written again."""
+    if not exists(spark, log):
+        return
+    rows = spark.readStream.schema(spark.read.parquet(log).schema).parquet(log)
+    query = rows.writeStream.foreachBatch(lambda batch, _: append_new(batch.select(COLUMNS), store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 class FirstSeen(StatefulProcessor):
     """Emits the first row of each key; the key is forgotten after a time to live."""
 
@@ -88,10 +137,34 @@ def first_seen(good: DataFrame) -> DataFrame:
     return good.groupBy(*dedupe.KEY).transformWithStateInPandas(FirstSeen(), outputStructType=good.schema, outputMode="Append", timeMode="ProcessingTime")
 
 
+def ingest_first_seen(records: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends the first good record of each key to a file sink, by the keyed state, over all that is there."""
+    spark = records.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        query = first_seen(split(records)[0]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(once=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def provisional_counts(events: DataFrame, size: str = "1 hour", allowed: str = LATENESS) -> DataFrame:
+    """Provisional users of each stage in tumbling windows of event time, for a batch or a stream with update mode.
+
+    A stream keeps a window open for the allowed lateness; what comes later is left to the canonical batch.
+    """
+    rows = events.where("occurred_at is not null").withColumn("at", F.col("occurred_at").cast("timestamp"))
+    if events.isStreaming:
+        rows = rows.withWatermark("at", allowed)
+        users = F.approx_count_distinct("anonymous_id")  # exact distinct needs all ids in the state
+    else:
+        users = F.count_distinct("anonymous_id")
+    return rows.groupBy("workspace_id", "event_name", F.window("at", size).alias("w")).agg(F.count("*").alias("event_count"), users.alias("users")).select("workspace_id", "event_name", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_count", "users")
+
+
 def to_records(events: DataFrame) -> DataFrame:
     """Event-log records of Bronze rows, as a producer would write them."""
-    from ..functions.values import TOPIC, partition_key
-
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     event = F.struct("event_id", "anonymous_id", "event_name", iso("occurred_at").alias("occurred_at"), iso("received_at").alias("received_at"), "schema_version", "tracking_plan_version", "funnel_definition_version")
     value = F.to_json(F.struct("workspace_id", event.alias("event")))
