@@ -12,28 +12,44 @@ from ..functions.values import (
 INSTANT = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:\d\d)\z"
 
 
+#: Objects inside an event; each is taken from the parsed event once, as a map from key to value.
+OBJECTS = ("consent", "context", "properties")
+
+
 class _Paths:
-    """Columns for the kinds and texts of JSON paths, each computed once for a row."""
+    """Columns for the kinds and texts of JSON paths, at most one object deep, each computed once for a row."""
 
     def __init__(self) -> None:
         self.at: dict[str, int] = {}
 
+    def object(self, name: str = "root") -> Column:
+        """The event's or an inner object's values by key; null if it is no object."""
+        return F.col(f"_map_{name}")
+
     def kind(self, path: str) -> Column:
         """STRING, BOOLEAN, OBJECT<…>, … or null where the path is absent."""
         return F.col(f"_kind{self.at.setdefault(path, len(self.at))}")
 
+    def value(self, path: str) -> Column:
+        self.kind(path)
+        return F.col(f"_value{self.at[path]}")
+
     def text(self, path: str) -> Column:
         """A value only if it is a JSON string."""
         self.kind(path)
         return F.col(f"_text{self.at[path]}")
 
     def add(self, df: DataFrame, raw: str) -> DataFrame:
-        df = df.withColumn("_json", F.try_parse_json(raw))
-        df = df.withColumns({f"_kind{k}": F.schema_of_variant(F.try_variant_get("_json", p, "variant")) for p, k in self.at.items()})
-        return df.withColumns({f"_text{k}": F.when(F.col(f"_kind{k}") == "STRING", F.try_variant_get("_json", p, "string")) for p, k in self.at.items()})
+        as_map = lambda c: F.try_variant_get(c, "$", "map<string,variant>")
+        df = df.withColumn("_json", F.try_parse_json(raw)).withColumn("_map_root", as_map(F.col("_json")))
+        df = df.withColumns({f"_map_{name}": as_map(F.element_at("_map_root", name)) for name in OBJECTS})
+        places = {k: p.removeprefix("$.").split(".") for p, k in self.at.items()}
+        df = df.withColumns({f"_value{k}": F.element_at(self.object(p[0] if len(p) > 1 else "root"), p[-1]) for k, p in places.items()})
+        df = df.withColumns({f"_kind{k}": F.schema_of_variant(f"_value{k}") for k in places})
+        return df.withColumns({f"_text{k}": F.when(F.col(f"_kind{k}") == "STRING", F.try_variant_get(f"_value{k}", "$", "string")) for k in places})
 
     def drop(self, df: DataFrame) -> DataFrame:
-        return df.drop("_json", *[f"_{x}{k}" for k in self.at.values() for x in ("kind", "text")])
+        return df.drop("_json", "_map_root", *[f"_map_{name}" for name in OBJECTS], *[f"_{x}{k}" for k in self.at.values() for x in ("value", "kind", "text")])
 
 
 def _array(values: list[str]) -> Column:
@@ -49,27 +65,27 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str,
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     raw, received_at, paths = F.col(raw_name), F.col(received_name), _Paths()
-    keys = lambda path: F.json_object_keys(F.get_json_object(raw, path))
-    extra = lambda path, allowed: F.size(F.array_except(keys(path), _array(allowed))) > 0
-    is_object = lambda path: F.coalesce(paths.kind(path).startswith("OBJECT"), F.lit(False))
+    # keys from the parsed value, but for the properties, whose order in the text counts
+    extra = lambda name, allowed: F.size(F.array_except(F.map_keys(paths.object(name)), _array(allowed))) > 0
+    is_object = lambda name: paths.object(name).isNotNull()
     name = paths.text("$.event_name")
     id_ok = lambda path: F.coalesce(F.length(paths.text(path)).between(16, 128), F.lit(False))
     version_ok = lambda f: F.coalesce(paths.text(f"$.{f}") == VERSION, F.lit(False))
-    consent = is_object("$.consent") & F.coalesce((paths.kind("$.consent.analytics") == "BOOLEAN") & F.try_variant_get("_json", "$.consent.analytics", "boolean"), F.lit(False)) & ~F.coalesce(extra("$.consent", ["analytics"]), F.lit(False))
+    consent = is_object("consent") & F.coalesce((paths.kind("$.consent.analytics") == "BOOLEAN") & F.try_variant_get(paths.value("$.consent.analytics"), "$", "boolean"), F.lit(False)) & ~F.coalesce(extra("consent", ["analytics"]), F.lit(False))
     # any scalar counts as its text, also a null
-    version = F.try_variant_get("_json", "$.context.sdk_version", "string")
+    version = F.try_variant_get(paths.value("$.context.sdk_version"), "$", "string")
     sdk = F.coalesce((paths.kind("$.context.sdk_version") == "VOID") | (~paths.kind("$.context.sdk_version").rlike("^(OBJECT|ARRAY)") & not_blank(version)), F.lit(False))
-    context = is_object("$.context") & F.coalesce(paths.text("$.context.platform") == "web", F.lit(False)) & sdk & ~F.coalesce(extra("$.context", ["platform", "sdk_version"]), F.lit(False))
+    context = is_object("context") & F.coalesce(paths.text("$.context.platform") == "web", F.lit(False)) & sdk & ~F.coalesce(extra("context", ["platform", "sdk_version"]), F.lit(False))
     occurred = paths.text("$.occurred_at")
     instant = F.when(occurred.rlike(INSTANT), F.try_to_timestamp(occurred))
     in_time = F.coalesce((instant <= received_at + F.expr("interval 5 minutes")) & (instant >= received_at - F.expr("interval 365 days")), F.lit(False))
 
-    known = sorted({p for names in ALLOWED_PROPERTIES.values() for p in names})
-    kinds = F.create_map(*[x for p in known for x in (F.lit(p), paths.kind(f"$.properties.{p}"))])
-    allowed = F.create_map(*[x for e, names in ALLOWED_PROPERTIES.items() for x in (F.lit(e), _array(names))])
+    allowed = F.lit(None).cast("array<string>")
+    for e, names in ALLOWED_PROPERTIES.items():
+        allowed = F.when(name == e, _array(names)).otherwise(allowed)
     by_key = F.transform(
-        keys("$.properties"),
-        lambda k: F.when(k.rlike(f"(?i){SENSITIVE}"), "sensitive_property").when(~F.array_contains(allowed[name], k), "unallowed_property").when(F.coalesce(kinds[k] != "STRING", F.lit(True)), "invalid_property_type"),
+        F.json_object_keys(F.get_json_object(raw, "$.properties")),
+        lambda k: F.when(k.rlike(f"(?i){SENSITIVE}"), "sensitive_property").when(~F.array_contains("_allowed", k), "unallowed_property").when(~F.coalesce(F.schema_of_variant(F.element_at(paths.object("properties"), k)) == "STRING", F.lit(False)), "invalid_property_type"),
     )
     property_reason = F.get(F.filter(by_key, lambda r: r.isNotNull()), F.lit(0))
     prop = lambda p: paths.text(f"$.properties.{p}")
@@ -90,8 +106,8 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str,
     )
     code = (
         F.when(F.col("_json").isNull(), "invalid_json")
-        .when(~is_object("$"), "invalid_payload")
-        .when(F.size(F.array_except(F.json_object_keys(raw), _array([*ENVELOPE_FIELDS, *server_fields]))) > 0, "unallowed_envelope_field")
+        .when(~is_object("root"), "invalid_payload")
+        .when(extra("root", [*ENVELOPE_FIELDS, *server_fields]), "unallowed_envelope_field")
         .when(~F.coalesce(name.isin(EVENT_NAMES), F.lit(False)), "unsupported_event_name")
         .when(~(id_ok("$.event_id") & id_ok("$.anonymous_id") & id_ok("$.session_id")), "invalid_identifier")
         .when(paths.kind("$.user_id").isNotNull() & ~id_ok("$.user_id"), "invalid_identifier")
@@ -99,11 +115,12 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str,
         .when(~(consent & context), "invalid_context_or_consent")
         .when(occurred.isNull(), "missing_occurred_at")
         .when(~in_time, "invalid_event_time")
-        .when(~is_object("$.properties"), "invalid_properties")
+        .when(~is_object("properties"), "invalid_properties")
         .otherwise(F.coalesce(property_reason, F.when(missing, "missing_required_property"), value_reason))
     )
     # A generator of one row: the code is computed once, and no filter on it is moved below with a copy of all of this.
-    return paths.drop(paths.add(df, raw_name).select("*", F.inline(F.array(F.struct(code.alias(name_out))))))
+    rows = paths.add(df, raw_name).withColumn("_allowed", allowed)
+    return paths.drop(rows.select("*", F.inline(F.array(F.struct(code.alias(name_out)))))).drop("_allowed")
 
 
 def validate(df: DataFrame, raw: str = "raw", received_at: str = "received_at") -> DataFrame:
