@@ -307,7 +307,8 @@ def _leaves(sigs: DataFrame, sets: DataFrame, brief: DataFrame, space: Workspace
         return leaves
     # a leaf of one depth may come again at another
     rows = space.save(reduce(DataFrame.unionByName, [*kept, leaves]).select("fp", "leaf").distinct(), "leaves")
-    return rows.join(rows.groupBy("leaf").agg(F.count("*").alias("n")), "leaf")
+    # counts are written before they are joined, so that Spark can split a leaf with very many sets
+    return rows.join(space.save(rows.groupBy("leaf").agg(F.count("*").alias("n")), "counts"), "leaf")
 
 
 def _deeper(words: DataFrame, runs: int, threshold: float, depth: int) -> DataFrame:
