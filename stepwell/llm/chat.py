@@ -31,7 +31,7 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
 
     Turns go by (turn, role, text); repeated rows are turns of their own; a null role or text counts as empty, and rows
     with a null conv_id form one conversation. Turns after the last reply come as one further example without a
-    trainable span, so that no turn is lost. Returns conv_id, example (from 0), n_turns, last (holds the whole
+    trainable span, so that no turn is lost. An empty table gives no rows; no text is cut. Returns conv_id, example (from 0), n_turns, last (holds the whole
     conversation), formatted, loss_start and loss_chars (code points). Extra columns are left out. A conversation is
     atomic: it is gathered into one row, as its examples are.
     """
@@ -74,6 +74,7 @@ def read_back(examples: DataFrame) -> DataFrame:
 
 
 def op3_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one planted as -1; rows that a table itself has under -1 would be turns of that one."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(f"select -1L as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role, '{PLANTED}' as text from range(0, 2)")
     return read_back(prefix_targets(rows.unionByName(planted)))

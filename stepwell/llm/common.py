@@ -27,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests).
+
+    Only a local session gets one of its own, which is removed at its end: machines of a cluster would not share it.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="stepwell-"))
         atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
@@ -88,15 +93,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bounded_sample(df: DataFrame, keep: int, *columns: str) -> list:
-    """At most about `keep` rows, the same ones at every run: those whose hash of `columns` is smallest.
-
-    The bound is a parameter of the models that are fitted on it; the statistics of a corpus never use it.
-    """
-    picked = df.withColumn("_pick", F.xxhash64(F.lit(17), *columns)).orderBy("_pick", *columns).limit(keep)
-    return picked.drop("_pick").collect()
-
-
 def local_path(uri: str) -> str | None:
     """The path behind a file: URI, or None if it names another store."""
     if uri.startswith("file:"):

@@ -234,7 +234,11 @@ def pack(rows: DataFrame, space: Workspace, length: int = LENGTH, bucket: int =
 
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece; an empty table gives no rows."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
+
+    A null text is an empty one, of the end id alone; null ids stay null. Repeated rows are packed as often as they
+    come, ties between equal lengths go by the row's place in the table. An empty table gives no rows.
+    """
     space = Workspace(docs.sparkSession, "packing")
     rows = space.save(pieces(docs, tokenizer), "pieces")
     return pack(rows, space).drop("uid")

@@ -295,6 +295,41 @@ def test_packing_fills_and_improves():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], sizes, 10)) == 2
 
 
+def fewest(sizes, capacity):
+    """The least number of bins, by trying all ways to fill them."""
+    sizes, best = sorted(sizes, reverse=True), len(sizes)
+
+    def go(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(sizes):
+            best = len(fills)
+            return
+        for f in set(fills):
+            if f + sizes[k] <= capacity:
+                i = fills.index(f)
+                go(k + 1, [*fills[:i], f + sizes[k], *fills[i + 1 :]])
+        go(k + 1, [*fills, sizes[k]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_of_small_cases_against_all_ways():
+    rng, above = np.random.default_rng(5), 0
+    for _ in range(1000):
+        capacity = int(rng.integers(10, 60))
+        sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 10)))
+        found = packing.local_search(packing.best_fit(sizes, capacity), sizes, capacity)
+        assert sorted(i for b in found for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= capacity for b in found)
+        above += len(found) - fewest(sizes.tolist(), capacity)
+    assert above <= 1  # a search for local optima: one more bin now and then
+    for low, high, most in ((1100, 2000, 1.1), (900, 1500, 1.03)):
+        sizes = np.random.default_rng(1).integers(low, high, 2000)
+        assert len(packing.local_search(packing.best_fit(sizes, 4096), sizes, 4096)) <= most * -(-sizes.sum() // 4096)
+
+
 def exchanges_left(bins, sizes, capacity):
     """Pairs of bins between which a move, a swap or a two-for-one exchange into the fuller one is left."""
     found, bins = 0, [[int(sizes[k]) for k in b] for b in bins]

@@ -90,6 +90,15 @@ def test_prefix_targets(spark):
         assert got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[conv]["loss_chars"] == len(loss)
 
 
+def test_prefix_targets_of_long_texts_and_empty_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, formatted string, last string"
+    long = "a <|im_end|> of many words\n" * 40_000
+    rows = [(1, 0, "user", long, "x", "y"), (1, 1, "assistant", long + "!", "x", "y"), (1, 2, "user", "", "x", "y")]
+    got = chat.read_back(chat.prefix_targets(spark.createDataFrame(rows, schema))).collect()
+    assert [(r["conv_id"], r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in got] == [(1, 3, len(long) + 1, hashlib.sha256((long + "!").encode()).hexdigest())]
+    assert chat.read_back(chat.prefix_targets(spark.createDataFrame([], schema))).count() == 0
+
+
 def test_quality_query(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
     rows = {r["doc_id"]: r for r in quality.verdicts(odd, quality.fit_lines(odd, labels)).collect()}
