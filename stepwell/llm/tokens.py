@@ -8,6 +8,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .common import Workspace, local_path, table
 END_ID = 2
 #: Words, and chunks between blanks, that an encoder remembers at most; beyond that it forgets all and begins anew.
 REMEMBERED = 600_000
+#: Texts that go to Python at once.
+BATCH_ROWS = 1000
 #: Bytes of text in a part; documents and ids that a reader holds at once; tasks that read.
 PART_BYTES, READ_DOCS, READ_IDS, READ_TASKS = 256 << 20, 10_000, 1 << 22, 20_000
 
@@ -138,6 +141,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While it lasts, texts go to Python in batches of so many rows: buffers on both sides stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[dict[str, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -211,7 +226,8 @@ def write_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID,
         out.finish()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "docs": pa.array([out.docs], pa.int64()), "ids": pa.array([out.ids], pa.int64()), "nulls": pa.array([nulls], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int64())})
 
-    counts = sorted(rows.mapInArrow(write, "part long, docs long, ids long, nulls long, width long").collect())
+    with small_batches(spark):
+        counts = sorted(rows.mapInArrow(write, "part long, docs long, ids long, nulls long, width long").collect())
     made = [r.asDict() for r in counts if r["docs"]]
     base_docs = base_ids = 0
     for r in made:
