@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from pyspark.sql.types import StructType
 #: A word, as every contract of this package has it.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts that go to Python at once.
+BATCH_ROWS = 1000
+
 _own_root: list[str] = []
 
 
@@ -60,6 +64,18 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While it lasts, texts go to Python in batches of so many rows: buffers on both sides stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 2000) -> DataFrame:
     """Applies fn to slices of at most `rows` rows, as {column: list}, and yields what it returns under the DDL schema."""
     out = to_arrow_schema(StructType.fromDDL(schema))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Workspace, arrow_map, mix64, table
+from .common import Workspace, arrow_map, mix64, small_batches, table
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
 #: Levels of splitting, members of a bucket that is not split further, members of a block that one task compares.
@@ -362,7 +362,8 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
     each set with the number of partners that the block decided, and its root in the block. Every pair is decided by
     exact similarity.
     """
-    sigs = space.save(_signatures(docs, runs_for(recall, threshold)), "signatures")
+    with small_batches(docs.sparkSession):
+        sigs = space.save(_signatures(docs, runs_for(recall, threshold)), "signatures")
     sets = space.save(sigs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size")), "sets")
     brief = sigs.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     brief = space.save(brief, "brief")

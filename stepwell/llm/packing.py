@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, small_batches, table
 from .tokens import encoder, slices
 
 LENGTH, END_ID = 4096, 1
@@ -240,7 +240,8 @@ def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     come, ties between equal lengths go by the row's place in the table. An empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "packing")
-    rows = space.save(pieces(docs, tokenizer), "pieces")
+    with small_batches(docs.sparkSession):
+        rows = space.save(pieces(docs, tokenizer), "pieces")
     return pack(rows, space).drop("uid")
 
 

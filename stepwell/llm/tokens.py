@@ -8,7 +8,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, local_path, table
+from .common import Workspace, local_path, small_batches, table
 
 END_ID = 2
 #: Words, and chunks between blanks, that an encoder remembers at most; beyond that it forgets all and begins anew.
 REMEMBERED = 600_000
-#: Texts that go to Python at once.
-BATCH_ROWS = 1000
 #: Bytes of text in a part; documents and ids that a reader holds at once; tasks that read.
 PART_BYTES, READ_DOCS, READ_IDS, READ_TASKS = 256 << 20, 10_000, 1 << 22, 20_000
 
@@ -141,18 +138,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """While it lasts, texts go to Python in batches of so many rows: buffers on both sides stay small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[dict[str, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
