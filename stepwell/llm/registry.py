@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, jaccard, langid, mixing, ogg, packing, quality, sharding, tokens
+from . import chat, fim, html, jaccard, langid, mixing, ogg, packing, quality, sharding, tokens, yinyang
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": tokens.op8_token_files,
         "op9_swap_packing": packing.op9_swap_packing,
         "op10_water_filling": mixing.op10_water_filling,
+        "op11_yinyang_clusters": yinyang.op11_yinyang_clusters,
+        "op12_fill_in_middle": fim.op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_targets": chat.OP3_SQL, "op10_water_filling": mixing.OP10_SQL}
+    return {
+        "op3_prefix_targets": chat.OP3_SQL,
+        "op10_water_filling": mixing.OP10_SQL,
+        "op11_yinyang_clusters": yinyang.OP11_SQL,
+        "op12_fill_in_middle": fim.OP12_SQL,
+    }

@@ -30,7 +30,7 @@ def odd(spark):
 
 def test_sql_agrees(spark):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got, want = registry.queries()[name](spark, SF).toPandas(), con.execute(sql).df()
