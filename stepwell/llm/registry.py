@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fim, html, jaccard, langid, mixing, ogg, packing, quality, sharding, tokens, yinyang
+from . import chat, debruijn, fim, html, jaccard, langid, mixing, ogg, packing, quality, sharding, tokens, yinyang
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_water_filling": mixing.op10_water_filling,
         "op11_yinyang_clusters": yinyang.op11_yinyang_clusters,
         "op12_fill_in_middle": fim.op12_fill_in_middle,
+        "op13_compacted_spans": debruijn.op13_compacted_spans,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_water_filling": mixing.OP10_SQL,
         "op11_yinyang_clusters": yinyang.OP11_SQL,
         "op12_fill_in_middle": fim.OP12_SQL,
+        "op13_compacted_spans": debruijn.OP13_SQL,
     }
