@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import Workspace, arrow_map, mix64, small_batches, table
 
@@ -20,6 +23,7 @@ TOGETHER = 200
 _STEP = 0x9E3779B97F4A7C15
 _RATIO = 0xD1342543DE82EF95 - 2  # one more than twice an odd number: its powers differ in as many bits as they can
 _RATIO_INVERSE = pow(_RATIO, -1, 2**64)
+_SPAN = "struct<start: int, end: int, src_start: int, src_doc: long, src_tag: long, path: int>"
 #: An id that is no smaller than any: that of rows without one.
 LAST_ID = 2**63 - 1
 
@@ -87,55 +91,86 @@ def long_edges(words: Words) -> dict[str, np.ndarray]:
     return {"kmer": best.view(np.int64), "around": around.view(np.int64), "lo": q[first] - words.starts[text], "hi": q[last] - words.starts[text], "text": text}
 
 
-def _sliced(rows: DataFrame, fn: Callable[[dict[str, list]], dict], schema: str) -> DataFrame:
-    return arrow_map(rows, fn, schema, rows=TOGETHER)
+def _mapped(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, slice_rows: int = TOGETHER) -> DataFrame:
+    """Applies fn to slices of rows, as Arrow batches; it returns columns of the schema."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, slice_rows):
+                made = fn(batch.slice(at, slice_rows))
+                yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in out], schema=out)
 
-def _long_rows(rows: dict[str, list], columns: tuple[str, ...]) -> dict[str, np.ndarray]:
-    made = long_edges(Words(rows["text"]))
+    return rows.mapInArrow(run, schema)
+
+
+def _ids(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy() for n in names]
+
+
+def _sorted_lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The structs of all lists, each list by lo and hi, as arrays, and the list each comes from."""
+    row, values = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), column.flatten()
+    fields = {f.name: values.field(k).to_numpy() for k, f in enumerate(values.type)}
+    order = np.lexsort((fields["hi"], fields["lo"], row))
+    return row[order], {k: v[order] for k, v in fields.items()}
+
+
+def _goes_on(*steady: np.ndarray) -> np.ndarray:
+    """Whether each row has the values of the one before it; the first has none."""
+    out = np.zeros(len(steady[0]), bool)
+    out[1:] = np.logical_and.reduce([v[1:] == v[:-1] for v in steady])
+    return out
+
+
+def _adjoins(f: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether each edge's windows begin where those of the one before it end."""
+    out = np.zeros(len(f["lo"]), bool)
+    out[1:] = f["lo"][1:] == f["hi"][:-1] + 1
+    return out
+
+
+def _long_rows(batch: pa.RecordBatch, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    made = long_edges(Words(batch.column("text").to_pylist()))
     of = made.pop("text")
-    made |= {k: np.array(rows[k], np.int64)[of] for k in ("doc", "tag") if k in columns}
+    made |= {k: _ids(batch, k)[0][of] for k in ("doc", "tag") if k in columns}
     return {k: made[k] for k in columns}
 
 
-def _short_rows(rows: dict[str, list]) -> dict[str, np.ndarray]:
+def _short_rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """The windows of branching edges as edges of their own, named by two hashes."""
-    words = Words(rows["text"])
-    size = [[m["hi"] - m["lo"] + 1 for m in marks] for marks in rows["marks"]]
-    n = np.array([sum(s) for s in size], np.int64)
-    lo = np.array([q for marks in rows["marks"] for m in marks for q in range(m["lo"], m["hi"] + 1)], np.int64)
-    at = lo + np.repeat(words.starts, n)
+    words = Words(batch.column("text").to_pylist())
+    row, f = _sorted_lists(batch.column("marks"))
+    n = (f["hi"] - f["lo"] + 1).astype(np.int64)
+    row = np.repeat(row, n)
+    lo = np.repeat(f["lo"] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    at = lo + words.starts[row]
     kmers = np.zeros(len(at), np.uint64)
     for j in range(WINDOW):
         kmers = mix64((kmers + np.uint64(_STEP)) ^ words.hashes[at + j])
-    doc, tag = (np.repeat(np.array(rows[k], np.int64), n) for k in ("doc", "tag"))
+    doc, tag = (v[row] for v in _ids(batch, "doc", "tag"))
     return {"kmer": kmers.view(np.int64), "around": words.runs(at, at + WINDOW).view(np.int64), "doc": doc, "tag": tag, "lo": lo.astype(np.int32)}
 
 
-def _paths(rows: dict[str, list]) -> dict[str, list]:
+def _paths(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """Edges that follow each other in their source belong to one path, named by where it begins."""
-    out: dict[str, list] = {k: [] for k in ("kmer", "around", "src_doc", "src_tag", "src_lo", "path")}
-    for doc, tag, edges in zip(rows["doc"], rows["tag"], rows["edges"], strict=True):
-        path, ready = 0, None
-        for e in sorted(edges, key=lambda e: (e["lo"], e["hi"])):
-            if e["lo"] != ready:
-                path = e["lo"]
-            ready = e["hi"] + 1
-            for k, v in zip(out, (e["kmer"], e["around"], doc, tag, e["lo"], path), strict=True):
-                out[k].append(v)
-    return out
+    row, f = _sorted_lists(batch.column("edges"))
+    begins = np.flatnonzero(~(_goes_on(row) & _adjoins(f)))
+    path = np.repeat(f["lo"][begins], np.diff(begins, append=len(row)))
+    doc, tag = (v[row] for v in _ids(batch, "doc", "tag"))
+    return {"kmer": f["kmer"], "around": f["around"], "src_doc": doc, "src_tag": tag, "src_lo": f["lo"], "path": path}
 
 
-def merge_spans(marks: list[dict]) -> list[dict]:
-    """Marks of one document, joined while the next lies on the same path and both places go on in step."""
-    out: list[dict] = []
-    for m in sorted(marks, key=lambda m: (m["lo"], m["hi"])):
-        end, last = m["hi"] + WINDOW, out[-1] if out else None
-        if last and m["lo"] == last["end"] - WINDOW + 1 and all(m[k] == last[k] for k in ("src_doc", "src_tag", "path")) and m["src_lo"] - m["lo"] == last["src_start"] - last["start"]:
-            last["end"] = end
-        else:
-            out.append({"start": m["lo"], "end": end, "src_start": m["src_lo"]} | {k: m[k] for k in ("src_doc", "src_tag", "path")})
-    return out
+def _spans(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
+    """Marks of a document, joined while the next lies on the same path and both places go on in step."""
+    row, f = _sorted_lists(batch.column("marks"))
+    steady = _goes_on(row, f["src_doc"], f["src_tag"], f["path"], f["src_lo"].astype(np.int64) - f["lo"])
+    begins = np.flatnonzero(~(steady & _adjoins(f)))
+    ends = np.append(begins[1:], len(row)) - 1 if len(begins) else begins
+    fields = {"start": f["lo"][begins], "end": f["hi"][ends] + np.int32(WINDOW), "src_start": f["src_lo"][begins]} | {k: f[k][begins] for k in ("src_doc", "src_tag", "path")}
+    bounds = np.searchsorted(row[begins], np.arange(batch.num_rows + 1)).astype(np.int32)
+    doc, tag = _ids(batch, "doc", "tag")
+    return {"doc": doc, "tag": tag, "spans": pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields)))}
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -167,28 +202,27 @@ def repeated_spans(docs: DataFrame, space: Workspace | None = None) -> DataFrame
     first, last = F.min("doc").alias("first"), F.max("doc").alias("last")
     with small_batches(spark):
         # long edges: repeated ones, and whether they branch
-        seen = _sliced(rows.select("doc", "text"), partial(_long_rows, columns=("kmer", "around", "doc")), "kmer long, around long, doc long")
+        seen = _mapped(rows.select("doc", "text"), partial(_long_rows, columns=("kmer", "around", "doc")), "kmer long, around long, doc long")
         edges = seen.groupBy("kmer").agg(first, last, F.min("around").alias("around"), F.max("around").alias("_most")).where("first < last")
         edges = space.save(edges.select("kmer", "around", "first", (F.col("around") == F.col("_most")).alias("simple")), "long")
-        met = _sliced(rows, partial(_long_rows, columns=("kmer", "doc", "tag", "lo", "hi")), "kmer long, doc long, tag long, lo int, hi int")
+        met = _mapped(rows, partial(_long_rows, columns=("kmer", "doc", "tag", "lo", "hi")), "kmer long, doc long, tag long, lo int, hi int")
         met = space.save(met.join(edges, "kmer"), "met")
         # windows of branching edges
         marks = met.where("not simple").groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
-        short = _sliced(rows.join(marks, ["doc", "tag"]), _short_rows, "kmer long, around long, doc long, tag long, lo int")
+        short = _mapped(rows.join(marks, ["doc", "tag"]), _short_rows, "kmer long, around long, doc long, tag long, lo int")
         short = space.save(short, "short")
-    firsts = short.groupBy("kmer", "around").agg(first, last).where("first < last").drop("last")
+    # a table, so that what is dealt for a very frequent window is dealt to be joined, and can be split
+    firsts = space.save(short.groupBy("kmer", "around").agg(first, last).where("first < last").drop("last"), "firsts")
     names = ("kmer", "around", "first", "doc", "tag", "lo", "hi")
     found = short.join(firsts, ["kmer", "around"]).withColumn("hi", F.col("lo")).select(*names).unionByName(met.where("simple").select(*names))
     found = space.save(found, "found")
     # paths where edges occur first
     source = found.where("doc = first").groupBy("kmer", "around").agg(F.min(F.struct("doc", "tag", "lo", "hi")).alias("s"))
     source = source.groupBy("s.doc", "s.tag").agg(F.collect_list(F.struct("kmer", "around", "s.lo", "s.hi")).alias("edges"))
-    paths = _sliced(source, _paths, "kmer long, around long, src_doc long, src_tag long, src_lo int, path int")
+    paths = _mapped(source, _paths, "kmer long, around long, src_doc long, src_tag long, src_lo int, path int")
     later = found.where("doc > first").drop("first").join(paths, ["kmer", "around"])
     mark = F.struct("lo", "hi", "src_doc", "src_tag", "src_lo", "path")
-    merged = lambda rows: {"doc": rows["doc"], "tag": rows["tag"], "spans": [merge_spans(m) for m in rows["marks"]]}
-    schema = "doc long, tag long, spans array<struct<start: int, end: int, src_start: int, src_doc: long, src_tag: long, path: int>>"
-    return _sliced(later.groupBy("doc", "tag").agg(F.collect_set(mark).alias("marks")), merged, schema)
+    return _mapped(later.groupBy("doc", "tag").agg(F.collect_set(mark).alias("marks")), _spans, f"doc long, tag long, spans array<{_SPAN}>")
 
 
 def remove_repeated(docs: DataFrame, space: Workspace | None = None) -> DataFrame:
@@ -216,7 +250,7 @@ def remove_repeated(docs: DataFrame, space: Workspace | None = None) -> DataFram
             out["kept"].append(b" ".join(stay).decode("utf-8", "surrogatepass"))
         return out
 
-    return _sliced(rows, run, f"doc_id long, n_words long, n_removed long, kept string, spans {spans.schema['spans'].dataType.simpleString()}")
+    return arrow_map(rows, run, f"doc_id long, n_words long, n_removed long, kept string, spans array<{_SPAN}>", rows=TOGETHER)
 
 
 def op13_compacted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
