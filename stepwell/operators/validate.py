@@ -14,6 +14,8 @@ INSTANT = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:\d\d)\z"
 
 #: Objects inside an event; each is taken from the parsed event once, as a map from key to value.
 OBJECTS = ("consent", "context", "properties")
+#: Parts in which rejected requests are dealt.
+SPREAD = 4096
 
 
 class _Paths:
@@ -52,6 +54,11 @@ class _Paths:
         return df.drop("_json", "_map_root", *[f"_map_{name}" for name in OBJECTS], *[f"_{x}{k}" for k in self.at.values() for x in ("value", "kind", "text")])
 
 
+def last_value(raw: Column | str, name: str) -> Column:
+    """The text of a field of a JSON object, of a repeated field the last one: an object's text keeps the order of its keys."""
+    return F.from_json(raw, f"`{name}` string")[name]
+
+
 def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
@@ -59,8 +66,8 @@ def _array(values: list[str]) -> Column:
 def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str, server_fields: tuple[str, ...] = ()) -> DataFrame:
     """Adds the reason code of raw events, null for accepted ones. The time of receipt is an instant (timestamp).
 
-    A text that is no JSON gives invalid_json; of a repeated key the last value counts, for which a setting of the
-    session is turned on. Checks go envelope, name, ids, versions, consent and context, time, then properties in document
+    A text that is no JSON gives invalid_json. Of a repeated key the last value counts, at every level and also for the
+    order of the properties; for that a setting of the session is turned on and stays on. Checks go envelope, name, ids, versions, consent and context, time, then properties in document
     order, required ones and values.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -84,7 +91,7 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str,
     for e, names in ALLOWED_PROPERTIES.items():
         allowed = F.when(name == e, _array(names)).otherwise(allowed)
     by_key = F.transform(
-        F.json_object_keys(F.get_json_object(raw, "$.properties")),
+        F.json_object_keys(last_value(raw, "properties")),
         lambda k: F.when(k.rlike(f"(?i){SENSITIVE}"), "sensitive_property").when(~F.array_contains("_allowed", k), "unallowed_property").when(~F.coalesce(F.schema_of_variant(F.element_at(paths.object("properties"), k)) == "STRING", F.lit(False)), "invalid_property_type"),
     )
     property_reason = F.get(F.filter(by_key, lambda r: r.isNotNull()), F.lit(0))
@@ -185,24 +192,35 @@ def ingest(requests: DataFrame, keys: DataFrame, known: DataFrame | None = None,
     for when, code, name in reversed(outcomes):
         status, why = F.when(when, code).otherwise(status), F.when(when, name).otherwise(why)
     rows = rows.select("workspace_id", "body", "received_at", status.alias("status"), why.alias("reason"), (status == 202).alias("accepted"))
-    rows = rows.withColumn("event_id", F.when(F.col("accepted"), F.get_json_object("body", "$.event_id")))
-    first = Window.partitionBy("workspace_id", "event_id").orderBy("received_at", "body")
-    good = rows.where("accepted").withColumn("duplicate", F.row_number().over(first) > 1)
+    rows = rows.withColumn("event_id", F.when(F.col("accepted"), last_value("body", "event_id")))
+    # one pass: other rows need no rank, and are spread so that they do not meet under their null id
+    spread = F.when(~F.col("accepted"), F.monotonically_increasing_id() % SPREAD)
+    first = Window.partitionBy("workspace_id", "event_id", "_spread").orderBy("received_at", "body")
+    rows = rows.withColumn("_spread", spread).withColumn("duplicate", F.when(F.col("accepted"), F.row_number().over(first) > 1)).drop("_spread")
     if known is not None:
         old = known.select("workspace_id", "event_id").distinct().withColumn("_old", F.lit(True))
-        good = good.join(old, ["workspace_id", "event_id"], "left").withColumn("duplicate", F.col("duplicate") | F.col("_old").isNotNull()).drop("_old")
+        rows = rows.join(old, ["workspace_id", "event_id"], "left").withColumn("duplicate", F.when(F.col("accepted"), F.col("duplicate") | F.col("_old").isNotNull())).drop("_old")
     added = F.concat(F.lit(',"received_at":"'), instant_text("received_at"), F.lit('","event_time_quality":"client_verified"}'))
-    good = good.withColumn("accepted_json", F.concat(F.regexp_replace("body", r"\}\s*\z", ""), added))
-    none = {"duplicate": F.lit(None).cast("boolean"), "accepted_json": F.lit(None).cast("string")}
-    return good.unionByName(rows.where(~F.col("accepted")).withColumns(none)).select("workspace_id", "body", "received_at", "status", "reason", "accepted", "event_id", "duplicate", "accepted_json")
+    rows = rows.withColumn("accepted_json", F.when(F.col("accepted"), F.concat(F.regexp_replace("body", r"\}\s*\z", ""), added)))
+    return rows.select("workspace_id", "body", "received_at", "status", "reason", "accepted", "event_id", "duplicate", "accepted_json")
+
+
+#: Fields of an event that a log record must have as text.
+EVENT_TEXTS = ("event_id", "anonymous_id", "event_name", "schema_version", "tracking_plan_version", "funnel_definition_version", "occurred_at", "received_at")
 
 
 def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
-    """The typed columns of event-log records {workspace_id, event}, times zoneless in UTC; null where a required text is missing."""
-    get = lambda p: F.when(not_blank(F.get_json_object(value, p)), F.get_json_object(value, p))
-    names = ("event_id", "anonymous_id", "event_name", "schema_version", "tracking_plan_version", "funnel_definition_version")
-    time = lambda p: utc(F.when(get(p).rlike(INSTANT), F.try_to_timestamp(get(p))))
-    return df.select("*", get("$.workspace_id").alias("workspace_id"), *[get(f"$.event.{n}").alias(n) for n in names], time("$.event.occurred_at").alias("occurred_at"), time("$.event.received_at").alias("received_at"), F.get_json_object(value, "$.event").alias("accepted_event_json"))
+    """The typed columns of event-log records {workspace_id, event}, times zoneless in UTC; null where a required text is missing.
+
+    A record is read once, and its event once more; of repeated keys the last one counts.
+    """
+    rows = df.withColumn("_record", F.from_json(value, "workspace_id string, event string"))
+    rows = rows.withColumn("_event", F.from_json("_record.event", ", ".join(f"{n} string" for n in EVENT_TEXTS)))
+    text = lambda c: F.when(not_blank(c), F.col(c))
+    time = lambda c: utc(F.when(F.col(c).rlike(INSTANT), F.try_to_timestamp(c)))
+    texts = [text(f"_event.{n}").alias(n) for n in EVENT_TEXTS[:-2]]
+    times = [time(f"_event.{n}").alias(n) for n in EVENT_TEXTS[-2:]]
+    return rows.select(*df.columns, text("_record.workspace_id").alias("workspace_id"), *texts, *times, F.col("_record.event").alias("accepted_event_json"))
 
 
 def dead_letter_reason(parsed: DataFrame) -> DataFrame:

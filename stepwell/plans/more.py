@@ -98,6 +98,23 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     return validate.ingest(_requests(spark, d), _keys(spark))
 
 
+#: Later keys of the same names, the last of which counts, by event_id; those of rejected requests among them.
+_AGAIN = """CASE event_id % 7 WHEN 0 THEN ',"properties":{"plan":"pro","billing_interval":"monthly","email":"a@b.c"}' WHEN 1 THEN ',"properties":{"plan":"pro","billing_interval":"yearly"}'
+ WHEN 2 THEN ',"consent":{"analytics":true},"consent":{"analytics":false}' WHEN 3 THEN ',"event_id":"short"' WHEN 4 THEN ',"event_id":"event-of-' || lpad(CAST(event_id % 10 AS VARCHAR(20)), 9, '0') || '"'
+ WHEN 5 THEN ',"properties":{"colour":"red","email":"a"}' ELSE '' END"""
+_REPEATED = f"""CASE WHEN event_id % 25 IN (0, 2, 8, 16, 17) THEN left({RAW}, length({RAW}) - 1) || {_AGAIN} || '}}' ELSE {RAW} END"""
+
+
+def _repeated_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Requests whose bodies repeat keys: the last ones decide the outcome, the id and what is a duplicate."""
+    rows = spark.read.parquet(f"{d}/events.parquet").where("event_id % 25 in (0, 2, 8, 16, 17)")
+    body = F.expr(_REPEATED.replace("VARCHAR(20)", "STRING"))
+    at = F.lit("2024-02-01T00:00:00Z").cast("timestamp")
+    requests = rows.select(F.lit("POST").alias("method"), F.lit("key-of-ws-0").alias("workspace_key"), body.alias("body"), at.alias("received_at"))
+    out = validate.ingest(requests, _keys(spark))
+    return out.groupBy(F.coalesce("reason", F.lit("none")).alias("reason"), F.coalesce("event_id", F.lit("none")).alias("event_id"), F.coalesce(F.col("duplicate").cast("string"), F.lit("none")).alias("duplicate")).agg(F.count("*").alias("n"))
+
+
 def _report_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = report.report_json(_report(spark, d))
     get = lambda p: F.get_json_object("report", p)
@@ -180,7 +197,7 @@ def _compacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _memory(spark: SparkSession, d: str) -> DataFrame:
     rows = read_events(spark, d)
-    store = sinks.MemoryStore(spark, "stepwell_events", rows.schema)
+    store = sinks.SessionStore(spark, "stepwell_events", rows.schema, shared(spark, "session"))
     store.append(rows.where("event_name = 'vpv'"))
     store.append(rows)
     return _shown(store.snapshot("ws_1"))
@@ -216,6 +233,7 @@ def queries() -> dict[str, Query]:
         "http_outcomes": lambda s, d: _outcomes(s, d).groupBy("workspace_id", "status", F.coalesce("reason", F.lit("none")).alias("reason"), F.coalesce(F.col("duplicate").cast("string"), F.lit("none")).alias("duplicate")).agg(F.count("*").alias("n")),
         "http_accepted_json": lambda s, d: _outcomes(s, d).where("accepted").select("event_id", F.substring_index("accepted_json", '"consent"', -1).alias("tail"), "duplicate"),
         "event_contract": _accepted_json,
+        "repeated_keys": _repeated_keys,
         "event_time_outcomes": lambda s, d: validate.event_time(_raws(s, d).drop("reason", "event_time_quality")).select("event_id", "outcome", F.coalesce("event_time_quality", F.lit("none")).alias("quality")),
         "report_json": _report_fields,
         "component_clicks": _clicks,
@@ -262,6 +280,13 @@ ans AS (
         "provisional_windows": f"{_W} SELECT workspace_id, event_name, strftime(time_bucket(INTERVAL 6 HOUR, occurred_at, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS event_count, count(DISTINCT anonymous_id) AS users FROM silver GROUP BY ALL",
         "http_outcomes": f"WITH {http} SELECT workspace_id, status, why AS reason, dup AS duplicate, count(*) AS n FROM ans GROUP BY ALL",
         "http_accepted_json": f"WITH {http} SELECT 'event-0000000000' || event_id AS event_id, {tail} AS tail, nth = 1 AS duplicate FROM ans WHERE status = 202",
+        "repeated_keys": f"""WITH b AS (SELECT event_id % 25 AS defect, {_REPEATED} AS raw FROM events WHERE event_id % 25 IN (0, 2, 8, 16, 17)),
+l AS (SELECT defect, raw, regexp_extract_all(raw, '"properties":(\\{{[^}}]*\\}})', 1)[-1] AS p, regexp_extract_all(raw, '"consent":(\\{{[^}}]*\\}})', 1)[-1] AS c, regexp_extract_all(raw, '"event_id":"([^"]*)"', 1)[-1] AS id FROM b),
+r AS (SELECT id, CASE WHEN defect = 2 THEN 'unallowed_envelope_field' WHEN length(id) < 16 THEN 'invalid_identifier' WHEN c <> '{{"analytics":true}}' THEN 'invalid_context_or_consent'
+  WHEN json_keys(p)[1] = 'email' THEN 'sensitive_property' WHEN json_keys(p)[1] = 'colour' THEN 'unallowed_property' WHEN list_contains(json_keys(p), 'colour') THEN 'unallowed_property' WHEN list_contains(json_keys(p), 'email') THEN 'sensitive_property'
+  ELSE 'none' END AS reason FROM l),
+k AS (SELECT reason, CASE WHEN reason = 'none' THEN id ELSE 'none' END AS event_id, CASE WHEN reason <> 'none' THEN 'none' WHEN row_number() OVER (PARTITION BY reason, id) > 1 THEN 'true' ELSE 'false' END AS duplicate FROM r)
+SELECT reason, event_id, duplicate, count(*) AS n FROM k GROUP BY ALL""",
         "event_contract": f"WITH {http} SELECT CASE WHEN event_id % 7 = 0 THEN 'invalid_event_time_quality' WHEN event_id % 11 = 0 THEN 'invalid_received_at' ELSE 'none' END AS violation, count(*) AS n FROM ans WHERE status = 202 AND nth = 0 GROUP BY ALL",
         "event_time_outcomes": f"WITH {VALIDATE} SELECT event_id, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason IN ('missing_occurred_at', 'invalid_event_time') THEN 'quarantined' ELSE 'rejected' END AS outcome, CASE WHEN reason IS NULL THEN 'client_verified' WHEN reason IN ('missing_occurred_at', 'invalid_event_time') THEN 'quarantined' ELSE 'none' END AS quality FROM checked",
         "report_json": f"""{_W}, {_STRICT}, {_DAILY_SUBS} SELECT k.workspace_id, 'local_provisional' AS metric_status, sla_status AS sla,

@@ -37,17 +37,35 @@ def kafka_records(stream: DataFrame) -> DataFrame:
     return stream.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
-def split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows with Bronze columns, and dead letters with reason and place only, never the payload."""
-    parsed = validate.dead_letter_reason(validate.parse_envelope(records))
+def judged(records: DataFrame) -> DataFrame:
+    """Records with the typed columns of their events and the reason why they are dead letters, null for good ones."""
+    return validate.dead_letter_reason(validate.parse_envelope(records)).select("topic", "partition", "offset", "reason", *COLUMNS)
+
+
+def split_judged(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = parsed.where("reason is null").select(COLUMNS)
     return good, parsed.where("reason is not null").select("topic", "partition", "offset", "reason")
 
 
+def split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows with Bronze columns, and dead letters with reason and place only, never the payload."""
+    return split_judged(judged(records))
+
+
+def count_judged(parsed: DataFrame, batch: int = 0) -> DataFrame:
+    rows = parsed.select(F.lit(batch).cast("long").alias("batch"), "reason")
+    return rows.groupBy("batch").agg(F.count("*").alias("polled"), F.count_if(F.col("reason").isNull()).alias("materialized"), F.count("reason").alias("dead_lettered"))
+
+
 def counters(records: DataFrame, batch: int = 0) -> DataFrame:
     """How many records a batch polled, materialized (repeats count) and dead-lettered."""
-    reason = validate.dead_letter_reason(validate.parse_envelope(records)).select("reason")
-    return reason.select(F.lit(batch).cast("long").alias("batch"), "reason").groupBy("batch").agg(F.count("*").alias("polled"), F.count_if(F.col("reason").isNull()).alias("materialized"), F.count("reason").alias("dead_lettered"))
+    return count_judged(judged(records), batch)
+
+
+def note_days(good: DataFrame, touched: str, number: int) -> None:
+    """Writes which days the good events of a batch fall on, and how many on each; a repeated batch writes the same again."""
+    days = good.groupBy(F.to_date("occurred_at").cast("string").alias("event_date")).agg(F.count("*").alias("event_count"))
+    days.coalesce(1).write.mode("overwrite").json(f"{touched.rstrip('/')}/batch={number:012d}")
 
 
 def with_lateness(rows: DataFrame, latest: str, allowed: str = LATENESS) -> DataFrame:
@@ -55,27 +73,30 @@ def with_lateness(rows: DataFrame, latest: str, allowed: str = LATENESS) -> Data
     return rows.withColumn("is_late", F.col("occurred_at") < F.lit(latest).cast("timestamp_ntz") - F.expr(f"interval {allowed}"))
 
 
-def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint: str, counted: str | None = None, strict: bool = False, every: str | None = None):
+def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint: str, counted: str | None = None, strict: bool = False, every: str | None = None, touched: str | None = None, near_days: int | None = 1):
     """Runs over all that is there and ends: new events to Bronze, others to the dead letters. Returns the query.
 
-    Each batch is split, then appended against the ids that Bronze has; a replayed batch finds its own rows there, so it
-    adds none. A failing write fails the batch, and the checkpoint stays where it was. Dead letters and counters come at
-    least once. `strict`: the first bad record fails the batch instead. `every` ("30 seconds"): goes on at that interval
+    Each batch is parsed once, then appended against the ids that Bronze has within `near_days` of its own days (None: in
+    all days); a replayed batch finds its own rows there, so it adds none. A failing write fails the batch, and the
+    checkpoint stays where it was. Dead letters and counters come at least once. `touched` is a folder to which each
+    batch writes the days of its good events before it appends them, for the rebuild of those days. `strict`: the first bad record fails the batch instead. `every` ("30 seconds"): goes on at that interval
     until stopped.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        parsed = judged(batch).persist()
         try:
-            good, bad = split(batch)
+            good, bad = split_judged(parsed)
             if strict and not bad.isEmpty():
                 raise ValueError(f"a record cannot be read: {bad.first()['reason']}")
-            append_new(good, bronze)
+            if touched:
+                note_days(good, touched, number)
+            append_new(good, bronze, near_days)
             bad.write.mode("append").json(dead_letters)
             if counted:
-                counters(batch, number).write.mode("append").json(counted)
+                count_judged(parsed, number).write.mode("append").json(counted)
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     writer = records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if every:

@@ -29,6 +29,29 @@ def test_scalars_blanks_and_repeated_keys(spark):
     assert reasons(spark, [context(v) for v in (5, True, None, "\t\n", " ", "", {}, [])]) == [None, None, None, bad, bad, bad, bad, bad]
     body = json.dumps(RAW)
     assert reasons(spark, [body[:-1] + ',"event_name":"vpv"}', body[:-1] + ',"event_name":"signup_completed"}']) == ["unallowed_property", None]
+    again = lambda text: body[:-1] + "," + text + "}"
+    texts = ['"properties":{"signup_method":"sso","email":"a@b.c"}', '"properties":{"x":"1","email":"a"}', '"properties":{"email":"a","x":"1"}', '"consent":{"analytics":false}', '"consent":{"analytics":false,"analytics":true}', '"event_id":"short"', '"properties":{"signup_method":"fax","signup_method":"sso"}', '"properties":[]']
+    assert reasons(spark, map(again, texts)) == ["sensitive_property", "unallowed_property", "sensitive_property", bad, None, "invalid_identifier", None, "invalid_properties"]
+    # an object that is replaced later does not count, be it good or bad
+    assert reasons(spark, ['{"properties":{"email":"a"},"event_id":"x",' + body[1:]]) == [None]
+
+
+def test_repeated_ids_are_the_last_one_everywhere(spark):
+    body = '{"event_id":"short",' + json.dumps(RAW)[1:]
+    requests = spark.createDataFrame([("POST", "key-of-ws-1", b) for b in (body, json.dumps(RAW))], "method string, workspace_key string, body string").withColumn("received_at", F.lit("2024-03-04T10:00:05Z").cast("timestamp"))
+    keys = spark.createDataFrame([("key-of-ws-1", "ws_1")], "workspace_key string, workspace_id string")
+    assert sorted((r["event_id"], r["duplicate"]) for r in validate.ingest(requests, keys).collect()) == [(RAW["event_id"], False), (RAW["event_id"], True)]
+    event = '{"event_id":"first","anonymous_id":"a1","event_name":"vpv","occurred_at":"2024-03-04T10:00:00Z","received_at":"2024-03-04T10:00:01Z","schema_version":"1.0.0","tracking_plan_version":"1.0.0","funnel_definition_version":"1.0.0","event_id":"last"}'
+    records = spark.createDataFrame([("accepted-events.v1", "2:wsa1", f'{{"workspace_id":"old","event":{{}},"workspace_id":"ws","event":{event}}}')], "topic string, key string, value string")
+    row = validate.dead_letter_reason(validate.parse_envelope(records)).first()
+    assert (row["workspace_id"], row["event_id"], row["reason"]) == ("ws", "last", None) and json.loads(row["accepted_event_json"])["event_id"] == "last"
+
+
+def test_http_outcomes_validate_once(spark):
+    requests = spark.createDataFrame([], "method string, workspace_key string, body string, received_at timestamp")
+    keys = spark.createDataFrame([("key-of-ws-1", "ws_1")], "workspace_key string, workspace_id string")
+    plan = validate.ingest(requests, keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and "Union" not in plan
 
 
 def test_accepted_event_and_duplicates(spark):
@@ -82,7 +105,7 @@ def test_a_retry_heals_the_store(spark, tmp_path, monkeypatch):
     log, store = str(tmp_path / "log"), str(tmp_path / "store")
     rows, real = events(spark, [("u", "vpv", "18 09:00")]), sinks.append_new
 
-    def fails(df, path, days=1):
+    def fails(df, path, days=None):
         if path == store:
             raise OSError("storage is out")
         real(df, path, days)
@@ -105,8 +128,6 @@ def test_sinks(spark, tmp_path):
         sinks.replace_json(spark.createDataFrame([], "report string"), target)
     with pytest.raises(ValueError):
         sinks.export(spark.range(1), str(tmp_path / "x"), "xml")
-    store = sinks.MemoryStore(spark, "test_memory_store", events(spark, [("u", "vpv", "18 09:00")]).schema)
-    assert store.append(events(spark, [("u", "vpv", "18 09:00")])).count() == 1 and store.snapshot("ws").count() == spark.table("test_memory_store").where("workspace_id = 'ws'").count()
     assert sinks.KAFKA_PRODUCER["kafka.acks"] == "all"
     for k in range(3):
         sinks.append_bronze(events(spark, [(f"u{k}", "vpv", "18 09:00")]), str(tmp_path / "table"))
@@ -116,6 +137,114 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table")).collect()), key=str) == before
 
 
+def test_an_append_knows_keys_of_all_days(spark, tmp_path):
+    path = str(tmp_path / "table")
+    first = events(spark, [("u", "vpv", "18 09:00")])
+    late = first.withColumn("occurred_at", F.expr("occurred_at - interval 9 days"))
+    for df in (first, late, first):
+        sinks.append_new(df, path)
+    assert spark.read.parquet(path).count() == 1
+    sinks.append_new(late, path, days=1)  # a bound on days is a choice
+    assert spark.read.parquet(path).count() == 2
+
+
+def three_files(spark, path):
+    for k in range(3):
+        sinks.append_bronze(events(spark, [(f"u{k}", "vpv", "18 09:00")]), path)
+    return sorted(r["anonymous_id"] for r in spark.read.parquet(path).collect())
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_a_refused_move_puts_the_day_back(spark, tmp_path, monkeypatch, at):
+    path, calls = str(tmp_path / "table"), []
+    before = three_files(spark, path)
+    real = sinks._must
+
+    def must(done, what):
+        calls.append(what)
+        real(done and len(calls) != at, what)
+
+    if at == 0:  # the folder of the day cannot be moved at all
+        monkeypatch.setattr(sinks, "_store", refusing(sinks._store))
+    else:  # the move of the copy into its place, or the clearing after it
+        monkeypatch.setattr(sinks, "_must", must)
+    with pytest.raises(OSError):
+        sinks.compact_days(spark, path, "2026-08-18", "2026-08-18")
+    monkeypatch.undo()
+    assert sorted(r["anonymous_id"] for r in spark.read.parquet(path).collect()) == before
+    sinks.compact_days(spark, path, "2026-08-18", "2026-08-18")
+    assert sorted(r["anonymous_id"] for r in spark.read.parquet(path).collect()) == before
+    assert not [p for p in (tmp_path / "table").iterdir() if p.name.startswith("_compact")]
+
+
+def refusing(store):
+    """A file system whose renames of a day's folder are refused, told by their answer alone."""
+
+    class Refusing:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            return False if b.getName() == "old" else self.fs.rename(a, b)
+
+    def made(spark, path):
+        at, fs = store(spark, path)
+        return at, Refusing(fs)
+
+    return made
+
+
+@pytest.mark.parametrize("step", ["copied", "away", "half", "undone", "swapped"])
+def test_a_lost_driver_leaves_the_day_to_the_next_run(spark, tmp_path, monkeypatch, step):
+    path, day = str(tmp_path / "table"), tmp_path / "table" / "event_date=2026-08-18"
+    before = three_files(spark, path)
+
+    def lose(*a):
+        raise Lost
+
+    if step == "copied":
+        monkeypatch.setattr(sinks, "replace_text", lose)
+    else:
+        monkeypatch.setattr(sinks, "_swap_in", lose)
+        monkeypatch.setattr(sinks, "_put_back", lose)
+    with pytest.raises(Lost):
+        sinks.compact_days(spark, path, "2026-08-18", "2026-08-18")
+    monkeypatch.undo()
+    beside = next(p for p in (tmp_path / "table").iterdir() if p.name.startswith("_compact"))
+    copies = [p for p in (beside / "new").iterdir() if p.name.startswith("part")]
+    if step == "half":  # a writer has made the day again, and one of the copies is in place
+        sinks.append_bronze(events(spark, [("late", "vpv", "18 10:00")]), path)
+        copies[0].rename(day / copies[0].name)
+        before = sorted([*before, "late"])
+    if step == "swapped":
+        day.mkdir()
+        for c in copies:
+            c.rename(day / c.name)
+    if step == "undone":
+        (beside / "new").rename(beside / "undone")
+    assert sinks.recover_compaction(spark, path) == 1 and sinks.recover_compaction(spark, path) == 0
+    assert sorted(r["anonymous_id"] for r in spark.read.parquet(path).collect()) == before
+
+
+def test_a_session_store_stays_one_scan(spark, tmp_path):
+    rows = events(spark, [(f"u{k}", "vpv", "18 09:00") for k in range(8)])
+    store = sinks.SessionStore(spark, "test_growing_store", rows.schema, str(tmp_path / "store"))
+    assert store.snapshot("ws_1").count() == 0
+    for k in range(4):
+        store.append(rows.where(F.col("anonymous_id") <= f"u{k}"))
+        assert store.snapshot("ws_1").count() == k + 1 and store.snapshot("ws_2").count() == 0
+    assert spark.table("test_growing_store")._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    store.close()
+    assert not spark.catalog.tableExists("test_growing_store") and not (tmp_path / "store").exists()
+
+
 def test_store_errors_name_file_and_line(spark, tmp_path):
     (tmp_path / "demo.ndjson").write_text('{"event_id":"e1"}\n\n{"event_id":"e2"}\n{"event_id":"e1"}\n')
     with pytest.raises(ValueError, match=r"repeated event_id: .*demo\.ndjson:4"):
