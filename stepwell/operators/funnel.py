@@ -8,6 +8,9 @@ unordered_daily  distinct users of a day and stage, in no order
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,11 @@ def _reached(firsts: DataFrame, ok: list[Column], *keep: str) -> DataFrame:
     return rows.select(*keep, "s.stage_name", "s.at", F.to_date("s.at").alias("event_date"))
 
 
+def _pairs() -> list[Column]:
+    """Whether each stage qualifies: it is not before the one ahead of it, and the first one needs only be there."""
+    return [F.col("t0").isNotNull(), *[F.col(f"t{k}") >= F.col(f"t{k - 1}") for k in (1, 2, 3)]]
+
+
 def canonical_daily(events: DataFrame, start: str, end: str, lookback_days: int = 30, mode: str = "range") -> DataFrame:
     """Unique users of each workspace, day, version and stage between two days.
 
@@ -40,22 +48,45 @@ def canonical_daily(events: DataFrame, start: str, end: str, lookback_days: int
     """
     if lookback_days < 1 or end < start:
         raise ValueError("the range must not end before it starts, and the lookback must be a day at least")
-    pairs = [F.col("t0").isNotNull(), *[F.col(f"t{k}") >= F.col(f"t{k - 1}") for k in (1, 2, 3)]]
     rows = scan_range(events, start, end, lookback_days)
     if mode == "range":
-        found = _reached(_firsts(rows, *JOURNEY), pairs, *JOURNEY)
+        found = _reached(_firsts(rows, *JOURNEY), _pairs(), *JOURNEY)
         found = found.where(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     elif mode == "per_day":
-        day = F.to_date("occurred_at")
-        low, high = F.greatest(day, F.lit(start).cast("date")), F.least(F.date_add(day, lookback_days), F.lit(end).cast("date"))
-        rows = rows.where(F.col("event_name").isin(STAGES) & (low <= high)).withColumn("target", F.explode(F.sequence(low, high)))
-        found = _reached(_firsts(rows, *JOURNEY, "target"), pairs, *JOURNEY, "target").where("event_date = target")
+        return canonical_days(rows, [str(d) for d in span(start, end)], lookback_days)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     # a journey reaches a stage once at most, so rows are users
     return found.groupBy(*GRAIN).agg(F.count("*").alias("unique_users"))
 
 
+def span(start: str, end: str) -> list[date]:
+    """The days from start to end."""
+    first = date.fromisoformat(start)
+    return [first + timedelta(days=k) for k in range((date.fromisoformat(end) - first).days + 1)]
+
+
+def within_lookback(days: Iterable[str], lookback_days: int, back: bool = False) -> set[str]:
+    """The days whose lookback holds one of `days`; with `back`, those that the lookback of one of `days` holds."""
+    return {str(date.fromisoformat(d) + timedelta(days=-k if back else k)) for d in days for k in range(lookback_days + 1)}
+
+
+def canonical_days(events: DataFrame, days: Iterable[str], lookback_days: int = 30) -> DataFrame:
+    """Unique users of each workspace, day, version and stage on the given days, each of which looks back for itself.
+
+    A journey's events are reduced to one row a day first, and only these rows are copied to the days that look back on
+    them, so a journey costs its active days times the lookback, not its events.
+    """
+    days = sorted(days)
+    wanted = F.array(*[F.lit(d).cast("date") for d in days]) if days else F.array().cast("array<date>")
+    daily = _firsts(events.withColumn("day", F.to_date("occurred_at")), *JOURNEY, "day")
+    targets = F.filter(wanted, lambda d: (d >= F.col("day")) & (d <= F.date_add("day", lookback_days)))
+    copies = daily.withColumn("target", F.explode(targets))
+    firsts = copies.groupBy(*JOURNEY, "target").agg(*[F.min(f"t{k}").alias(f"t{k}") for k in range(len(STAGES))])
+    found = _reached(firsts, _pairs(), *JOURNEY, "target").where("event_date = target")
+    return found.groupBy(*GRAIN).agg(F.count("*").alias("unique_users"))
+
+
 def pure_daily(events: DataFrame) -> DataFrame:
     """Daily unique users after the pure deduplication; a missing or early stage is passed over, not blocking."""
     firsts = _firsts(dedupe.pure(events), *JOURNEY)

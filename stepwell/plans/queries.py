@@ -213,7 +213,7 @@ _REC = "rec AS (SELECT *, id % 17 = 0 AS bad, id % 19 = 0 OR id % 23 = 0 AS wron
 
 
 def queries() -> dict[str, Query]:
-    from . import more  # it is built from the parts above
+    from . import more, upkeep  # they are built from the parts above
 
     return {
         "bronze_scan_range": lambda s, d: _shown(scan_range(read_events(s, d, True, START, END), START, END)),
@@ -256,6 +256,7 @@ def queries() -> dict[str, Query]:
         "source_breakdown": lambda s, d: insights.source_breakdown(_silver(s, d)),
         "quality_gates": lambda s, d: insights.quality_gates(read_events(s, d), _silver(s, d)),
         **more.queries(),
+        **upkeep.queries(),
     }
 
 
@@ -267,7 +268,7 @@ _W = f"WITH {BRONZE}"
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more
+    from . import more, upkeep
 
     kept = "workspace_id, anonymous_id, v, t0, t1, t2, t3"
     fold = f"""a1 AS (SELECT {kept}, t0 AS l0, CASE WHEN t1 IS NOT NULL AND (t0 IS NULL OR t1 >= t0) THEN t1 END AS a1 FROM f),
@@ -331,4 +332,5 @@ a3 AS (SELECT *, CASE WHEN t3 IS NOT NULL AND (coalesce(a2, l1) IS NULL OR t3 >=
         "source_breakdown": f"{_W} SELECT workspace_id, event_name, count(*) AS event_count, count(DISTINCT anonymous_id) AS users FROM silver GROUP BY ALL",
         "quality_gates": f"{_W}, b AS (SELECT workspace_id, count(*) AS bronze_rows, count(DISTINCT event_id) AS bronze_events, count(*) FILTER (occurred_at IS NULL) AS null_times FROM bronze GROUP BY ALL), s AS (SELECT workspace_id, count(*) AS silver_rows FROM silver GROUP BY ALL) SELECT *, bronze_rows - bronze_events AS duplicates, bronze_events = silver_rows AS reconciled FROM b JOIN s USING (workspace_id)",
         **more.oracle_sql(),
+        **upkeep.oracle_sql(),
     }

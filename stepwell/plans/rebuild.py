@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, funnel, serving
+from ..operators.funnel import within_lookback
 from ..sources.events import COLUMNS, scan_range
-from ..sources.sinks import append_bronze, exists, overwrite_days, replace_text
+from ..sources.sinks import append_bronze, days_of, exists, exists_file, overwrite_days, replace_days, replace_text
 
 
 @dataclass(frozen=True)
@@ -48,17 +52,92 @@ def rebuild(spark: SparkSession, bronze: str, silver: str, gold: str, config: Re
     return spark.read.parquet(gold).where(between)
 
 
-def run_hour(spark: SparkSession, bronze: str, silver: str, gold: str, served: str, interval: tuple[str, str], run_id: str, lookback_days: int = 30, retries: int = 2, delay: float = 300.0) -> str:
+def _on(days: Iterable[str]) -> Column:
+    """Whether a row's partition is one of the days: only those are read."""
+    days = [F.lit(d).cast("date") for d in sorted(days)]
+    return F.col("event_date").isin(days) if days else F.lit(False)
+
+
+def rebuild_gold(spark: SparkSession, silver: str, gold: str, changed: Iterable[str], version: str, completed_at: str, lookback_days: int = 30) -> list[str]:
+    """Rebuilds the Gold of all days that a change of Silver on the `changed` days can reach; returns these days.
+
+    A day of Gold looks back over `lookback_days`, so these are the changed days and so many after each. Of Silver, only
+    the days that they look back on are read; of Gold, only their files change.
+    """
+    held = set(days_of(spark, silver))
+    targets = (within_lookback(changed, lookback_days) & held) | set(changed)
+    rows = spark.read.parquet(silver).where(_on(within_lookback(targets, lookback_days, back=True) & held)).drop("event_date")
+    made = serving.snapshot(funnel.canonical_days(rows, targets, lookback_days), version, completed_at)
+    replace_days(made, gold, targets.__contains__)
+    return sorted(targets)
+
+
+def rebuild_days(spark: SparkSession, bronze: str, silver: str, gold: str, touched: Iterable[str], version: str, completed_at: str, lookback_days: int = 30, near_days: int = 1) -> list[str]:
+    """Rebuilds what new events of the `touched` days change in Silver and Gold; returns the days of Gold it rebuilt.
+
+    Copies of an event lie within `near_days` of each other (0: Bronze has none). So a new event can change which copy
+    counts on its own day and so many on either side, and those days are deduplicated against as many again around them.
+    """
+    around = lambda days: {str(date.fromisoformat(d) + timedelta(days=k)) for d in days for k in range(-near_days, near_days + 1)}
+    held = set(days_of(spark, bronze))
+    changed = around(touched) & held
+    rows = spark.read.parquet(bronze).where(_on(around(changed) & held)).select(COLUMNS)
+    fresh = dedupe.silver(rows).withColumn("event_date", F.to_date("occurred_at")).where(_on(changed))
+    replace_days(fresh, silver, changed.__contains__)
+    return rebuild_gold(spark, silver, gold, changed, version, completed_at, lookback_days)
+
+
+def touched_days(spark: SparkSession, manifest: str, done: str) -> tuple[int, list[str]]:
+    """The last batch that the stream has noted, and the days of all batches after the one that `done` names.
+
+    The stream appends a batch before it notes it, so what is noted is in Bronze. Without a batch to do, -1 and no days.
+    """
+    if not exists(spark, manifest):
+        return -1, []
+    through = int(spark.read.text(done).first()[0]) if exists_file(spark, done) else -1
+    rows = spark.read.schema("event_date string, event_count long, batch long").json(manifest).where(F.col("batch") > through)
+    last, days = rows.agg(F.max("batch"), F.collect_set("event_date")).first()  # a text a day
+    return (-1, []) if last is None else (last, sorted(days))
+
+
+def rebuild_touched(spark: SparkSession, bronze: str, silver: str, gold: str, served: str, manifest: str, done: str, version: str, completed_at: str, lookback_days: int = 30) -> list[str]:
+    """Rebuilds and publishes what the batches changed that came since the last time; returns the days of Gold.
+
+    Late events are batches like others: only their days, and those that look back on them, are read and written. The
+    result is that of a rebuild of all days that each look back for themselves. `done` names the last batch that went in
+    and is written at the end, so a failed run is repeated as a whole.
+    """
+    last, days = touched_days(spark, manifest, done)
+    if not days:
+        return []
+    rebuilt = rebuild_days(spark, bronze, silver, gold, days, version, completed_at, lookback_days)
+    publish_days(spark.read.parquet(gold), served, rebuilt, version)
+    replace_text(spark, done, str(last))
+    return rebuilt
+
+
+def publish_days(gold: DataFrame, path: str, days: Iterable[str], version: str) -> None:
+    """Appends the snapshot of several days to the serving table in one write; days it has in that version are left out."""
+    spark = gold.sparkSession
+    rows = gold.where(_on(days) & (F.col("snapshot_version") == version)).select(serving.COLUMNS)
+    if exists(spark, path):
+        had = spark.read.parquet(path).where(_on(days) & (F.col("snapshot_version") == version)).select("event_date").distinct()
+        rows = rows.join(had, "event_date", "left_anti")
+    rows.select(serving.COLUMNS).withColumn("month", F.date_format("event_date", "yyyyMM")).sortWithinPartitions("workspace_id", "event_date").write.mode("append").partitionBy("month").parquet(path)
+
+
+def run_hour(spark: SparkSession, bronze: str, silver: str, gold: str, served: str, interval: tuple[str, str], run_id: str, lookback_days: int = 30, retries: int = 2, delay: float = 300.0, stale_after: float = 4 * 3600.0) -> str:
     """The hourly run over an interval (start, end; ISO text): rebuilds its days, then publishes them; returns the version.
 
-    One run at a time: a marker beside Gold names the run that is at work, and another one raises. A failed attempt is
+    One run at a time: a marker beside Gold names the run that is at work and since when, and another one raises. A
+    marker older than `stale_after` seconds is that of a driver that was lost, and is taken over. A failed attempt is
     repeated, twice by default, after a delay; both steps may be repeated safely. Each day is published as a snapshot,
     which the current view takes once it is whole.
     """
     version, lock = f"hourly-{run_id}", f"{gold.rstrip('/')}.lock"
     path = spark._jvm.org.apache.hadoop.fs.Path(lock)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.createNewFile(path):
+    if not _claim(spark, fs, path, version, stale_after):
         raise RuntimeError(f"another run is at work: {lock}")
     try:
         for day in days_of_interval(*interval):
@@ -76,6 +155,21 @@ def run_hour(spark: SparkSession, bronze: str, silver: str, gold: str, served: s
     return version
 
 
+def _claim(spark: SparkSession, fs, path, owner: str, stale_after: float) -> bool:
+    """Makes the marker of a run. One that is too old is moved away first, which only one of several runs can do."""
+    if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale_after:
+        aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.{uuid.uuid4().hex}")
+        if fs.rename(path, aside):
+            fs.delete(aside, False)
+    try:
+        out = fs.create(path, False)  # fails if it is there
+    except Py4JJavaError:
+        return False
+    out.write(bytearray(owner.encode()))
+    out.close()
+    return True
+
+
 def publish(gold: DataFrame, path: str, event_date: str, version: str) -> None:
     """Appends one day's snapshot to the serving table; the current view picks the last one.
 
@@ -105,4 +199,4 @@ def write_report(spark: SparkSession, path: str, document: str) -> None:
     replace_text(spark, path, document)
 
 
-__all__ = ["RebuildConfig", "append_bronze", "days_of_interval", "delete_subject", "overwrite_days", "publish", "publish_jdbc", "rebuild", "run_hour", "write_report"]
+__all__ = ["RebuildConfig", "append_bronze", "days_of_interval", "delete_subject", "overwrite_days", "publish", "publish_days", "publish_jdbc", "rebuild", "rebuild_days", "rebuild_gold", "rebuild_touched", "run_hour", "touched_days", "write_report"]

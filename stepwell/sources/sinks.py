@@ -25,6 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at) and len(fs.listStatus(at)) > 0
 
 
+def exists_file(spark: SparkSession, path: str) -> bool:
+    at, fs = _store(spark, path)
+    return fs.exists(at)
+
+
 def append_bronze(df: DataFrame, path: str) -> None:
     """Appends events under their day; times are zoneless UTC, so batch and stream write the same table."""
     df.withColumn("event_date", F.to_date("occurred_at")).write.mode("append").partitionBy("event_date").parquet(path)

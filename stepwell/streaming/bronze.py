@@ -79,7 +79,8 @@ def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint
     Each batch is parsed once, then appended against the ids that Bronze has within `near_days` of its own days (None: in
     all days); a replayed batch finds its own rows there, so it adds none. A failing write fails the batch, and the
     checkpoint stays where it was. Dead letters and counters come at least once. `touched` is a folder to which each
-    batch writes the days of its good events before it appends them, for the rebuild of those days. `strict`: the first bad record fails the batch instead. `every` ("30 seconds"): goes on at that interval
+    batch writes the days of its good events once they are appended, for the rebuild of those days; a batch that fails in
+    between comes again and writes them then. `strict`: the first bad record fails the batch instead. `every` ("30 seconds"): goes on at that interval
     until stopped.
     """
 
@@ -89,9 +90,9 @@ def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint
             good, bad = split_judged(parsed)
             if strict and not bad.isEmpty():
                 raise ValueError(f"a record cannot be read: {bad.first()['reason']}")
+            append_new(good, bronze, near_days)
             if touched:
                 note_days(good, touched, number)
-            append_new(good, bronze, near_days)
             bad.write.mode("append").json(dead_letters)
             if counted:
                 count_judged(parsed, number).write.mode("append").json(counted)
