@@ -23,29 +23,34 @@ _ATTR = re.compile(r"""(?:\s|^)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s
 
 # Elements by what they are on a page (fixed names of HTML).
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-BOILERPLATE = frozenset("nav header footer aside form dialog menu button select datalist fieldset head".split())
+BESIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
+CONTROLS = frozenset("button select datalist head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 # Blocks of running text, which belong to the element around them; the page stands for html and body.
 TEXT = frozenset("html body p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption address table caption thead tbody tfoot tr".split())
 ROWS = frozenset("table thead tbody tfoot tr".split())  # these break no line: their cells do
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class, id or role that name what is not the article, or what is.
+# Elements that need no end tag: the next one of their name, or for a paragraph any block, ends them.
+SELF_ENDING = frozenset("p li dt dd h1 h2 h3 h4 h5 h6".split())
+# Words in class, id or role that name what is not the article, and words that say nothing after such a one.
 OTHER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header hidden login masthead menu modal "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal "
     "nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-OWN_WORDS = frozenset("article body content entry main page post story text wrapper container layout site".split())
+EMPTY_WORDS = frozenset("area bar block body box button buttons card col column container content element form frame group holder icons inner item items layout link links list main message outer page panel post posts row section site slot text unit wrap wrapper zone".split())
 
 #: Lines in a window, the length of text in a window at which a text surges, and what part of the page's highest surge
 #: another one must reach.
 WINDOW, SURGE, RELATIVE = 3, 86, 0.5
+#: What a character counts inside of a marked article, and in what names or kinds of elements call something else.
+MARKED, FAINT = 8.0, 1 / 32
 
 
 class Line(NamedTuple):
     text: str
-    length: int  # what counts in the distribution: text outside of links; a heading's links count
-    marked: bool = False  # inside an article
+    length: int  # text outside of links; a heading's links count
+    weight: float = 1.0  # what a character of it counts in the distribution
     element: int = -1  # the enclosing element, 0 is the page
     tag: str = ""  # the innermost block
 
@@ -53,38 +58,53 @@ class Line(NamedTuple):
 EMPTY = Line("", 0)
 
 
-def _other(name: str, attrs: str, in_article: bool) -> bool:
+def _named_other(value: str) -> bool:
+    """Whether a class, id or role names something else: by its last word, those left out that say nothing after it."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        while len(words) > 1 and words[-1] in EMPTY_WORDS:
+            words.pop()
+        if words and words[-1] in OTHER_WORDS:
+            return True
+    return False
+
+
+def _kind(name: str, attrs: str, in_article: bool) -> str:
+    """hidden, beside (what the page calls something else than the article) or empty."""
     if name in ("html", "body", "main"):
-        return False
-    if name in BOILERPLATE and not (name == "header" and in_article):
-        return True
-    if not attrs or attrs.isspace():
-        return False
-    words: set[str] = set()
-    for key, value in _ATTR.findall(attrs):
+        return ""
+    if name in CONTROLS:
+        return "hidden"
+    beside = name in BESIDE and not (name == "header" and in_article)
+    for key, value in _ATTR.findall(attrs) if attrs and not attrs.isspace() else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key != "style":
-            words |= set(re.split(r"[^a-z0-9]+", value))
-    return bool(words & OTHER_WORDS) and not words & OWN_WORDS
+            return "hidden"
+        if key in ("class", "id", "role") and _named_other(value):
+            # the head of an article is its own
+            beside = beside or not (in_article and set(re.split(r"[^a-z]+", value)) & {"header"} and not set(re.split(r"[^a-z]+", value)) & (OTHER_WORDS - {"header"}))
+    return "beside" if beside else ""
 
 
 def text_lines(page: str) -> list[Line]:
     """All lines of a page: every tag of a block ends a line, so what lies between two texts leaves empty lines.
 
-    Sibling paragraphs are one empty line apart; the bounds of an element that holds several lines count twice. What the
-    names of elements, classes and roles call something else than the article (OTHER_WORDS, BOILERPLATE) is lines
-    without text. Such an element ends where it is closed; one that is never closed ends where an article begins. The
-    element of a line is the innermost one that holds other lines as well, paragraphs, headings, lists and tables aside.
+    Sibling paragraphs are one empty line apart; the bounds of an element that holds several lines count twice, and those
+    of a marked article or of an element beside it as often as no window spans. Lines in an article weigh MARKED, lines
+    in what names, classes and roles call something else (BESIDE, OTHER_WORDS) weigh FAINT. Hidden elements and controls
+    have no lines. An element that is never closed ends where an article begins; paragraphs and items end each other. The
+    element of a line is the innermost one that holds other lines as well, paragraphs, headings, lists and tables aside;
+    that of a line beside the article is the outermost one beside it.
     """
     items: list[Line | int] = []  # lines with text, and breaks: -1, or the number of an element that begins or ends
     parents = [0]
-    inner: list[tuple[str, int]] = []  # open elements, and how many of each name
+    wide: set[int] = set()  # elements whose bounds no window spans
+    inner: list[tuple[str, int]] = []  # open elements
+    besides: list[int] = []  # those of them beside the article
     depth: Counter[str] = Counter()
     piece: list[str] = []
     linked: list[str] = []
-    skip: list[str] = []  # open elements of the one that is being passed over
+    skip: list[str] = []  # open elements of the hidden one that is being passed over
     article = at = 0
     links = False
     tag = "body"
@@ -94,12 +114,31 @@ def text_lines(page: str) -> list[Line]:
             text = " ".join(html.unescape("".join(piece)).split())
             if text:
                 length = len(text)
-                if linked and not article and tag not in HEADINGS:
+                if linked and not (article and not besides) and tag not in HEADINGS:
                     length = max(0, length - len(" ".join(html.unescape("".join(linked)).split())))
-                items.append(Line(text, length, article > 0, inner[-1][1] if inner else 0, tag))
+                weight = FAINT if besides else MARKED if article else 1.0
+                items.append(Line(text, length, weight, besides[0] if besides else inner[-1][1] if inner else 0, tag))
             piece.clear()
             linked.clear()
 
+    def leave() -> None:
+        last, number = inner.pop()
+        depth[last] -= 1
+        if besides and besides[-1] == number:
+            besides.pop()
+        items.append(number)
+
+    def enter(name: str, beside: bool) -> None:
+        number = len(parents)
+        parents.append(inner[-1][1] if inner else 0)
+        inner.append((name, number))
+        depth[name] += 1
+        if beside:
+            besides.append(number)
+        if beside or name in MAIN:
+            wide.add(number)
+        items.append(number)
+
     for m in _MARKUP.finditer(page):
         if not skip and m.start() > at:
             piece.append(page[at : m.start()])
@@ -111,57 +150,60 @@ def text_lines(page: str) -> list[Line]:
         if not (name := m["name"]):
             continue
         name, closing, attrs = name.lower(), bool(m["close"]), m["attrs"] or ""
+        opening = not closing and name not in VOID and not attrs.endswith("/")
         if skip:
-            if not closing and name in MAIN and not article and not _other(name, attrs, False) and skip[0] not in MAIN:
+            if opening and name in MAIN and not article and skip[0] not in MAIN and not _kind(name, attrs, False):
                 skip.clear()
             else:
-                if name not in INLINE:
-                    items.append(-1)
-                if not closing and name == skip[0] and name not in VOID and not attrs.endswith("/"):
+                if opening and name == skip[0] and name not in SELF_ENDING:
                     skip.append(name)
-                elif closing and name == skip[0]:
+                elif name == skip[0]:
                     skip.pop()
-                continue
-        if not closing and name not in VOID and _other(name, attrs, article > 0):
+                if name not in INLINE:
+                    items.append(-1)
+                if skip or closing:
+                    continue
+        kind = _kind(name, attrs, article > 0) if opening else ""
+        if kind == "hidden" or kind and name in INLINE:
             block()
             items.append(-1)
             skip.append(name)
             continue
         if name == "a":
             links = not closing
-        if name in MAIN:
-            block()
-            article = max(0, article + (-1 if closing else 1))
-        elif name not in INLINE:
-            block()
         if name in INLINE:
             continue
-        if name in VOID or name in TEXT:
-            if name not in ROWS:
-                items.append(-1)
-            if name in TEXT:
-                tag = inner[-1][0] if closing and inner else "body" if closing else name
-            continue
-        if not closing and not attrs.endswith("/"):
-            inner.append((name, len(parents)))
-            items.append(len(parents))
-            parents.append(inner[-2][1] if len(inner) > 1 else 0)
-            depth[name] += 1
-        elif closing and depth[name]:
-            while (last := inner.pop())[0] != name:
-                depth[last[0]] -= 1
-            depth[name] -= 1
-            items.append(last[1])
-        else:
+        block()
+        # a block ends an open paragraph beside the article, an item the one before it
+        while not closing and inner and inner[-1][0] in SELF_ENDING and (inner[-1][0] == name or inner[-1][0] not in ("li", "dt", "dd")):
+            leave()
+        if name in MAIN:
+            if opening:
+                while besides and not article:  # what was never closed ends here
+                    leave()
+                article += not kind
+                enter(name, bool(kind))
+            elif closing and depth[name]:
+                while inner[-1][0] != name:
+                    leave()
+                article = max(0, article - (inner[-1][1] not in besides))
+                leave()
+        elif opening and (kind or name not in TEXT):
+            enter(name, bool(kind))
+        elif closing and depth[name] and (name not in TEXT or any(n == name and e in besides for n, e in inner)):
+            while inner[-1][0] != name:
+                leave()
+            leave()
+        elif name not in ROWS:
             items.append(-1)
-        tag = inner[-1][0] if inner else "body"
+        tag = name if name in TEXT and not closing else inner[-1][0] if inner else "body"
     if not skip:
         piece.append(page[at:])
     block()
-    return _laid_out(items, parents)
+    return _laid_out(items, parents, wide)
 
 
-def _laid_out(items: list[Line | int], parents: list[int]) -> list[Line]:
+def _laid_out(items: list[Line | int], parents: list[int], wide: set[int]) -> list[Line]:
     """The lines with the empty ones between them, and with their innermost elements that hold more than one."""
     held = [0] * len(parents)  # each element comes after its parent
     for it in items:
@@ -173,10 +215,10 @@ def _laid_out(items: list[Line | int], parents: list[int]) -> list[Line]:
     breaks = 0
     for it in items:
         if isinstance(it, int):
-            breaks += 2 if it > 0 and held[it] > 1 else 1
+            breaks += WINDOW + 1 if it in wide else 2 if it > 0 and held[it] > 1 else 1
             continue
         e = it.element
-        while e > 0 and held[e] == 1:
+        while e > 0 and held[e] == 1 and e not in wide:
             e = parents[e]
         if lines:
             lines.extend([EMPTY] * min(breaks - 1, WINDOW))  # more would change no window
@@ -185,49 +227,52 @@ def _laid_out(items: list[Line | int], parents: list[int]) -> list[Line]:
     return lines
 
 
-def zones(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+def zones(lengths: np.ndarray) -> list[tuple[int, int, float]]:
     """(surge, dive, largest window) of each run of lines: a window's text rises from nothing, and falls to nothing.
 
     The surge is the first line with text, the dive comes after the last one before a window without any.
     """
     if not len(lengths):
         return []
-    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the window that begins at each line
-    found: list[tuple[int, int, int]] = []
+    sums = np.convolve(lengths, np.ones(WINDOW))[WINDOW - 1 :]  # of the window that begins at each line
+    found: list[tuple[int, int, float]] = []
     surge = last = None
     for i, (n, s) in enumerate(zip(lengths.tolist(), sums.tolist(), strict=True)):
         if n:
             surge, last = i if surge is None else surge, i
         if surge is not None and s == 0:
-            found.append((surge, last + 1, int(sums[surge:i].max())))
+            found.append((surge, last + 1, float(sums[surge:i].max())))
             surge = None
     if surge is not None:
-        found.append((surge, last + 1, int(sums[surge:].max())))
+        found.append((surge, last + 1, float(sums[surge:].max())))
     return found
 
 
-def _surging(lines: list[Line], found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The zones of an unmarked page that are its text, as (first line, end).
+def _surging(lines: list[Line], found: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """The zones that are the page's text, as (first line, end).
 
-    Zones whose text lies mostly in the same element are judged as one: what was passed over within a text parts it into
-    zones, but does not make its short ones fall. A text stays if its highest window has SURGE characters, and RELATIVE
-    of the page's highest; where none has SURGE, that with the most text stays. Tags only settle what lengths leave
-    open: of a text that surges, a zone too short to surge itself stays if it has a heading or the same kind of block,
-    and short lines at a zone's ends fall if they stand bare in a box and the zone's text does not.
+    Zones whose text lies mostly in the same element are judged as one: what stands beside a text parts it into zones,
+    but does not make its short ones fall. A text stays if its highest window reaches SURGE, and RELATIVE of the page's
+    highest; where none reaches SURGE, that with the most text stays, unless all of it is beside an article that is not
+    there and too short for one. Tags only settle what lengths leave open: of a text
+    that surges, a zone too short to surge itself stays if it has a heading or the same kind of block, and short lines at
+    a zone's ends fall if they stand bare in a box and the zone's text does not.
     """
-    groups: dict[int, list[tuple[int, int, int]]] = {}
+    groups: dict[int, list[tuple[int, int, float]]] = {}
     for z in found:
         share: Counter[int] = Counter()
         for line in lines[z[0] : z[1]]:
             share[line.element] += line.length
         groups.setdefault(max(share, key=share.__getitem__), []).append(z)
-    lengths = {e: np.array([line.length for a, b, _ in group for line in lines[a:b] if line.length], np.int64) for e, group in groups.items()}
+    lengths = {e: np.array([line.length * line.weight for a, b, _ in group for line in lines[a:b] if line.length]) for e, group in groups.items()}
     peaks = {e: max(z[2] for z in zones(n)) for e, n in lengths.items()}
     high = max(peaks.values(), default=0)
     if high >= SURGE:
         texts = [e for e, peak in peaks.items() if peak >= max(SURGE, RELATIVE * high)]
     else:
-        texts = sorted(groups, key=lambda e: -int(lengths[e].sum()))[:1]
+        texts = sorted(groups, key=lambda e: -float(lengths[e].sum()))[:1]
+        # a page of nothing but what stands beside an article has a text only if that would surge in its place
+        texts = [e for e in texts if any(line.weight > FAINT or peaks[e] >= SURGE * FAINT for a, b, _ in groups[e] for line in lines[a:b])]
     out: list[tuple[int, int]] = []
     for e in texts:
         kinds = {line.tag for a, b, peak in groups[e] if peak >= SURGE for line in lines[a:b] if line.length}
@@ -253,17 +298,14 @@ def _trimmed(lines: list[Line], a: int, b: int) -> tuple[int, int]:
 def main_text(page: str | None) -> str:
     """The article's lines, joined by line breaks.
 
-    The lengths of the page's lines are summed over windows of 3 lines. A zone begins where text surges and ends where
-    it dives to nothing. Which zones stay depends on how high their windows rise (see _surging). Where the page marks
-    an article, only its lines have lengths, and its zones stay however short they are. A page without text, or None,
-    gives an empty text; no page is cut off, however long.
+    The weighted lengths of the page's lines are summed over windows of 3 lines. A zone begins where text surges and ends
+    where it dives to nothing. Which zones stay depends on how high their windows rise (see _surging), on every page: a
+    mark of an article or a name of something else makes its lines weigh more or less, and neither keeps nor removes
+    them. A page without text, or None, gives an empty text; no page is cut off, however long.
     """
     lines = text_lines(page or "")
-    marked = any(line.marked for line in lines)
-    lengths = np.array([line.length if line.marked or not marked else 0 for line in lines], np.int64)
-    found = zones(lengths)
-    kept = [(a, b) for a, b, _ in found] if marked else _surging(lines, found)
-    return "\n".join(line.text for a, b in kept for line in lines[a:b] if line.text and line.marked == marked)
+    found = zones(np.array([line.length * line.weight for line in lines]))
+    return "\n".join(line.text for a, b in _surging(lines, found) for line in lines[a:b] if line.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -214,6 +214,61 @@ def test_unmarked_pages_give_their_article(monkeypatch):
             assert changed > 5, (values, changed)
 
 
+PARAGRAPHS = ["A sentence of the article that goes on for a while, as they do. " * 3, "Another paragraph, with words of its own, as long as the first. " * 3]
+
+
+@pytest.mark.parametrize("name", ["ad-container", "comment-body", "sidebar-content", "cookie-main", "share", "related-posts", "post-comments", "Ad_Slot-3"])
+@pytest.mark.parametrize("tag", ["div", "section", "p", "ul"])
+def test_names_of_compounds_count_by_what_they_name(name, tag):
+    one, two = (f"<p>{p}</p>" for p in PARAGRAPHS)
+    said = "Something else that the page says here, at some length."
+    inside = said if tag == "p" else f"<li>{said}</li>" if tag == "ul" else f"<p>{said}</p>"
+    for mark in ("article", "div"):
+        page = f"<body><{mark}><h1>The title</h1>{one}<{tag} class='{name}'>{inside}</{tag}>{two}<p>Short end.</p></{mark}></body>"
+        assert html.main_text(page) == "\n".join(["The title", *map(str.strip, PARAGRAPHS), "Short end."])
+
+
+def test_own_compounds_and_wrappers_stay():
+    one, two = (f"<p>{p}</p>" for p in PARAGRAPHS)
+    text = "\n".join(map(str.strip, PARAGRAPHS))
+    for name in ("article-body", "post-content", "entry", "share-article", "nav-and-content-with-sidebar", "search", "has-comments"):
+        assert html.main_text(f"<body><div class='{name}'>{one}{two}</div><footer>f</footer></body>") == text, name
+    assert html.main_text(f"<form action='/'><div>{one}{two}</div></form>") == text  # a page that is one form
+    assert html.main_text(f"<article><p id='share'>Share this{one}{two}</article>") == text  # a paragraph ends where the next begins
+    assert html.main_text(f"<article><header class='entry-header'><h1>Title</h1></header>{one}{two}</article>") == f"Title\n{text}"
+    assert html.main_text(f"<article><div hidden>{one}</div>{two}</article>") == PARAGRAPHS[1].strip()
+
+
+def test_long_reader_comments_and_teasers_fall():
+    one, two = (f"<p>{p}</p>" for p in PARAGRAPHS)
+    text = "\n".join(map(str.strip, PARAGRAPHS))
+    said = "<div class='c'><p>" + "A reader says at length what readers say, and more. " * 5 + "</p></div>"
+    for name in ("comments", "post-comments", "comment-list", "replies"):
+        for mark in ("article", "div"):
+            assert html.main_text(f"<body><{mark}>{one}{two}</{mark}><div class='{name}'>{said * 12}</div></body>") == text
+    assert html.main_text(f"<article>{one}{two}</article><article class='teaser'><h2>Next</h2><p>Read on here.</p></article>") == text
+
+
+def test_windows_decide_on_marked_pages(monkeypatch):
+    import duckdb
+
+    pages = [r[0] for r in duckdb.connect().execute("select html from '/root/testdata/sf0.01/pages.parquet' order by page_id").fetchall()]
+    want = [html.main_text(p) for p in pages]
+    exact = lambda: sum(html.main_text(p) == t for p, t in zip(pages, want, strict=True)) / len(pages)
+    monkeypatch.setattr(html, "SURGE", 0.5)
+    assert exact() > 0.99  # RELATIVE still tells them apart
+    monkeypatch.setattr(html, "RELATIVE", 0.0)
+    assert exact() < 0.1  # adverts, menus and footers are lines like others: only the heights of windows keep them out
+    monkeypatch.setattr(html, "SURGE", 86)
+    assert exact() > 0.99
+    monkeypatch.setattr(html, "RELATIVE", 0.5)
+    other = "<article>" + "".join(f"<p>{'A line of some sixty characters, told as one of many: ' + str(k)}</p>" for k in range(9)) + "</article>"
+    page = f"<article><p>{'word ' * 60}</p></article>{other}"
+    assert "told" in html.main_text(page)
+    monkeypatch.setattr(html, "WINDOW", 1)
+    assert "told" not in html.main_text(page)
+
+
 def test_distribution_finds_articles_without_any_names(monkeypatch):
     import duckdb
 
