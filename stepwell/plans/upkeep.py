@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import stamp
 from ..operators import dedupe, funnel, gates, identity, serving
 from ..sources import sinks
 from ..sources.events import read_events
-from ..streaming import bronze
+from ..streaming import bronze, windows
 from . import erasure, rebuild
 from .queries import _PAIRS, BRONZE, Query, _daily, _day, _firsts, shared
 
@@ -52,6 +55,20 @@ def _erased(spark: SparkSession, d: str) -> DataFrame:
     return _served(spark.read.parquet(layers.gold))
 
 
+CUT, HOURS = "2024-01-20", 6
+
+
+def _windows(spark: SparkSession, d: str, out: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Two runs of the windowed stream: events before a day, then those from it on and a fifth of the earlier ones."""
+    root, rows = shared(spark, "windows"), read_events(spark, d, False)
+    first = (F.col("occurred_at") < F.lit(CUT).cast("timestamp_ntz")) & (_n() % 5 != 2)
+    for some in (rows.where(first), rows.where(~first)):
+        bronze.to_records(some).write.mode("append").json(f"{root}/log")
+        good = bronze.split(bronze.read_records(spark, f"{root}/log", 10_000))[0]
+        windows.run_windows(good, f"{root}/windows", f"{root}/checkpoint", HOURS * 60, shards=4)
+    return out(spark, f"{root}/windows")
+
+
 #: A day of one workspace for each gate to fail.
 FAULTS = {"volume": "2024-01-09", "duplicates": "2024-01-11", "nulls": "2024-01-13", "freshness": "2024-01-17", "reconciliation": "2024-01-19"}
 LIMITS = gates.Limits(order=0.97)
@@ -111,6 +128,8 @@ def queries() -> dict[str, Query]:
         "day_gates": _day_gates,
         "day_gates_publish": _gated_days,
         "identity_chains": _chains,
+        "stream_windows": lambda s, d: _windows(s, d, windows.closed_windows).withColumn("window_start", stamp("window_start")),
+        "stream_late_events": lambda s, d: _windows(s, d, windows.late_events).withColumn("occurred_at", stamp("occurred_at")),
     }
 
 
@@ -142,6 +161,8 @@ m AS (SELECT b.*, coalesce(silver_rows, 0) AS silver_rows, coalesce(reached, 0)
 j AS (SELECT *, concat_ws(',', CASE WHEN n >= 3 AND bronze_events < usual * 0.5 THEN 'volume' END, CASE WHEN (bronze_rows - bronze_events) / bronze_rows > 0.2 THEN 'duplicates' END,
   CASE WHEN null_ids > 0.01 THEN 'nulls' END, CASE WHEN misplaced / nullif(reached, 0) > 0.97 THEN 'order' END, CASE WHEN late_rows / bronze_rows > 0.05 THEN 'freshness' END,
   CASE WHEN bronze_events <> silver_rows THEN 'reconciliation' END) AS failed FROM m)"""
+    stream = f"""{_W}, r AS (SELECT *, occurred_at < DATE '{CUT}' AND id % 5 <> 2 AS early, time_bucket(INTERVAL {HOURS} HOUR, occurred_at, TIMESTAMP '2024-01-01') AS w FROM base),
+wm AS (SELECT max(occurred_at) FILTER (early) - INTERVAL 2 HOUR AS one, max(occurred_at) - INTERVAL 2 HOUR AS two FROM r), c AS (SELECT r.*, w + INTERVAL {HOURS} HOUR AS e, one, two FROM r, wm)"""
     late = " OR ".join(f"CAST(event_date AS DATE) BETWEEN DATE '{day}' - INTERVAL 1 DAY AND DATE '{day}' + INTERVAL 4 DAY" for day in LATE_DAYS)
     return {
         "late_day_rebuild": f"{_W}, {_per_day('silver', 3)} SELECT workspace_id, event_date, stage_name, unique_users, CASE WHEN {late} THEN 'late-2' ELSE 'late-1' END AS snapshot_version FROM g",
@@ -149,6 +170,8 @@ j AS (SELECT *, concat_ws(',', CASE WHEN n >= 3 AND bronze_events < usual * 0.5
 SELECT workspace_id, event_date, stage_name, unique_users, CASE WHEN EXISTS (SELECT 1 FROM gone WHERE CAST(event_date AS DATE) BETWEEN day AND day + INTERVAL 2 DAY) THEN 'erase-2' ELSE 'erase-1' END AS snapshot_version FROM g""",
         "day_gates": f"{faulty} SELECT workspace_id, CAST(d AS VARCHAR) AS event_date, bronze_rows, bronze_events, silver_rows, late_rows, reached, misplaced, null_ids, failed FROM j",
         "day_gates_publish": f"{faulty} SELECT go.workspace_id, event_date, stage_name, unique_users, CASE WHEN failed = '' THEN 'v2' ELSE 'v1' END AS snapshot_version FROM go JOIN j ON go.workspace_id = j.workspace_id AND event_date = CAST(d AS VARCHAR)",
+        "stream_windows": f"{stream} SELECT workspace_id, event_name, strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS event_count, count(DISTINCT anonymous_id) AS users FROM c WHERE e <= two AND (early OR e > one) GROUP BY ALL",
+        "stream_late_events": f"{stream} SELECT workspace_id, event_id, event_name, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at FROM c WHERE NOT early AND e <= one",
         "identity_chains": f"""WITH RECURSIVE {BRONZE},
 n0 AS (SELECT *, CAST(substr(anonymous_id, 11, 8) AS BIGINT) AS u FROM base),
 e AS (SELECT workspace_id AS w, CASE WHEN id % 97 = 5 THEN ' ' ELSE anonymous_id END AS a, {_USER} AS user_id FROM n0),

@@ -171,18 +171,13 @@ def ingest_first_seen(records: DataFrame, path: str, checkpoint: str) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-def provisional_counts(events: DataFrame, size: str = "1 hour", allowed: str = LATENESS) -> DataFrame:
-    """Provisional users of each stage in tumbling windows of event time, for a batch or a stream with update mode.
-
-    A stream keeps a window open for the allowed lateness; what comes later is left to the canonical batch.
-    """
-    rows = events.where("occurred_at is not null").withColumn("at", F.col("occurred_at").cast("timestamp"))
+def provisional_counts(events: DataFrame, size: str = "1 hour") -> DataFrame:
+    """Events and exact users of each stage in tumbling windows of event time, of a batch; `windows` does it for a stream."""
     if events.isStreaming:
-        rows = rows.withWatermark("at", allowed)
-        users = F.approx_count_distinct("anonymous_id")  # exact distinct needs all ids in the state
-    else:
-        users = F.count_distinct("anonymous_id")
-    return rows.groupBy("workspace_id", "event_name", F.window("at", size).alias("w")).agg(F.count("*").alias("event_count"), users.alias("users")).select("workspace_id", "event_name", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_count", "users")
+        raise ValueError("windows.run_windows counts a stream")
+    rows = events.where("occurred_at is not null").withColumn("at", F.col("occurred_at").cast("timestamp"))
+    counted = rows.groupBy("workspace_id", "event_name", F.window("at", size).alias("w")).agg(F.count("*").alias("event_count"), F.count_distinct("anonymous_id").alias("users"))
+    return counted.select("workspace_id", "event_name", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_count", "users")
 
 
 def to_records(events: DataFrame) -> DataFrame:
