@@ -63,12 +63,19 @@ def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str, server_fields: tuple[str, ...] = ()) -> DataFrame:
+def follows(value: Column, kind: Column, values: Column) -> Column:
+    """Whether a text keeps a rule of a tracking plan: identifier, path, or one of its values; null for a null text."""
+    path_ok = value.startswith("/") & ~value.contains("?") & ~value.contains("#") & (F.length(value) <= 512)
+    return F.when(kind == "identifier", value.rlike(IDENTIFIER)).when(kind == "path", path_ok).when(kind == "one_of", F.array_contains(values, value))
+
+
+def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str, server_fields: tuple[str, ...] = (), plan_name: str | None = None) -> DataFrame:
     """Adds the reason code of raw events, null for accepted ones. The time of receipt is an instant (timestamp).
 
     A text that is no JSON gives invalid_json. Of a repeated key the last value counts, at every level and also for the
     order of the properties; for that a setting of the session is turned on and stays on. Checks go envelope, name, ids, versions, consent and context, time, then properties in document
-    order, required ones and values.
+    order, required ones and values. With `plan_name`, a column with the tracking plan of each row (see registry), events,
+    properties and value rules are those of the plan, and a null plan is a contract version that is not supported.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     raw, received_at, paths = F.col(raw_name), F.col(received_name), _Paths()
@@ -87,8 +94,10 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str,
     instant = F.when(occurred.rlike(INSTANT), F.try_to_timestamp(occurred))
     in_time = F.coalesce((instant <= received_at + F.expr("interval 5 minutes")) & (instant >= received_at - F.expr("interval 365 days")), F.lit(False))
 
-    allowed = F.lit(None).cast("array<string>")
-    for e, names in ALLOWED_PROPERTIES.items():
+    fixed = plan_name is None
+    event = None if fixed else F.try_element_at(F.col(plan_name), name)
+    allowed = F.lit(None).cast("array<string>") if fixed else event["allowed"]
+    for e, names in ALLOWED_PROPERTIES.items() if fixed else ():
         allowed = F.when(name == e, _array(names)).otherwise(allowed)
     by_key = F.transform(
         F.json_object_keys(last_value(raw, "properties")),
@@ -96,29 +105,36 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str,
     )
     property_reason = F.get(F.filter(by_key, lambda r: r.isNotNull()), F.lit(0))
     prop = lambda p: paths.text(f"$.properties.{p}")
-    missing = F.lit(False)
-    for e, names in REQUIRED_PROPERTIES.items():
+    in_plan = lambda p: F.when(F.schema_of_variant(F.element_at(paths.object("properties"), p)) == "STRING", F.try_variant_get(F.element_at(paths.object("properties"), p), "$", "string"))
+    missing = F.lit(False) if fixed else F.exists(event["required"], lambda p: in_plan(p).isNull())
+    for e, names in REQUIRED_PROPERTIES.items() if fixed else ():
         for p in names:
             missing = missing | ((name == e) & prop(p).isNull())
-    ident = lambda p: F.coalesce(prop(p).rlike(IDENTIFIER), F.lit(True))
-    one_of = lambda p, values: F.coalesce(prop(p).isin(values), F.lit(True))
-    path = prop("page_path")
-    path_ok = path.startswith("/") & ~path.contains("?") & ~path.contains("#") & (F.length(path) <= 512)
-    value_reason = (
-        F.when((name == "vpv") & ~path_ok, "invalid_page_path")
-        .when((name == "click") & ~(ident("ui_name") & ident("ui_surface") & one_of("ui_type", UI_TYPES)), "invalid_ui_component")
-        .when((name == "activation_completed") & ~ident("activation_action"), "invalid_activation_action")
-        .when((name == "subscription_started") & ~(ident("plan") & ident("acquisition_channel") & one_of("billing_interval", BILLING_INTERVALS)), "invalid_subscription_properties")
-        .when((name == "signup_completed") & ~one_of("signup_method", SIGNUP_METHODS), "invalid_signup_method")
-    )
+    if fixed:
+        ident = lambda p: F.coalesce(prop(p).rlike(IDENTIFIER), F.lit(True))
+        one_of = lambda p, values: F.coalesce(prop(p).isin(values), F.lit(True))
+        path = prop("page_path")
+        path_ok = path.startswith("/") & ~path.contains("?") & ~path.contains("#") & (F.length(path) <= 512)
+        value_reason = (
+            F.when((name == "vpv") & ~path_ok, "invalid_page_path")
+            .when((name == "click") & ~(ident("ui_name") & ident("ui_surface") & one_of("ui_type", UI_TYPES)), "invalid_ui_component")
+            .when((name == "activation_completed") & ~ident("activation_action"), "invalid_activation_action")
+            .when((name == "subscription_started") & ~(ident("plan") & ident("acquisition_channel") & one_of("billing_interval", BILLING_INTERVALS)), "invalid_subscription_properties")
+            .when((name == "signup_completed") & ~one_of("signup_method", SIGNUP_METHODS), "invalid_signup_method")
+        )
+    else:
+        broken = F.filter(event["rules"], lambda r: ~F.coalesce(follows(in_plan(r["property"]), r["kind"], r["values"]), F.lit(True)))
+        value_reason = F.get(broken, F.lit(0))["reason"]
+    supported = F.coalesce(name.isin(EVENT_NAMES), F.lit(False)) if fixed else F.coalesce(F.col(plan_name).isNull() | event.isNotNull(), F.lit(False)) & name.isNotNull()
+    plan_ok = version_ok("tracking_plan_version") if fixed else F.col(plan_name).isNotNull()
     code = (
         F.when(F.col("_json").isNull(), "invalid_json")
         .when(~is_object("root"), "invalid_payload")
         .when(extra("root", [*ENVELOPE_FIELDS, *server_fields]), "unallowed_envelope_field")
-        .when(~F.coalesce(name.isin(EVENT_NAMES), F.lit(False)), "unsupported_event_name")
+        .when(~supported, "unsupported_event_name")
         .when(~(id_ok("$.event_id") & id_ok("$.anonymous_id") & id_ok("$.session_id")), "invalid_identifier")
         .when(paths.kind("$.user_id").isNotNull() & ~id_ok("$.user_id"), "invalid_identifier")
-        .when(~(version_ok("schema_version") & version_ok("tracking_plan_version") & version_ok("funnel_definition_version")), "unsupported_contract_version")
+        .when(~(version_ok("schema_version") & plan_ok & version_ok("funnel_definition_version")), "unsupported_contract_version")
         .when(~(consent & context), "invalid_context_or_consent")
         .when(occurred.isNull(), "missing_occurred_at")
         .when(~in_time, "invalid_event_time")

@@ -213,7 +213,7 @@ _REC = "rec AS (SELECT *, id % 17 = 0 AS bad, id % 19 = 0 OR id % 23 = 0 AS wron
 
 
 def queries() -> dict[str, Query]:
-    from . import more, upkeep  # they are built from the parts above
+    from . import more, rules, upkeep  # they are built from the parts above
 
     return {
         "bronze_scan_range": lambda s, d: _shown(scan_range(read_events(s, d, True, START, END), START, END)),
@@ -257,6 +257,7 @@ def queries() -> dict[str, Query]:
         "quality_gates": lambda s, d: insights.quality_gates(read_events(s, d), _silver(s, d)),
         **more.queries(),
         **upkeep.queries(),
+        **rules.queries(),
     }
 
 
@@ -267,13 +268,17 @@ snaps AS (
 _W = f"WITH {BRONZE}"
 
 
-def oracle_sql() -> dict[str, str]:
-    from . import more, upkeep
-
+def _pure_sql() -> str:
     kept = "workspace_id, anonymous_id, v, t0, t1, t2, t3"
     fold = f"""a1 AS (SELECT {kept}, t0 AS l0, CASE WHEN t1 IS NOT NULL AND (t0 IS NULL OR t1 >= t0) THEN t1 END AS a1 FROM f),
 a2 AS (SELECT *, coalesce(a1, l0) AS l1, CASE WHEN t2 IS NOT NULL AND (coalesce(a1, l0) IS NULL OR t2 >= coalesce(a1, l0)) THEN t2 END AS a2 FROM a1),
 a3 AS (SELECT *, CASE WHEN t3 IS NOT NULL AND (coalesce(a2, l1) IS NULL OR t3 >= coalesce(a2, l1)) THEN t3 END AS a3 FROM a2)"""
+    return f"{_W}, f AS ({_firsts('pure')}), {fold}, y AS (SELECT workspace_id, anonymous_id, v, l0 AS t0, a1 AS t1, a2 AS t2, a3 AS t3 FROM a3) {_daily('y', [f't{k} IS NOT NULL' for k in range(4)])}"
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import more, rules, upkeep
+
     stage = " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(STAGES))
     counts = f"WITH {BRONZE}, {_STRICT}"
     labels = v.STAGE_LABELS
@@ -296,7 +301,7 @@ a3 AS (SELECT *, CASE WHEN t3 IS NOT NULL AND (coalesce(a2, l1) IS NULL OR t3 >=
         "gold_with_lookback": _gold_sql(1),
         "gold_per_day": f"{_W}, days AS (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS target), x AS (SELECT silver.*, target FROM silver JOIN days ON occurred_at >= target - INTERVAL 1 DAY AND occurred_at < target + INTERVAL 1 DAY), f AS ({_firsts('x', 'true', ', target')}) {_daily('f', _PAIRS, 'd = target', ', target')}".replace("GROUP BY ALL", "GROUP BY workspace_id, d, v, stage_name"),
         "gold_snapshot_columns": f"{_SNAP} SELECT * FROM snaps WHERE snapshot_version = 'canonical-1'",
-        "pure_daily_counts": f"{_W}, f AS ({_firsts('pure')}), {fold}, y AS (SELECT workspace_id, anonymous_id, v, l0 AS t0, a1 AS t1, a2 AS t2, a3 AS t3 FROM a3) {_daily('y', [f't{k} IS NOT NULL' for k in range(4)])}",
+        "pure_daily_counts": _pure_sql(),
         "report_stage_counts": f"{counts} SELECT * FROM c",
         "report_conversion": f"{counts} SELECT workspace_id, u0, u1, u2, u3, c1, c2, c3 FROM r",
         "report_largest_drop": f"{counts} SELECT workspace_id, u0, u1, u2, u3, drop_index FROM k",
@@ -333,4 +338,5 @@ a3 AS (SELECT *, CASE WHEN t3 IS NOT NULL AND (coalesce(a2, l1) IS NULL OR t3 >=
         "quality_gates": f"{_W}, b AS (SELECT workspace_id, count(*) AS bronze_rows, count(DISTINCT event_id) AS bronze_events, count(*) FILTER (occurred_at IS NULL) AS null_times FROM bronze GROUP BY ALL), s AS (SELECT workspace_id, count(*) AS silver_rows FROM silver GROUP BY ALL) SELECT *, bronze_rows - bronze_events AS duplicates, bronze_events = silver_rows AS reconciled FROM b JOIN s USING (workspace_id)",
         **more.oracle_sql(),
         **upkeep.oracle_sql(),
+        **rules.oracle_sql(),
     }
