@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import stamp
-from ..operators import dedupe, funnel, gates, identity, serving
-from ..sources import sinks
+from ..functions.values import STAGES, TOPIC, partition_key, stamp
+from ..operators import dedupe, funnel, gates, identity, metrics, serving
+from ..sources import buckets, sinks
 from ..sources.events import read_events
-from ..streaming import bronze, windows
+from ..streaming import bronze, replay, windows
 from . import erasure, rebuild
-from .queries import _PAIRS, BRONZE, Query, _daily, _day, _firsts, shared
+from .queries import _PAIRS, _REC, BRONZE, END, START, Query, _daily, _day, _firsts, _gold_sql, _records, _silver, shared
 
 _W = f"WITH {BRONZE}"
 FIRST, LAST, COMPLETED = "2024-01-01", "2024-01-30", "2024-02-01 00:00:00"
@@ -121,6 +122,31 @@ def _chains(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("workspace_id", "anonymous_id", F.coalesce("user_id", F.lit("none")).alias("user_id"), F.coalesce("person_id", F.lit("none")).alias("person_id"), "identity").agg(F.count("*").alias("event_count"))
 
 
+def _replayed_letters(spark: SparkSession, d: str, out: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Two replays of the stream's dead letters: records under a wrong topic or key are mended, texts that are no JSON are not."""
+    root, rows = shared(spark, "letters"), _records(spark, d)
+    rows.write.json(f"{root}/log")
+    bronze.ingest_stream(bronze.read_records(spark, f"{root}/log"), f"{root}/bronze", f"{root}/dead", f"{root}/checkpoint")
+    log, dead = spark.read.schema(bronze.RECORD).json(f"{root}/log"), spark.read.schema(bronze.DEAD_LETTER).json(f"{root}/dead")
+
+    def mended(records: DataFrame) -> DataFrame:
+        text = lambda p: F.get_json_object("value", p)
+        return records.withColumns({"topic": F.lit(TOPIC), "key": partition_key(text("$.workspace_id"), text("$.event.anonymous_id"))})
+
+    for name, reason in (("keys", "invalid_topic_or_partition_key"), ("texts", "invalid_event_envelope")):
+        replay.replay_letters(spark, name, log, dead.where(F.col("reason") == reason), mended, f"{root}/bronze", f"{root}/staging", f"{root}/audit")
+    return out(spark, root)
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The last day against the week before: one workspace sells more, one loses events, one has few."""
+    ws, last = F.col("workspace_id"), F.to_date("occurred_at") == F.lit(LAST).cast("date")
+    rows = _silver(spark, d).where(~((ws == "ws_2") & last & (_n() % 10 != 0)) & ~((ws == "ws_3") & (_n() % 20 != 3)))
+    sold = (ws.isin("ws_1", "ws_2", "ws_3")) & last & (F.col("event_name") != "vpv")
+    rows = rows.withColumn("event_name", F.when(sold, "subscription_started").otherwise(F.col("event_name")))
+    return metrics.metric_anomalies(metrics.daily_metrics(rows), 5.0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "late_day_rebuild": _late_days,
@@ -129,6 +155,10 @@ def queries() -> dict[str, Query]:
         "day_gates_publish": _gated_days,
         "identity_chains": _chains,
         "stream_windows": lambda s, d: _windows(s, d, windows.closed_windows).withColumn("window_start", stamp("window_start")),
+        "dead_letter_replay": lambda s, d: _replayed_letters(s, d, lambda s, r: s.read.parquet(f"{r}/bronze").select("workspace_id", "event_id", "event_name")),
+        "dead_letter_audit": lambda s, d: _replayed_letters(s, d, lambda s, r: replay.replays(s, f"{r}/audit")),
+        "metric_anomalies": _metrics,
+        "gold_bucketed": lambda s, d: _day(buckets.bucketed_gold(s, read_events(s, d, True, START, END, 30), shared(s, "buckets"), f"b{uuid.uuid4().hex}", START, END)),
         "stream_late_events": lambda s, d: _windows(s, d, windows.late_events).withColumn("occurred_at", stamp("occurred_at")),
     }
 
@@ -170,6 +200,23 @@ wm AS (SELECT max(occurred_at) FILTER (early) - INTERVAL 2 HOUR AS one, max(occu
 SELECT workspace_id, event_date, stage_name, unique_users, CASE WHEN EXISTS (SELECT 1 FROM gone WHERE CAST(event_date AS DATE) BETWEEN day AND day + INTERVAL 2 DAY) THEN 'erase-2' ELSE 'erase-1' END AS snapshot_version FROM g""",
         "day_gates": f"{faulty} SELECT workspace_id, CAST(d AS VARCHAR) AS event_date, bronze_rows, bronze_events, silver_rows, late_rows, reached, misplaced, null_ids, failed FROM j",
         "day_gates_publish": f"{faulty} SELECT go.workspace_id, event_date, stage_name, unique_users, CASE WHEN failed = '' THEN 'v2' ELSE 'v1' END AS snapshot_version FROM go JOIN j ON go.workspace_id = j.workspace_id AND event_date = CAST(d AS VARCHAR)",
+        "dead_letter_replay": f"{_W}, {_REC} SELECT workspace_id, event_id, event_name FROM rec WHERE NOT bad",
+        "dead_letter_audit": f"""{_W}, {_REC} SELECT 'keys' AS replay_id, 'promoted' AS outcome, count(*) AS letters, count(*) AS found, count(*) AS good, count(*) AS events FROM rec WHERE wrong AND NOT bad
+UNION ALL SELECT 'texts', 'refused', count(*), count(*), 0, 0 FROM rec WHERE bad""",
+        "metric_anomalies": f"""{_W}, k AS (SELECT *, CAST(occurred_at AS DATE) AS d FROM silver WHERE NOT (workspace_id = 'ws_2' AND CAST(occurred_at AS DATE) = DATE '{LAST}' AND id % 10 <> 0) AND NOT (workspace_id = 'ws_3' AND id % 20 <> 3)),
+e AS (SELECT workspace_id, d, anonymous_id AS a, CASE WHEN workspace_id <> 'ws_0' AND d = DATE '{LAST}' AND event_name <> 'vpv' THEN 'subscription_started' ELSE event_name END AS n, received_at > occurred_at + INTERVAL 1 HOUR AS late FROM k),
+m AS (SELECT workspace_id, d, 'event_count' AS measure, 'data' AS kind, count(*) AS v FROM e GROUP BY ALL UNION ALL SELECT workspace_id, d, 'late_events', 'data', count(*) FILTER (late) FROM e GROUP BY ALL
+  UNION ALL {" UNION ALL ".join(f"SELECT workspace_id, d, '{s}', 'business', count(DISTINCT a) FILTER (n = '{s}') FROM e GROUP BY ALL" for s in STAGES)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, measure ORDER BY d DESC) AS rank FROM m),
+md AS (SELECT workspace_id, measure, median(v) AS med, count(*) AS n FROM r WHERE rank BETWEEN 2 AND 8 GROUP BY ALL),
+ad AS (SELECT workspace_id, measure, median(abs(v - med)) AS mad FROM r JOIN md USING (workspace_id, measure) WHERE rank BETWEEN 2 AND 8 GROUP BY ALL),
+z AS (SELECT r.*, coalesce(n, 0) AS n, CAST(med AS DOUBLE) AS med, mad, 0.6745::DOUBLE * (v - med) / nullif(mad, 0) AS z FROM r LEFT JOIN md USING (workspace_id, measure) LEFT JOIN ad USING (workspace_id, measure) WHERE rank = 1),
+s AS (SELECT *, CASE WHEN n < 7 THEN 'insufficient_history' WHEN mad = 0 THEN 'insufficient_variation' WHEN abs(z) >= 3.5 THEN 'anomaly' ELSE 'normal' END AS st FROM z),
+w AS (SELECT *, max(CASE WHEN measure = 'event_count' AND n >= 7 THEN floor(med * 10000 + 0.5) / 10000 END) OVER (PARTITION BY workspace_id) AS usual, bool_or(kind = 'data' AND st = 'anomaly') OVER (PARTITION BY workspace_id) AS incident FROM s)
+SELECT workspace_id, measure, kind, CASE WHEN usual < 5 THEN 'insufficient_volume' WHEN st = 'anomaly' THEN CASE WHEN kind = 'data' THEN 'data_anomaly' WHEN incident THEN 'suppressed_data_anomaly' ELSE 'business_anomaly' END ELSE st END AS status,
+  CAST(d AS VARCHAR) AS as_of_event_date, CAST(v AS DOUBLE) AS current_value, n AS baseline_points, CASE WHEN st IN ('insufficient_variation', 'normal', 'anomaly') THEN floor(med * 10000 + 0.5) / 10000 END AS baseline_median,
+  CASE WHEN st IN ('normal', 'anomaly') THEN floor(z * 10000 + 0.5) / 10000 END AS robust_z_score FROM w""",
+        "gold_bucketed": _gold_sql(30),
         "stream_windows": f"{stream} SELECT workspace_id, event_name, strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS event_count, count(DISTINCT anonymous_id) AS users FROM c WHERE e <= two AND (early OR e > one) GROUP BY ALL",
         "stream_late_events": f"{stream} SELECT workspace_id, event_id, event_name, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at FROM c WHERE NOT early AND e <= one",
         "identity_chains": f"""WITH RECURSIVE {BRONZE},

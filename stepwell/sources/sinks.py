@@ -20,9 +20,9 @@ def _store(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table has been written there."""
+    """Whether a table has been written there. An append of no rows leaves only marks of its success, which is no table yet."""
     at, fs = _store(spark, path)
-    return fs.exists(at) and len(fs.listStatus(at)) > 0
+    return fs.exists(at) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(at))
 
 
 def exists_file(spark: SparkSession, path: str) -> bool:

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_funnel import events
 
-from stepwell.operators import dedupe, funnel, gates, identity
+from stepwell.operators import dedupe, funnel, gates, identity, metrics
 from stepwell.plans import erasure, rebuild
-from stepwell.sources import sinks
-from stepwell.streaming import bronze
+from stepwell.sources import buckets, sinks
+from stepwell.streaming import bronze, replay
 
 DAYS = [f"2026-08-{d:02d}" for d in range(1, 21)]
 
@@ -144,6 +144,48 @@ def test_identities_of_chains_shared_devices_and_blanks(spark, tmp_path):
     assert identity.stitch_chains(df.limit(0), str(tmp_path)).count() == 0
 
 
+def test_bucketed_tables_are_not_dealt_again(spark, tmp_path):
+    rows = many(spark, 8).unionByName(many(spark, 8).withColumn("received_at", F.expr("received_at + interval 1 hour")))
+    gold = buckets.bucketed_gold(spark, rows, str(tmp_path), "test_buckets", DAYS[0], DAYS[-1], buckets=4)
+    assert rows_of(gold) == rows_of(funnel.canonical_daily(dedupe.silver(rows), DAYS[0], DAYS[-1]))
+    exchanges = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("Exchange") + df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+    assert exchanges(dedupe.silver(spark.table("test_buckets_bronze"))) == 0  # copies of an event lie together
+    assert exchanges(gold) == 1  # for the daily counts alone
+    assert len(list((tmp_path / "silver").glob("*.parquet"))) <= 4
+
+
+def test_replays_of_dead_letters(spark, tmp_path):
+    bronze.to_records(numbered(many(spark, 10, 12))).withColumn("topic", F.lit("other")).write.json(str(tmp_path / "log"))
+    paths = [str(tmp_path / n) for n in ("bronze", "dead", "checkpoint")]
+    bronze.ingest_stream(bronze.read_records(spark, str(tmp_path / "log")), *paths)
+    log, dead = spark.read.schema(bronze.RECORD).json(str(tmp_path / "log")), spark.read.schema(bronze.DEAD_LETTER).json(paths[1])
+    mend = lambda df: df.withColumn("topic", F.lit("accepted-events.v1"))
+    run = lambda name, letters, how: replay.replay_letters(spark, name, log, letters, how, paths[0], str(tmp_path / "staging"), str(tmp_path / "audit"))
+    lost = dead.limit(1).withColumn("offset", F.lit(-1).cast("long"))
+    assert dead.count() == 12 and run("a", dead, lambda df: df) == "refused" and run("b", dead.unionByName(lost), mend) == "refused"
+    assert not sinks.exists(spark, paths[0])  # a stream without a good record leaves no table, and may go on
+    assert run("c", dead.unionByName(dead), mend) == "promoted" and run("c", dead, mend) == "promoted"
+    assert spark.read.parquet(paths[0]).count() == 12 and run("d", dead.limit(0), mend) == "promoted"
+    audit = {(r["replay_id"], r["outcome"], r["letters"], r["found"], r["good"]) for r in replay.replays(spark, str(tmp_path / "audit")).collect()}
+    assert audit == {("a", "refused", 12, 12, 0), ("b", "refused", 13, 12, 12), ("c", "promoted", 12, 12, 12), ("d", "promoted", 0, 0, 0)}
+
+
+def test_kinds_of_anomalies(spark):
+    def series(workspace, measure, kind, last, usual=100):
+        return [(workspace, f"2026-08-{d:02d}", measure, kind, last if d == 8 else usual + d % 3) for d in range(1, 9)]
+
+    rows = series("calm", "event_count", "data", 101) + series("calm", "vpv", "business", 300)
+    rows += series("broken", "event_count", "data", 3) + series("broken", "vpv", "business", 3) + series("broken", "signup_completed", "business", 101)
+    rows += series("small", "event_count", "data", 90, 4) + series("small", "vpv", "business", 90, 4) + [("new", "2026-08-08", "event_count", "data", 7)]
+    daily = spark.createDataFrame(rows, "workspace_id string, d string, measure string, kind string, users long").withColumn("event_date", F.col("d").cast("date")).drop("d")
+    got = {(r["workspace_id"], r["measure"]): r["status"] for r in metrics.metric_anomalies(daily, 50).collect()}
+    assert got == {
+        ("calm", "event_count"): "normal", ("calm", "vpv"): "business_anomaly", ("broken", "event_count"): "data_anomaly", ("broken", "vpv"): "suppressed_data_anomaly", ("broken", "signup_completed"): "normal",
+        ("small", "event_count"): "insufficient_volume", ("small", "vpv"): "insufficient_volume", ("new", "event_count"): "insufficient_history",
+    }
+    assert metrics.metric_anomalies(metrics.daily_metrics(many(spark, 9).limit(0))).count() == 0
+
+
 def test_gates_of_days_that_only_one_layer_has(spark):
     rows = many(spark, 7, 60).withColumn("event_date", F.to_date("occurred_at"))
     gold = funnel.canonical_daily(rows, DAYS[0], DAYS[-1])
