@@ -9,8 +9,11 @@ KEY = ["workspace_id", "event_id"]
 
 
 def keep_first(df: DataFrame, *order: str) -> DataFrame:
-    """One row of each key: the first by `order`, ties by the raw event, so that reruns agree."""
-    w = Window.partitionBy(*KEY).orderBy(*order, "accepted_event_json")
+    """One row of each key: the first by `order`, ties by a hash of the raw event and its name, so that reruns agree.
+
+    The hash is made before rows are dealt, so the raw event goes along only where it is asked for later.
+    """
+    w = Window.partitionBy(*KEY).orderBy(*order, F.xxhash64("accepted_event_json"), "event_name", "anonymous_id")
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 

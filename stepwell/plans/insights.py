@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import STAGES
@@ -17,11 +17,11 @@ def time_to_next_stage(events: DataFrame) -> DataFrame:
     return rows.groupBy("workspace_id", "stage_name").agg(F.count("*").alias("journeys"), F.median("s").alias("median_seconds"))
 
 
-def return_within_week(events: DataFrame) -> DataFrame:
-    """Per workspace and first day: new users, and those seen again on days 1 to 7."""
-    days = events.select("workspace_id", F.substring("anonymous_id", 1, 18).alias("user"), F.to_date("occurred_at").alias("day")).distinct()
+def return_within_week(events: DataFrame, user: Column | str = "anonymous_id", days: int = 7) -> DataFrame:
+    """Per workspace and first day: new users, and those seen again on days 1 to 7. `user` says who is one."""
+    seen = events.select("workspace_id", (F.col(user) if isinstance(user, str) else user).alias("user"), F.to_date("occurred_at").alias("day")).dropna().distinct()
     first = F.min("day").over(Window.partitionBy("workspace_id", "user"))
-    users = days.withColumn("first_day", first).groupBy("workspace_id", "user", "first_day").agg(F.max(F.datediff("day", "first_day").between(1, 7)).alias("back"))
+    users = seen.withColumn("first_day", first).groupBy("workspace_id", "user", "first_day").agg(F.max(F.datediff("day", "first_day").between(1, days)).alias("back"))
     return users.groupBy("workspace_id", "first_day").agg(F.count("*").alias("new_users"), F.count_if("back").alias("returned"))
 
 
@@ -33,11 +33,15 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return rows.groupBy("workspace_id").agg(F.count_if("starts").alias("sessions"), F.count("*").alias("event_count"))
 
 
-def retention_cohorts(events: DataFrame) -> DataFrame:
-    """Users of each week cohort who are active so many weeks later."""
-    users = events.select(F.substring("anonymous_id", 1, 18).alias("user"), F.floor(F.datediff(F.to_date("occurred_at"), F.lit("2024-01-01")) / 7).alias("week")).distinct()
-    rows = users.withColumn("cohort", F.min("week").over(Window.partitionBy("user")))
-    return rows.groupBy("cohort", (F.col("week") - F.col("cohort")).alias("weeks_later")).agg(F.count("*").alias("users"))
+def retention_cohorts(events: DataFrame, anchor: str, user: Column | str = "anonymous_id", days: int = 7, scope: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
+    """Users of each scope and cohort who are active so many periods later.
+
+    Periods have `days` days and are counted from the day `anchor`; a cohort is the period in which a user is first seen.
+    """
+    period = F.floor(F.datediff(F.to_date("occurred_at"), F.lit(anchor).cast("date")) / days)
+    users = events.select(*scope, (F.col(user) if isinstance(user, str) else user).alias("user"), period.alias("period")).dropna(subset=["user", "period"]).distinct()
+    rows = users.withColumn("cohort", F.min("period").over(Window.partitionBy(*scope, "user")))
+    return rows.groupBy(*scope, "cohort", (F.col("period") - F.col("cohort")).alias("periods_later")).agg(F.count("*").alias("users"))
 
 
 def source_breakdown(events: DataFrame) -> DataFrame:

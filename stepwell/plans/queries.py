@@ -246,13 +246,13 @@ def queries() -> dict[str, Query]:
         "log_commit_offsets": lambda s, d: validate.commit_offsets(_records(s, d)),
         "dashboard_stages": lambda s, d: report.dashboard_stages(report.conversion(funnel.strict_counts(_silver(s, d)))),
         "dashboard_texts": lambda s, d: report.dashboard_texts(_report(s, d)),
-        "scenario_summary": lambda s, d: scenarios.summary(scenarios.all_scenarios(s)),
+        "scenario_summary": lambda s, d: scenarios.summary(scenarios.seeded(read_events(s, d, False))),
         "stream_bronze_dedupe": lambda s, d: _streamed(s, d, 2)[0].select("workspace_id", "event_id", "anonymous_id", "event_name"),
         "stream_dead_letter": lambda s, d: _streamed(s, d)[1],
         "time_to_next_stage": lambda s, d: insights.time_to_next_stage(_silver(s, d)),
-        "return_within_week": lambda s, d: insights.return_within_week(_silver(s, d)).withColumn("first_day", F.col("first_day").cast("string")),
+        "return_within_week": lambda s, d: insights.return_within_week(_silver(s, d), F.substring("anonymous_id", 1, 18)).withColumn("first_day", F.col("first_day").cast("string")),
         "sessions": lambda s, d: insights.sessions(_silver(s, d)),
-        "retention_cohorts": lambda s, d: insights.retention_cohorts(_silver(s, d)),
+        "retention_cohorts": lambda s, d: insights.retention_cohorts(_silver(s, d), "2024-01-01", F.substring("anonymous_id", 1, 18)),
         "source_breakdown": lambda s, d: insights.source_breakdown(_silver(s, d)),
         "quality_gates": lambda s, d: insights.quality_gates(read_events(s, d), _silver(s, d)),
         **more.queries(),
@@ -327,13 +327,13 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN {least} = 9 THEN '{v.NO_STEP_TEXT}' ELSE CASE {least} WHEN c1 THEN '{labels[1]}' WHEN c2 THEN '{labels[2]}' ELSE '{labels[3]}' END || '{v.STEP_TEXT[0]}' || {_PCT.format(least)} || '{v.STEP_TEXT[1]}' END AS drop_off,
   CASE WHEN sla_status <> 'healthy' THEN '{v.PAUSED}' WHEN anomaly_status = 'anomaly' THEN '{v.CHANGED}' WHEN anomaly_status = 'normal' THEN '{v.EXPECTED}' WHEN anomaly_status = 'insufficient_variation' THEN '{v.UNIFORM}' ELSE '{v.PENDING}' END AS anomaly_title
   FROM k JOIN fresh USING (workspace_id) JOIN st USING (workspace_id)""",
-        "scenario_summary": f"SELECT col0 AS scenario, col1 AS event_name, CAST(col2 AS BIGINT) AS attempted, CAST(col3 AS BIGINT) AS accepted, CAST(col2 - col3 AS BIGINT) AS duplicates FROM (SELECT * FROM ({plans} UNION ALL SELECT 'retries', 'vpv', 3, 2 UNION ALL SELECT 'retries', 'signup_completed', 1, 1 UNION ALL SELECT 'retries', 'activation_completed', 1, 1 UNION ALL SELECT 'retries', 'subscription_started', 1, 1 UNION ALL SELECT 'subscription-anomaly', 'subscription_started', 51, 51) x(col0, col1, col2, col3))",
+        "scenario_summary": f"{_W}, ws AS (SELECT DISTINCT workspace_id FROM base) SELECT workspace_id, col0 AS scenario, col1 AS event_name, CAST(col2 AS BIGINT) AS attempted, CAST(col3 AS BIGINT) AS accepted, CAST(col2 - col3 AS BIGINT) AS duplicates FROM (SELECT * FROM ({plans} UNION ALL SELECT 'retries', 'vpv', 3, 2 UNION ALL SELECT 'retries', 'signup_completed', 1, 1 UNION ALL SELECT 'retries', 'activation_completed', 1, 1 UNION ALL SELECT 'retries', 'subscription_started', 1, 1 UNION ALL SELECT 'subscription-anomaly', 'subscription_started', 51, 51) x(col0, col1, col2, col3)), ws",
         "stream_bronze_dedupe": f"{_W}, {_REC} SELECT workspace_id, event_id, anonymous_id, event_name FROM rec WHERE NOT bad AND NOT wrong",
         "stream_dead_letter": f"{_W}, {_REC} SELECT CASE WHEN id % 23 = 0 THEN 'other' ELSE '{TOPIC}' END AS topic, CAST(id % 4 AS INTEGER) AS partition, id AS \"offset\", CASE WHEN bad THEN 'invalid_event_envelope' ELSE 'invalid_topic_or_partition_key' END AS reason FROM (SELECT * FROM rec UNION ALL SELECT * FROM rec WHERE id % 20 = 0) WHERE bad OR wrong",
         "time_to_next_stage": f"{_W}, f AS ({_firsts('silver')}), x AS (" + " UNION ALL ".join(f"SELECT workspace_id, '{STAGES[k]}' AS stage_name, (epoch_us(t{k}) - epoch_us(t{k - 1})) / 1e6 AS s FROM f WHERE t{k} >= t{k - 1}" for k in (1, 2, 3)) + ") SELECT workspace_id, stage_name, count(*) AS journeys, median(s) AS median_seconds FROM x GROUP BY ALL",
         "return_within_week": f"{_W}, x AS (SELECT DISTINCT workspace_id, substr(anonymous_id, 1, 18) AS u, CAST(occurred_at AS DATE) AS d FROM silver), y AS (SELECT *, min(d) OVER (PARTITION BY workspace_id, u) AS f FROM x), z AS (SELECT workspace_id, u, f, bool_or(d - f BETWEEN 1 AND 7) AS back FROM y GROUP BY ALL) SELECT workspace_id, CAST(f AS VARCHAR) AS first_day, count(*) AS new_users, count(*) FILTER (back) AS returned FROM z GROUP BY ALL",
         "sessions": f"{_W}, x AS (SELECT workspace_id, occurred_at - lag(occurred_at) OVER (PARTITION BY workspace_id, anonymous_id ORDER BY occurred_at, event_id) AS gap FROM silver) SELECT workspace_id, count(*) FILTER (gap IS NULL OR gap > INTERVAL 30 MINUTE) AS sessions, count(*) AS event_count FROM x GROUP BY ALL",
-        "retention_cohorts": f"{_W}, x AS (SELECT DISTINCT substr(anonymous_id, 1, 18) AS u, date_diff('day', DATE '2024-01-01', CAST(occurred_at AS DATE)) // 7 AS week FROM silver), y AS (SELECT *, min(week) OVER (PARTITION BY u) AS cohort FROM x) SELECT cohort, week - cohort AS weeks_later, count(*) AS users FROM y GROUP BY ALL",
+        "retention_cohorts": f"{_W}, x AS (SELECT DISTINCT workspace_id, substr(anonymous_id, 1, 18) AS u, date_diff('day', DATE '2024-01-01', CAST(occurred_at AS DATE)) // 7 AS week FROM silver), y AS (SELECT *, min(week) OVER (PARTITION BY workspace_id, u) AS cohort FROM x) SELECT workspace_id, cohort, week - cohort AS periods_later, count(*) AS users FROM y GROUP BY ALL",
         "source_breakdown": f"{_W} SELECT workspace_id, event_name, count(*) AS event_count, count(DISTINCT anonymous_id) AS users FROM silver GROUP BY ALL",
         "quality_gates": f"{_W}, b AS (SELECT workspace_id, count(*) AS bronze_rows, count(DISTINCT event_id) AS bronze_events, count(*) FILTER (occurred_at IS NULL) AS null_times FROM bronze GROUP BY ALL), s AS (SELECT workspace_id, count(*) AS silver_rows FROM silver GROUP BY ALL) SELECT *, bronze_rows - bronze_events AS duplicates, bronze_events = silver_rows AS reconciled FROM b JOIN s USING (workspace_id)",
         **more.oracle_sql(),

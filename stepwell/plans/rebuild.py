@@ -184,9 +184,18 @@ def publish(gold: DataFrame, path: str, event_date: str, version: str) -> None:
     rows.withColumn("month", F.date_format("event_date", "yyyyMM")).sortWithinPartitions("workspace_id", "event_date").write.mode("append").partitionBy("month").parquet(path)
 
 
-def publish_jdbc(gold: DataFrame, url: str, table: str, **options: str) -> None:
-    """The same over JDBC in batches of 500 rows, where a driver is on the class path."""
-    gold.select(serving.COLUMNS).write.format("jdbc").options(url=url, dbtable=table, batchsize="500", **options).mode("append").save()
+def publish_jdbc(gold: DataFrame, url: str, table: str, event_date: str, version: str, **options: str) -> None:
+    """Appends one day's snapshot to a serving table over JDBC, in batches of 500 rows; the driver is to be on the class path.
+
+    A snapshot that the table has already is not appended again. A write that failed on its way may have left a part of
+    it, which is removed by nothing here: give the next attempt a version of its own, which the current view prefers.
+    """
+    day = F.col("event_date") == F.lit(event_date).cast("date")
+    rows = gold.where(day & (F.col("snapshot_version") == version)).select(serving.COLUMNS)
+    reader = gold.sparkSession.read.format("jdbc").options(url=url, **options)
+    held = reader.option("query", f"SELECT COUNT(*) AS n FROM {table} WHERE \"event_date\" = '{date.fromisoformat(event_date)}' AND \"snapshot_version\" = '{version.replace(chr(39), chr(39) * 2)}'")
+    if held.load().first()[0] == 0:
+        rows.write.format("jdbc").options(url=url, dbtable=table, batchsize="500", **options).mode("append").save()
 
 
 def delete_subject(df: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -43,7 +43,17 @@ def all_scenarios(spark: SparkSession) -> DataFrame:
     return first
 
 
+def seeded(workspaces: DataFrame) -> DataFrame:
+    """All scenarios for each workspace (workspace_id) of a table, with ids of their own: a demonstration for each of them."""
+    rows = all_scenarios(workspaces.sparkSession)
+    held = F.struct(*[F.col(c) for c in rows.columns])
+    demo = rows.agg(F.collect_list(held).alias("rows"))  # the fixed plans: some two hundred events
+    owners = workspaces.select("workspace_id").dropna().distinct().withColumn("_one", F.lit(1))
+    out = owners.join(F.broadcast(demo.withColumn("_one", F.lit(1))), "_one").select("workspace_id", F.inline("rows"))
+    return out.withColumn("event_id", F.concat("event_id", F.lit("-"), "workspace_id")).withColumn("anonymous_id", F.concat("anonymous_id", F.lit("-"), "workspace_id"))
+
+
 def summary(rows: DataFrame) -> DataFrame:
-    """Attempted, accepted and duplicate deliveries of each scenario and event name."""
-    per = rows.groupBy("scenario", "event_name").agg(F.count("*").alias("attempted"), F.count_distinct("event_id").alias("accepted"))
+    """Attempted, accepted and duplicate deliveries of each scenario and event name, by workspace where there is one."""
+    per = rows.groupBy(*[c for c in ("workspace_id",) if c in rows.columns], "scenario", "event_name").agg(F.count("*").alias("attempted"), F.count_distinct("event_id").alias("accepted"))
     return per.withColumn("duplicates", F.col("attempted") - F.col("accepted"))

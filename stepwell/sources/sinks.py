@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -185,6 +186,25 @@ def compact_days(spark: SparkSession, path: str, start: str, end: str, target_by
     return done
 
 
+def expire_days(spark: SparkSession, paths: dict[str, str], kept_days: dict[str, int], today: str) -> dict[str, list[str]]:
+    """Removes the days of each table that its class of data keeps no longer; returns the days removed by class.
+
+    `paths` names a table partitioned by event_date for each class, `kept_days` how many days up to `today` it keeps. A
+    class without a rule raises before anything is removed: nothing is kept for ever by mistake. Whole days go, so no
+    file is read or rewritten.
+    """
+    if missing := sorted(set(paths) - set(kept_days)):
+        raise ValueError(f"no retention for {', '.join(missing)}")
+    removed: dict[str, list[str]] = {}
+    for name, path in paths.items():
+        first = str(date.fromisoformat(today) - timedelta(days=kept_days[name] - 1))
+        removed[name] = [day for day in days_of(spark, path) if day < first]
+        for day in removed[name]:
+            at, fs = _store(spark, f"{path.rstrip('/')}/event_date={day}")
+            _must(fs.delete(at, True), f"cannot remove the day {day} of {path}")
+    return removed
+
+
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small document whole before it replaces the one that was there; readers see the old or the new one."""
     part = f"{path}.{uuid.uuid4().hex}.tmp"

@@ -1,12 +1,13 @@
 """Streams, sinks, the hourly run and the designed operators beyond their queries."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from test_funnel import events
 
-from stepwell.operators import extended, validate
+from stepwell.operators import dedupe, extended, funnel, serving, validate
 from stepwell.plans import rebuild
 from stepwell.sources import sinks
 from stepwell.sources.events import in_delivery_order, in_stage_order, read_log, read_store
@@ -265,6 +266,47 @@ def test_store_errors_name_file_and_line(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_publishing_over_jdbc(spark, tmp_path):
+    """An embedded database stands in for the serving one."""
+    url = "jdbc:derby:memory:serving;create=true"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    columns = "workspace_id VARCHAR(64), event_date DATE, funnel_definition_version VARCHAR(64), stage_name VARCHAR(64), unique_users BIGINT, snapshot_version VARCHAR(128), canonical_completed_at TIMESTAMP, data_sla_status VARCHAR(16)"
+    quoted = ", ".join(f'"{c.split()[0]}" {c.split()[1]}' for c in columns.split(", "))
+    connection.createStatement().execute(f"CREATE TABLE serving ({quoted})")
+    gold = serving.snapshot(funnel.canonical_daily(events(spark, [("u", "vpv", "18 09:00"), ("u", "signup", "18 09:05"), ("v", "vpv", "19 09:00")]), "2026-08-18", "2026-08-19"), "it's 1", "2026-08-20 00:00:00")
+    for _ in range(2):  # the second time finds it there
+        rebuild.publish_jdbc(gold, url, "serving", "2026-08-18", "it's 1")
+    rebuild.publish_jdbc(gold, url, "serving", "2026-08-18", "another")  # of which there are no rows
+    got = spark.read.format("jdbc").options(url=url, dbtable="serving").load().collect()
+    assert sorted((str(r["event_date"]), r["stage_name"], r["unique_users"], r["snapshot_version"]) for r in got) == [("2026-08-18", "signup_completed", 1, "it's 1"), ("2026-08-18", "vpv", 1, "it's 1")]
+
+
+def test_retention_by_class(spark, tmp_path):
+    paths = {name: str(tmp_path / name) for name in ("raw", "curated")}
+    for path in paths.values():
+        sinks.append_bronze(events(spark, [("u", "vpv", f"{d:02d} 09:00") for d in range(10, 19)]), path)
+    with pytest.raises(ValueError, match="curated"):
+        sinks.expire_days(spark, paths, {"raw": 3}, "2026-08-18")
+    removed = sinks.expire_days(spark, paths, {"raw": 3, "curated": 400}, "2026-08-18")
+    assert removed == {"raw": [f"2026-08-{d}" for d in range(10, 16)], "curated": []}
+    assert sinks.days_of(spark, paths["raw"]) == ["2026-08-16", "2026-08-17", "2026-08-18"] and len(sinks.days_of(spark, paths["curated"])) == 9
+    assert sinks.expire_days(spark, {"none": str(tmp_path / "none")}, {"none": 1}, "2026-08-18") == {"none": []}
+
+
+def test_a_lost_run_leaves_its_lock_to_the_next(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("bronze", "silver", "gold", "served")]
+    sinks.append_bronze(events(spark, [("u", "vpv", "18 09:00")]), paths[0])
+    (tmp_path / "gold.lock").write_text("hourly-1")
+    os.utime(tmp_path / "gold.lock", (0, 0))
+    interval = ("2026-08-18T09:15:00", "2026-08-18T10:15:00")
+    assert rebuild.run_hour(spark, *paths, interval, "2", delay=0) == "hourly-2" and not (tmp_path / "gold.lock").exists()
+
+
+def test_the_raw_event_is_not_dealt_for_ties(spark):
+    plan = dedupe.silver(events(spark, [("u", "vpv", "18 09:00")])).select("event_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "accepted_event_json" not in plan.split("Window")[1].split("Project")[0]
+
+
 def test_hourly_run(spark, tmp_path, monkeypatch):
     paths = [str(tmp_path / n) for n in ("bronze", "silver", "gold", "served")]
     sinks.append_bronze(events(spark, [("u", "vpv", "18 09:00"), ("u", "signup", "19 00:05")]), paths[0])
