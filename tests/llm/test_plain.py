@@ -283,6 +283,36 @@ def test_distribution_finds_articles_without_any_names(monkeypatch):
             assert exact() < 0.9, name
 
 
+def test_byte_net_steps_against_the_numeric_gradient():
+    """The first step of Adam goes by the sign of each derivative: it must be that of the loss's slope, taken numerically."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(97, 123, (12, langid.WINDOW)).astype(np.uint8)
+    y = np.array([0] * 6 + [1] * 4 + [2] * 2)
+    net = langid.ByteNet(["a", "b", "c"], seed=3)
+    weight = len(y) / np.bincount(y) / 3
+    start = {k: v.copy() for k, v in net.p.items()}
+
+    def loss():
+        p = net.probabilities(x).astype(np.float64)
+        return float(np.mean(weight[y] * -np.log(p[np.arange(len(y)), y])))
+
+    slopes = {}
+    for name, v in net.p.items():
+        free = np.broadcast_to(net.shape, v.shape) if name == "conv" else np.ones(v.shape)  # a narrow filter has no far weights
+        for at in map(tuple, rng.permutation(np.argwhere(free))[:400]):
+            both = []
+            for sign in (1, -1):
+                v[at] = start[name][at] + sign * 5e-3
+                both.append(loss())
+            v[at] = start[name][at]
+            slopes[name, at] = (both[0] - both[1]) / 1e-2
+    net.fit(x, y, epochs=1, batch=len(y), least_steps=1)
+    for name in start:
+        steep = [(at, g) for (n, at), g in slopes.items() if n == name and abs(g) > 2e-3]
+        right = [np.sign(start[name][at] - net.p[name][at]) == np.sign(g) for at, g in steep]
+        assert len(steep) >= 3 and np.mean(right) > 0.95, (name, len(steep), np.mean(right))  # maxima move at a few kinks
+
+
 def test_byte_net_learns_and_has_defined_ends():
     rng = random.Random(5)
     words = {"aa": ["tion", "the", "ing"], "bb": ["sch", "keit", "und"]}
