@@ -12,8 +12,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, funnel, serving
+from ..operators import dedupe, funnel, gates, serving
 from ..operators.funnel import within_lookback
+from ..operators.gates import Limits
 from ..sources.events import COLUMNS, scan_range
 from ..sources.sinks import append_bronze, days_of, exists, exists_file, overwrite_days, replace_days, replace_text
 
@@ -100,18 +101,37 @@ def touched_days(spark: SparkSession, manifest: str, done: str) -> tuple[int, li
     return (-1, []) if last is None else (last, sorted(days))
 
 
-def rebuild_touched(spark: SparkSession, bronze: str, silver: str, gold: str, served: str, manifest: str, done: str, version: str, completed_at: str, lookback_days: int = 30) -> list[str]:
+def judge_rebuilt(spark: SparkSession, bronze: str, silver: str, gold: str, rebuilt: Iterable[str], lookback_days: int, limits: Limits) -> DataFrame:
+    """The quality gates of the rebuilt days. Read are these, the days they look back on, and those of the usual volume."""
+    rebuilt = sorted(rebuilt)
+    held = days_of(spark, bronze)
+    earlier = {d for day in rebuilt for d in [x for x in held if x < day][-limits.earlier_days :]}
+    near = (within_lookback(rebuilt, lookback_days, back=True) | earlier) & set(held) | set(rebuilt)
+    layers = [spark.read.parquet(path).where(_on(near)) for path in (bronze, silver, gold)]
+    return gates.judge_days(gates.day_metrics(*layers), limits).where(_on(rebuilt))
+
+
+def rebuild_touched(spark: SparkSession, bronze: str, silver: str, gold: str, served: str, manifest: str, done: str, version: str, completed_at: str, lookback_days: int = 30, limits: Limits | None = None, judged: str | None = None) -> list[str]:
     """Rebuilds and publishes what the batches changed that came since the last time; returns the days of Gold.
 
     Late events are batches like others: only their days, and those that look back on them, are read and written. The
     result is that of a rebuild of all days that each look back for themselves. `done` names the last batch that went in
     and is written at the end, so a failed run is repeated as a whole.
+
+    With `limits`, a workspace's day that fails a quality gate is not published, and the serving view keeps its older
+    snapshot; other days are. The gates' results are written to `judged` (by event_date), the last ones of each day.
     """
     last, days = touched_days(spark, manifest, done)
     if not days:
         return []
     rebuilt = rebuild_days(spark, bronze, silver, gold, days, version, completed_at, lookback_days)
-    publish_days(spark.read.parquet(gold), served, rebuilt, version)
+    rows = spark.read.parquet(gold)
+    if limits is not None:
+        if judged is None:
+            raise ValueError("the gates' results need a place")
+        replace_days(judge_rebuilt(spark, bronze, silver, gold, rebuilt, lookback_days, limits), judged, set(rebuilt).__contains__)
+        rows = gates.passing(rows, spark.read.parquet(judged).where(_on(rebuilt)))
+    publish_days(rows, served, rebuilt, version)
     replace_text(spark, done, str(last))
     return rebuilt
 
@@ -208,4 +228,4 @@ def write_report(spark: SparkSession, path: str, document: str) -> None:
     replace_text(spark, path, document)
 
 
-__all__ = ["RebuildConfig", "append_bronze", "days_of_interval", "delete_subject", "overwrite_days", "publish", "publish_days", "publish_jdbc", "rebuild", "rebuild_days", "rebuild_gold", "rebuild_touched", "run_hour", "touched_days", "write_report"]
+__all__ = ["RebuildConfig", "append_bronze", "days_of_interval", "delete_subject", "judge_rebuilt", "overwrite_days", "publish", "publish_days", "publish_jdbc", "rebuild", "rebuild_days", "rebuild_gold", "rebuild_touched", "run_hour", "touched_days", "write_report"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_funnel import events
 
-from stepwell.operators import dedupe, funnel, gates, identity, metrics
+from stepwell.operators import dedupe, funnel, gates, identity, metrics, serving
 from stepwell.plans import erasure, rebuild
 from stepwell.sources import buckets, sinks
 from stepwell.streaming import bronze, replay
@@ -65,6 +65,25 @@ def test_a_failed_rebuild_of_late_days_is_done_again(spark, tmp_path, monkeypatc
     assert rows_of(spark.read.parquet(paths[3])) == rows_of(spark.read.parquet(paths[2]))
 
 
+def test_a_failed_gate_keeps_the_older_snapshot_of_its_day(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("bronze", "silver", "gold", "served", "touched", "done")]
+    limits, judged = gates.Limits(order=1.0, volume=0.0), str(tmp_path / "judged")
+    slow = many(spark, 12, 30, days=[9]).withColumn("received_at", F.expr("received_at + interval 5 hours"))
+    for k, some in enumerate((many(spark, 11, 200), slow.unionByName(many(spark, 13, 3, days=[15])))):
+        bronze.to_records(numbered(some)).write.mode("append").json(str(tmp_path / "log"))
+        bronze.ingest_stream(bronze.read_records(spark, str(tmp_path / "log")), paths[0], str(tmp_path / "dead"), str(tmp_path / "checkpoint"), touched=paths[4])
+        rebuild.rebuild_touched(spark, *paths, f"v{k}", "2026-08-21 00:00:00", 1, limits, judged)
+    now = serving.current(spark.read.parquet(paths[3]))
+    versions = {(str(r["event_date"]), r["snapshot_version"]) for r in now.collect()}
+    assert {d for d, v in versions if v == "v1"} == {"2026-08-08", "2026-08-10", "2026-08-11", "2026-08-14", "2026-08-15", "2026-08-16", "2026-08-17"}
+    failed = {str(r["event_date"]): r["failed"] for r in spark.read.parquet(judged).where("size(failed) > 0").collect()}
+    assert failed == {"2026-08-09": ["freshness"]} and spark.read.parquet(judged).count() == 20
+    with pytest.raises(ValueError):
+        bronze.to_records(numbered(many(spark, 14, 3))).write.mode("append").json(str(tmp_path / "log"))
+        bronze.ingest_stream(bronze.read_records(spark, str(tmp_path / "log")), paths[0], str(tmp_path / "dead"), str(tmp_path / "checkpoint"), touched=paths[4])
+        rebuild.rebuild_touched(spark, *paths, "v9", "2026-08-21 00:00:00", 1, limits)
+
+
 def test_a_journey_is_copied_by_its_days(spark):
     rows = many(spark, 5, 400)
     for lookback in (1, 3, 30):
