@@ -76,12 +76,12 @@ LIMITS = gates.Limits(order=0.97)
 
 
 def _faulty(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bronze, Silver and Gold with those faults; journeys of the days 13 to 15 have no page view, so no stage is in order."""
+    """Bronze, Silver and Gold with those faults; journeys of the days 13 to 15 have nothing before their subscription, so no stage is in order."""
     one, day = F.col("workspace_id") == "ws_1", F.col("event_date").cast("string")
     on = lambda gate: one & (day == FAULTS[gate])
     rows = read_events(spark, d, False).withColumn("event_date", F.to_date("occurred_at"))
     rows = rows.where(~(on("volume") & (_n() % 5 != 0)))
-    rows = rows.withColumn("event_name", F.when(one & F.col("anonymous_id").endswith("-004") & (F.col("event_name") == "vpv"), "click").otherwise(F.col("event_name")))
+    rows = rows.withColumn("event_name", F.when(one & F.col("anonymous_id").endswith("-004") & (F.col("event_name") != "subscription_started"), "click").otherwise(F.col("event_name")))
     rows = rows.withColumn("anonymous_id", F.when(on("nulls") & (_n() % 4 == 0), " ").otherwise(F.col("anonymous_id")))
     rows = rows.withColumn("received_at", F.when(on("freshness") & (_n() % 3 == 0), F.expr("received_at + interval 2 hours")).otherwise(F.col("received_at")))
     copies = F.explode(F.when(on("duplicates"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
@@ -110,7 +110,7 @@ def _gated_days(spark: SparkSession, d: str) -> DataFrame:
     return _served(serving.current(spark.read.parquet(f"{root}/served")))
 
 
-_USER = """CASE WHEN u % 10 = 7 THEN 'user-' || CAST(1000 + id % 9 AS VARCHAR(20)) WHEN event_name = 'signup_completed' THEN 'user-' || CAST(u AS VARCHAR(20))
+_USER = """CASE WHEN u % 10 = 7 AND id % 4 = 0 THEN NULL WHEN u % 10 = 7 THEN 'user-' || CAST(100000 + 100 * u + id % 9 AS VARCHAR(20)) WHEN event_name = 'signup_completed' THEN 'user-' || CAST(u AS VARCHAR(20))
  WHEN event_name = 'subscription_started' AND floor(u / 4) % 3 <> 2 THEN 'user-' || CAST(u + 4 AS VARCHAR(20)) END"""
 
 
@@ -174,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
     on = lambda gate: f"(workspace_id = 'ws_1' AND CAST(occurred_at AS DATE) = DATE '{FAULTS[gate]}')"
     faulty = f"""{_W},
 fa AS (SELECT workspace_id, event_id, CASE WHEN {on("nulls")} AND id % 4 = 0 THEN ' ' ELSE anonymous_id END AS anonymous_id,
-  CASE WHEN workspace_id = 'ws_1' AND anonymous_id LIKE '%-004' AND event_name = 'vpv' THEN 'click' ELSE event_name END AS event_name, occurred_at,
+  CASE WHEN workspace_id = 'ws_1' AND anonymous_id LIKE '%-004' AND event_name <> 'subscription_started' THEN 'click' ELSE event_name END AS event_name, occurred_at,
   received_at + CASE WHEN {on("freshness")} AND id % 3 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS received_at, v, id FROM base WHERE NOT ({on("volume")} AND id % 5 <> 0)),
 fb AS (SELECT * FROM fa UNION ALL SELECT * FROM fa WHERE {on("duplicates")}),
 fs AS (SELECT * FROM fa WHERE NOT ({on("reconciliation")} AND id % 3 = 0)),
