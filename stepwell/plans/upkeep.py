@@ -56,7 +56,7 @@ def _erased(spark: SparkSession, d: str) -> DataFrame:
     return _served(spark.read.parquet(layers.gold))
 
 
-CUT, HOURS = "2024-01-20", 6
+CUT, HOURS = "2024-01-20", 24
 
 
 def _windows(spark: SparkSession, d: str, out: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
@@ -66,7 +66,7 @@ def _windows(spark: SparkSession, d: str, out: Callable[[SparkSession, str], Dat
     for some in (rows.where(first), rows.where(~first)):
         bronze.to_records(some).write.mode("append").json(f"{root}/log")
         good = bronze.split(bronze.read_records(spark, f"{root}/log", 10_000))[0]
-        windows.run_windows(good, f"{root}/windows", f"{root}/checkpoint", HOURS * 60, shards=4)
+        windows.run_windows(good, f"{root}/windows", f"{root}/checkpoint", HOURS * 60, shards=2)
     return out(spark, f"{root}/windows")
 
 
