@@ -21,7 +21,7 @@ def links(events: DataFrame) -> DataFrame:
     return seen.join(users, ["workspace_id", "anonymous_id"])
 
 
-def _edges(pairs: DataFrame) -> DataFrame:
+def links_as_edges(pairs: DataFrame) -> DataFrame:
     """Links as edges of nodes: users sort before anonymous ids, so a component's least node is its least user."""
     user, visitor = F.concat(F.lit("0"), "user_id"), F.concat(F.lit("1"), "anonymous_id")
     return pairs.select("workspace_id", visitor.alias("node"), user.alias("other"))
@@ -82,7 +82,7 @@ def stitch_chains(events: DataFrame, folder: str, shared_beyond: int = SHARED_BE
     """
     found = links(events)
     shared = found.where(F.col("n_users") > shared_beyond).select("workspace_id", "anonymous_id").distinct().withColumn("_shared", F.lit(True))
-    roots = components(_edges(found.where(F.col("n_users") <= shared_beyond)), folder)
+    roots = components(links_as_edges(found.where(F.col("n_users") <= shared_beyond)), folder)
     person = F.concat(F.when(F.col("root").startswith("0"), "u:").otherwise("a:"), F.expr("substring(root, 2)"))
     of = roots.select("workspace_id", "node", person.alias("_person"))
     of_visitor = of.where(F.col("node").startswith("1")).select("workspace_id", F.expr("substring(node, 2)").alias("anonymous_id"), F.col("_person").alias("_by_visitor"))

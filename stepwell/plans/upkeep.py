@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import STAGES, TOPIC, partition_key, stamp
 from ..operators import dedupe, funnel, gates, identity, metrics, serving
+from ..operators.validate import last_value
 from ..sources import buckets, sinks
 from ..sources.events import read_events
 from ..streaming import bronze, replay, windows
@@ -56,6 +57,26 @@ def _erased(spark: SparkSession, d: str) -> DataFrame:
     return _served(spark.read.parquet(layers.gold))
 
 
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """Bronze after a first stream, the deletion of some users' people, and a second stream with more events of them."""
+    root = shared(spark, "people")
+    layers = erasure.Layers(*[f"{root}/{n}" for n in ("bronze", "silver", "gold", "served", "index", "markers", "audit")])
+    rows = read_events(spark, d, False).withColumns({"id": _n(), "u": F.substring("anonymous_id", 11, 8).cast("long")})
+    rows = rows.withColumn("user_id", F.expr(_USER.replace("VARCHAR(20)", "STRING")))
+
+    def stream(some: DataFrame) -> None:
+        bronze.to_records(some).write.mode("append").json(f"{root}/log")
+        bronze.ingest_stream(bronze.read_records(spark, f"{root}/log"), layers.bronze, f"{root}/dead", f"{root}/checkpoint", markers=layers.markers, index=layers.index)
+
+    stream(rows.where("id % 5 <> 2"))
+    rebuild.rebuild_days(spark, layers.bronze, layers.silver, layers.gold, sinks.days_of(spark, layers.bronze), "people-1", COMPLETED, 2, near_days=0)
+    pairs = spark.read.parquet(layers.bronze).select(*erasure.SUBJECT, last_value("accepted_event_json", "user_id").alias("user_id"))
+    gone = erasure.subjects_of_people(pairs, pairs.where("user_id like '%3'"), f"{root}/links")
+    erasure.erase(spark, layers, gone, "p1", "people-2", COMPLETED, 2)
+    stream(rows.where("id % 5 = 2"))
+    return spark.read.parquet(layers.bronze).select("workspace_id", "event_id", "anonymous_id", "event_name")
+
+
 CUT, HOURS = "2024-01-20", 24
 
 
@@ -151,6 +172,7 @@ def queries() -> dict[str, Query]:
     return {
         "late_day_rebuild": _late_days,
         "subject_erasure": _erased,
+        "person_erasure": _people,
         "day_gates": _day_gates,
         "day_gates_publish": _gated_days,
         "identity_chains": _chains,
@@ -219,6 +241,18 @@ SELECT workspace_id, measure, kind, CASE WHEN usual < 5 THEN 'insufficient_volum
         "gold_bucketed": _gold_sql(30),
         "stream_windows": f"{stream} SELECT workspace_id, event_name, strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS event_count, count(DISTINCT anonymous_id) AS users FROM c WHERE e <= two AND (early OR e > one) GROUP BY ALL",
         "stream_late_events": f"{stream} SELECT workspace_id, event_id, event_name, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at FROM c WHERE NOT early AND e <= one",
+        "person_erasure": f"""WITH RECURSIVE {BRONZE},
+n0 AS (SELECT *, CAST(substr(anonymous_id, 11, 8) AS BIGINT) AS u FROM base),
+e AS (SELECT workspace_id AS w, event_id, event_name, anonymous_id AS a, id, {_USER} AS user_id FROM n0),
+l AS (SELECT DISTINCT w, a, user_id FROM e WHERE user_id IS NOT NULL AND id % 5 <> 2), c AS (SELECT w, a, count(*) AS n FROM l GROUP BY ALL),
+k AS (SELECT w, '0' || user_id AS x, '1' || a AS y FROM l JOIN c USING (w, a) WHERE n <= {identity.SHARED_BEYOND}),
+b AS (SELECT w, x, y FROM k UNION SELECT w, y, x FROM k),
+r AS (SELECT w, x, y FROM b UNION SELECT r.w, r.x, b.y FROM r JOIN b ON r.w = b.w AND r.y = b.x),
+m AS (SELECT DISTINCT w, y FROM r WHERE x LIKE '0%3'),
+us AS (SELECT w, substr(y, 2) AS user_id FROM m WHERE y LIKE '0%' UNION SELECT w, user_id FROM l WHERE user_id LIKE '%3'),
+sh AS (SELECT DISTINCT w, a, user_id FROM l JOIN c USING (w, a) JOIN us USING (w, user_id) WHERE n > {identity.SHARED_BEYOND})
+SELECT w AS workspace_id, event_id, a AS anonymous_id, event_name FROM e
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.w = e.w AND m.y = '1' || e.a) AND NOT EXISTS (SELECT 1 FROM sh WHERE sh.w = e.w AND sh.a = e.a AND sh.user_id = e.user_id)""",
         "identity_chains": f"""WITH RECURSIVE {BRONZE},
 n0 AS (SELECT *, CAST(substr(anonymous_id, 11, 8) AS BIGINT) AS u FROM base),
 e AS (SELECT workspace_id AS w, CASE WHEN id % 97 = 5 THEN ' ' ELSE anonymous_id END AS a, {_USER} AS user_id FROM n0),

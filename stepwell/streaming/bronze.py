@@ -13,6 +13,7 @@ from ..functions.values import TOPIC, partition_key
 from ..operators import dedupe, validate
 from ..sources.events import COLUMNS
 from ..sources.sinks import append_new, exists
+from ..sources.subjects import note_subjects, without_marked
 
 RECORD = "topic string, partition int, offset long, key string, value string"
 DEAD_LETTER = "topic string, partition int, offset long, reason string"
@@ -73,7 +74,7 @@ def with_lateness(rows: DataFrame, latest: str, allowed: str = LATENESS) -> Data
     return rows.withColumn("is_late", F.col("occurred_at") < F.lit(latest).cast("timestamp_ntz") - F.expr(f"interval {allowed}"))
 
 
-def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint: str, counted: str | None = None, strict: bool = False, every: str | None = None, touched: str | None = None, near_days: int | None = 1):
+def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint: str, counted: str | None = None, strict: bool = False, every: str | None = None, touched: str | None = None, near_days: int | None = 1, markers: str | None = None, index: str | None = None):
     """Runs over all that is there and ends: new events to Bronze, others to the dead letters. Returns the query.
 
     Each batch is parsed once, then appended against the ids that Bronze has within `near_days` of its own days (None: in
@@ -82,6 +83,9 @@ def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint
     batch writes the days of its good events once they are appended, for the rebuild of those days; a batch that fails in
     between comes again and writes them then. `strict`: the first bad record fails the batch instead. `every` ("30 seconds"): goes on at that interval
     until stopped.
+
+    `markers` is the folder of deletion requests: events of subjects marked there when a batch starts are not stored
+    (the counters have them as read). `index` is the index of subjects and days, which each batch adds its own to first.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -90,6 +94,10 @@ def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint
             good, bad = split_judged(parsed)
             if strict and not bad.isEmpty():
                 raise ValueError(f"a record cannot be read: {bad.first()['reason']}")
+            if markers:
+                good = without_marked(good, markers)
+            if index:
+                note_subjects(good, index)
             append_new(good, bronze, near_days)
             if touched:
                 note_days(good, touched, number)
@@ -183,7 +191,8 @@ def provisional_counts(events: DataFrame, size: str = "1 hour") -> DataFrame:
 def to_records(events: DataFrame) -> DataFrame:
     """Event-log records of Bronze rows, as a producer would write them."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    event = F.struct("event_id", "anonymous_id", "event_name", iso("occurred_at").alias("occurred_at"), iso("received_at").alias("received_at"), "schema_version", "tracking_plan_version", "funnel_definition_version")
+    user = ["user_id"] if "user_id" in events.columns else []
+    event = F.struct("event_id", "anonymous_id", *user, "event_name", iso("occurred_at").alias("occurred_at"), iso("received_at").alias("received_at"), "schema_version", "tracking_plan_version", "funnel_definition_version")
     value = F.to_json(F.struct("workspace_id", event.alias("event")))
     n = F.substring("event_id", 7, 12).cast("long")
     return events.select(F.lit(TOPIC).alias("topic"), (n % 4).cast("int").alias("partition"), n.alias("offset"), partition_key("workspace_id", "anonymous_id").alias("key"), value.alias("value"))

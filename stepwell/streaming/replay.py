@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..sources.events import COLUMNS
 from ..sources.sinks import append_new, exists
+from ..sources.subjects import note_subjects, without_marked
 from .bronze import judged, split_judged
 
 PLACE = ["topic", "partition", "offset"]
 AUDIT = "replay_id string, outcome string, letters long, found long, good long, events long"
 
 
-def replay_letters(spark: SparkSession, replay_id: str, log: DataFrame, letters: DataFrame, repair: Callable[[DataFrame], DataFrame], bronze: str, staging: str, audit: str) -> str:
+def replay_letters(spark: SparkSession, replay_id: str, log: DataFrame, letters: DataFrame, repair: Callable[[DataFrame], DataFrame], bronze: str, staging: str, audit: str, markers: str | None = None, index: str | None = None) -> str:
     """Brings dead letters (topic, partition, offset) back into Bronze after a repair; returns promoted or refused.
 
     The records are read from the log again, at the letters' places: a letter holds no payload. `repair` makes of the
@@ -25,7 +26,8 @@ def replay_letters(spark: SparkSession, replay_id: str, log: DataFrame, letters:
     be looked at. The audit has a row a replay, with counts only.
 
     Letters that were written more than once count once, an empty list is promoted and changes nothing, and a replay that
-    failed on its way is repeated with the same id: it stages anew, and Bronze takes no event twice.
+    failed on its way is repeated with the same id: it stages anew, and Bronze takes no event twice. Events of subjects
+    marked for deletion (`markers`) stay out, and the index of subjects is kept (`index`), as in ingest_stream.
     """
     places = letters.select(*PLACE).distinct()
     records = log.join(places, PLACE, "left_semi").dropDuplicates(PLACE)
@@ -37,7 +39,11 @@ def replay_letters(spark: SparkSession, replay_id: str, log: DataFrame, letters:
     found, good, keys = staged.agg(F.count("*"), F.count_if(F.col("reason").isNull()), F.count_distinct(F.when(F.col("reason").isNull(), F.struct("workspace_id", "event_id")))).first()
     outcome = "promoted" if wanted == found == good else "refused"
     if outcome == "promoted":
-        append_new(split_judged(staged)[0].select(COLUMNS), bronze)
+        events = split_judged(staged)[0].select(COLUMNS)
+        events = without_marked(events, markers) if markers else events
+        if index:
+            note_subjects(events, index)
+        append_new(events, bronze)
     spark.createDataFrame([(replay_id, outcome, wanted, found, good, keys)], AUDIT).coalesce(1).write.mode("append").json(audit)
     return outcome
 

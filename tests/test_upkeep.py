@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_funnel import events
 
-from stepwell.operators import dedupe, funnel, gates, identity, metrics, serving
+from stepwell.operators import dedupe, funnel, gates, identity, metrics, serving, validate
 from stepwell.plans import erasure, rebuild
 from stepwell.sources import buckets, sinks
 from stepwell.streaming import bronze, replay
@@ -123,6 +123,44 @@ def test_erasure_rewrites_only_the_days_of_its_subjects(spark, tmp_path, monkeyp
     assert erasure.erase(spark, layers, subjects, "r2", "v3", "2026-08-22 00:00:00", 2) == []  # nothing is left of them
 
 
+def test_a_stream_keeps_the_index_and_keeps_marked_subjects_out(spark, tmp_path):
+    layers = erasure.Layers(*[str(tmp_path / n) for n in ("bronze", "silver", "gold", "served", "index", "markers", "audit")])
+    log, dead = str(tmp_path / "log"), str(tmp_path / "dead")
+
+    def stream(rows):
+        made = events(spark, [(who, name, at) for who, name, at, _ in rows])
+        users = spark.createDataFrame([(k, user) for k, (*_, user) in enumerate(rows)], "k int, user_id string")
+        made = made.withColumn("k", F.regexp_extract("event_id", r"(\d+)$", 1).cast("int")).join(users, "k").drop("k")
+        made = numbered(made.withColumn("event_id", F.concat("event_id", "anonymous_id", F.col("occurred_at").cast("string"))))
+        bronze.to_records(made).write.mode("append").json(log)
+        bronze.ingest_stream(bronze.read_records(spark, log), layers.bronze, dead, str(tmp_path / "checkpoint"), markers=layers.markers, index=layers.index)
+
+    def held(path=layers.bronze):
+        return sorted((r["anonymous_id"], str(r["event_date"])[8:], last) for r in spark.read.parquet(path).withColumn("last", validate.last_value("accepted_event_json", "user_id")).collect() for last in [r["last"]])
+
+    stream([("gone", "vpv", "05 09:00", None), ("kiosk", "vpv", "06 09:00", "ann"), ("kiosk", "vpv", "06 10:00", "bob"), ("kiosk", "vpv", "07 10:00", None), ("kept", "vpv", "08 09:00", "ann")])
+    rebuild.rebuild_days(spark, layers.bronze, layers.silver, layers.gold, sinks.days_of(spark, layers.bronze), "v1", "2026-08-21 00:00:00", 2)
+    assert spark.read.parquet(layers.index).count() == 4
+    before = files(tmp_path / "bronze")
+    subjects = spark.createDataFrame([("ws_1", "gone", None), ("ws_1", "kiosk", "ann")], "workspace_id string, anonymous_id string, user_id string")
+    assert erasure.erase(spark, layers, subjects, "r1", "v2", "2026-08-22 00:00:00", 1)[0] == "2026-08-05"
+    left = [("kept", "08", "ann"), ("kiosk", "06", "bob"), ("kiosk", "07", None)]
+    assert held() == left and held(layers.silver) == left
+    after = files(tmp_path / "bronze")
+    assert {p.split("event_date=")[1][8:10] for p in before if after.get(p) == before[p]} == {"07", "08"}  # the device's other day as well
+    stream([("gone", "vpv", "09 09:00", None), ("kiosk", "vpv", "09 10:00", "ann"), ("kiosk", "vpv", "09 11:00", "bob"), ("new", "vpv", "09 12:00", "ann")])
+    assert held() == sorted([*left, ("kiosk", "09", "bob"), ("new", "09", "ann")])
+    assert spark.read.parquet(layers.index).where("event_date = '2026-08-09'").count() == 2
+
+
+def test_people_are_all_that_chains_connect_and_their_part_of_shared_devices(spark, tmp_path):
+    rows = [("a1", "u1"), ("a1", "u2"), ("a2", "u2"), ("a3", "u3"), ("kiosk", "u1"), ("kiosk", "u4"), ("kiosk", "u5"), ("kiosk", "u2"), ("a4", None), (" ", "u1"), (None, "u1")]
+    pairs = spark.createDataFrame([("w", *r) for r in rows] + [("other", "a1", "u1")], "workspace_id string, anonymous_id string, user_id string")
+    subjects = lambda *users: sorted(map(tuple, erasure.subjects_of_people(pairs, spark.createDataFrame([("w", u) for u in users], "workspace_id string, user_id string"), str(tmp_path)).collect()), key=str)
+    assert subjects("u1", "u1", None) == [("w", "a1", None), ("w", "a2", None), ("w", "kiosk", "u1"), ("w", "kiosk", "u2")]
+    assert subjects("u4") == [("w", "kiosk", "u4")] and subjects("nobody") == []
+
+
 def plain_components(edges):
     root = {}
     for w, a, b in edges:
