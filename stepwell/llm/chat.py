@@ -43,13 +43,19 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
     whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     parts = F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(f"{END}\n")))
     whole = whole.select("conv_id", "turns", parts.alias("parts"), F.size("turns").alias("n"))
+
+    def example(upto: Column) -> Column:
+        target = F.element_at("turns", upto)
+        loss = F.when(target["role"] == "assistant", F.length(escape(target["text"]))).otherwise(0)
+        chars = F.aggregate(F.transform(F.slice("parts", F.lit(1), upto), F.length), F.lit(0), lambda a, b: a + b)
+        return F.struct(upto.cast("long").alias("n_turns"), (upto == F.col("n")).alias("last"), chars.alias("chars"), loss.cast("long").alias("loss_chars"))
+
     ends = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (F.element_at("turns", i)["role"] == "assistant") | (i == F.col("n")))
-    rows = whole.select("conv_id", "turns", "parts", "n", F.posexplode(ends).alias("example", "upto"))
-    target = F.element_at("turns", F.col("upto"))
-    loss = F.when(target["role"] == "assistant", F.length(escape(target["text"]))).otherwise(0)
-    formatted = F.array_join(F.slice("parts", F.lit(1), F.col("upto")), "")
-    rows = rows.select("conv_id", F.col("example").cast("long").alias("example"), F.col("upto").cast("long").alias("n_turns"), (F.col("upto") == F.col("n")).alias("last"), formatted.alias("formatted"), loss.cast("long").alias("loss_chars"))
-    return rows.withColumn("loss_start", F.length("formatted") - len(END) - 1 - F.col("loss_chars"))
+    # every example is a prefix of one text, which alone goes through the generator
+    rows = whole.select("conv_id", F.array_join("parts", "").alias("whole"), F.transform(ends, example).alias("examples"))
+    rows = rows.select("conv_id", "whole", F.posexplode("examples").alias("example", "e"))
+    start = F.col("e.chars") - len(END) - 1 - F.col("e.loss_chars")
+    return rows.select("conv_id", F.col("example").cast("long").alias("example"), "e.n_turns", "e.last", F.substring("whole", F.lit(1), F.col("e.chars")).alias("formatted"), "e.loss_chars", start.alias("loss_start"))
 
 
 def read_back(examples: DataFrame) -> DataFrame:
