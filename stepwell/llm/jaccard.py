@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,6 +23,8 @@ DEPTH, SMALL, BLOCK = 3, 256, 256
 #: up to so many; a bucket is judged by the pairs of about so many of its members.
 CROWDED, MAX_DEPTH, JUDGED = 0.125, 24, 64
 BINS = 128  # bytes of a one-permutation sketch
+#: Shingles of a block that are counted at once, and rows with words that go to Python at once.
+PART, WORD_ROWS = 250_000, 128
 _FULL = float(2**64)
 
 
@@ -45,7 +47,7 @@ _word_ids: dict[bytes, int] = {}
 def word_hashes(text: str | None) -> np.ndarray:
     """A 32-bit hash of each word of a whole text, in order."""
     known = _word_ids
-    if len(known) > 1_000_000:
+    if len(known) > 100_000:  # a worker's memory stays the same however many words there are
         known.clear()
     out = []
     for w in (text or "").encode("utf-8", "surrogatepass").split():
@@ -79,6 +81,26 @@ def sketch(tokens: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def roots(runs: int) -> np.ndarray:
+    return mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def steps(tokens: np.ndarray, at: np.ndarray, level: int, threshold: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of this level to which a set goes on from nodes of the one above, and from which of these."""
+    limit = np.uint64(min(_FULL * (1 - 2**-53), _FULL / (threshold * max(1, len(tokens)))))
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    found, origin = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for start in range(0, len(at), 8):  # a few nodes at once: memory stays a few times the set
+        some = at[start : start + 8]
+        h = (tokens[None, :] ^ some[:, None]) * factor
+        h ^= h >> np.uint64(32)
+        h *= factor
+        i, j = np.nonzero(h < limit)
+        found.append(mix64(some[i] + mix64(tokens[j] + np.uint64(level))))
+        origin.append(some[i])
+    return np.concatenate(found), np.concatenate(origin)
+
+
 def paths(tokens: np.ndarray, runs: int, threshold: float = SIMILARITY, depth: int = DEPTH) -> tuple[list[int], list[int], list[int]]:
     """Nodes of the set's trees in all runs: level, path and parent path (as signed 64-bit integers).
 
@@ -89,22 +111,11 @@ def paths(tokens: np.ndarray, runs: int, threshold: float = SIMILARITY, depth: i
     parents: list[np.ndarray] = []
     if not len(tokens):
         return [], [], []
-    limit = np.uint64(min(_FULL * (1 - 2**-53), _FULL / (threshold * len(tokens))))
-    at = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    factor = np.uint64(0x9E3779B97F4A7C15)
+    at = roots(runs)
     for level in range(1, depth + 1):
-        found, origin = [], []
-        for start in range(0, len(at), 8):  # a few nodes at once: memory stays a few times the set
-            some = at[start : start + 8]
-            h = (tokens[None, :] ^ some[:, None]) * factor
-            h ^= h >> np.uint64(32)
-            h *= factor
-            i, j = np.nonzero(h < limit)
-            found.append(mix64(some[i] + mix64(tokens[j] + np.uint64(level))))
-            origin.append(some[i])
-        children, origin_all = np.concatenate(found), np.concatenate(origin)
+        children, origin = steps(tokens, at, level, threshold)
         nodes.append(children)
-        parents.append(origin_all)
+        parents.append(origin)
         levels += [level] * len(children)
         at = children
         if not len(at):
@@ -216,17 +227,22 @@ def _linked(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     if len(i) <= 4 * len(sets):
         common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)])
     else:
-        every, place = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        shared = np.flatnonzero(np.bincount(place, minlength=len(every)) > 1)  # the others add nothing
-        column = np.full(len(every), -1)
-        column[shared] = np.arange(len(shared))
         product = np.zeros((len(sets), len(sets)), np.float32)
-        for a in range(0, len(shared), 4096):
-            inside = (column[place] >= a) & (column[place] < a + 4096)
-            m = np.zeros((len(sets), min(4096, len(shared) - a)), np.float32)
-            m[row[inside], column[place[inside]] - a] = 1
-            product += m @ m.T
+        parts = max(1, int(sizes.sum()) // PART)
+        edges = [np.uint64(k * 2**64 // parts) for k in range(parts)]
+        cuts = [np.append(np.searchsorted(x, edges), len(x)) for x in sets]
+        for p in range(parts):  # sets are sorted, so a range of hashes is a slice of each
+            some = [x[c[p] : c[p + 1]] for x, c in zip(sets, cuts, strict=True)]
+            every, place = np.unique(np.concatenate(some), return_inverse=True)
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in some])
+            shared = np.flatnonzero(np.bincount(place, minlength=len(every)) > 1)  # the others add nothing
+            column = np.full(len(every), -1)
+            column[shared] = np.arange(len(shared))
+            for a in range(0, len(shared), 4096):
+                inside = (column[place] >= a) & (column[place] < a + 4096)
+                m = np.zeros((len(sets), min(4096, len(shared) - a)), np.float32)
+                m[row[inside], column[place[inside]] - a] = 1
+                product += m @ m.T
         common = product[i, j].astype(np.int64)
     keep = common >= threshold * (sizes[i] + sizes[j] - common) - 1e-9
     return i[keep], j[keep]
@@ -244,21 +260,22 @@ def _by_block(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp", "side").mapInArrow(run, schema)
 
 
-def _split(nodes: DataFrame, depth: int, space: Workspace, name: str) -> DataFrame:
-    """(fp, leaf, n) of the leaves of trees (fp, level, leaf, parent): buckets of 2 to 256 sets, and all of the last level."""
+def _split(rows: DataFrame, grow: Callable[[DataFrame, DataFrame, int], DataFrame], depth: int, space: Workspace, name: str) -> DataFrame:
+    """(fp, leaf, n) of the leaves of trees: buckets of 2 to 256 sets, and all of the last level.
+
+    `rows` are the sets at the first level's nodes (fp, leaf); grow gives those of a level from the rows and the large nodes
+    (leaf) of the one above.
+    """
     leaves: DataFrame | None = None
-    large: DataFrame | None = None
     for level in range(1, depth + 1):
-        rows = nodes.where(F.col("level") == level).drop("level")
-        if large is not None:
-            rows = rows.join(large.select(F.col("leaf").alias("parent")), "parent", "left_semi")
         rows = space.save(rows.select("fp", "leaf"), f"{name}-nodes{level}")
         counts = space.save(rows.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-counts{level}")
         found = rows.join(counts if level == depth else counts.where(F.col("n") <= SMALL), "leaf")
         leaves = found if leaves is None else leaves.unionByName(found)
-        large = counts.where(F.col("n") > SMALL)
-        if level < depth and large.isEmpty():
+        large = counts.where(F.col("n") > SMALL).select("leaf")
+        if level == depth or large.isEmpty():
             break
+        rows = grow(rows, large, level + 1)
     return space.save(leaves.select("fp", "leaf", "n"), f"{name}-leaves")
 
 
@@ -289,34 +306,63 @@ def _leaves(sigs: DataFrame, sets: DataFrame, brief: DataFrame, space: Workspace
     """
     # One document stands for its set: the partial aggregate sheds copies before rows are dealt.
     nodes = sigs.where("size > 0").select("fp", F.explode(F.arrays_zip("levels", "nodes", "parents")).alias("n"))
+    nodes = nodes.select("fp", F.col("n.levels").alias("level"), F.col("n.nodes").alias("leaf"), F.col("n.parents").alias("parent")).distinct()
+    at = lambda level: nodes.where(F.col("level") == level)
+    leaves = _split(at(1), lambda _, large, level: at(level).join(large.withColumnRenamed("leaf", "parent"), "parent", "left_semi"), DEPTH, space, f"depth{DEPTH}")
     depth, kept = DEPTH, []
-    while True:
-        nodes = nodes.select("fp", F.col("n.levels").alias("level"), F.col("n.nodes").alias("leaf"), F.col("n.parents").alias("parent")).distinct()
-        leaves = _split(nodes, depth, space, f"depth{depth}")
-        if depth >= MAX_DEPTH or leaves.where(F.col("n") > SMALL).isEmpty():
-            break
+    while depth < MAX_DEPTH and not leaves.where(F.col("n") > SMALL).isEmpty():
         crowded = space.save(_crowded(leaves, brief, threshold), f"depth{depth}-crowded")
         if crowded.isEmpty():
             break
         kept.append(leaves.join(crowded, "leaf", "left_anti"))
         affected = leaves.join(crowded, "leaf", "left_semi").select("fp").distinct()
         depth = min(2 * depth, MAX_DEPTH)
-        nodes = space.save(_deeper(_words(affected, sigs, sets, space, f"depth{depth}"), runs_for(recall, threshold, depth), threshold, depth), f"depth{depth}-trees")
-        nodes = nodes.select("fp", F.explode(F.arrays_zip("levels", "nodes", "parents")).alias("n"))
-    if not kept:
-        return leaves
-    # a leaf of one depth may come again at another
-    rows = space.save(reduce(DataFrame.unionByName, [*kept, leaves]).select("fp", "leaf").distinct(), "leaves")
-    # counts are written before they are joined, so that Spark can split a leaf with very many sets
-    return rows.join(space.save(rows.groupBy("leaf").agg(F.count("*").alias("n")), "counts"), "leaf")
+        words = _words(affected, sigs, sets, space, f"depth{depth}")
+        leaves = _split(_first_nodes(words, runs_for(recall, threshold, depth), threshold), _next_nodes(words, threshold), depth, space, f"depth{depth}")
+    return _merged(reduce(DataFrame.unionByName, [*kept, leaves]), space)
 
 
-def _deeper(words: DataFrame, runs: int, threshold: float, depth: int) -> DataFrame:
+def _first_nodes(words: DataFrame, runs: int, threshold: float) -> DataFrame:
     def run(rows: dict[str, list]) -> dict[str, list]:
-        made = [paths(shingles(np.frombuffer(w, np.uint32)), runs, threshold, depth) for w in rows["words"]]
-        return {"fp": rows["fp"]} | {name: [m[k] for m in made] for k, name in enumerate(("levels", "nodes", "parents"))}
+        return {"fp": rows["fp"], "at": [steps(shingles(np.frombuffer(w, np.uint32)), roots(runs), 1, threshold)[0].view(np.int64) for w in rows["words"]]}
+
+    return arrow_map(words, run, "fp long, at array<long>", rows=WORD_ROWS).select("fp", F.explode("at").alias("leaf"))
 
-    return arrow_map(words, run, "fp long, levels array<int>, nodes array<long>, parents array<long>", rows=200)
+
+def _next_nodes(words: DataFrame, threshold: float) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """Grows a tree from its large nodes only: written out whole, 24 levels are tens of thousands of nodes a set.
+
+    Of the steps from a bucket of a shared passage only those along its own words meet many sets again, so a set whose
+    passage is under 0.8 of it stays in fewer and fewer large nodes.
+    """
+
+    def grow(rows: DataFrame, large: DataFrame, level: int) -> DataFrame:
+        def run(batch: dict[str, list]) -> dict[str, list]:
+            made = [steps(shingles(np.frombuffer(w, np.uint32)), np.array(at, np.int64).view(np.uint64), level, threshold)[0].view(np.int64) for w, at in zip(batch["words"], batch["at"], strict=True)]
+            return {"fp": batch["fp"], "at": made}
+
+        here = rows.join(large, "leaf", "left_semi").groupBy("fp").agg(F.collect_list("leaf").alias("at"))
+        return arrow_map(here.join(words, "fp"), run, "fp long, at array<long>", rows=WORD_ROWS).select("fp", F.explode("at").alias("leaf"))
+
+    return grow
+
+
+def _merged(leaves: DataFrame, space: Workspace) -> DataFrame:
+    """The same leaves with fewer rows: of small leaves with equal members one stays, large ones with the same least member are one.
+
+    Near copies meet in many leaves of every run. No pair is lost: both sets of a pair stay together in what remains of
+    each of their leaves.
+    """
+    # a leaf of one depth may come again at another
+    rows = space.save(leaves.select("fp", "leaf").distinct(), "leaves")
+    marks = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(7), "fp")).alias("mark2"), F.min("fp").alias("least"))
+    marks = space.save(marks, "marks")
+    small = marks.where(F.col("n") <= SMALL).groupBy("n", "mark", "mark2").agg(F.min("leaf").alias("leaf")).select("leaf", F.col("leaf").alias("to"))
+    large = marks.where(F.col("n") > SMALL).select("leaf", F.xxhash64(F.lit(5), "least").alias("to"))
+    # written before they are joined, so that Spark can split a leaf with very many sets
+    merged = rows.join(space.save(small.unionByName(large), "merges"), "leaf").select("fp", F.col("to").alias("leaf")).distinct()
+    merged = space.save(merged, "merged")
+    return merged.join(space.save(merged.groupBy("leaf").agg(F.count("*").alias("n")), "merged-counts"), "leaf")
 
 
 def _words(wanted: DataFrame, sigs: DataFrame, sets: DataFrame, space: Workspace, name: str) -> DataFrame:
@@ -367,7 +413,8 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
     sets = space.save(sigs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size")), "sets")
     brief = sigs.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     brief = space.save(brief, "brief")
-    leaves = _leaves(sigs, sets, brief, space, threshold, recall)
+    with small_batches(docs.sparkSession, WORD_ROWS):
+        leaves = space.save(_leaves(sigs, sets, brief, space, threshold, recall), "all-leaves")
     reached = leaves.groupBy("fp").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # a few for each run
     rows = space.save(_blocks(leaves, brief, threshold).join(reached, "fp"), "blocks").join(brief, "fp")
 
@@ -377,7 +424,8 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
 
     names = ["fp", "leaf", "leaves", "one", "other", "side", "size", "sketch"]
     schema = "fp long, leaf long, leaves array<long>, one long, other long, side long, size long, sketch binary"
-    wanted = space.save(_by_block(rows.select(*names), narrow, schema), "candidates")
+    with small_batches(docs.sparkSession):
+        wanted = space.save(_by_block(rows.select(*names), narrow, schema), "candidates")
     words = _words(wanted.select("fp").distinct(), sigs, sets, space, "candidates")
 
     def decide(t: pa.Table) -> pa.Table:
@@ -400,7 +448,8 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
         hit = np.flatnonzero(counts)
         return pa.table({"fp": fps[hit], "root": fps[[find(k) for k in hit.tolist()]] if len(hit) else fps[:0], "n": counts[hit].astype(np.int64)})
 
-    links = space.save(_by_block(wanted.join(words, "fp"), decide, "fp long, root long, n long"), "links")
+    with small_batches(docs.sparkSession, WORD_ROWS):
+        links = space.save(_by_block(wanted.join(words, "fp"), decide, "fp long, root long, n long"), "links")
     return sigs, sets, links
 
 

@@ -191,6 +191,27 @@ def test_crowded_buckets_are_split_deeper(spark, monkeypatch):
     assert deep, "no bucket was split on more than three levels"
 
 
+def test_leaves_with_equal_members_stay_once_and_trees_grow_from_large_nodes(spark, monkeypatch):
+    """Near copies meet in many leaves, which are compared once; a tree of 24 levels is not written out whole."""
+    texts = [(k, " ".join([*(f"w{i}" for i in range(60)), f"z{k}"])) for k in range(12)] + [(100 + k, " ".join(f"v{k // 2}_{i}" for i in range(40 + k % 2))) for k in range(12)]
+    for small in (256, 6):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        space = jaccard.Workspace(spark, "merged")
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs, space=space).collect()}
+        assert got == brute(texts)
+        before, after = (spark.read.parquet(f"{space.path}/{name}").count() for name in ("leaves", "all-leaves"))
+        assert after < 0.5 * before
+    tokens = jaccard.shingles(jaccard.word_hashes(texts[0][1]))
+    words = spark.createDataFrame([(1, jaccard.word_hashes(texts[0][1]).tobytes())], "fp long, words binary")
+    first = jaccard._first_nodes(words, 60, 0.8)
+    leaves = sorted(r["leaf"] for r in first.collect())
+    assert leaves == sorted(jaccard.paths(tokens, 60, 0.8, 1)[1])
+    grown = jaccard._next_nodes(words, 0.8)(first, spark.createDataFrame([(leaves[0],)], "leaf long"), 2)
+    levels, nodes, parents = jaccard.paths(tokens, 60, 0.8, 2)
+    assert sorted(r["leaf"] for r in grown.collect()) == sorted(n for x, n, p in zip(levels, nodes, parents, strict=True) if x == 2 and p == leaves[0])
+
+
 def test_blocks_meet_only_where_sizes_allow(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 4)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
