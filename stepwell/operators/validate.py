@@ -228,7 +228,7 @@ EVENT_TEXTS = ("event_id", "anonymous_id", "event_name", "schema_version", "trac
 def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
     """The typed columns of event-log records {workspace_id, event}, times zoneless in UTC; null where a required text is missing.
 
-    A record is read once, and its event once more; of repeated keys the last one counts.
+    A record is read once, and its event once more, also where rows are filtered afterwards; of repeated keys the last one counts.
     """
     rows = df.withColumn("_record", F.from_json(value, "workspace_id string, event string"))
     rows = rows.withColumn("_event", F.from_json("_record.event", ", ".join(f"{n} string" for n in EVENT_TEXTS)))
@@ -236,7 +236,9 @@ def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
     time = lambda c: utc(F.when(F.col(c).rlike(INSTANT), F.try_to_timestamp(c)))
     texts = [text(f"_event.{n}").alias(n) for n in EVENT_TEXTS[:-2]]
     times = [time(f"_event.{n}").alias(n) for n in EVENT_TEXTS[-2:]]
-    return rows.select(*df.columns, text("_record.workspace_id").alias("workspace_id"), *texts, *times, F.col("_record.event").alias("accepted_event_json"))
+    fields = F.struct(text("_record.workspace_id").alias("workspace_id"), *texts, *times, F.col("_record.event").alias("accepted_event_json"))
+    # A generator of one row, as in with_reason: a filter on the reason would else be moved below with a reading of the record for each field.
+    return rows.select(*df.columns, F.inline(F.array(fields)))
 
 
 def dead_letter_reason(parsed: DataFrame) -> DataFrame:

@@ -42,3 +42,10 @@ def test_http_outcomes(spark):
 def test_bad_envelopes(spark, value, key, reason):
     df = spark.createDataFrame([("accepted-events.v1", key, value)], "topic string, key string, value string")
     assert validate.dead_letter_reason(validate.parse_envelope(df)).first()["reason"] == reason
+
+
+def test_a_filter_on_the_reason_reads_a_record_once(spark):
+    df = spark.createDataFrame([("accepted-events.v1", "x", "{}")], "topic string, key string, value string")
+    rows = validate.dead_letter_reason(validate.parse_envelope(df)).where("reason is not null")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2, plan
