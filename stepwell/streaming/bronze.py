@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.values import TOPIC, partition_key
 from ..operators import dedupe, validate
@@ -19,6 +15,8 @@ RECORD = "topic string, partition int, offset long, key string, value string"
 DEAD_LETTER = "topic string, partition int, offset long, reason string"
 COUNTERS = "batch long, polled long, materialized long, dead_lettered long"
 LATENESS = "2 hours"
+#: How long a key counts as seen, by the clock.
+SEEN_FOR = "7 days"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -137,34 +135,14 @@ def replay_log(spark: SparkSession, log: str, store: str, checkpoint: str) -> No
     query.awaitTermination()
 
 
-class FirstSeen(StatefulProcessor):
-    """Emits the first row of each key; the key is forgotten after a time to live."""
-
-    ttl_ms = 7 * 24 * 3600 * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
-        for pdf in rows:
-            if first is None and len(pdf):
-                first = pdf.iloc[:1]
-        if first is not None and not self.seen.exists():
-            self.seen.update((True,))
-            yield first
-
-    def close(self) -> None:
-        pass
-
-
 def first_seen(good: DataFrame) -> DataFrame:
-    """Keyed first-row deduplication with a seven-day processing-time state; needs the RocksDB state store.
+    """Keyed first-row deduplication with a seven-day state of processing time, native to Spark; rows are never late.
 
-    No watermark bounds it, so late but new events pass. Run it with trigger(once=True) or stop it explicitly: in
-    processing-time mode Spark keeps scheduling empty batches under availableNow.
+    The watermark is on the time at which a batch reads its rows, so late but new events pass, and a key is forgotten
+    seven days after it came first. Use ingest_first_seen's trigger or stop it explicitly.
     """
-    return good.groupBy(*dedupe.KEY).transformWithStateInPandas(FirstSeen(), outputStructType=good.schema, outputMode="Append", timeMode="ProcessingTime")
+    rows = good.withColumn("_read_at", F.current_timestamp()).withWatermark("_read_at", SEEN_FOR)
+    return rows.dropDuplicatesWithinWatermark(dedupe.KEY).drop("_read_at")
 
 
 def ingest_first_seen(records: DataFrame, path: str, checkpoint: str) -> None:

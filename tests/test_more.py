@@ -102,6 +102,13 @@ def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(r["event_name"] for r in spark.read.parquet(paths[0]).collect()) == ["signup_completed", "vpv"]
 
 
+def test_keyed_state_calls_no_python_for_a_key(spark, tmp_path):
+    log_of(spark, [("u", "vpv", "18 09:00")], str(tmp_path / "log"))
+    seen = bronze.first_seen(bronze.split(bronze.read_records(spark, str(tmp_path / "log")))[0])
+    plan = seen._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark" in plan and "Pandas" not in plan
+
+
 def test_a_retry_heals_the_store(spark, tmp_path, monkeypatch):
     log, store = str(tmp_path / "log"), str(tmp_path / "store")
     rows, real = events(spark, [("u", "vpv", "18 09:00")]), sinks.append_new
