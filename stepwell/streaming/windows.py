@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -20,16 +22,32 @@ OUT = "kind string, workspace_id string, event_name string, window_start timesta
 WINDOW = ["workspace_id", "event_name", "window_start"]
 
 
+#: Batches whose users a part keeps apart before they are put together.
+CHUNKS = 32
+
+
+def pack(users: set[str]) -> bytes:
+    return zlib.compress(json.dumps(sorted(users)).encode(), 1)
+
+
+def unpack(chunk: bytes) -> list[str]:
+    return json.loads(zlib.decompress(chunk))
+
+
 class WindowUsers(StatefulProcessor):
-    """Counts events and distinct users of one part of a window until the watermark passes its end."""
+    """Counts events and distinct users of one part of a window until the watermark passes its end.
+
+    A batch adds its users as one value, so the calls to the state store are those of the parts of windows that it
+    touches, not of its users. The users of a part are in memory when it closes, and when many batches are put together.
+    """
 
     def __init__(self, minutes: int):
         self.length = timedelta(minutes=minutes)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counted = handle.getValueState("counted", "events long, users long")
-        self.seen = handle.getMapState("seen", "anonymous_id string", "seen boolean")
+        self.counted = handle.getValueState("counted", "events long, chunks int")
+        self.seen = handle.getListState("seen", "users binary")
 
     def _row(self, key: tuple, kind: str, events: int | None = None, users: int | None = None, rows: pd.DataFrame | None = None) -> pd.DataFrame:
         ids, times = ([None], [pd.NaT]) if rows is None else (rows["event_id"], rows["at"])
@@ -42,28 +60,37 @@ class WindowUsers(StatefulProcessor):
         end = int((pd.Timestamp(key[2]) + self.length).timestamp() * 1000)
         closed = end <= timerValues.getCurrentWatermarkInMs()
         had = self.counted.get() if not closed and self.counted.exists() else None
-        events, users = had or (0, 0)
+        events, chunks = had or (0, 0)
+        users: set[str] = set()
         for pdf in rows:
             if closed:
                 if len(pdf):
                     yield self._row(key, "late", rows=pdf)
                 continue
             events += len(pdf)
-            for user in pdf["anonymous_id"].dropna().unique():
-                if not self.seen.containsKey((user,)):
-                    self.seen.updateValue((user,), (True,))
-                    users += 1
+            users.update(pdf["anonymous_id"].dropna())
         if not closed:
             if had is None:
                 self.handle.registerTimer(end)
-            self.counted.update((events, users))
+            if users and chunks >= CHUNKS:  # users of many batches: each is kept once again
+                users |= self._seen()
+                self.seen.put([(pack(users),)])
+                chunks = 1
+            elif users:
+                self.seen.appendValue((pack(users),))
+                chunks += 1
+            self.counted.update((events, chunks))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events, users = self.counted.get()
+        events, _ = self.counted.get()
+        users = len(self._seen())
         self.counted.clear()
         self.seen.clear()
         yield self._row(key, "closed", events, users)
 
+    def _seen(self) -> set[str]:
+        return {user for (chunk,) in self.seen.get() for user in unpack(chunk)}
+
     def close(self) -> None:
         pass
 
