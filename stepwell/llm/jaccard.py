@@ -20,11 +20,14 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
 #: Levels of splitting, members of a bucket that is not split further, members of a block that one task compares.
 DEPTH, SMALL, BLOCK = 3, 256, 256
 #: Buckets that stay larger although less than this share of their pairs may be similar are split on twice as many levels,
-#: up to so many; a bucket is judged by the pairs of about so many of its members.
-CROWDED, MAX_DEPTH, JUDGED = 0.125, 24, 64
+#: up to so many; a bucket is judged by the pairs of about so many of its members. Up to so many times a
+#: small one it is compared as it is: a set then meets so many times the pairs at most, less work than deeper trees.
+CROWDED, MAX_DEPTH, JUDGED, CHEAP = 0.125, 24, 64, 8
 BINS = 128  # bytes of a one-permutation sketch
 #: Shingles of a block that are counted at once, and rows with words that go to Python at once.
 PART, WORD_ROWS = 250_000, 128
+#: Bits of the mask (4 MB) by which the rows of few documents are picked before they are dealt.
+MASK = 1 << 25
 _FULL = float(2**64)
 
 
@@ -270,23 +273,27 @@ def _split(rows: DataFrame, grow: Callable[[DataFrame, DataFrame, int], DataFram
     for level in range(1, depth + 1):
         rows = space.save(rows.select("fp", "leaf"), f"{name}-nodes{level}")
         counts = space.save(rows.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-counts{level}")
-        found = rows.join(counts if level == depth else counts.where(F.col("n") <= SMALL), "leaf")
+        # the hint keeps one plan at every size: the counts grow with the rows
+        found = rows.join((counts if level == depth else counts.where(F.col("n") <= SMALL)).hint("merge"), "leaf")
         leaves = found if leaves is None else leaves.unionByName(found)
-        large = counts.where(F.col("n") > SMALL).select("leaf")
-        if level == depth or large.isEmpty():
+        if level == depth:
+            break
+        # at most one for 256 rows: as a table of its own it is small, so the rows of the next level are not dealt to meet it
+        large = space.save(counts.where(F.col("n") > SMALL).select("leaf"), f"{name}-large{level}")
+        if large.isEmpty():
             break
         rows = grow(rows, large, level + 1)
     return space.save(leaves.select("fp", "leaf", "n"), f"{name}-leaves")
 
 
-def _crowded(leaves: DataFrame, brief: DataFrame, threshold: float) -> DataFrame:
-    """The large leaves hardly any of whose pairs can be similar, judged by about 64 members: a passage that many share.
+def _crowded(leaves: DataFrame, brief: DataFrame, threshold: float, space: Workspace, name: str) -> DataFrame:
+    """The leaves of more than eight small ones hardly any of whose pairs can be similar, judged by about 64 members: a passage that many share.
 
     In the others, families of near copies, further splitting would part little: comparing their blocks looks at no
     more than eight times the pairs that may be similar.
     """
-    picked = leaves.where((F.col("n") > SMALL) & (F.pmod(F.xxhash64("leaf", "fp"), F.lit(1 << 31)) < F.lit(float(JUDGED << 31)) / F.col("n")))
-    members = picked.join(brief, "fp").groupBy("leaf").agg(F.collect_list("size").alias("sizes"), F.collect_list("sketch").alias("sketches"))
+    picked = leaves.where((F.col("n") > CHEAP * SMALL) & (F.pmod(F.xxhash64("leaf", "fp"), F.lit(1 << 31)) < F.lit(float(JUDGED << 31)) / F.col("n")))
+    members = space.save(picked.select("fp", "leaf"), f"{name}-picked").join(brief, "fp").groupBy("leaf").agg(F.collect_list("size").alias("sizes"), F.collect_list("sketch").alias("sketches"))
 
     def judge(rows: dict[str, list]) -> dict[str, list]:
         shares = []
@@ -310,8 +317,8 @@ def _leaves(sigs: DataFrame, sets: DataFrame, brief: DataFrame, space: Workspace
     at = lambda level: nodes.where(F.col("level") == level)
     leaves = _split(at(1), lambda _, large, level: at(level).join(large.withColumnRenamed("leaf", "parent"), "parent", "left_semi"), DEPTH, space, f"depth{DEPTH}")
     depth, kept = DEPTH, []
-    while depth < MAX_DEPTH and not leaves.where(F.col("n") > SMALL).isEmpty():
-        crowded = space.save(_crowded(leaves, brief, threshold), f"depth{depth}-crowded")
+    while depth < MAX_DEPTH and not leaves.where(F.col("n") > CHEAP * SMALL).isEmpty():
+        crowded = space.save(_crowded(leaves, brief, threshold, space, f"depth{depth}"), f"depth{depth}-crowded")
         if crowded.isEmpty():
             break
         kept.append(leaves.join(crowded, "leaf", "left_anti"))
@@ -319,7 +326,8 @@ def _leaves(sigs: DataFrame, sets: DataFrame, brief: DataFrame, space: Workspace
         depth = min(2 * depth, MAX_DEPTH)
         words = _words(affected, sigs, sets, space, f"depth{depth}")
         leaves = _split(_first_nodes(words, runs_for(recall, threshold, depth), threshold), _next_nodes(words, threshold), depth, space, f"depth{depth}")
-    return _merged(reduce(DataFrame.unionByName, [*kept, leaves]), space)
+    rows = reduce(DataFrame.unionByName, [*kept, leaves]).select("fp", "leaf")
+    return _merged(space.save(rows.distinct() if kept else rows, "leaves"), space)  # a leaf of one depth may come again at another
 
 
 def _first_nodes(words: DataFrame, runs: int, threshold: float) -> DataFrame:
@@ -347,14 +355,12 @@ def _next_nodes(words: DataFrame, threshold: float) -> Callable[[DataFrame, Data
     return grow
 
 
-def _merged(leaves: DataFrame, space: Workspace) -> DataFrame:
-    """The same leaves with fewer rows: of small leaves with equal members one stays, large ones with the same least member are one.
+def _merged(rows: DataFrame, space: Workspace) -> DataFrame:
+    """The same leaves (fp, leaf) with fewer rows: of small leaves with equal members one stays, large ones with the same least member are one.
 
     Near copies meet in many leaves of every run. No pair is lost: both sets of a pair stay together in what remains of
     each of their leaves.
     """
-    # a leaf of one depth may come again at another
-    rows = space.save(leaves.select("fp", "leaf").distinct(), "leaves")
     marks = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(7), "fp")).alias("mark2"), F.min("fp").alias("least"))
     marks = space.save(marks, "marks")
     small = marks.where(F.col("n") <= SMALL).groupBy("n", "mark", "mark2").agg(F.min("leaf").alias("leaf")).select("leaf", F.col("leaf").alias("to"))
@@ -365,14 +371,29 @@ def _merged(leaves: DataFrame, space: Workspace) -> DataFrame:
     return merged.join(space.save(merged.groupBy("leaf").agg(F.count("*").alias("n")), "merged-counts"), "leaf")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are wanted, and some others: a mask of one bit for each hash of a wanted key goes to all tasks.
+
+    The mask is 1024 rows of 4 KB at most however many keys are wanted; the more, the more other rows pass.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(MASK)) + 1
+    part, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    mask = wanted.select(part.alias("_part"), at.alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_mask"))
+    found = rows.withColumns({"_part": part, "_at": at}).join(F.broadcast(mask), "_part")
+    return found.where("getbit(cast(conv(hex(substring(_mask, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) = 1").select(*rows.columns)
+
+
 def _words(wanted: DataFrame, sigs: DataFrame, sets: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(fp, words) of the wanted sets (fp): only one copy of each brings its words.
 
     doc_ids may repeat or be null, so the copies are dropped by fp. The hint keeps one plan at every size: past the
-    broadcast limit the words are dealt by a shuffle anyway.
+    broadcast limit the words are dealt by a shuffle anyway. Most words that nobody wants are left out before that.
     """
     need = space.save(wanted.join(sets.select("fp", F.col("first").alias("doc_id")), "fp"), f"{name}-needed")
-    words = sigs.where("size > 0").select("fp", "doc_id", "words").join(need.hint("merge"), (sigs["fp"] == need["fp"]) & sigs["doc_id"].eqNullSafe(need["doc_id"]), "left_semi")
+    one = need.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_id"))
+    words = _likely(sigs.where("size > 0").select("fp", "doc_id", "words"), need, ["fp", "doc_id"])
+    # `need` has a row a set; a left_semi join would be moved below the mask
+    words = words.join(one.hint("merge"), (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return space.save(words.groupBy("fp").agg(F.first("words").alias("words")), f"{name}-words")
 
 
@@ -410,9 +431,8 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
     """
     with small_batches(docs.sparkSession):
         sigs = space.save(_signatures(docs, runs_for(recall, threshold)), "signatures")
-    sets = space.save(sigs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size")), "sets")
-    brief = sigs.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    brief = space.save(brief, "brief")
+    sets = space.save(sigs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sketch").alias("sketch")), "sets")
+    brief = sets.where("size > 0").select("fp", "size", "sketch")
     with small_batches(docs.sparkSession, WORD_ROWS):
         leaves = space.save(_leaves(sigs, sets, brief, space, threshold, recall), "all-leaves")
     reached = leaves.groupBy("fp").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # a few for each run
@@ -456,7 +476,8 @@ def link(docs: DataFrame, space: Workspace, threshold: float = SIMILARITY, recal
 def components(edges: DataFrame, space: Workspace, rounds: int = 60) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): the least node of each connected component, by alternating stars.
 
-    Each round writes its edges, so lineage stays short; joins are on written tables, whose hot hubs Spark can split.
+    Each round writes its edges, so lineage stays short; joins are on written tables, whose hot hubs Spark can split. It is
+    over once all edges lead from nodes with one edge straight to a root.
     """
 
     def star(e: DataFrame, large: bool, k: int) -> DataFrame:
@@ -469,15 +490,13 @@ def components(edges: DataFrame, space: Workspace, rounds: int = 60) -> DataFram
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
-    previous = None
     edges = space.save(edges.where("a <> b").select("a", "b").distinct(), "edges")
     for k in range(rounds):
         edges = star(edges, True, k)
         edges = space.save(star(edges, False, k).where("a <> b").distinct(), f"edges{k}")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(state) == previous:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out")))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least")).where("out > 1 or (out = 1 and least = 0)").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
-        previous = tuple(state)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

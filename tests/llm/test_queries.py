@@ -212,6 +212,29 @@ def test_leaves_with_equal_members_stay_once_and_trees_grow_from_large_nodes(spa
     assert sorted(r["leaf"] for r in grown.collect()) == sorted(n for x, n, p in zip(levels, nodes, parents, strict=True) if x == 2 and p == leaves[0])
 
 
+def test_words_of_unwanted_sets_are_not_dealt(spark, tmp_path):
+    """Few of the sets are wanted: the words of the others stay where they are, and null ids are found as well."""
+    space = jaccard.Workspace(spark, "words")
+    sigs = space.save(spark.range(1, 4001).select(F.col("id").alias("fp"), F.when(F.col("id") % 50 != 0, F.col("id")).alias("doc_id"), F.lit(5).cast("long").alias("size"), F.repeat(F.md5(F.col("id").cast("string")), 40).cast("binary").alias("words")), "sigs")
+    sets = sigs.select("fp", F.col("doc_id").alias("first"))
+    wanted = spark.createDataFrame([(k,) for k in (7, 50, 3999)], "fp long")
+    got = jaccard._words(wanted, sigs, sets, space, "some")
+    assert {r["fp"]: bytes(r["words"]) for r in got.collect()} == {r["fp"]: bytes(r["words"]) for r in sigs.where("fp in (7, 50, 3999)").collect()}
+    need = sets.join(wanted, "fp").select("fp", F.col("first").alias("doc_id"))
+    assert {7, 50, 3999} <= {r["fp"] for r in jaccard._likely(sigs, need, ["fp", "doc_id"]).collect()} and jaccard._likely(sigs, need, ["fp", "doc_id"]).count() < 20
+    assert jaccard._likely(sigs, need.limit(0), ["fp", "doc_id"]).count() == 0
+
+
+def test_components_settle_without_a_round_that_changes_nothing(spark):
+    """Stars of roots are seen as such: one round does for them, and chains still come to their least node."""
+    space = jaccard.Workspace(spark, "components")
+    edges = spark.createDataFrame([(k, 1) for k in range(2, 9)] + [(11, 10), (12, 10)], "a long, b long")
+    want = {k: 1 for k in range(1, 9)} | {k: 10 for k in (10, 11, 12)}
+    assert {r["node"]: r["label"] for r in jaccard.components(edges, space, rounds=1).collect()} == want
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r["node"]: r["label"] for r in jaccard.components(chain, jaccard.Workspace(spark, "chain")).collect()} == {k: 0 for k in range(41)}
+
+
 def test_blocks_meet_only_where_sizes_allow(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 4)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
