@@ -73,11 +73,13 @@ def with_reason(df: DataFrame, raw_name: str, received_name: str, name_out: str,
     """Adds the reason code of raw events, null for accepted ones. The time of receipt is an instant (timestamp).
 
     A text that is no JSON gives invalid_json. Of a repeated key the last value counts, at every level and also for the
-    order of the properties; for that a setting of the session is turned on and stays on. Checks go envelope, name, ids, versions, consent and context, time, then properties in document
+    order of the properties; for that a setting of the session is turned on and stays on, as is one on the size of generated code. Checks go envelope, name, ids, versions, consent and context, time, then properties in document
     order, required ones and values. With `plan_name`, a column with the tracking plan of each row (see registry), events,
     properties and value rules are those of the plan, and a null plan is a contract version that is not supported.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # the JVM never compiles a method over 8000 bytes, and the whole stage of these columns is one: beyond it Spark makes small ones
+    df.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     raw, received_at, paths = F.col(raw_name), F.col(received_name), _Paths()
     # keys from the parsed value, but for the properties, whose order in the text counts
     extra = lambda name, allowed: F.size(F.array_except(F.map_keys(paths.object(name)), _array(allowed))) > 0

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from stepwell.operators import validate
 
@@ -49,3 +50,11 @@ def test_a_filter_on_the_reason_reads_a_record_once(spark):
     rows = validate.dead_letter_reason(validate.parse_envelope(df)).where("reason is not null")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 2, plan
+
+
+def test_validation_has_no_method_that_the_jvm_leaves_uncompiled(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    rows = spark.createDataFrame([("not json",), ("[]",), ("{}",)], "raw string").withColumn("received_at", F.lit("2024-02-01T00:00:00Z").cast("timestamp"))
+    got = {r["raw"]: r["reason"] for r in validate.validate(rows).collect()}
+    assert got == {"not json": "invalid_json", "[]": "invalid_payload", "{}": "unsupported_event_name"}
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # HotSpot's limit
