@@ -14,17 +14,28 @@ SHARED_BEYOND = 3
 NODE = ["workspace_id", "node"]
 
 
-def links(events: DataFrame) -> DataFrame:
-    """workspace_id, anonymous_id, user_id and n_users of each pair that was seen together; blank ids link nothing."""
-    seen = events.where(not_blank("user_id") & not_blank("anonymous_id")).select("workspace_id", "anonymous_id", "user_id").distinct()
-    users = seen.groupBy("workspace_id", "anonymous_id").agg(F.count("*").alias("n_users"))
-    return seen.join(users, ["workspace_id", "anonymous_id"])
+def links(events: DataFrame, folder: str) -> DataFrame:
+    """workspace_id, anonymous_id, user_id, n_users and least_user of each pair that was seen together; blank ids link nothing.
+
+    Events are read once: the distinct pairs are a table in `folder`, which all machines share, and so are the links.
+    """
+    spark, root, pair = events.sparkSession, f"{folder.rstrip('/')}/links-{uuid.uuid4().hex}", ["workspace_id", "anonymous_id", "user_id"]
+    seen = events.where(not_blank("user_id") & not_blank("anonymous_id")).select(*[F.col(c).cast("string").alias(c) for c in pair]).distinct()
+    seen.write.parquet(f"{root}/pairs")
+    seen = spark.read.schema(", ".join(f"{c} string" for c in pair)).parquet(f"{root}/pairs")
+    users = seen.groupBy("workspace_id", "anonymous_id").agg(F.count("*").alias("n_users"), F.min("user_id").alias("least_user"))
+    seen.join(users, ["workspace_id", "anonymous_id"]).write.parquet(f"{root}/links")
+    return spark.read.schema("workspace_id string, anonymous_id string, user_id string, n_users long, least_user string").parquet(f"{root}/links")
 
 
-def links_as_edges(pairs: DataFrame) -> DataFrame:
-    """Links as edges of nodes: users sort before anonymous ids, so a component's least node is its least user."""
-    user, visitor = F.concat(F.lit("0"), "user_id"), F.concat(F.lit("1"), "anonymous_id")
-    return pairs.select("workspace_id", visitor.alias("node"), user.alias("other"))
+def user_roots(own: DataFrame, folder: str) -> DataFrame:
+    """workspace_id, user_id and _root, the least user of the person, of users whom links connect with others; others are their own.
+
+    Anonymous ids are no nodes: each joins its users to the least of them, and is of the person of that one. So the turns
+    of the components carry users that were seen with another one, and not all pairs.
+    """
+    edges = own.where("user_id <> least_user").select("workspace_id", F.col("user_id").alias("node"), F.col("least_user").alias("other"))
+    return components(edges, folder).select("workspace_id", F.col("node").alias("user_id"), F.col("root").alias("_root"))
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -80,16 +91,15 @@ def stitch_chains(events: DataFrame, folder: str, shared_beyond: int = SHARED_BE
     with a user is a person of its own (a:, "anonymous"). An event without an anonymous id belongs to the person of its
     user ("linked"), and to nobody where it has neither (null, "unknown").
     """
-    found = links(events)
-    shared = found.where(F.col("n_users") > shared_beyond).select("workspace_id", "anonymous_id").distinct().withColumn("_shared", F.lit(True))
-    roots = components(links_as_edges(found.where(F.col("n_users") <= shared_beyond)), folder)
-    person = F.concat(F.when(F.col("root").startswith("0"), "u:").otherwise("a:"), F.expr("substring(root, 2)"))
-    of = roots.select("workspace_id", "node", person.alias("_person"))
-    of_visitor = of.where(F.col("node").startswith("1")).select("workspace_id", F.expr("substring(node, 2)").alias("anonymous_id"), F.col("_person").alias("_by_visitor"))
-    of_user = of.where(F.col("node").startswith("0")).select("workspace_id", F.expr("substring(node, 2)").alias("user_id"), F.col("_person").alias("_by_user"))
-    rows = events.join(shared, ["workspace_id", "anonymous_id"], "left").join(of_visitor, ["workspace_id", "anonymous_id"], "left").join(of_user, ["workspace_id", "user_id"], "left")
+    found = links(events, folder)
+    shared = F.col("n_users") > shared_beyond
+    roots = user_roots(found.where(~shared), folder)
+    least = found.where("user_id = least_user").join(roots, ["workspace_id", "user_id"], "left")  # a row an anonymous id
+    of_visitor = least.select("workspace_id", "anonymous_id", shared.alias("_shared"), F.when(~shared, F.concat(F.lit("u:"), F.coalesce("_root", "least_user"))).alias("_by_visitor"))
+    of_user = roots.select("workspace_id", "user_id", F.concat(F.lit("u:"), "_root").alias("_by_user"))
+    rows = events.join(of_visitor, ["workspace_id", "anonymous_id"], "left").join(of_user, ["workspace_id", "user_id"], "left")
     named, seen = F.coalesce(not_blank("user_id"), F.lit(False)), F.coalesce(not_blank("anonymous_id"), F.lit(False))
-    by_user = F.coalesce("_by_user", F.concat(F.lit("u:"), "user_id"))  # a user seen on shared devices alone
+    by_user = F.coalesce("_by_user", F.concat(F.lit("u:"), "user_id"))  # a user that no anonymous id connects with another one
     kind = (
         F.when(F.col("_shared") & named, "shared_named").when(F.col("_shared"), "shared").when(F.col("_by_visitor").isNotNull() | (named & ~seen), "linked").when(seen, "anonymous").otherwise("unknown")
     )

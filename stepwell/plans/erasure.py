@@ -89,16 +89,16 @@ def subjects_of_people(pairs: DataFrame, users: DataFrame, folder: str, shared_b
     user, as in stitch_chains: every anonymous id of it is a subject as a whole. Of a shared device only the events that
     name one of the person's users are. Users that no event names, null and blank ids give no subjects.
     """
-    seen = identity.links(pairs)
-    roots = identity.components(identity.links_as_edges(seen.where(F.col("n_users") <= shared_beyond)), folder)
+    seen = identity.links(pairs, folder)
+    own = seen.where(F.col("n_users") <= shared_beyond)
+    roots = identity.user_roots(own, folder)
     users = users.select("workspace_id", F.col("user_id").cast("string").alias("user_id")).dropna().distinct()
-    asked = users.select("workspace_id", F.concat(F.lit("0"), "user_id").alias("node"))
-    people = roots.join(asked, identity.NODE, "left_semi").select("workspace_id", "root").distinct()
-    members = roots.join(people, ["workspace_id", "root"], "left_semi").select("workspace_id", F.left("node", F.lit(1)).alias("kind"), F.expr("substring(node, 2)").alias("id"))
-    all_users = members.where("kind = '0'").select("workspace_id", F.col("id").alias("user_id")).unionByName(users).distinct()
-    own = members.where("kind = '1'").select("workspace_id", F.col("id").alias("anonymous_id"), F.lit(None).cast("string").alias("user_id"))
+    people = users.join(roots, ["workspace_id", "user_id"], "left").select("workspace_id", F.coalesce("_root", "user_id").alias("_root")).distinct()
+    all_users = roots.join(people, ["workspace_id", "_root"], "left_semi").select("workspace_id", "user_id").unionByName(users).distinct()
+    # an anonymous id is of the person of the least of its users
+    devices = own.where("user_id = least_user").join(all_users, ["workspace_id", "user_id"], "left_semi").select(*SUBJECT, F.lit(None).cast("string").alias("user_id"))
     on_shared = seen.where(F.col("n_users") > shared_beyond).join(all_users, ["workspace_id", "user_id"], "left_semi")
-    return own.unionByName(on_shared.select(*SUBJECT, "user_id"))
+    return devices.unionByName(on_shared.select(*SUBJECT, "user_id"))
 
 
 __all__ = ["AUDIT", "SUBJECT", "Layers", "erase", "index_days", "subjects_of_people", "without_marked"]

@@ -70,7 +70,9 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
 
     stream(rows.where("id % 5 <> 2"))
     rebuild.rebuild_days(spark, layers.bronze, layers.silver, layers.gold, sinks.days_of(spark, layers.bronze), "people-1", COMPLETED, 2, near_days=0)
-    pairs = spark.read.parquet(layers.bronze).select(*erasure.SUBJECT, last_value("accepted_event_json", "user_id").alias("user_id"))
+    named = F.inline(F.array(F.struct(last_value("accepted_event_json", "user_id").alias("user_id"))))  # a generator of one row: the filter below does not read the text again
+    spark.read.parquet(layers.bronze).select(*erasure.SUBJECT, named).where("user_id is not null").distinct().write.parquet(f"{root}/pairs")  # once, not for each use
+    pairs = spark.read.parquet(f"{root}/pairs")
     gone = erasure.subjects_of_people(pairs, pairs.where("user_id like '%3'"), f"{root}/links")
     erasure.erase(spark, layers, gone, "p1", "people-2", COMPLETED, 2)
     stream(rows.where("id % 5 = 2"))

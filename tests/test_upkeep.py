@@ -201,6 +201,25 @@ def test_identities_of_chains_shared_devices_and_blanks(spark, tmp_path):
     assert identity.stitch_chains(df.limit(0), str(tmp_path)).count() == 0
 
 
+def test_links_are_read_once_and_only_users_go_through_the_turns(spark, tmp_path, monkeypatch):
+    rows = [("w", f"a{k}-{n}", f"u{k}") for k in range(20) for n in range(5)] + [("w", "a0-x", "u1"), ("w", "a0-x", "u0"), ("w", "a2-x", "u2"), ("w", "a2-x", "u1")]
+    df, turns, seen = spark.createDataFrame(rows, "workspace_id string, anonymous_id string, user_id string"), [], spark.sparkContext.accumulator(0)
+    df.write.parquet(str(tmp_path / "events"))
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    events = spark.read.parquet(str(tmp_path / "events")).select("workspace_id", "anonymous_id", F.inline(F.array(F.struct(counted("user_id").alias("user_id")))))
+    plain = identity.components
+    monkeypatch.setattr(identity, "components", lambda edges, folder: (turns.append(edges.count()), plain(edges, folder))[1])
+    users = spark.createDataFrame([("w", "u2")], "workspace_id string, user_id string")
+    got = erasure.subjects_of_people(events, users, str(tmp_path)).collect()
+    assert {r["anonymous_id"] for r in got} == {"a0-x", "a2-x", *(f"a{k}-{n}" for k in range(3) for n in range(5))} and all(r["user_id"] is None for r in got)
+    assert turns == [2] and seen.value == len(rows)
+
+
 def test_bucketed_tables_are_not_dealt_again(spark, tmp_path):
     rows = many(spark, 8).unionByName(many(spark, 8).withColumn("received_at", F.expr("received_at + interval 1 hour")))
     gold = buckets.bucketed_gold(spark, rows, str(tmp_path), "test_buckets", DAYS[0], DAYS[-1], buckets=4)
