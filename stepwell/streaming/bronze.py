@@ -17,6 +17,7 @@ COUNTERS = "batch long, polled long, materialized long, dead_lettered long"
 LATENESS = "2 hours"
 #: How long a key counts as seen, by the clock.
 SEEN_FOR = "7 days"
+PACKED = "spark.sql.inMemoryColumnarStorage.compressed"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -87,6 +88,10 @@ def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        # the batch is kept as it is: ids and raw events differ from row to row, and looking for shorter encodings costs much
+        conf = batch.sparkSession.conf
+        packed = conf.get(PACKED)
+        conf.set(PACKED, "false")
         parsed = judged(batch).persist()
         try:
             good, bad = split_judged(parsed)
@@ -104,6 +109,7 @@ def ingest_stream(records: DataFrame, bronze: str, dead_letters: str, checkpoint
                 count_judged(parsed, number).write.mode("append").json(counted)
         finally:
             parsed.unpersist()
+            conf.set(PACKED, packed)
 
     writer = records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if every:

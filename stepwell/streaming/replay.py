@@ -30,7 +30,8 @@ def replay_letters(spark: SparkSession, replay_id: str, log: DataFrame, letters:
     marked for deletion (`markers`) stay out, and the index of subjects is kept (`index`), as in ingest_stream.
     """
     places = letters.select(*PLACE).distinct()
-    records = log.join(places, PLACE, "left_semi").dropDuplicates(PLACE)
+    # a hash of the letters' places in each part: a merge would sort the whole log with its payloads
+    records = log.join(places.hint("shuffle_hash"), PLACE, "left_semi").dropDuplicates(PLACE)
     parsed = judged(repair(records))
     path = f"{staging.rstrip('/')}/{replay_id}"
     parsed.write.mode("overwrite").parquet(path)

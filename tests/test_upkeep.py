@@ -246,6 +246,28 @@ def test_replays_of_dead_letters(spark, tmp_path):
     assert audit == {("a", "refused", 12, 12, 0), ("b", "refused", 13, 12, 12), ("c", "promoted", 12, 12, 12), ("d", "promoted", 0, 0, 0)}
 
 
+def test_a_replay_does_not_sort_the_log(spark, tmp_path):
+    bronze.to_records(numbered(many(spark, 15, 12))).withColumn("topic", F.lit("other")).write.json(str(tmp_path / "log"))
+    log, plans, limit = spark.read.schema(bronze.RECORD).json(str(tmp_path / "log")), [], "spark.sql.autoBroadcastJoinThreshold"
+    explained = lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), df)[1]
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as with many letters
+    try:
+        replay.replay_letters(spark, "a", log, log, explained, str(tmp_path / "bronze"), str(tmp_path / "staging"), str(tmp_path / "audit"))
+    finally:
+        spark.conf.set(limit, before)
+    assert "SortMergeJoin" not in plans[0] and "ShuffledHashJoin" in plans[0]
+
+
+def test_a_batch_is_kept_without_packing_and_the_setting_comes_back(spark, tmp_path, monkeypatch):
+    bronze.to_records(numbered(many(spark, 16, 12))).write.json(str(tmp_path / "log"))
+    during, before, plain = [], spark.conf.get(bronze.PACKED), bronze.append_new
+    monkeypatch.setattr(bronze, "append_new", lambda df, *a: (during.append((df.sparkSession, df.sparkSession.conf.get(bronze.PACKED))), plain(df, *a)))
+    bronze.ingest_stream(bronze.read_records(spark, str(tmp_path / "log")), *[str(tmp_path / n) for n in ("bronze", "dead", "checkpoint")])
+    assert during and all(setting == "false" and session.conf.get(bronze.PACKED) == before for session, setting in during)
+    assert spark.conf.get(bronze.PACKED) == before and spark.read.parquet(str(tmp_path / "bronze")).count() == 12
+
+
 def test_kinds_of_anomalies(spark):
     def series(workspace, measure, kind, last, usual=100):
         return [(workspace, f"2026-08-{d:02d}", measure, kind, last if d == 8 else usual + d % 3) for d in range(1, 9)]
